@@ -1,0 +1,287 @@
+"""Approximate nearest neighbours by NN-descent: a neighbour graph is built through iterative joins of neighbours
+of neighbours, and queries search it greedily.
+
+Nearness is the inner product. Vectors are scaled by the largest norm M and get one more component,
+sqrt(1 - |x|^2 / M^2), so that order by inner product is order by distance and a neighbour graph can be walked.
+Graph and search work on 16-bit copies; the result is scored again on the original vectors in double precision.
+
+Equal vectors are one node of the graph (the smallest id, and the ids of as many copies as a result can hold), so a
+vector that fills a third of the table costs no more than another.
+
+First neighbours come from leaves of random projections (signs of log2(n / LEAF) of them; larger leaves are
+split by a hash). A round joins, at every node, a sample of its new and old neighbours and of those that have it as one;
+pairs of them that are nearer than a node's worst neighbour replace it. Rounds end when few change.
+
+A search keeps the best ``beam`` nodes of each query, begins at the query's own node if it has one and at the nearest of
+``PIVOTS`` fixed nodes, and expands the best unexpanded ones, all queries at a time, until none is left in its first 3 k.
+
+Defined cases: null vectors, those with a null or non-finite component, of norm zero, or of another length than the longest
+take no part, nor do null ids; equal rows count once; ties go to the smaller id; with fewer candidates than k
+all that are found are returned; an empty table gives an empty result; further columns are ignored.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from math import ceil, log2
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tessera.llm.common import cut, ship
+
+DEGREE = 60
+SAMPLE = 20
+TREES = 4
+LEAF = 192
+ROUNDS = 12
+SETTLED = 0.005
+PIVOTS = 256
+EDGE = "node long, near long, sim float"
+
+
+def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
+    """id, x (array<double>): the vectors that take part."""
+    x = F.col(vec_col).cast("array<double>")
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), x.alias("x")).where(
+        "id IS NOT NULL AND x IS NOT NULL AND forall(x, c -> c IS NOT NULL AND NOT isnan(c) AND abs(c) < double('Infinity')) AND exists(x, c -> c <> 0)"
+    )
+    return rows.dropDuplicates(["id", "x"])
+
+
+def _floats(column: pa.Array, d: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), d)
+
+
+def halves(column: pa.Array) -> np.ndarray:
+    """A binary column of 16-bit vectors as 32-bit rows."""
+    n = len(column)
+    if not n:
+        return np.empty((0, 1), dtype=np.float32)
+    raw = np.frombuffer(b"".join(column.to_pylist()), dtype=np.float16)
+    return raw.reshape(n, -1).astype(np.float32)
+
+
+def copies(rows: DataFrame, d: int, most: float) -> DataFrame:
+    """rows with v: the scaled 16-bit copy of x."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = _floats(b.column(1), d) / most
+            v = np.hstack([x, np.sqrt(np.maximum(0, 1 - (x * x).sum(axis=1)))[:, None]]).astype(np.float16)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in v], pa.binary())], names=["node", "v"])
+
+    return rows.select("node", "x").mapInArrow(run, "node long, v binary")
+
+
+def runs(batches: Iterator[pa.RecordBatch], key: int = 0) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole runs of equal keys out of a sorted stream, with the runs' first rows."""
+    rest = None
+    for b in batches:
+        t = pa.Table.from_batches([b])
+        t = t if rest is None else pa.concat_tables([rest, t])
+        if not t.num_rows:
+            continue
+        k = t.column(key).to_numpy()
+        last = int(np.searchsorted(k, k[-1]))
+        rest = t.slice(last)
+        if last:
+            yield t.slice(0, last).combine_chunks(), np.r_[0, np.nonzero(np.diff(k[:last]))[0] + 1]
+    if rest is not None and rest.num_rows:
+        k = rest.column(key).to_numpy()
+        yield rest.combine_chunks(), np.r_[0, np.nonzero(np.diff(k))[0] + 1]
+
+
+def best_of(node: np.ndarray, near: np.ndarray, sim: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best distinct neighbours of every node."""
+    at = np.lexsort((near, -sim, node))
+    node, near, sim = node[at], near[at], sim[at]
+    new = np.r_[True, (node[1:] != node[:-1]) | (near[1:] != near[:-1])]
+    node, near, sim = node[new], near[new], sim[new]
+    first = np.r_[True, node[1:] != node[:-1]]
+    rank = np.arange(len(node)) - np.maximum.accumulate(np.where(first, np.arange(len(node)), 0))
+    ok = rank < k
+    return node[ok], near[ok], sim[ok]
+
+
+def _edges(node, near, sim) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(near, pa.int64()), pa.array(sim, pa.float32())], names=["node", "near", "sim"])
+
+
+def _n(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def leaves(nodes: DataFrame, n: int, d: int, k: int, seed: int) -> DataFrame:
+    """First neighbours: the k best within each leaf of each tree."""
+    bits = max(0, ceil(log2(max(1, n / LEAF))))
+    planes = np.random.default_rng(seed).normal(size=(TREES, d + 1, max(1, bits))).astype(np.float32)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            v = halves(b.column(1))
+            if not len(v):
+                continue
+            for t in range(TREES):
+                code = ((v @ planes[t] > 0) @ (1 << np.arange(planes.shape[2]))) if bits else np.zeros(len(v), dtype=np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(code.astype(np.int64) * TREES + t), b.column(0), b.column(1)], names=["leaf", "node", "v"])
+
+    placed = nodes.mapInArrow(place, "leaf long, node long, v binary")
+    sizes = placed.groupBy("leaf").count().select("leaf", F.ceil(F.col("count") / (2 * LEAF)).alias("parts"))
+    placed = placed.join(sizes, "leaf").withColumn("leaf", F.xxhash64("leaf", F.pmod(F.xxhash64("node"), F.col("parts")))).select("leaf", "node", "v")
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, starts in runs(batches):
+            node, v = t.column(1).to_numpy(), halves(t.column(2).combine_chunks())
+            out = []
+            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(node)], strict=True):
+                if b - a < 2:
+                    continue
+                s = v[a:b] @ v[a:b].T
+                np.fill_diagonal(s, -np.inf)
+                m = min(k, b - a - 1)
+                top = np.argpartition(-s, m - 1, axis=1)[:, :m]
+                out.append((np.repeat(node[a:b], m), node[a:b][top].ravel(), np.take_along_axis(s, top, 1).ravel()))
+            if out:
+                yield _edges(*best_of(*(np.concatenate(c) for c in zip(*out, strict=True)), k))
+
+    return placed.repartition(_n(nodes.sparkSession), "leaf").sortWithinPartitions("leaf").mapInArrow(link, EDGE)
+
+
+def merged(edges: DataFrame, k: int) -> DataFrame:
+    """node, near, sim, fresh (not there before), worst: the k best of edges, which have a column old."""
+    each = edges.groupBy("node", "near").agg(F.max("sim").alias("sim"), F.max("old").alias("old"))
+    w = Window.partitionBy("node")
+    return (
+        each.withColumn("rank", F.row_number().over(w.orderBy(F.desc("sim"), "near"))).where(F.col("rank") <= k)
+        .withColumn("worst", F.when(F.count("*").over(w) < k, F.lit(-1e9)).otherwise(F.min("sim").over(w)).cast("float"))
+        .select("node", "near", "sim", (F.col("old") == 0).alias("fresh"), "worst")
+    )
+
+
+def descend(graph: DataFrame, nodes: DataFrame, k: int, salt: int) -> DataFrame:
+    """Pairs that meet at a node and are nearer than the worst neighbour of one of them: node, near, sim."""
+    order = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.xxhash64("node", "near", F.lit(salt))))
+    ahead = graph.withColumn("r", order("node", "fresh")).where(F.col("r") <= SAMPLE).select(F.col("node").alias("centre"), F.col("near").alias("member"), "fresh")
+    behind = graph.withColumn("r", order("near", "fresh")).where(F.col("r") <= SAMPLE).select(F.col("near").alias("centre"), F.col("node").alias("member"), "fresh")
+    met = ahead.unionByName(behind).groupBy("centre", "member").agg(F.max("fresh").alias("fresh"))
+    worst = graph.groupBy("node").agg(F.min("worst").alias("worst"))
+    full = nodes.join(worst, "node", "left").select(F.col("node").alias("member"), "v", F.coalesce("worst", F.lit(-1e9).cast("float")).alias("worst"))
+    rows = met.join(full, "member").select("centre", "member", "fresh", "worst", "v")
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, size = [], 0
+        for t, starts in runs(batches):
+            member, fresh, worst = t.column(1).to_numpy(), t.column(2).to_numpy(zero_copy_only=False), t.column(3).to_numpy()
+            v = halves(t.column(4).combine_chunks())
+            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(member)], strict=True):
+                if b - a < 2 or not fresh[a:b].any():
+                    continue
+                s = v[a:b] @ v[a:b].T
+                ok = (s > worst[a:b, None]) & (fresh[a:b, None] | fresh[None, a:b])
+                np.fill_diagonal(ok, False)
+                i, j = np.nonzero(ok)
+                if len(i):
+                    kept.append((member[a:b][i], member[a:b][j], s[i, j]))
+                    size += len(i)
+            if size > 1 << 20:
+                yield _edges(*best_of(*(np.concatenate(c) for c in zip(*kept, strict=True)), k))
+                kept, size = [], 0
+        if kept:
+            yield _edges(*best_of(*(np.concatenate(c) for c in zip(*kept, strict=True)), k))
+
+    return rows.repartition(_n(graph.sparkSession), "centre").sortWithinPartitions("centre").mapInArrow(pairs, EDGE)
+
+
+def neighbour_graph(nodes: DataFrame, n: int, d: int, k: int = DEGREE, rounds: int = ROUNDS, seed: int = 3) -> DataFrame:
+    """node, near, sim over nodes (node, v)."""
+    graph = cut(merged(leaves(nodes, n, d, k, seed).withColumn("old", F.lit(0)), k))
+    for i in range(rounds):
+        more = descend(graph, nodes, k, i).withColumn("old", F.lit(0))
+        graph = cut(merged(graph.select("node", "near", "sim", F.lit(1).alias("old")).unionByName(more), k))
+        if graph.where("fresh").count() <= SETTLED * k * n:
+            break
+    return graph.select("node", "near", "sim")
+
+
+def walk(graph: DataFrame, nodes: DataFrame, starts: DataFrame, asked: DataFrame, k: int, beam: int, rounds: int = 8, width: int = 12) -> DataFrame:
+    """query, node of the best nodes found. asked: query, q (16-bit copies); starts: query, node."""
+    links = cut(graph.select("node", "near").unionByName(graph.select(F.col("near").alias("node"), F.col("node").alias("near"))
+        .withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy(F.xxhash64("near")))).where(F.col("r") <= DEGREE).drop("r")).distinct())
+
+    def near(found: DataFrame) -> DataFrame:
+        """query, node with their similarity."""
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                sim = np.einsum("ij,ij->i", halves(b.column(2)), halves(b.column(3)))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sim, pa.float32())], names=["query", "node", "sim"])
+
+        return found.join(nodes, "node").join(asked, "query").select("query", "node", "v", "q").mapInArrow(run, "query long, node long, sim float")
+
+    best = Window.partitionBy("query").orderBy(F.desc("sim"), "node")
+    top = lambda df: df.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= beam)
+    state = cut(top(near(starts.distinct()).withColumn("done", F.lit(False))))
+    for _ in range(rounds):
+        open_ = state.where("NOT done").withColumn("turn", F.row_number().over(best)).where((F.col("turn") <= width) & (F.col("rank") <= 3 * k)).select("query", "node")
+        open_ = cut(open_)
+        if open_.isEmpty():
+            break
+        more = open_.join(links, "node").select("query", F.col("near").alias("node")).distinct().join(state.select("query", "node"), ["query", "node"], "left_anti")
+        known = state.join(open_.withColumn("now", F.lit(True)), ["query", "node"], "left").select("query", "node", "sim", (F.col("done") | F.coalesce("now", F.lit(False))).alias("done"))
+        state = cut(top(known.unionByName(near(more).withColumn("done", F.lit(False)))))
+    return state.select("query", "node")
+
+
+def search(vectors: DataFrame, queries: DataFrame, k: int = 20, beam: int = 100, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """Per query its k nearest among vectors, its own id left out: query_id, rank, vec_id, score."""
+    spark = vectors.sparkSession
+    ship(spark)
+    rows, ask = usable(vectors, id_col, vec_col), usable(queries, id_col, vec_col)
+    d, most = rows.agg(F.max(F.size("x")), F.max(F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, c: a + c * c)))).first()
+    shape = "query_id long, rank int, vec_id long, score double"
+    if d is None:
+        return spark.createDataFrame([], shape)
+    rows, ask = rows.where(F.size("x") == d), ask.where(F.size("x") == d)
+    # equal vectors: the k + 1 smallest ids stand for all of them (a query may be one)
+    few = cut(rows.withColumn("r", F.row_number().over(Window.partitionBy("x").orderBy("id"))).where(F.col("r") <= k + 1))
+    heads = cut(few.where("r = 1").select(F.col("id").alias("node"), "x"))
+    members = few.join(heads, "x").select("node", F.col("id").alias("member"))
+    nodes, n = cut(copies(heads, d, most)), heads.count()
+    graph = neighbour_graph(nodes, n, d)
+    asked = cut(copies_of_queries(ask, d, most))
+    pivots = nodes.orderBy(F.xxhash64("node")).limit(PIVOTS).collect()
+    ids, table = np.array([p["node"] for p in pivots]), np.stack([np.frombuffer(p["v"], np.float16) for p in pivots]).astype(np.float32)
+
+    def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            q = halves(b.column(1))
+            if not len(q):
+                continue
+            m = min(8, len(ids))
+            at = np.argsort(-(q @ table.T), axis=1, kind="stable")[:, :m]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), m)), pa.array(ids[at].ravel())], names=["query", "node"])
+
+    own = ask.join(heads, "x").select(F.col("id").alias("query"), "node")
+    starts = asked.mapInArrow(enter, "query long, node long").unionByName(own).unionByName(own.join(graph, "node").select("query", F.col("near").alias("node")))
+    found = walk(graph, nodes, starts, asked, k, max(beam, 4 * k))
+    # exact scores on the original vectors, one for each distinct vector
+    exact = F.aggregate(F.zip_with("x", "q", lambda a, b: a * b), F.lit(0.0), lambda a, c: a + c)
+    scored = found.join(heads, "node").join(ask.select(F.col("id").alias("query"), F.col("x").alias("q")), "query").select("query", "node", exact.alias("score"))
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "member")
+    return (
+        scored.join(members, "node").where("member <> query").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        .select(F.col("query").alias("query_id"), F.col("rank").cast("int").alias("rank"), F.col("member").alias("vec_id"), "score")
+    )
+
+
+def copies_of_queries(ask: DataFrame, d: int, most: float) -> DataFrame:
+    """query, q: a query has 0 where vectors have their further component."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = _floats(b.column(1), d)
+            x = x / np.linalg.norm(x, axis=1)[:, None]
+            q = np.hstack([x, np.zeros((len(x), 1))]).astype(np.float16)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in q], pa.binary())], names=["query", "q"])
+
+    return ask.select("id", "x").mapInArrow(run, "query long, q binary")
