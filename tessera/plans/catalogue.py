@@ -1,11 +1,14 @@
-"""Named queries over the driver tables and the SQL that checks them."""
+"""All named queries over the driver tables and the SQL that checks them."""
 
 from __future__ import annotations
 
+from tessera.plans import documents, files, graph, ledger, times  # noqa: F401
+from tessera.plans.registry import QUERIES, SQL
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
