@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.session import ship  # noqa: F401
+
 #: Rows up to which a side of a join of a few narrow columns is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 200_000
 #: Records in one Arrow batch, so that a batch of very long texts still fits a worker.
@@ -44,24 +44,6 @@ def checked_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Give the executors this package through Spark's own file server, once for an application."""
-    if (app := spark.sparkContext.applicationId) in _shipped:
-        return
-    _shipped.add(app)
-    top = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    at = os.path.join(tempfile.mkdtemp(), "tessera_llm.zip")
-    with zipfile.ZipFile(at, "w") as z:
-        for d in ("tessera", "tessera/llm"):
-            for f in sorted(os.listdir(os.path.join(top, d))):
-                if f.endswith(".py"):
-                    z.write(os.path.join(top, d, f), f"{d}/{f}")
-    spark.sparkContext.addPyFile(at)
-
-
 def small_batches(spark: SparkSession) -> None:
     """Before a Python stage: ship the package, bound Arrow batches. An explicit setting of the caller's stays."""
     ship(spark)
