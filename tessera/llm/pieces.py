@@ -2,10 +2,13 @@
 
 Adjacent symbol pairs stand in an agenda ordered by the score of the piece they make, then by place; the
 head is merged until no pair makes a piece. ``agenda`` is the heap for one sequence of any length;
-``agendas`` runs the agendas of many short words side by side in numpy. No piece of such a vocabulary
-has a space mark after another character, so merges never cross from one word into the next and words
-are encoded once and kept (two generations of at most ``KEPT`` words). Every Arrow batch is checked
-against the sentencepiece library, document by document; decoding is the library's.
+``agendas`` runs the agendas of many short words side by side in numpy. A text is cut into words where the
+vocabulary proves that merges can't cross (no piece holds the two characters side by side), so a word is encoded once and
+kept (two generations of at most ``KEPT`` words).
+
+Checks against the sentencepiece library: in every Arrow batch all words that were encoded in it are joined by line ends and
+encoded by the library in one call; with check="documents" the library also encodes each whole text. A difference is an
+error. A model whose vocabulary doesn't keep line ends apart is always checked by documents. Decoding is the library's.
 
 Defined cases: a null or empty text gives the end id alone and decodes to an empty text; null ids and repeated
 rows pass through; an empty table gives an empty result; further columns are ignored unless asked for.
@@ -13,6 +16,7 @@ rows pass through; an empty table gives an empty result; further columns are ign
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import re
@@ -28,12 +32,60 @@ from pyspark.sql import functions as F
 from tessera.llm.common import small_batches, text_or_empty
 
 SPACE = "▁"
-KEPT = 200_000
+KEPT = 300_000
 LONG = 48
-NONE = np.int64(1) << 40
+BITS = 15
+GROUP = 16_384
+NONE = np.int32((1 << 31) - 1)
 PAD = -(1 << 21)
 
 
+class Words(dict):
+    """Ids of words. A word that isn't there gets an empty list, to be filled in place before the batch ends."""
+
+    def __init__(self, old: dict):
+        super().__init__()
+        self.old, self.new = old, {}
+
+    def __missing__(self, word: str) -> list[int]:
+        ids = self.old.get(word)
+        if ids is None:
+            ids = self.new[word] = []
+        self[word] = ids
+        return ids
+
+
+class PairTable:
+    """Pairs of symbols to rank << BITS | symbol made, by open addressing; looked up for whole arrays."""
+
+    def __init__(self, keys: np.ndarray, made: np.ndarray):
+        self.bits = max(4, int(len(keys) * 4).bit_length())
+        self.keys, self.made = np.full(1 << self.bits, -1, dtype=np.int64), np.full(1 << self.bits, NONE, dtype=np.int32)
+        for k, m, at in zip(keys.tolist(), made.tolist(), self.place(keys).tolist(), strict=True):
+            while self.keys[at] >= 0:
+                at = (at + 1) & ((1 << self.bits) - 1)
+            self.keys[at], self.made[at] = k, m
+
+    def place(self, keys: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def get(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        keys = (a.astype(np.int64) << 20) | b
+        keys[(a < 0) | (b < 0)] = 1 << 41  # symbols outside the vocabulary make no pair
+        at = self.place(keys)
+        found = self.keys[at]
+        out = np.where(found == keys, self.made[at], NONE).astype(np.int32)
+        left = np.nonzero((found != keys) & (found >= 0))[0]
+        while len(left):
+            at[left] = (at[left] + 1) & ((1 << self.bits) - 1)
+            found = self.keys[at[left]]
+            hit = found == keys[left]
+            out[left[hit]] = self.made[at[left[hit]]]
+            left = left[(found >= 0) & ~hit]
+        return out
+
+
 class PieceModel:
     """Tables of a model file: symbols (pieces, and the characters of pieces), pairs with what they make."""
 
@@ -59,21 +111,28 @@ class PieceModel:
         rank = {s: r for r, s in enumerate(sorted({s for s, _ in normal.values()}, reverse=True))}
         pairs = {(self.sid[p[:k]], self.sid[p[k:]]): (rank[s], self.sid[p]) for p, (s, _) in normal.items() for k in range(1, len(p)) if p[:k] in self.sid and p[k:] in self.sid}
         self.pairs = pairs
-        keys = np.array([a << 20 | b for a, b in pairs], dtype=np.int64)
-        order = np.argsort(keys)
-        self.keys, self.made = keys[order], np.array([r << 20 | s for r, s in pairs.values()], dtype=np.int64)[order]
-        # words end where a space mark follows another character; and around characters that no longer piece holds
-        self.apart = all(SPACE not in p.lstrip(SPACE) for p in normal)
-        lone = "" if any("\n" in p and len(p) > 1 for p in normal) else "\n"
-        self.words = re.compile(f"{lone}|{SPACE}+[^{SPACE}{lone}]*|[^{SPACE}{lone}]+" if lone else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-        self.one = np.array([i[0] if len(i) == 1 else -1 for i in self.out], dtype=np.int64)
-        self.codes = -1 - np.arange(0x110000, dtype=np.int64)
+        if len(names) >= 1 << BITS or len(rank) >= 1 << BITS:
+            raise ValueError(f"at most {1 << BITS} symbols are supported")
+        self.table = PairTable(np.array([a << 20 | b for a, b in pairs], dtype=np.int64), np.array([r << BITS | s for r, s in pairs.values()], dtype=np.int64))
+        # merges can't cross between characters that no piece holds side by side: words end before a space mark that follows
+        # another character, around newlines, and where letters and other marks meet, as far as the vocabulary bears it out
+        beside = {(a, b) for p in normal for a, b in zip(p, p[1:])}  # noqa: B905
+        self.apart = all(a == SPACE or b != SPACE for a, b in beside)
+        line = "\n" * all("\n" not in ab for ab in beside)
+        marks = {c for p in normal for c in p if not c.isalnum() and c not in (SPACE, "\n")}
+        if any((a in marks) != (b in marks) and a != SPACE for a, b in beside):
+            marks = set()
+        m, other = "".join(re.escape(c) for c in sorted(marks)), f"{SPACE}{line}"
+        self.words = re.compile("|".join([*([line] if line else []), f"{SPACE}*[^{other}{m}]+", *([f"{SPACE}*[{m}]+"] if m else []), f"{SPACE}+"]))
+        self.one = np.array([i[0] if len(i) == 1 else -1 for i in self.out], dtype=np.int32)
+        self.codes = -1 - np.arange(0x110000, dtype=np.int32)
         for name, i in self.sid.items():
             if len(name) == 1:
                 self.codes[ord(name)] = i
         self.number = [str(i) for i in range(len(proto.pieces))]
-        self.young: dict[str, tuple] = {}
-        self.old: dict[str, tuple] = {}
+        self.shared = np.array([*range(len(proto.pieces)), -1], dtype=object)
+        self.kept = Words({})
+        self.line, self.line_ids = line, self.agenda("\n") if line else ()
 
     def _bytes(self, char: str) -> tuple[int, ...]:
         return tuple(self.fallback[b] for b in char.encode()) if self.fallback else (self.unk,)
@@ -109,40 +168,44 @@ class PieceModel:
             propose(a, after[a])
         return self.ids(x for x in s if x is not None)
 
-    def _pair(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """rank << 20 | symbol made; NONE << 20 if the pair makes none."""
-        key = (a << 20) | b
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where((self.keys[at] == key) & (a >= 0) & (b >= 0), self.made[at], NONE)
+    def agendas(self, words: list[str]) -> list:
+        """Many words of at most LONG characters: in each round every word merges the head of its agenda.
 
-    def agendas(self, words: list[str]) -> list[tuple[int, ...]]:
-        """Many words of at most LONG characters: in each round every word merges the head of its agenda."""
+        pair[i, j] is what symbol j makes with the one after it; symbols that were merged into the one before are PAD.
+        """
         if not words:
             return []
         sizes = np.array([len(w) for w in words])
         size = int(sizes.max())
-        s = np.full((len(words), size + 1), np.int64(PAD), dtype=np.int64)
+        s = np.full((len(words), size + 2), PAD, dtype=np.int32)
         codes = np.frombuffer("".join(words).encode("utf-32-le"), dtype=np.uint32)
-        s[np.arange(size + 1) < sizes[:, None]] = self.codes[codes]
-        pair = self._pair(s[:, :-1], s[:, 1:])
-        live, done = np.arange(len(words)), [None] * len(words)
-        while True:
-            head = pair.argmin(axis=1)  # the smallest rank; of equal ranks (which make one symbol) the first place
-            open_ = pair[np.arange(len(live)), head] < NONE
-            self._finish(s[~open_], live[~open_], done)
-            if not open_.any():
-                return done
-            s, pair, live, head = s[open_], pair[open_], live[open_], head[open_]
-            r = np.arange(len(live))
-            made = pair[r, head] & ((1 << 20) - 1)
-            shift = np.arange(size)[None, :] > head[:, None]
-            s[:, :-1] = np.where(shift, s[:, 1:], s[:, :-1])
-            s[r, head] = made
-            pair[:, :-1] = np.where(shift[:, :-1], pair[:, 1:], pair[:, :-1])
-            pair[:, -1] = NONE
-            pair[r, head] = self._pair(made, s[r, head + 1])
-            left = head > 0
-            pair[r[left], head[left] - 1] = self._pair(s[r[left], head[left] - 1], made[left])
+        s[:, :size][np.arange(size) < sizes[:, None]] = self.codes[codes]
+        pair = np.full((len(words), size + 1), NONE, dtype=np.int32)
+        real = s[:, 1:size] != PAD
+        at = np.nonzero(real)
+        pair[at] = self.table.get(s[at], s[at[0], at[1] + 1])
+        after = np.broadcast_to(np.arange(1, size + 3, dtype=np.int32), s.shape).copy()
+        before = np.broadcast_to(np.arange(-1, size + 1, dtype=np.int32), s.shape).copy()
+        live = np.arange(len(words))
+        while len(live):
+            rows = pair[live]
+            head = rows.argmin(axis=1)  # the smallest rank; of equal ranks (which make one symbol) the first place
+            best = rows[np.arange(len(live)), head]
+            open_ = best < NONE
+            live, head, best = live[open_], head[open_], best[open_]
+            nxt = after[live, head]
+            far = after[live, nxt]
+            made = best & ((1 << BITS) - 1)
+            s[live, head], s[live, nxt] = made, PAD
+            after[live, head], before[live, far] = far, head
+            pair[live, nxt] = NONE
+            pair[live, head] = self.table.get(made, s[live, far])
+            back = before[live, head]
+            some = back >= 0
+            pair[live[some], back[some]] = self.table.get(s[live[some], back[some]], made[some])
+        done = [None] * len(words)
+        self._finish(s, np.arange(len(words)), done)
+        return done
 
     def _finish(self, s: np.ndarray, at: np.ndarray, done: list) -> None:
         real = s != PAD
@@ -151,9 +214,9 @@ class PieceModel:
         ids = np.where(flat >= 0, self.one[np.maximum(flat, 0)], -1)  # -1: the character takes several ids
         several = np.zeros(len(s), dtype=bool)
         several[np.nonzero(real)[0][ids < 0]] = True
-        ids, flat = ids.tolist(), flat.tolist()
+        ids, flat = self.shared[ids].tolist(), flat.tolist()  # one object for each id, however many words hold it
         for i, b, e, more in zip(at.tolist(), [0, *ends], ends, several.tolist()):  # noqa: B905
-            done[i] = self.ids(flat[b:e]) if more else tuple(ids[b:e])
+            done[i] = self.ids(flat[b:e]) if more else ids[b:e]
 
     def split(self, text: str) -> list[str]:
         if not text:
@@ -162,27 +225,48 @@ class PieceModel:
         text = SPACE + text if self.prefix else text
         return self.words.findall(text) if self.apart else [text]
 
-    def learn(self, words: set[str]) -> None:
-        """Encode words that aren't kept yet."""
-        short = sorted((w for w in words if len(w) <= LONG), key=len)
-        found = {w: self.agenda(w) for w in words if len(w) > LONG}
-        for i in range(0, len(short), 4096):
-            part = short[i : i + 4096]
-            found |= zip(part, self.agendas(part), strict=True)
-        if len(self.young) + len(found) > KEPT:
-            self.old, self.young = self.young, {}
-        self.young |= found
-
-    def encode(self, texts: list[str], check: bool = True) -> list[list[int]]:
+    def learn(self, new: dict[str, list[int]]) -> None:
+        """Fill the lists of new words."""
+        short = sorted((w for w in new if len(w) <= LONG), key=len)
+        for w in new:
+            if len(w) > LONG:
+                new[w] += self.agenda(w)
+        for i in range(0, len(short), GROUP):
+            part = short[i : i + GROUP]
+            for w, ids in zip(part, self.agendas(part), strict=True):
+                new[w] += ids
+
+    def agree(self, new: dict[str, list[int]]) -> None:
+        """The library must encode the words alike; line ends keep them apart."""
+        words = list(new)
+        parts = [words[i : i + 256] for i in range(0, len(words), 256)]
+        theirs = self.library.encode(["\n" + "\n".join(p).replace(SPACE, " ") for p in parts], num_threads=1)
+        first, mine = self.agenda(SPACE) if self.prefix else (), []
+        for p in parts:
+            mine.append([*first, *chain.from_iterable([*self.line_ids, *new[w]] for w in p)])
+        if mine != theirs:
+            bad = next((w for w, ids in new.items() if self.library.encode("\n" + w.replace(SPACE, " "))[-len(ids) :] != ids), "a word")
+            raise AssertionError(f"the library encodes {bad[:200]!r} otherwise")
+
+    def _checked(self, new: dict[str, list[int]]) -> None:
+        self.learn(new)
+        if self.apart and self.line:
+            self.agree(new)
+        self.kept.new = {}
+
+    def _kept(self) -> None:
+        if len(self.kept) > KEPT:
+            self.kept.old = {}  # the generation before the last
+            self.kept = Words(self.kept)
+
+    def encode(self, texts: list[str], check: str = "words") -> list[list[int]]:
         """Per text its ids with the end id."""
-        split = [self.split(t) for t in texts]
-        needed = set().union(*split)
-        missing = [w for w in needed if w not in self.young]
-        self.young |= {w: self.old[w] for w in missing if w in self.old}
-        self.learn({w for w in missing if w not in self.old})
-        table = {w: self.young.get(w) or self.old[w] for w in needed}  # a generation may just have ended
-        out = [[*chain.from_iterable([table[w] for w in words]), self.eos] for words in split]
-        if check:
+        rows = [list(map(self.kept.__getitem__, self.split(t))) for t in texts]
+        if self.kept.new:
+            self._checked(self.kept.new)
+        out = [[*chain.from_iterable(r), self.eos] for r in rows]
+        self._kept()
+        if check == "documents" or not (self.apart and self.line):
             for t, ids, theirs in zip(texts, out, self.library.encode(texts, add_eos=True, num_threads=1), strict=True):
                 if ids != theirs:
                     raise AssertionError(f"the library encodes {t[:200]!r} otherwise")
@@ -202,7 +286,7 @@ def _sha(text: str) -> str:
     return hashlib.sha256(text.encode()).hexdigest()
 
 
-def encode_documents(docs: DataFrame, model_path: str, columns: tuple[str, ...] = ("n_tokens", "ids", "decoded"), keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", check: bool = True) -> DataFrame:
+def encode_documents(docs: DataFrame, model_path: str, columns: tuple[str, ...] = ("n_tokens", "ids", "decoded"), keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", check: str = "words") -> DataFrame:
     """docs' columns ``keep`` and, of COLUMNS, those asked for; digests are taken where the ids are."""
     with open(model_path, "rb") as f:
         data = f.read()
@@ -213,13 +297,14 @@ def encode_documents(docs: DataFrame, model_path: str, columns: tuple[str, ...]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(data)
+        gc.disable()  # kept words are millions of small lists, none of them in a cycle
         for b in batches:
             texts = b.column(len(keep)).to_pylist()
             coded = model.encode(texts, check)
             make = {
-                "n_tokens": lambda: list(map(len, coded)),
-                "ids": lambda: coded,
-                "ids_sha256": lambda: [_sha(" ".join(map(model.number.__getitem__, i))) for i in coded],
+                "n_tokens": lambda: list(map(len, coded)),  # noqa: B023
+                "ids": lambda: coded,  # noqa: B023
+                "ids_sha256": lambda: [_sha(" ".join(map(model.number.__getitem__, i))) for i in coded],  # noqa: B023
             }
             if {"decoded", "decoded_sha256"} & set(want):
                 back = [model.library.decode(i) for i in coded]
