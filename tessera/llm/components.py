@@ -2,7 +2,7 @@
 rounds, each an aggregation and a join.
 
 Every round is written to the shared folder. No group of neighbours is ever collected: minima are
-aggregated partially before the shuffle, and hubs are split by the skew join. Repeated links are allowed;
+aggregated partially before the shuffle and joined back by a broadcast of checked size; beyond that the skew join splits hubs. Repeated links are allowed;
 links to oneself and links with a null end are dropped; no links give an empty result.
 """
 
@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, small_batches
+from tessera.llm.common import checked_broadcast, cut, small_batches
 
 #: Links that one task contracts at a time.
 CHUNK = 200_000
@@ -57,7 +57,7 @@ def contracted(links: DataFrame, n: int) -> DataFrame:
 def _star(links: DataFrame, large: bool) -> DataFrame:
     """Large: neighbours above a node are linked to the least of it and its neighbours; small: those below, and itself."""
     both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+    least = checked_broadcast(cut(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))))
     near = both.where("v > u") if large else both
     out = near.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     if not large:

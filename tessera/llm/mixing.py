@@ -86,7 +86,7 @@ def quotas(weights: DataFrame, budget: int | None = None) -> DataFrame:
     return (
         weights.withColumn("size", size).withColumn("quota", quota)
         .withColumn("passes", F.when(F.col("tokens") == 0, F.lit(1)).otherwise(F.floor(F.col("quota") / F.greatest("tokens", F.lit(1)))).cast("long"))
-        .withColumn("rest", F.greatest(F.col("quota") - F.col("passes") * F.col("tokens"), F.lit(0).cast("long"))).drop("size")
+        .withColumn("rest", F.when(F.col("tokens") == 0, F.lit(-1)).otherwise(F.greatest(F.col("quota") - F.col("passes") * F.col("tokens"), F.lit(0))).cast("long")).drop("size")
     )
 
 

@@ -146,7 +146,7 @@ p AS (SELECT source, tokens, alpha, CASE WHEN tokens > 0 THEN pow(tokens / sum(t
 w AS (SELECT source, tokens, alpha, raw / sum(raw) OVER () AS weight FROM p),
 q AS (SELECT *, floor(weight * max(CASE WHEN weight > 0 THEN tokens / weight END) OVER () + 1e-6)::BIGINT AS quota FROM w),
 c AS (SELECT d.doc_id, d.source, d.k, alpha, weight, CASE WHEN q.tokens = 0 THEN 1 ELSE quota // q.tokens END AS passes,
-             CASE WHEN q.tokens = 0 THEN 0 ELSE quota % q.tokens END AS rest,
+             CASE WHEN q.tokens = 0 THEN -1 ELSE quota % q.tokens END AS rest,
              sum(d.tokens) OVER (PARTITION BY d.source ORDER BY d.k) AS upto
       FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source)
 SELECT doc_id, source, round(alpha, 6) AS alpha, round(weight, 6) AS weight, unnest(range(0, passes + (upto <= rest)::BIGINT)) AS epoch, k AS position_key

@@ -117,8 +117,9 @@ def member(data: bytes) -> bytes:
 class Roller:
     """Writes members to files of a bounded size and keeps the manifest."""
 
-    def __init__(self, folder: str, head, suffix: str):
+    def __init__(self, folder: str, head, suffix: str, most_bytes: int, most_records: int):
         self.folder, self.head, self.suffix, self.out, self.done = folder, head, suffix, None, []
+        self.most_bytes, self.most_records = most_bytes, most_records
 
     def put(self, record: bytes) -> None:
         if self.out is None:
@@ -127,7 +128,7 @@ class Roller:
             self.out.write(member(self.head(self.path.rpartition("/")[2])))
         self.out.write(member(record))
         self.size, self.n = self.size + len(record), self.n + 1
-        if self.size >= ROLL_BYTES or self.n >= ROLL_RECORDS:
+        if self.size >= self.most_bytes or self.n >= self.most_records:
             self.close()
 
     def close(self) -> list[tuple[str, int]]:
@@ -196,7 +197,7 @@ def write_arc(pages: DataFrame, folder: str, version: int = 1) -> DataFrame:
     """Writes pages (page_id, url, html) as ARC files; the manifest: file, records."""
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out = Roller(folder, lambda name: arc_head(version, name), "arc.gz")
+        out = Roller(folder, lambda name: arc_head(version, name), "arc.gz", ROLL_BYTES, ROLL_RECORDS)
         for b in batches:
             for page_id, url, html in zip(b.page_id, b.url, b.html, strict=True):
                 payload = (html or "").encode()
@@ -313,7 +314,7 @@ def arc_to_warc(manifest: DataFrame, folder: str, index: DataFrame | None = None
 
     def convert(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = Roller(folder, warc_info, "warc.gz")
+            out = Roller(folder, warc_info, "warc.gz", ROLL_BYTES, ROLL_RECORDS)
             for file, plan in zip(b.file, b.revisits, strict=True):
                 again = {r["place"]: r.get("page_id") for r in json.loads(plan or "[]")}
                 with open_file(file, "r") as raw:
