@@ -174,7 +174,7 @@ def strip_preamble(x) -> Column:
 def human_bytes(n) -> Column:
     """X20."""
     b = F.col(n) if isinstance(n, str) else n
-    unit = lambda power, name: F.format_string(f"%.1f {name}", b / float(1024**power))
+    unit = lambda power, name: F.format_string(f"%.1f {name}", F.bround(b / float(1024**power), 1))
     return F.when(b < 1024, F.concat(b.cast("string"), F.lit(" B"))).when(b < 1024**2, unit(1, "KiB")).when(b < 1024**3, unit(2, "MiB")).otherwise(unit(3, "GiB"))
 
 

@@ -16,6 +16,7 @@ from tessera.functions import text as X
 from tessera.operators import graph as G
 from tessera.operators import vocabulary as V
 from tessera.operators.entities import is_current
+from tessera.session import checked_broadcast
 
 MAX_PAGES = 12
 REVERSE_CAP = 5
@@ -29,27 +30,27 @@ def intents(text_col: str = "text"):
     return F.filter(F.array(*has), lambda x: x.isNotNull())
 
 
-def name_seeds(queries: DataFrame, pages: DataFrame, min_name: int = 1) -> DataFrame:
-    """Query, slug, ord of pages whose title or slug occurs in the text, first page of each slug.
+#: Characters on which names and texts meet: names of at least so many characters, else the next.
+GRAMS = (8, 4, 1)
 
-    A containment join without a cross join: a name can only occur where its first word's characters do, so
-    texts are cut into their distinct word starts and names meet them on the first word; the whole name is then verified
-    with ``contains``. A name's first word may begin inside a word of the text, so every suffix of a word is a start.
+
+def name_seeds(queries: DataFrame, pages: DataFrame) -> DataFrame:
+    """Query, slug, load_ord of pages whose title or slug occurs in the text, first page of each slug.
+
+    A containment join without a cross join: a name can only occur where its first characters do, so texts are cut into their
+    distinct runs of so many characters (8; 4 and 1 for shorter names) and meet names on equality. The whole name is then
+    verified with ``contains``. The names' side is broadcast if it is small enough, so that texts don't move.
     """
-    low = F.lower(F.coalesce("text", F.lit("")))
-    head = lambda c: F.left(c, F.lit(4))
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("low"), F.lit(1))), lambda i: F.substring(F.col("low"), i, F.lit(4))))
-    texts = queries.select("query", low.alias("low"))
-    starts = texts.select("query", F.explode(grams).alias("gram"))
-    names = pages.select("slug", "load_ord", F.explode(F.array_distinct(F.array(F.lower("title"), F.lower("slug")))).alias("name")).where(F.length("name") >= min_name)
-    long, short = names.where(F.length("name") >= 4), names.where(F.length("name") < 4)
-    met = starts.join(long.withColumn("gram", head("name")), "gram").select("query", "slug", "load_ord", "name")
-    # names of fewer than four characters meet the grams' own beginnings
-    for n in (1, 2, 3):
-        some = short.where(F.length("name") == n)
-        met = met.unionByName(starts.select("query", F.left("gram", F.lit(n)).alias("gram")).distinct().join(some.withColumn("gram", F.col("name")), "gram").select("query", "slug", "load_ord", "name"))
-    hit = met.distinct().join(texts, "query").where(F.expr("contains(low, name)"))
-    return hit.groupBy("query", "slug").agg(F.min("load_ord").alias("load_ord"))
+    texts = queries.select("query", F.lower(F.coalesce("text", F.lit(""))).alias("low"))
+    names = pages.select("slug", "load_ord", F.explode(F.array_distinct(F.array(F.lower("title"), F.lower("slug")))).alias("name")).where("name <> ''")
+    met, above = None, None
+    for n in GRAMS:
+        some = names.where((F.length("name") >= n) & (F.length("name") < above if above else F.lit(True))).withColumn("gram", F.left("name", F.lit(n)))
+        above = n
+        cuts = F.array_distinct(F.regexp_extract_all("low", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
+        rows = texts.select("query", "low", F.explode(cuts).alias("gram")).join(checked_broadcast(some), "gram").where(F.expr("contains(low, name)")).select("query", "slug", "load_ord")
+        met = rows if met is None else met.unionByName(rows)
+    return met.groupBy("query", "slug").agg(F.min("load_ord").alias("load_ord"))
 
 
 def selected(queries: DataFrame, pages: DataFrame, most: int) -> DataFrame:

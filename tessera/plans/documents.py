@@ -122,7 +122,7 @@ def locales(spark, d):
     return table(spark, d, "documents").withColumn("r", r).select("doc_id", F.col("r.locale").alias("locale"), F.col("r.source").alias("origin"))
 
 
-@query("SELECT doc_id, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.1f KiB', n / 1024.0) ELSE printf('%.1f MiB', n / 1048576.0) END AS size FROM (SELECT doc_id, strlen(text) AS n FROM documents)")
+@query("SELECT doc_id, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.1f KiB', round_even(n / 1024.0, 1)) ELSE printf('%.1f MiB', round_even(n / 1048576.0, 1)) END AS size FROM (SELECT doc_id, strlen(text) AS n FROM documents)")
 def human_sizes(spark, d):
     """X20."""
     return table(spark, d, "documents").select("doc_id", X.human_bytes(F.octet_length("text").cast("long")).alias("size"))

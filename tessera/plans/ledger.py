@@ -35,10 +35,10 @@ def _ledger(spark, d):
 @query(f"""WITH {_LEDGER},
 t AS (SELECT fingerprint, statement, min((day, ord)) AS o FROM s WHERE trim(statement) <> '' GROUP BY 1, 2),
 u AS (SELECT fingerprint, string_agg(statement, '|' ORDER BY o) AS statements FROM (SELECT *, row_number() OVER (PARTITION BY fingerprint ORDER BY o DESC) AS r FROM t) WHERE r <= 5 GROUP BY 1)
-SELECT fingerprint, first_seen, last_seen, seen_count, round(peak, 6) AS peak, round(mean, 4) AS mean, len(ch)::INT AS kept, coalesce(statements, '') AS statements, split_part(fingerprint, ' of ', 1) AS categories FROM ledger LEFT JOIN u USING (fingerprint)""")
+SELECT fingerprint, first_seen, last_seen, seen_count, round(peak, 6) AS peak, round(mean, 10) AS mean, len(ch)::INT AS kept, coalesce(statements, '') AS statements, split_part(fingerprint, ' of ', 1) AS categories FROM ledger LEFT JOIN u USING (fingerprint)""")
 def ledger_accumulate(spark, d):
     """A9-A10."""
-    return L.accumulate(_sightings(spark, d)).select("fingerprint", "first_seen", "last_seen", "seen_count", F.round(L.peak(), 6).alias("peak"), F.round(L.mean(), 4).alias("mean"), F.size("confidence_history").alias("kept"), F.array_join("statements", "|").alias("statements"), F.array_join("categories", "|").alias("categories"))
+    return L.accumulate(_sightings(spark, d)).select("fingerprint", "first_seen", "last_seen", "seen_count", F.round(L.peak(), 6).alias("peak"), F.round(L.mean(), 10).alias("mean"), F.size("confidence_history").alias("kept"), F.array_join("statements", "|").alias("statements"), F.array_join("categories", "|").alias("categories"))
 
 
 @query(f"""WITH {_LEDGER}, t AS (SELECT fingerprint, max(confidence) AS c FROM s WHERE day = '{TODAY}' GROUP BY 1)

@@ -6,7 +6,8 @@ import os
 import tempfile
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _shipped: set[str] = set()
 
@@ -27,6 +28,11 @@ def ship(spark: SparkSession) -> None:
     spark.sparkContext.addPyFile(at)
 
 
+def checked_broadcast(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """df with a broadcast hint if it has at most so many rows, else df: the same join then shuffles."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def local_session(name: str = "tessera", cores: str = "*", partitions: int = 8, **conf: str) -> SparkSession:
     """A session for tests and small runs; on a cluster the caller brings their own."""
     b = SparkSession.builder.appName(name).master(f"local[{cores}]")
