@@ -18,6 +18,11 @@ from tessera.sources.star import ENTITIES, edges_sql, table
 _ord = "tord || '/' || slug"
 
 
+def _long(df, c: str):
+    """Ranks are ints in Spark, and long ones in the SQL that checks them."""
+    return df.withColumn(c, F.col(c).cast("long"))
+
+
 @query(f"WITH {ENTITIES} SELECT type, slug, status FROM ents WHERE lower(status) <> 'superseded'")
 def current_filter(spark, d):
     """FP1, SC6."""
@@ -72,7 +77,7 @@ def orphans(spark, d):
 @query(f"WITH {edges_sql('part_of')} SELECT target, relation, src_slug AS source, row_number() OVER (PARTITION BY target ORDER BY src_ord, pos) AS ord FROM edges")
 def reverse_relations(spark, d):
     """J4 (CQ01, CQ04)."""
-    return G.reverse_relations(star.edges(spark, d, "part_of"))
+    return _long(G.reverse_relations(star.edges(spark, d, "part_of")), "ord")
 
 
 @query(f"WITH {edges_sql('related')} SELECT DISTINCT src_slug, target FROM edges WHERE target NOT IN (SELECT 'customer-' || c_custkey FROM customer WHERE c_acctbal > 0)")
@@ -87,7 +92,7 @@ f AS (SELECT src_slug, target, min(CASE relation WHEN 'uses' THEN 1 WHEN 'supers
 SELECT src_slug, row_number() OVER (PARTITION BY src_slug ORDER BY k, target) AS ord, target FROM f""")
 def one_hop_neighbors(spark, d):
     """G2."""
-    return G.neighbor_links(star.edges(spark, d, "uses", "supersedes", "related"))
+    return _long(G.neighbor_links(star.edges(spark, d, "uses", "supersedes", "related")), "ord")
 
 
 @query(f"WITH {edges_sql('uses', 'supersedes')} SELECT src_slug, relation, string_agg(target, ',' ORDER BY pos, target) AS targets FROM edges GROUP BY src_slug, relation")
@@ -109,7 +114,7 @@ SELECT n.slug AS start, o.slug, o.hop FROM o JOIN o n ON o.o_custkey = n.o_custk
 def supersedes_history(spark, d):
     """G4 (CQ02, CQ07), over linear chains."""
     v = table(spark, d, "orders").select(F.col("o_custkey").alias("chain"), F.struct("o_orderdate", "o_orderkey").alias("ord"), star.slug("order", "o_orderkey").alias("slug"))
-    return G.ancestors_by_version(v)
+    return _long(G.ancestors_by_version(v), "hop")
 
 
 @query(f"""WITH RECURSIVE {edges_sql("supersedes")},
@@ -127,7 +132,7 @@ def supersedes_walk(spark, d):
 SELECT target AS seed, relation, src_slug AS source, rank FROM r WHERE rank <= 5 AND target LIKE 'nation-%'""")
 def reverse_cap(spark, d):
     """W6."""
-    return G.reverse_capped(star.edges(spark, d, "part_of"), star.entities(spark, d, "nation").select("slug"))
+    return _long(G.reverse_capped(star.edges(spark, d, "part_of"), star.entities(spark, d, "nation").select("slug")), "rank")
 
 
 def _questions(spark, d):
@@ -152,7 +157,7 @@ SELECT query, rank, slug FROM g WHERE rank <= 12""")
 def related_pages(spark, d):
     """J2, FP18, G5, S2 (CQ01, CQ03, CQ08, CQ12): the flagship."""
     pages = star.entities(spark, d, "customer", "supplier", "nation", "region")
-    return retrieval.related_pages(_questions(spark, d), pages, star.edges(spark, d, "part_of"))
+    return _long(retrieval.related_pages(_questions(spark, d), pages, star.edges(spark, d, "part_of")), "rank")
 
 
 @query(f"""WITH {ENTITIES}, q AS (SELECT doc_id AS query, lower(text) AS text FROM documents),

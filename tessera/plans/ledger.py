@@ -72,7 +72,7 @@ def ledger_merge(spark, d):
 def fact_ranks(spark, d):
     """W8, A18."""
     f = _ledger(spark, d).select(F.col("categories")[0].alias("category"), F.col("fingerprint").alias("statement"), L.peak().alias("peak"), "seen_count")
-    return L.ranked_facts(f).select("category", "statement", "place")
+    return L.ranked_facts(f).select("category", "statement", F.col("place").cast("long").alias("place"))
 
 
 _REASONS = ("user_changed", "misclassified", "one_time", "irrelevant", "other", "")

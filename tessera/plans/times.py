@@ -135,7 +135,7 @@ h AS (SELECT rank, card_id, coalesce(year(tt) || ' Q' || quarter(tt), '## 시간
 SELECT rank, card_id, CASE WHEN head IS DISTINCT FROM lag(head) OVER (ORDER BY rank) THEN head END AS header, CASE WHEN n >= 2 AND m >= 2 AND mon IS DISTINCT FROM lag(mon) OVER (ORDER BY rank) THEN mon END AS month_header FROM h""")
 def timeline_limit(spark, d):
     """The first 50 lines (the limit is the feature)."""
-    return T.limited(T.sort_time(_cards(spark, d), TODAY), 50)
+    return T.limited(T.sort_time(_cards(spark, d), TODAY), 50).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query(f"""WITH {_CARDS} SELECT card_id, '- **' || card_id || '** (' || o_orderpriority || ') — ' || coalesce(tt::VARCHAR, '0001-01-01') || CASE src WHEN 'today_fallback' THEN ' (오늘 ' || tt || ')' WHEN 'created' THEN ' (created)' WHEN 'last_reviewed' THEN ' (last reviewed)' ELSE '' END
