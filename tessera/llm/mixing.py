@@ -13,7 +13,8 @@ The table of sources is one row of arrays; it is taken to fit (up to about a mil
 
 Defined cases: a null source is a source of its own; a null text has no tokens; a null id has the key of
 an empty id; documents that share a key are taken or left together; a source without tokens has
-weight 0 and is read once; an empty table gives an empty result; further columns pass through ``mix``.
+weight 0 and is read once; an empty table gives an empty result; further columns pass through ``mix``
+(whose own names begin with mix_).
 """
 
 from __future__ import annotations
@@ -124,8 +125,8 @@ def plan(docs: DataFrame, max_repeats: float | None = 2.0, entropy: float | None
 def mix(docs: DataFrame, max_repeats: float | None = 2.0, entropy: float | None = None, budget: int | None = None, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """docs' rows as often as the mixture reads them, with mix_epoch (from 0), mix_key, mix_alpha and mix_weight."""
     shares = plan(docs, max_repeats, entropy, budget, seed, id_col, text_col, source_col)
-    per_source = checked_broadcast(shares.select(F.col("source").alias("mix_source"), "passes", "last_key", F.col("alpha").alias("mix_alpha"), F.col("weight").alias("mix_weight")))
-    times = F.col("passes") + F.when(F.col("mix_key") <= F.col("last_key"), 1).otherwise(0)
+    per_source = checked_broadcast(shares.select(F.col("source").alias("mix_source"), F.col("passes").alias("mix_passes"), F.col("last_key").alias("mix_last"), F.col("alpha").alias("mix_alpha"), F.col("weight").alias("mix_weight")))
+    times = F.col("mix_passes") + F.when(F.col("mix_key") <= F.col("mix_last"), 1).otherwise(0)
     return (
         docs.withColumn("mix_key", key_of(id_col, seed)).join(per_source, docs[source_col].eqNullSafe(F.col("mix_source")))
         .withColumn("mix_times", times).where("mix_times > 0")

@@ -185,17 +185,17 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return ByteNet().fit(texts, np.array(ys)) if texts else None
 
 
-def score(docs: DataFrame, model: ByteNet | None, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
-    """docs' columns ``keep`` and score, the probability that the label is 1."""
+def score(docs: DataFrame, model: ByteNet | None, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", out_col: str = "score") -> DataFrame:
+    """docs' columns ``keep`` and out_col, the probability that the label is 1."""
     if model is None:
-        return docs.select(*keep, F.lit(0.5).alias("score"))
+        return docs.select(*keep, F.lit(0.5).alias(out_col))
     src = docs.select(*keep, text_or_empty(text_col).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = model.score(b.column(len(keep)).to_pylist())
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), pa.array(out, pa.float64())], names=[*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), pa.array(out, pa.float64())], names=[*keep, out_col])
 
     small_batches(docs.sparkSession)
     kinds = dict(src.dtypes)
-    return src.mapInArrow(run, ", ".join([*(f"`{k}` {kinds[k]}" for k in keep), "score double"]))
+    return src.mapInArrow(run, ", ".join([*(f"`{k}` {kinds[k]}" for k in keep), f"`{out_col}` double"]))

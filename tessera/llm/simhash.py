@@ -166,7 +166,7 @@ def equal_variant_links(index: DataFrame, most: int, nearest: bool = False) -> D
             yield linked(*rest)
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    met = cut(index.repartition(n, "key").sortWithinPartitions("key").mapInArrow(run, shape))
+    met = cut(index.repartition(n, "key").sortWithinPartitions("key", "node").mapInArrow(run, shape))
     links, over = met.where("kind = 0").select("u", "v"), met.where("kind = 1").select("key", F.col("u").alias("node"), F.col("v").alias("check"))
     if over.isEmpty():
         return links.distinct()
