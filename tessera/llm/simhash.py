@@ -8,10 +8,12 @@ components). A run longer than ``RUN`` goes on in blocks, one task for every pai
 
 ``fingerprint_links``: 64 bits in 2 segments of 32, links at 3 or fewer differing bits; exact, because of
 3 differing bits at most one lies in one of two segments. ``near_duplicates``: documents whose sets of
-five-word shingles have a Jaccard similarity of 0.8 or more. At that similarity fingerprints of shingles differ by
-up to 14 of 64 bits, which no few segments can hold, so candidates come from the steadier
-fingerprint of distinct words (256 bits in 8 segments of 32: exact up to 15 differing bits, beyond that likely),
-and each link is verified on the whole shingle sets.
+five-word shingles have a Jaccard similarity of 0.8 or more; exact. At that similarity fingerprints of shingles differ by
+up to 14 of 64 bits, which no few segments can hold, so first candidates come from the steadier
+fingerprint of distinct words (256 bits in 8 segments of 32), and each link is verified on the whole shingle sets.
+These links make most components at little cost but miss pairs (more than 15 differing bits, new words in a block, pairs
+off a run's forest). So every pair that may reach 0.8 and isn't in one component by then meets on its rarest shingles (``rare_pairs``,
+a prefix filter) and is verified too.
 
 Words are runs of ``[^\\x20\\x09-\\x0D]`` after A-Z are lower-cased; hashes are XXH64, seed 42.
 
@@ -212,16 +214,24 @@ def fingerprint_components(docs: DataFrame, size: int = 3, most: int = 3, id_col
 # -- near duplicates by shingle similarity
 
 WORDS = 4
+#: Counters of the order of rarity, and the documents that are counted. Any common order is exact; a better one is faster.
+SLOTS, COUNTED = 1 << 21, 1 << 15
+#: Pairs that a task holds before they go on.
+HELD = 1 << 18
+
+
+def set_hash(shingles: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(shingles.tobytes(), SEED)
 
 
 def sketches(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
-    """node (the id), w0..w3: the 256 bits of the distinct words, check: the fingerprint of the shingles."""
+    """node (the id), w0..w3: the 256 bits of the distinct words, check and same: fingerprint and hash of the set of shingles."""
     src = docs.select(F.col(id_col).cast("long").alias("node"), text_or_empty(text_col).alias("text")).where("node IS NOT NULL")
     seeds = np.array([xxhash.xxh64_intdigest(bytes([i]), SEED) | 1 for i in range(WORDS)], dtype=np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cols: list[list[int]] = [[] for _ in range(WORDS + 1)]
+            cols: list[list[int]] = [[] for _ in range(WORDS + 2)]
             for t in b.column(1).to_pylist():
                 w = words_of(t)
                 one = shingle_hashes(sorted(set(w)), 1) if len(w) > 1 else shingle_hashes(w, 1)
@@ -230,11 +240,13 @@ def sketches(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFram
                     x ^= x >> np.uint64(29)
                     x *= np.uint64(0xBF58476D1CE4E5B9)
                     cols[i].append(majority(x ^ (x >> np.uint64(32))))
-                cols[-1].append(majority(np.unique(shingle_hashes(w, size))))
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.array(c, dtype=np.uint64).view(np.int64)) for c in cols)], names=["node", *(f"w{i}" for i in range(WORDS)), "check"])
+                shingles = np.unique(shingle_hashes(w, size))
+                cols[-2].append(majority(shingles))
+                cols[-1].append(set_hash(shingles))
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.array(c, dtype=np.uint64).view(np.int64)) for c in cols)], names=["node", *(f"w{i}" for i in range(WORDS)), "check", "same"])
 
     small_batches(docs.sparkSession)
-    return src.mapInArrow(run, "node long, " + ", ".join(f"w{i} long" for i in range(WORDS)) + ", check long")
+    return src.mapInArrow(run, "node long, " + ", ".join(f"w{i} long" for i in range(WORDS)) + ", check long, same long")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, size: int, least: float, id_col: str, text_col: str) -> DataFrame:
@@ -266,16 +278,134 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int, least: float, id_col:
     return pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(compare, "u long, v long")
 
 
+def rarity(src: DataFrame, n: int, size: int) -> np.ndarray:
+    """How often shingles of each slot occur in about COUNTED of the n rows of src (node, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(SLOTS, dtype=np.uint16)
+        for b in batches:
+            for t in b.column(1).to_pylist():
+                at = np.unique(np.unique(shingle_hashes(words_of(t), size)) % np.uint64(SLOTS))
+                seen[at] += seen[at] < 65535
+        yield pa.RecordBatch.from_arrays([pa.array([seen.tobytes()], pa.binary())], names=["seen"])
+
+    some = src.where(F.pmod(F.xxhash64("node"), F.lit(max(1, n // COUNTED))) == 0).coalesce(6)
+    out = np.zeros(SLOTS, dtype=np.int32)
+    for r in some.mapInArrow(run, "seen binary").toLocalIterator():
+        out += np.frombuffer(r["seen"], dtype=np.uint16)
+    return np.minimum(out, 65535).astype(np.uint16)
+
+
+def _least_common(n: np.ndarray, least: float) -> np.ndarray:
+    """The fewest shingles that a set of n shares with any other at the similarity."""
+    return np.ceil(n * least - 1e-9).astype(np.int64)
+
+
+def _across(node: np.ndarray, n: np.ndarray, at: np.ndarray, part: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of one key's rows (sorted by n) that lie in different components and may reach the similarity."""
+    names, count = np.unique(part, return_counts=True)
+    main = part == names[count.argmax()]
+    for i in np.nonzero(~main)[0].tolist():  # rows of the largest component are never paired with one another
+        lo, hi = np.searchsorted(n, n[i] * least - 1e-9), np.searchsorted(n, n[i] / least + 1e-9, side="right")
+        j = np.arange(lo, hi)
+        j = j[(part[lo:hi] != part[i]) & (main[lo:hi] | (j > i))]
+        # the key is the pair's first common one: no more can be shared than what follows it in both
+        most = np.minimum(n[i] - at[i], n[j] - at[j])
+        j = j[most >= np.ceil((n[i] + n[j]) * (least / (1 + least)) - 1e-9)]
+        if len(j):
+            yield np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
+
+
+def rare_pairs(docs: DataFrame, n: int, gone: DataFrame, parts: DataFrame, size: int, least: float, id_col: str, text_col: str) -> DataFrame:
+    """u, v: every pair of documents in different components that may have the similarity, and others.
+
+    Two sets with similarity t share one of the first n - ceil(t * n) + 1 of each in a common order. The order is by rarity, so shingles that
+    many documents hold hardly ever meet. gone (node, same): sets that another document stands for; parts: node, component.
+    """
+    src = docs.select(F.col(id_col).cast("long").alias("node"), text_or_empty(text_col).alias("text")).where("node IS NOT NULL")
+    small_batches(docs.sparkSession)
+    seen = docs.sparkSession.sparkContext.broadcast(rarity(src, n, size))
+    shape = "key long, node long, same long, n int, at int"
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = seen.value
+        for b in batches:
+            cols: list[list[np.ndarray]] = [[] for _ in range(5)]
+            for node, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                x = np.unique(shingle_hashes(words_of(t), size))
+                if not len(x):
+                    continue
+                m = len(x) - int(_least_common(np.array(len(x)), least)) + 1
+                # x is sorted, so a stable sort leaves equally rare ones in the order of their hashes
+                keys = x[np.argsort(often[x % np.uint64(SLOTS)], kind="stable")[:m]].view(np.int64)
+                same = np.array(set_hash(x), dtype=np.uint64).view(np.int64)
+                for c, v in zip(cols, (keys, np.full(m, node), np.full(m, same), np.full(m, len(x), dtype=np.int32), np.arange(m, dtype=np.int32)), strict=True):
+                    c.append(v)
+            if cols[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["key", "node", "same", "n", "at"])
+
+    rows = src.mapInArrow(first, shape).join(checked_broadcast(gone, 1_000_000), ["node", "same"], "left_anti")
+    rows = rows.join(checked_broadcast(parts, 1_000_000), "node", "left").select("key", "node", "n", "at", F.coalesce("component", "node").alias("part"))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, many = [], 0
+
+        def out() -> pa.RecordBatch:
+            pairs = np.unique(np.concatenate([np.stack(p, axis=1) for p in held]), axis=0) if held else np.empty((0, 2), dtype=np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
+
+        def runs() -> Iterator[list[np.ndarray]]:
+            """Whole runs of a key, many at a time; a long run's batches are put together once."""
+            wait: list[list[np.ndarray]] = []
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
+                wait.append(cols)
+                last = int(np.searchsorted(cols[0], cols[0][-1]))
+                if not last and (len(wait) == 1 or wait[-2][0][-1] == cols[0][0]):
+                    continue
+                whole = [np.concatenate(c) for c in zip(*wait, strict=True)]
+                last += len(whole[0]) - len(cols[0])
+                yield [c[:last] for c in whole]
+                wait = [[c[last:] for c in whole]]
+            if wait:
+                yield [np.concatenate(c) for c in zip(*wait, strict=True)]
+
+        for key, node, n_, at, part in runs():
+            start = np.r_[0, np.nonzero(np.diff(key))[0] + 1]
+            stop = np.r_[start[1:], len(key)]
+            mixed = np.minimum.reduceat(part, start) != np.maximum.reduceat(part, start)
+            for s, e in zip(start[mixed].tolist(), stop[mixed].tolist(), strict=True):
+                for u, v in _across(node[s:e], n_[s:e].astype(np.int64), at[s:e].astype(np.int64), part[s:e], least):
+                    ok = u != v
+                    held.append((u[ok], v[ok]))
+                    many += len(u)
+                    if many > HELD:
+                        yield out()
+                        held, many = [], 0
+        yield out()
+
+    k = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(k, "key").sortWithinPartitions("key", "n").mapInArrow(meet, "u long, v long").distinct()
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text", check_bits: int = 20) -> DataFrame:
     """node, component of the documents that have a near duplicate; component is the smallest id."""
     found = cut(sketches(docs, size, id_col, text_col))
     words = [f"w{i}" for i in range(WORDS)]
-    # documents of one sketch are linked in a chain of copies, so a hot sketch is indexed once
-    heads = found.groupBy(*words, "check").agg(F.min("node").alias("node"))
-    copies = found.withColumnRenamed("node", "v").join(heads.withColumnRenamed("node", "u"), [*words, "check"]).select("u", "v").where("u <> v")
+    # documents of one set are linked to the least of them, so a hot one is indexed once
+    alike = [*words, "check", "same"]
+    heads = found.groupBy(*alike).agg(F.min("node").alias("node"))
+    copies = cut(found.withColumnRenamed("node", "v").join(heads.withColumnRenamed("node", "u"), alike).select("u", "v", "same").where("u <> v"))
     near = equal_variant_links(variants(heads, words), check_bits, nearest=True)
-    pairs = cut(near.unionByName(copies).distinct())
-    return components(cut(verified(pairs, docs, size, least, id_col, text_col)))
+    pairs = cut(near.unionByName(copies.select("u", "v")).distinct())
+    links = cut(verified(pairs, docs, size, least, id_col, text_col))
+    parts = components(links)
+    more = cut(rare_pairs(docs, found.count(), copies.select(F.col("v").alias("node"), "same").distinct(), parts, size, least, id_col, text_col))
+    if more.isEmpty():
+        return parts
+    return components(cut(parts.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(verified(more, docs, size, least, id_col, text_col))))
 
 
 def drop_near_duplicates(docs: DataFrame, size: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

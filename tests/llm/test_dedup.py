@@ -111,6 +111,28 @@ def test_near_duplicates_are_found_and_others_left(spark):
     assert simhash.near_duplicates(docs.where("false")).count() == 0
 
 
+def near_by_brute_force(texts):
+    """Lists of words to index: least index of the component, for those that have a near duplicate."""
+    sets = [frozenset(tuple(t[i : i + 5]) for i in range(max(1, len(t) - 4))) if t else frozenset() for t in texts]
+    roots = union(len(sets), [(a, b) for a in range(len(sets)) for b in range(a) if sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])])
+    return {i: x for i, x in enumerate(roots) if roots.count(x) > 1}
+
+
+def test_varied_copies_of_one_text_lose_no_link(spark):
+    """Links at the threshold within one crowded bucket: a forest on fingerprints alone passes some of them over."""
+    r = random.Random(4)
+    texts = []
+    for rate in (0.012, 0.014, 0.016):
+        base = [f"w{r.randrange(10**6)}" for _ in range(400)]
+        for _ in range(100):
+            x = list(base)
+            for i in r.sample(range(400), round(400 * rate * r.uniform(0.9, 1.3))):
+                x[i] = f"n{r.randrange(10**6)}"
+            texts.append(x)
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert {x.node: x.component for x in simhash.near_duplicates(docs).collect()} == near_by_brute_force(texts)
+
+
 def test_exact_dedup_matches_sql(spark, sf):
     from tessera.llm import queries as q
 
