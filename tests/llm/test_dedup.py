@@ -133,6 +133,26 @@ def test_varied_copies_of_one_text_lose_no_link(spark):
     assert {x.node: x.component for x in simhash.near_duplicates(docs).collect()} == near_by_brute_force(texts)
 
 
+def test_blocks_of_new_words_lose_no_link(spark):
+    """New words in one block, appended or in place of others, at similarities from 0.8: word fingerprints differ by more than 15 bits."""
+    r = random.Random(5)
+    word = lambda: f"w{r.randrange(10**7)}"
+    texts = []
+    for n in (100, 300):
+        for j in (0.8, 0.85, 0.9, 0.95):
+            for _ in range(6):
+                base = [word() for _ in range(n)]
+                more = int((n - 4) * (1 / j - 1))
+                texts += [base, base + [word() for _ in range(more)]]
+                base = [word() for _ in range(n)]
+                gone = int((n - 4) * (1 - j) / (1 + j))
+                texts += [base, base[: n // 2] + [word() for _ in range(max(1, gone - 4))] + base[n // 2 + max(1, gone - 4) :]]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    want = near_by_brute_force(texts)
+    assert len(want) >= 0.9 * len(texts)
+    assert {x.node: x.component for x in simhash.near_duplicates(docs).collect()} == want
+
+
 def test_exact_dedup_matches_sql(spark, sf):
     from tessera.llm import queries as q
 
