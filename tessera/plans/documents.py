@@ -172,6 +172,40 @@ def exact_dedupe(spark, d):
     return S.dedupe(c, k, "doc_id").select("doc_id", "kept")
 
 
+_WHOLE = _NORM.format("text")
+_WHOLE_WORDS = f"list_filter(list_distinct(string_split({_WHOLE}, ' ')), lambda x: x <> '')"
+_WHOLE_SETS = f"""c AS (SELECT doc_id, {_WHOLE} AS n, {_WHOLE_WORDS} AS w FROM documents), k AS (SELECT DISTINCT {_WHOLE} AS n, {_WHOLE_WORDS} AS w FROM benchmark),
+p AS (SELECT c.doc_id, c.n = k.n AS same, len(list_intersect(c.w, k.w)) AS shared, len(c.w) + len(k.w) AS total FROM c, k WHERE len(c.w) > 0 AND len(k.w) > 0),
+j AS (SELECT doc_id, max(CASE WHEN same THEN 1.0 ELSE shared / (total - shared)::DOUBLE END) AS s FROM p WHERE same OR shared / (total - shared)::DOUBLE >= 0.75 GROUP BY 1)"""
+
+
+def _whole_claims(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.col("text").alias("statement")), table(spark, d, "benchmark").select(F.col("text").alias("statement"))
+
+
+@query(f"WITH {_WHOLE_SETS} SELECT c.doc_id, round(s, 9) AS best FROM c LEFT JOIN j USING (doc_id)")
+def jaccard_dedupe_whole(spark, d):
+    """J7 (CQ08): whole documents against the whole benchmark."""
+    c, k = _whole_claims(spark, d)
+    return S.best_scores(c, k).select("doc_id", F.round("best", 9).alias("best"))
+
+
+@query(f"WITH {_WHOLE_SETS}, f AS (SELECT n, min(doc_id) AS f FROM c GROUP BY n) SELECT c.doc_id, c.n <> '' AND j.s IS NULL AND c.doc_id = f.f AS kept FROM c LEFT JOIN j USING (doc_id) JOIN f ON c.n = f.n")
+def exact_dedupe_whole(spark, d):
+    """Whole documents against the whole benchmark."""
+    c, k = _whole_claims(spark, d)
+    return S.dedupe(c, k, "doc_id").select("doc_id", "kept")
+
+
+@query(f"""WITH w AS (SELECT doc_id, list_distinct(string_split({_WHOLE}, ' ')) AS w FROM documents), b AS (SELECT item_id, list_distinct(string_split({_WHOLE}, ' ')) AS w FROM benchmark)
+SELECT doc_id, item_id, len(w.w)::INT AS n, round(len(list_intersect(w.w, b.w)) / (len(w.w) + len(b.w) - len(list_intersect(w.w, b.w)))::DOUBLE, 9) AS score FROM w, b""")
+def token_jaccard_whole(spark, d):
+    """Each document against each benchmark passage."""
+    b = table(spark, d, "benchmark").select("item_id", X.tokens("text").alias("b"))
+    docs = table(spark, d, "documents").select("doc_id", X.tokens("text").alias("w"))
+    return docs.crossJoin(b).select("doc_id", "item_id", F.size("w").alias("n"), F.round(X.jaccard(F.col("w"), F.col("b")), 9).alias("score"))
+
+
 @query("SELECT conv_id AS ref, turn AS line, role <> 'system' AS keep FROM conversations")
 def compact_keep_lines(spark, d):
     """FP5-FP6."""
