@@ -87,6 +87,13 @@ def slugs(spark, d):
     return table(spark, d, "documents").select("doc_id", X.slugify(t).alias("page_slug"), X.slugify_card(t).alias("card_slug"), X.insight_id(t, F.lit("2026-05-12").cast("date")).alias("insight_id"))
 
 
+@query(f"SELECT doc_id, {_slug_sql('text', '[^0-9a-z가-힣-]+')} AS page_slug, {_slug_sql('text', '[^a-zA-Z0-9가-힣_-]+')} AS card_slug, '2026-05-12-' || left({_slug_sql('text', '[^a-zA-Z0-9가-힣_-]+')}, 40) AS insight_id FROM documents")
+def slugs_whole(spark, d):
+    """X4-X6, of whole texts."""
+    t = F.col("text")
+    return table(spark, d, "documents").select("doc_id", X.slugify(t).alias("page_slug"), X.slugify_card(t).alias("card_slug"), X.insight_id(t, F.lit("2026-05-12").cast("date")).alias("insight_id"))
+
+
 @query("""WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) AS t, generate_subscripts(regexp_extract_all(html, 'href="([^"]+)"', 1), 1) AS i FROM pages),
 f AS (SELECT page_id, trim(split_part(t, '|', 1)) AS t, min(i) AS i FROM l WHERE t NOT LIKE '%]%' GROUP BY 1, 2)
 SELECT p.page_id, coalesce((SELECT string_agg(t, ' ' ORDER BY i) FROM f WHERE f.page_id = p.page_id AND t <> ''), '') AS links FROM pages p""")
@@ -115,6 +122,12 @@ def identifiers(spark, d):
     return table(spark, d, "documents").select("doc_id", X.file_hash("text").alias("file_hash"), X.pattern_id("lang", "source").alias("pattern_id"), X.safe_filename(F.left("text", F.lit(120))).alias("name"))
 
 
+@query("""SELECT doc_id, left(sha256(text), 16) AS file_hash, 'pattern-' || left(sha1(lang || '|' || source), 12) AS pattern_id, regexp_replace(rtrim(left(regexp_replace(trim(regexp_replace(text, '[\\\\/\\x00\\r\\n]', '-', 'g')), '^\\.+|\\.+$', '', 'g'), 80)), '\\.+$', '') AS name FROM documents""")
+def identifiers_whole(spark, d):
+    """X10-X11, X26, Z18, of whole texts."""
+    return table(spark, d, "documents").select("doc_id", X.file_hash("text").alias("file_hash"), X.pattern_id("lang", "source").alias("pattern_id"), X.safe_filename(F.col("text")).alias("name"))
+
+
 @query("SELECT doc_id, CASE lang WHEN 'en' THEN 'English' WHEN 'de' THEN 'German' WHEN 'fr' THEN 'French' WHEN 'es' THEN 'Spanish' ELSE lang END AS locale, 'company_card' AS origin FROM documents")
 def locales(spark, d):
     """X21."""

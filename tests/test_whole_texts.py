@@ -32,3 +32,13 @@ def test_texts_that_differ_after_their_opening(spark, tmp_path):
     assert run(spark, "exact_dedupe_whole", d, "doc_id", "kept") == {1: True, 2: True, 3: False, 4: False, 5: False}
     scores = run(spark, "token_jaccard_whole", d, "doc_id", "item_id", "score")
     assert len(scores) == 10 and all(scores[i, k] == jaccard(t, u) for i, t in DOCS if t for k, u in KNOWN)
+
+
+def test_matches_and_names_are_of_whole_texts(spark, tmp_path):
+    docs = [*DOCS, (6, "." * 130 + "name"), (7, " " * 130 + "name")]
+    d = tables(spark, tmp_path, docs, KNOWN)
+    assert run(spark, "ledger_best_match_whole", d, "cand", "score") == {4: jaccard(DOCS[3][1], KNOWN[1][1])}
+    slugs = run(spark, "slugs_whole", d, "doc_id", "page_slug")
+    assert slugs[1] == DOCS[0][1].replace(" ", "-") and slugs[7] == "name"
+    names = run(spark, "identifiers_whole", d, "doc_id", "name")
+    assert names[6] == names[7] == "name"
