@@ -85,6 +85,16 @@ def trusted_offsets(spark, d):
     return docs.select("doc_id", F.col("text").cast("binary").alias("content"), F.when((F.col("doc_id") % 2 == 1) & (F.substring(F.col("text"), nl + 1, F.lit(1)) == "\n"), nl - nl).otherwise(off).cast("long").alias("offset")).select("doc_id", raw.trusted_offset().alias("off"))
 
 
+@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 AND strpos(text, chr(10)) > 0 THEN strlen(left(text, strpos(text, chr(10)) - 1))::BIGINT + 1 ELSE 0 END AS off FROM documents")
+def trusted_offsets_whole(spark, d):
+    """SC11, over all documents: the first newline's place in bytes."""
+    docs = table(spark, d, "documents")
+    nl = F.locate("\n", "text", 1)
+    at = F.when(nl > 0, F.octet_length(F.left("text", nl - 1)) + 1).otherwise(F.lit(0))
+    off = F.when(F.col("doc_id") % 2 == 0, at).when(F.substring(F.col("text"), nl + 1, F.lit(1)) == "\n", F.lit(0)).otherwise(at + 1)
+    return docs.select("doc_id", F.col("text").cast("binary").alias("content"), off.cast("long").alias("offset")).select("doc_id", raw.trusted_offset().alias("off"))
+
+
 @query("""SELECT doc_id AS ref FROM documents WHERE doc_id * 1000 > 50000 AND doc_id * 1000 <= 900000 - 100000 ORDER BY doc_id LIMIT 100""")
 def pending_files(spark, d):
     """SC10, S4: a cycle takes the first hundred."""

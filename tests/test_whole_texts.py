@@ -42,3 +42,10 @@ def test_matches_and_names_are_of_whole_texts(spark, tmp_path):
     assert slugs[1] == DOCS[0][1].replace(" ", "-") and slugs[7] == "name"
     names = run(spark, "identifiers_whole", d, "doc_id", "name")
     assert names[6] == names[7] == "name"
+
+
+def test_offsets_are_in_bytes_for_every_document(spark, tmp_path):
+    texts = ["é한\nrest", "plain\nrest", "é\n\nx", "한글", "", "\né", "ü\nx"]
+    d = tables(spark, tmp_path, [*enumerate(texts)], KNOWN)
+    want = {i: t.encode().find(b"\n") + 1 if i % 2 == 0 else 0 for i, t in enumerate(texts)}
+    assert run(spark, "trusted_offsets_whole", d, "doc_id", "off") == want
