@@ -1,5 +1,6 @@
 import hashlib
 import math
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -266,6 +267,36 @@ def test_pipeline_stages(spark, sf, tmp_path):
     assert out.count() == sizes[4]
 
 
+def test_pipeline_stages_keep_what_brute_force_keeps(spark, sf):
+    from tests.llm.test_dedup import near_by_brute_force
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = quality.train(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    ids = lambda df: sorted(r.doc_id for r in df.select("doc_id").collect())
+    assert ids(corpus_pipeline.keep_good(spark, docs, sf)) == sorted(i for i, t in texts.items() if model.score([t])[0] >= quality.THRESHOLD)
+    first = {}
+    for i in sorted(texts):
+        first.setdefault(" ".join(texts[i].split()), i)
+    assert ids(corpus_pipeline.drop_exact(spark, docs, sf)) == sorted(first.values())
+    order = sorted(texts)
+    words = [re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in texts[i])) for i in order]
+    parts = near_by_brute_force(words)
+    assert ids(corpus_pipeline.drop_near(spark, docs, sf)) == [i for k, i in enumerate(order) if parts.get(k, k) == k]
+    assert set(ids(corpus_pipeline.mix_sources(spark, docs, sf))) == set(order)
+    with open(MODEL, "rb") as f:
+        library = pieces.PieceModel(f.read()).library
+    got = {r.doc_id: list(r.ids) for r in corpus_pipeline.to_ids(spark, docs, sf).select("doc_id", "ids").collect()}
+    assert got == dict(zip(order, library.encode([texts[i] for i in order], add_eos=True), strict=True))
+
+
+def test_pipeline_without_labels_keeps_all(spark, sf, tmp_path):
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    labels.where("false").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    assert corpus_pipeline.keep_good(spark, docs, str(tmp_path)).count() == docs.count()
+
+
 def test_every_operator_has_a_query():
     from tessera.llm import queries as q
 
