@@ -248,9 +248,9 @@ class PieceModel:
             bad = next((w for w, ids in new.items() if self.library.encode("\n" + w.replace(SPACE, " "))[-len(ids) :] != ids), "a word")
             raise AssertionError(f"the library encodes {bad[:200]!r} otherwise")
 
-    def _checked(self, new: dict[str, list[int]]) -> None:
+    def _checked(self, new: dict[str, list[int]], check: str) -> None:
         self.learn(new)
-        if self.apart and self.line:
+        if self.apart and self.line and check != "documents":  # whole documents hold the words too
             self.agree(new)
         self.kept.new = {}
 
@@ -263,7 +263,7 @@ class PieceModel:
         """Per text its ids with the end id."""
         rows = [list(map(self.kept.__getitem__, self.split(t))) for t in texts]
         if self.kept.new:
-            self._checked(self.kept.new)
+            self._checked(self.kept.new, check)
         out = [[*chain.from_iterable(r), self.eos] for r in rows]
         self._kept()
         if check == "documents" or not (self.apart and self.line):

@@ -267,6 +267,22 @@ def test_pipeline_stages(spark, sf, tmp_path):
     assert out.count() == sizes[4]
 
 
+def test_op6_holds_whole_documents_against_the_library(spark, sf, monkeypatch):
+    from tessera.llm import queries as q
+
+    asked = []
+    monkeypatch.setattr(pieces, "encode_documents", lambda *a, check="words", **k: asked.append(check))
+    q.op6_sentencepiece(spark, sf)
+    assert asked == ["documents"]
+    with open(MODEL, "rb") as f:
+        model = pieces.PieceModel(f.read())
+    split = model.split
+    monkeypatch.setattr(model, "split", lambda t: split(t)[:-1])  # a document's last word is lost
+    model.encode(["one two three"], "words")
+    with pytest.raises(AssertionError):
+        model.encode(["one two three"], "documents")
+
+
 def test_pipeline_stages_keep_what_brute_force_keeps(spark, sf):
     from tests.llm.test_dedup import near_by_brute_force
 
