@@ -205,8 +205,8 @@ def neighbour_graph(nodes: DataFrame, n: int, d: int, k: int = DEGREE, rounds: i
     return graph.select("node", "near", "sim")
 
 
-def walk(graph: DataFrame, nodes: DataFrame, starts: DataFrame, asked: DataFrame, k: int, beam: int, rounds: int = 8, width: int = 12) -> DataFrame:
-    """query, node of the best nodes found. asked: query, q (16-bit copies); starts: query, node."""
+def walk(graph: DataFrame, nodes: DataFrame, starts: DataFrame, asked: DataFrame, k: int, beam: int, rounds: int = 500, width: int = 12) -> DataFrame:
+    """query, node of the best nodes found. asked: query, q (16-bit copies); starts: query, node. Too few rounds are an error."""
     links = cut(graph.select("node", "near").unionByName(graph.select(F.col("near").alias("node"), F.col("node").alias("near"))
         .withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy(F.xxhash64("near")))).where(F.col("r") <= DEGREE).drop("r")).distinct())
 
@@ -230,6 +230,8 @@ def walk(graph: DataFrame, nodes: DataFrame, starts: DataFrame, asked: DataFrame
         more = open_.join(links, "node").select("query", F.col("near").alias("node")).distinct().join(state.select("query", "node"), ["query", "node"], "left_anti")
         known = state.join(open_.withColumn("now", F.lit(True)), ["query", "node"], "left").select("query", "node", "sim", (F.col("done") | F.coalesce("now", F.lit(False))).alias("done"))
         state = cut(top(known.unionByName(near(more).withColumn("done", F.lit(False)))))
+    else:
+        raise RuntimeError("the search didn't settle")
     return state.select("query", "node")
 
 

@@ -194,6 +194,19 @@ def test_vectors_that_take_no_part_copies_and_norms(spark):
     assert [x.vec_id for x in ann.search(df.where("vec_id < 2"), df.where("vec_id = 0"), 5).collect()] == [1]
 
 
+def test_walk_goes_on_until_no_near_node_is_open(spark):
+    """A chain of nodes, each nearer to the query than the one before: 12 steps lead to the nearest."""
+    n = 12
+    vec = lambda i: np.array([i / n, 1.0], dtype=np.float16).tobytes()
+    nodes = spark.createDataFrame([(i, bytearray(vec(i))) for i in range(n)], "node long, v binary")
+    graph = spark.createDataFrame([(i, i + 1) for i in range(n - 1)], "node long, near long")
+    asked = spark.createDataFrame([(100, bytearray(vec(n)))], "query long, q binary")
+    starts = spark.createDataFrame([(100, 0)], "query long, node long")
+    assert n - 1 in {r.node for r in ann.walk(graph, nodes, starts, asked, 1, 4).collect()}
+    with pytest.raises(RuntimeError):
+        ann.walk(graph, nodes, starts, asked, 1, 4, rounds=3)
+
+
 # -- quality
 
 
