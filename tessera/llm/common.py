@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -12,25 +14,39 @@ from tessera.session import ship  # noqa: F401
 
 #: Rows up to which a side of a join of a few narrow columns is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 200_000
-#: Records in one Arrow batch, so that a batch of very long texts still fits a worker.
-ARROW_ROWS = 256
+#: Bytes of one Arrow batch (a row is never split): what a Python worker holds of a stage's input at a time.
+ARROW_BYTES = 4 << 20
+_UNBOUND = "67108864b"  # Spark's own value
+_fresh: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set."""
+    """The folder that driver and executors share; one of our own only where none is set and the master is local."""
     at = spark.conf.get("spark.checkpoint.dir", "") or ""
     if not at:
         own = spark.sparkContext._jsc.sc().getCheckpointDir()
         if own.isDefined():
             return own.get()
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = tempfile.mkdtemp(prefix="tessera-")
+        atexit.register(shutil.rmtree, at, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(at)
         at = spark.sparkContext._jsc.sc().getCheckpointDir().get()
     return at.rstrip("/")
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _fresh.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _fresh[-1]
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all that ``fresh_path`` has named in this application: for the end of a job, when no result is read any more."""
+    conf = spark._jsc.hadoopConfiguration()
+    while _fresh:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_fresh.pop())
+        path.getFileSystem(conf).delete(path, True)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -45,11 +61,14 @@ def checked_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Before a Python stage: ship the package, bound Arrow batches. An explicit setting of the caller's stays."""
+    """Before a Python stage: ship the package, bound Arrow batches by bytes. A setting of the caller's own stays.
+
+    The bound stays set in the session, as a stage's plan reads it only when it runs.
+    """
     ship(spark)
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key, "10000") == "10000":
-        spark.conf.set(key, str(ARROW_ROWS))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) == _UNBOUND:
+        spark.conf.set(key, str(ARROW_BYTES))
 
 
 def text_or_empty(col: str = "text"):
