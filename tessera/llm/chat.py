@@ -3,7 +3,9 @@ and streamed deltas, edits and regenerations are folded into final messages, whi
 
 Events: conv_id, turn, tie, seq, event, role, text. ``open`` begins a message, ``delta`` adds to it, ``edit``
 replaces what it holds, ``regenerate`` empties it. Sorted by conversation, turn, tie and seq a partition is
-folded in one pass that holds one message at a time, however long a conversation is.
+folded in one pass that holds one message at a time, however long a conversation is. ``rendered_turns`` deals events out by ranges
+of these, so a conversation with a third of all rows lies in many tasks; ``read_back`` takes digests over whole conversations,
+which only one task can do for each, but as a stream.
 
 The template puts each turn between marks; a control string inside a text, of this template or of other
 common ones, gets a backslash after its first character, and backslashes are doubled. Both are undone
@@ -27,6 +29,10 @@ from pyspark.sql import functions as F
 from tessera.llm.common import small_batches, text_or_empty
 
 DELTA_CHARS = 4096
+#: What a message is before it is regenerated or edited, in a log made of finished conversations.
+DRAFT = "draft [INST] "
+#: Characters in which a formatted conversation is read back.
+PIECE_CHARS = 1 << 16
 MARKS = {"user": ("[INST]", "[/INST]"), "assistant": ("<s>", "</s>"), "system": ("[SYS]", "[/SYS]")}
 #: Any other role: its name, then its text.
 NAMED, NAME = ("[MSG]", "[/MSG]"), ("[ROLE]", "[/ROLE]")
@@ -67,19 +73,62 @@ def parse(formatted: str) -> Iterator[tuple[str, str, tuple[int, int]]]:
             yield {3: "user", 4: "assistant", 5: "system"}[k], unescape(m[k]), m.span(k)
 
 
+class Reader:
+    """Turns out of a formatted conversation that comes in pieces of any size; holds one unfinished turn.
+
+    A closing mark is looked for only in what is new, so a turn of many pieces takes time in proportion to its length.
+    """
+
+    OPENERS = {a: b for a, b in [*MARKS.values(), (NAME[0], NAMED[1])]}
+
+    def __init__(self):
+        self.held, self.size, self.tail = [], 0, ""
+
+    def feed(self, piece: str) -> Iterator[tuple[str, str]]:
+        """(role, text) of the turns that end in this piece."""
+        self.held.append(piece)
+        self.size += len(piece)
+        # some closing mark must lie in the piece, or begin in the last characters before it
+        near = self.tail + piece
+        self.tail = near[-16:]
+        if not any(close in near for close in self.OPENERS.values()):
+            return
+        text, at = "".join(self.held), 0
+        while m := _TURN.match(text, at):
+            at = m.end()
+            if m[1] is not None:
+                yield unescape(m[1]), unescape(m[2])
+            else:
+                yield {3: "user", 4: "assistant", 5: "system"}[m.lastindex], unescape(m[m.lastindex])
+        self.held, self.size, self.tail = [text[at:]], len(text) - at, text[at:][-16:]
+
+    def close(self) -> None:
+        if self.size:
+            raise ValueError(f"no turn in the last {self.size} characters")
+
+
 def to_events(rows: DataFrame) -> DataFrame:
-    """conversations (conv_id, turn, role, text) as the log of a streaming client: open, then deltas."""
+    """conversations (conv_id, turn, role, text) as the log of a streaming client: open, then deltas.
+
+    By the first digit of the text's digest, a third of the messages have first been drafted otherwise: the draft is then regenerated, or
+    edited into the text's first part, to which deltas add the rest.
+    """
     text = text_or_empty("text")
     rows = rows.select(
         "conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), text.alias("text"),
         F.sha2(text, 256).alias("digest"), F.monotonically_increasing_id().alias("row"),
     )
-    deltas = F.transform(
-        F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.length("text") - 1) / DELTA_CHARS)).cast("int")),
-        lambda i: F.struct((i + 1).alias("seq"), F.lit("delta").alias("event"), F.substring(F.col("text"), i * DELTA_CHARS + 1, F.lit(DELTA_CHARS)).alias("text")),
+    # one pass over the text, however long it is
+    parts = F.transform(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{DELTA_CHARS}}}"), F.lit(0)), lambda p, i: F.struct((i + 3).alias("seq"), F.lit("delta").alias("event"), p.alias("text")))
+    event = lambda seq, name, text: F.struct(F.lit(seq).alias("seq"), F.lit(name).alias("event"), text.alias("text"))
+    start, draft, none = event(0, "open", F.lit("")), event(1, "delta", F.lit(DRAFT)), F.lit("")
+    edited = F.concat(F.array(start, draft), F.transform(parts, lambda p, i: F.when(i == 0, p.withField("event", F.lit("edit"))).otherwise(p)))
+    how = F.left("digest", F.lit(1))
+    log = (
+        F.when(how.isin(*"0123"), F.concat(F.array(start, draft, event(2, "regenerate", none)), parts))
+        .when(how.isin("4", "5") & (F.col("text") != ""), edited).otherwise(F.concat(F.array(start), parts))
     )
-    start = F.array(F.struct(F.lit(0).alias("seq"), F.lit("open").alias("event"), F.lit("").alias("text")))
-    return rows.select("conv_id", "turn", F.struct("role", "digest", "row").alias("tie"), "role", F.explode(F.concat(start, deltas)).alias("e")).select("conv_id", "turn", "tie", "role", "e.*")
+    return rows.select("conv_id", "turn", F.struct("role", "digest", "row").alias("tie"), "role", F.explode(log).alias("e")).select("conv_id", "turn", "tie", "role", "e.*")
 
 
 def fold(events: Iterator[tuple]) -> Iterator[tuple[object, str, str]]:
@@ -104,9 +153,12 @@ def fold(events: Iterator[tuple]) -> Iterator[tuple[object, str, str]]:
         yield conv, role, "".join(parts)
 
 
-def sorted_events(events: DataFrame) -> DataFrame:
+def sorted_events(events: DataFrame, ranges: bool = False) -> DataFrame:
+    """Partitions of whole conversations, or (ranges) of whole messages, each sorted."""
     n = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return events.repartition(n, "conv_id").sortWithinPartitions(F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_first(), "tie", "seq")
+    by = [F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_first(), F.col("tie")]
+    dealt = events.repartitionByRange(n, *by) if ranges else events.repartition(n, "conv_id")
+    return dealt.sortWithinPartitions(*by, "seq")
 
 
 def _stream(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
@@ -115,21 +167,25 @@ def _stream(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
 
 
 def rendered_turns(events: DataFrame, batch: int = 1000) -> DataFrame:
-    """conv_id, position, role, formatted: the conversation's text is its turns joined in order."""
+    """conv_id, position, role, formatted: the conversation's text is its turns joined in order of position.
+
+    Positions grow within a conversation, but not by one: they count a task's messages, after those of the tasks before.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out, last, n = [], object(), 0
+        from pyspark import TaskContext
+
+        out, n = [], TaskContext.get().partitionId() << 40
         for conv, role, text in fold(_stream(batches)):
-            n = n + 1 if conv == last else 0
-            last = conv
             out.append((conv, n, role, render(role, text)))
+            n += 1
             if len(out) == batch:
                 yield pd.DataFrame(out, columns=["conv_id", "position", "role", "formatted"]).astype({"conv_id": "Int64"})
                 out = []
         yield pd.DataFrame(out, columns=["conv_id", "position", "role", "formatted"]).astype({"conv_id": "Int64"})
 
     small_batches(events.sparkSession)
-    return sorted_events(events).select(F.col("conv_id").cast("string").alias("conv_id"), "event", "role", "text").mapInPandas(run, "conv_id long, position long, role string, formatted string")
+    return sorted_events(events, ranges=True).select(F.col("conv_id").cast("string").alias("conv_id"), "event", "role", "text").mapInPandas(run, "conv_id long, position long, role string, formatted string")
 
 
 def read_back(events: DataFrame) -> DataFrame:
@@ -140,28 +196,43 @@ def read_back(events: DataFrame) -> DataFrame:
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out, state = [], None
+        out, state, reader = [], None, Reader()
+
+        def take(turns):
+            for r, t in turns:
+                state[1] += 1
+                state[2].update(f"{r}\n{t}\n".encode())
+                if r == "assistant":
+                    state[3] += len(t)
+                    state[4].update(t.encode())
 
         def close():
+            if wait:
+                take(reader.feed("".join(wait)))
+                wait.clear()
+            reader.close()
             conv, n, turns, chars, loss, size = state
             out.append((conv, n, turns.hexdigest(), chars, loss.hexdigest(), size))
 
+        wait, waiting = [], 0  # the joined output, read back in pieces that know nothing of turns
         for conv, role, text in fold(_stream(batches)):
-            formatted = render(role, text)
             if state is None or state[0] != conv:
                 if state is not None:
                     close()
                     if len(out) == 1000:
                         yield pd.DataFrame(out, columns=names).astype({"conv_id": "Int64"})
                         out.clear()
-                state = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-            for r, t, _ in parse(formatted):
-                state[1] += 1
-                state[2].update(f"{r}\n{t}\n".encode())
-                if r == "assistant":
-                    state[3] += len(t)
-                    state[4].update(t.encode())
+                state, reader, waiting = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0], Reader(), 0
+            formatted = render(role, text)
             state[5] += len(formatted)
+            wait.append(formatted)
+            waiting += len(formatted)
+            if waiting >= PIECE_CHARS:
+                joined = "".join(wait)
+                whole = waiting - waiting % PIECE_CHARS
+                for i in range(0, whole, PIECE_CHARS):
+                    take(reader.feed(joined[i : i + PIECE_CHARS]))
+                wait[:], waiting = [joined[whole:]], waiting - whole
         if state is not None:
             close()
         yield pd.DataFrame(out, columns=names).astype({"conv_id": "Int64"})
