@@ -5,16 +5,16 @@ weights meets a target or until no source is repeated more often than a limit. T
 realised as budgeted block permutations: a source whose quota is q tokens of its s tokens is read
 q div s whole times, then in a permutation of its blocks until the rest of the quota is used up.
 
-Tokens here are runs of characters other than ``[\\x20\\x09-\\x0D]``. A document's key is the first 60 bits of
-MD5(seed:id); its leading bits are its block and blocks follow one another in key order, so a random
-permutation of blocks and of documents in a block is a sort by key that needs no row to move.
+Tokens here are runs of characters other than ``[\\x20\\x09-\\x0D]``. A document's key in a reading (epoch) is the first 60 bits of
+MD5(seed:epoch:id); its leading bits are its block and blocks follow one another in key order, so a random
+permutation of blocks and of documents in a block is a sort by key that needs no row to move, and every reading has one of its own.
 
 The table of sources is one row of arrays; it is taken to fit (up to about a million sources).
 
 Defined cases: a null source is a source of its own; a null text has no tokens; a null id has the key of
-an empty id; documents that share a key are taken or left together; a source without tokens has
-weight 0 and is read once; an empty table gives an empty result; further columns pass through ``mix``
-(whose own names begin with mix_).
+an empty id; documents that share a key are taken or left together, repeated rows among them; a source without tokens has
+weight 0 and is read once; an empty table gives an empty result; further columns pass through ``mix``, whose own names begin
+with mix_, or where a column of docs does so already with as many more underscores before it as it takes.
 """
 
 from __future__ import annotations
@@ -36,8 +36,9 @@ def token_count(col: str = "text") -> Column:
     return F.coalesce(F.regexp_count(text_or_empty(col), F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def key_of(id_col: str, seed: int) -> Column:
-    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))), 1, KEY_BITS // 4), 16, 10).cast("long")
+def key_of(id_col: str, seed: int, epoch: Column) -> Column:
+    text = F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))
+    return F.conv(F.substring(F.md5(text), 1, KEY_BITS // 4), 16, 10).cast("long")
 
 
 def _weights(tokens: Column, alpha: Column) -> Column:
@@ -115,21 +116,26 @@ def cutoffs(counted: DataFrame, shares: DataFrame, block_rows: int = 4096) -> Da
 
 def plan(docs: DataFrame, max_repeats: float | None = 2.0, entropy: float | None = None, budget: int | None = None, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """A row for each source: source, tokens, alpha, weight, quota, passes, rest, last_key."""
-    counted = cut(docs.select(F.col(source_col).alias("source"), key_of(id_col, seed).alias("key"), token_count(text_col).alias("tokens")))
+    counted = cut(docs.select(F.col(source_col).alias("source"), F.col(id_col).cast("string").alias("id"), token_count(text_col).alias("tokens")))
     sources = counted.groupBy("source").agg(F.sum("tokens").alias("tokens"))
     shares = cut(quotas(temperature(sources, max_repeats, entropy), budget))
-    ends = cutoffs(counted, shares)
+    # the partial reading comes after the whole ones
+    last = checked_broadcast(shares.select(F.col("source").alias("s"), "passes"))
+    keyed = counted.join(last, F.col("source").eqNullSafe(F.col("s"))).select("source", key_of("id", seed, F.col("passes")).alias("key"), "tokens")
+    ends = cutoffs(keyed, shares)
     return cut(shares.join(ends, F.col("source").eqNullSafe(F.col("cs")), "left").drop("cs"))
 
 
 def mix(docs: DataFrame, max_repeats: float | None = 2.0, entropy: float | None = None, budget: int | None = None, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """docs' rows as often as the mixture reads them, with mix_epoch (from 0), mix_key, mix_alpha and mix_weight."""
     shares = plan(docs, max_repeats, entropy, budget, seed, id_col, text_col, source_col)
-    per_source = checked_broadcast(shares.select(F.col("source").alias("mix_source"), F.col("passes").alias("mix_passes"), F.col("last_key").alias("mix_last"), F.col("alpha").alias("mix_alpha"), F.col("weight").alias("mix_weight")))
-    times = F.col("mix_passes") + F.when(F.col("mix_key") <= F.col("mix_last"), 1).otherwise(0)
-    return (
-        docs.withColumn("mix_key", key_of(id_col, seed)).join(per_source, docs[source_col].eqNullSafe(F.col("mix_source")))
-        .withColumn("mix_times", times).where("mix_times > 0")
-        .withColumn("mix_epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("mix_times") - 1)))
-        .select(*docs.columns, "mix_epoch", "mix_key", "mix_alpha", "mix_weight")
-    )
+    m = "mix_"
+    while any(c.lower().startswith(m) for c in docs.columns):
+        m = "_" + m
+    per_source = checked_broadcast(shares.select(F.col("source").alias(f"{m}source"), F.col("passes").alias(f"{m}passes"), F.col("last_key").alias(f"{m}last"), F.col("alpha").alias(f"{m}alpha"), F.col("weight").alias(f"{m}weight")))
+    passes = F.col(f"{m}passes")
+    rows = docs.join(per_source, docs[source_col].eqNullSafe(F.col(f"{m}source")))
+    times = passes + F.when(key_of(id_col, seed, passes) <= F.col(f"{m}last"), 1).otherwise(0)
+    rows = rows.withColumn(f"{m}times", times).where(F.col(f"{m}times") > 0)
+    rows = rows.withColumn(f"{m}epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"{m}times") - 1)))
+    return rows.withColumn(f"{m}key", key_of(id_col, seed, F.col(f"{m}epoch"))).select(*docs.columns, *(f"{m}{c}" for c in ("epoch", "key", "alpha", "weight")))

@@ -132,8 +132,7 @@ def _op5() -> str:
     word = mixing.WORD
     return f"""
 WITH RECURSIVE d AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{word}'))::BIGINT AS tokens,
-         ('0x' || left(md5('{SEED}:' || doc_id), 15))::BIGINT AS k FROM documents),
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{word}'))::BIGINT AS tokens FROM documents),
 s AS (SELECT source, sum(tokens)::BIGINT AS tokens FROM d GROUP BY source),
 r AS (SELECT ln(max(tokens)::DOUBLE / min(tokens)) AS spread FROM s WHERE tokens > 0),
 b AS (SELECT 0 AS i, 0.0::DOUBLE AS lo, 1.0::DOUBLE AS hi
@@ -145,12 +144,13 @@ a AS (SELECT round(hi, {mixing.DIGITS}) AS alpha FROM b WHERE i = {mixing.STEPS}
 p AS (SELECT source, tokens, alpha, CASE WHEN tokens > 0 THEN pow(tokens / sum(tokens) OVER ()::DOUBLE, alpha) ELSE 0 END AS raw FROM s, a),
 w AS (SELECT source, tokens, alpha, raw / sum(raw) OVER () AS weight FROM p),
 q AS (SELECT *, floor(weight * max(CASE WHEN weight > 0 THEN tokens / weight END) OVER () + 1e-6)::BIGINT AS quota FROM w),
-c AS (SELECT d.doc_id, d.source, d.k, alpha, weight, CASE WHEN q.tokens = 0 THEN 1 ELSE quota // q.tokens END AS passes,
-             CASE WHEN q.tokens = 0 THEN -1 ELSE quota % q.tokens END AS rest,
-             sum(d.tokens) OVER (PARTITION BY d.source ORDER BY d.k) AS upto
-      FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source)
-SELECT doc_id, source, round(alpha, 6) AS alpha, round(weight, 6) AS weight, unnest(range(0, passes + (upto <= rest)::BIGINT)) AS epoch, k AS position_key
-FROM c"""
+v AS (SELECT d.doc_id, d.source, d.tokens, alpha, weight, CASE WHEN q.tokens = 0 THEN 1 ELSE quota // q.tokens END AS passes,
+             CASE WHEN q.tokens = 0 THEN -1 ELSE quota % q.tokens END AS rest
+      FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source),
+c AS (SELECT *, sum(tokens) OVER (PARTITION BY source ORDER BY ('0x' || left(md5('{SEED}:' || passes || ':' || doc_id), 15))::BIGINT) AS upto FROM v),
+e AS (SELECT doc_id, source, alpha, weight, unnest(range(0, passes + (upto <= rest)::BIGINT)) AS epoch FROM c)
+SELECT doc_id, source, round(alpha, 6) AS alpha, round(weight, 6) AS weight, epoch, ('0x' || left(md5('{SEED}:' || epoch || ':' || doc_id), 15))::BIGINT AS position_key
+FROM e"""
 
 
 def _op7() -> str:
