@@ -8,15 +8,16 @@ manifest are ever read, so what a lost or repeated task left behind is never see
 plan; contents are streamed record by record.
 
 ARC: a version block, then records of a header line (URL, IP, 14-digit date, type, [result code, checksum,
-location, offset, file name,] length), so many bytes and a newline. The converter follows the declared
-lengths, never the contents. It synthesises: WARC-Record-ID as a name-based UUID of digest, date, URL and
+location, offset, file name,] length), so many bytes and a newline. Fields are counted from the left up to the type and from the right
+behind it, as a type may hold blanks. The converter follows the declared lengths, never the contents. A line that is no header, and a record
+that ends before its length, are set aside (``arc_faults``: file, place, fault); the next header line goes on. It synthesises: WARC-Record-ID as a name-based UUID of digest, date, URL and
 place; WARC-Date from the 14 digits; WARC-Type (response, or revisit of the record with the same payload
 and the smallest page id); WARC-Payload-Digest, WARC-Block-Digest (SHA-256).
 
 Defined cases: a null html is an empty payload; a null URL becomes ``urn:none``; white space in a URL is
 percent-encoded; a null page id is written without the id header, sorts after all ids, and comes back as null;
 of records with equal ids and payloads the first in its archive is the response; an empty table writes
-no archive.
+no archive; an archive without any record gives none.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, fresh_path, small_batches
+from tessera.llm.common import checked_broadcast, cut, fresh_path, small_batches
 
 ROLL_BYTES = 64 << 20
 ROLL_RECORDS = 20_000
@@ -159,28 +160,57 @@ def arc_record(version: int, url: str | None, block: bytes, name: str = "-", dat
     return f"{url} 0.0.0.0 {date} text/html {mid}{len(block)}\n".encode() + block + b"\n"
 
 
-def parse_arc(f: Members) -> Iterator[dict]:
-    """Records: the fields of the header line, place (offset of the header line in the contents), block."""
-    fields = None
+def arc_line(line: bytes, fields: list[str]) -> dict[str, str] | None:
+    """A header line's fields, None if it is none: a URL, a date of 14 digits and a length must be there."""
+    values = line.decode("utf-8", "replace").rstrip("\r\n").split(" ")
+    kind = fields.index("Content-type")
+    after = len(fields) - kind - 1
+    if len(values) < len(fields):
+        return None
+    left, right = values[:kind], values[len(values) - after :]
+    found = dict(zip(fields, [*left, " ".join(values[kind : len(values) - after]), *right], strict=True))
+    ok = ":" in found["URL"] and re.fullmatch(r"\d{14}", found["Archive-date"]) and re.fullmatch(r"\d{1,18}", found["Archive-length"])
+    return found if ok else None
+
+
+def parse_arc(f: Members, faults: bool = False) -> Iterator[dict]:
+    """Records: the fields of the header line, place (offset of the header line in the contents), block.
+
+    With faults also what is set aside: place, fault. A file without a version block known here is an error.
+    """
+    first = f.readline()
+    while first and not first.strip():
+        first = f.readline()
+    if not first:
+        return
+    if not first.startswith(b"filedesc:"):
+        raise ValueError("an ARC file begins with a version block")
+    block = f.read(int(first.split()[-1]))
+    version = int(block.split(b" ", 1)[0])
+    fields = block.decode("utf-8", "replace").splitlines()[1].split(" ")
+    if fields != ARC_FIELDS.get(version, "").split(" "):
+        raise ValueError(f"not a version {version} header: {fields}")
+    astray = False
     while True:
         place, line = f.pos, f.readline()
         if not line:
             return
         if not line.strip():
             continue
-        values = line.decode("utf-8", "replace").rstrip("\r\n").split(" ")
-        block = f.read(int(values[-1]))
-        if fields is None:  # the version block names the fields of the lines that follow
-            if not values[0].startswith("filedesc:"):
-                raise ValueError("an ARC file begins with a version block")
-            version = int(block.split(b" ", 1)[0])
-            fields = block.decode("utf-8", "replace").splitlines()[1].split(" ")
-            if fields != ARC_FIELDS.get(version, "").split(" "):
-                raise ValueError(f"not a version {version} header: {fields}")
+        found = arc_line(line, fields)
+        if found is None:
+            if faults and not astray:  # once until the next header line
+                yield {"place": place, "fault": "no header line"}
+            astray = True
             continue
-        if len(values) != len(fields):
-            raise ValueError(f"{len(values)} fields at {place}; the version block names {len(fields)}")
-        yield dict(zip(fields, values, strict=True)) | {"place": place, "block": block}
+        astray = False
+        try:
+            block = f.read(int(found["Archive-length"]))
+        except EOFError as e:
+            if faults:
+                yield {"place": place, "fault": str(e)}
+            return
+        yield found | {"place": place, "block": block}
 
 
 def split_http(block: bytes) -> tuple[bytes, bytes]:
@@ -215,6 +245,20 @@ def _per_file(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     return manifest.repartition(min(n, 10_000), "file") if n > 1 else manifest
 
 
+def arc_faults(manifest: DataFrame) -> DataFrame:
+    """file, place, fault of what the parser sets aside."""
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for file in b.file:
+                with open_file(file, "r") as raw:
+                    rows = [(file, r["place"], r["fault"]) for r in parse_arc(Members(raw), faults=True) if "fault" in r]
+                yield pd.DataFrame(rows, columns=["file", "place", "fault"])
+
+    small_batches(manifest.sparkSession)
+    return _per_file(manifest.sparkSession, manifest).mapInPandas(scan, "file string, place long, fault string")
+
+
 def arc_index(manifest: DataFrame) -> DataFrame:
     """file, place, page_id, payload_bytes, payload_digest of each ARC record."""
 
@@ -302,7 +346,8 @@ def revisit_plan(index: DataFrame, min_bytes: int = MIN_REVISIT) -> DataFrame:
     """
     big = index.where(F.col("payload_bytes") >= min_bytes)
     order = F.struct(F.col("page_id").isNull().alias("no_id"), "page_id", "file", "place")
-    firsts = big.groupBy("payload_digest").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1")
+    firsts = big.groupBy("payload_digest").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    firsts = checked_broadcast(cut(firsts))
     later = big.join(firsts, "payload_digest").where((F.col("first.file") != F.col("file")) | (F.col("first.place") != F.col("place")))
     return later.groupBy("file").agg(F.collect_list(F.struct("place", F.col("first.page_id").alias("page_id"))).alias("revisits"))
 
