@@ -1,8 +1,10 @@
 """Approximate nearest neighbours by NN-descent: a neighbour graph is built through iterative joins of neighbours
 of neighbours, and queries search it greedily.
 
-Nearness is the inner product. Vectors are scaled by the largest norm M and get one more component,
-sqrt(1 - |x|^2 / M^2), so that order by inner product is order by distance and a neighbour graph can be walked.
+Nearness is the inner product. Vectors are scaled into the unit ball and get one more component, sqrt(1 - |x|^2), so that order
+by inner product is order by distance and a neighbour graph can be walked. That holds in few digits only where norms are alike, so vectors
+lie in bands, each of a factor of 2^BAND_BITS of norms: a band has its own scale and graph, is searched by itself, and
+what bands give is put together by exact scores. A band of at most ``PIVOTS`` vectors has no graph; each query looks at all of them.
 Graph and search work on 16-bit copies; the result is scored again on the original vectors in double precision.
 
 Equal vectors are one node of the graph (the smallest id, and the ids of as many copies as a result can hold), so a
@@ -10,13 +12,14 @@ vector that fills a third of the table costs no more than another.
 
 First neighbours come from leaves of random projections (signs of log2(n / LEAF) of them; larger leaves are
 split by a hash). A round joins, at every node, a sample of its new and old neighbours and of those that have it as one;
-pairs of them that are nearer than a node's worst neighbour replace it. Rounds end when few change.
+pairs of them that are nearer than a node's worst neighbour replace it. Nodes without a new member send no vectors. Rounds end when few
+change.
 
 A search keeps the best ``beam`` nodes of each query, begins at the query's own node if it has one and at the nearest of
 ``PIVOTS`` fixed nodes, and expands the best unexpanded ones, all queries at a time, until none is left in its first 3 k.
 
 Defined cases: null vectors, those with a null or non-finite component, of norm zero, or of another length than the longest
-take no part, nor do null ids; equal rows count once; ties go to the smaller id; with fewer candidates than k
+take no part, nor do null ids; a norm may be as large as doubles go; equal rows count once; ties go to the smaller id; with fewer candidates than k
 all that are found are returned; an empty table gives an empty result; further columns are ignored.
 """
 
@@ -27,7 +30,7 @@ from math import ceil, log2
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import cut, ship
@@ -39,6 +42,7 @@ LEAF = 192
 ROUNDS = 12
 SETTLED = 0.005
 PIVOTS = 256
+BAND_BITS = 2
 EDGE = "node long, near long, sim float"
 
 
@@ -64,11 +68,17 @@ def halves(column: pa.Array) -> np.ndarray:
     return raw.reshape(n, -1).astype(np.float32)
 
 
-def copies(rows: DataFrame, d: int, most: float) -> DataFrame:
-    """rows with v: the scaled 16-bit copy of x."""
+def log_norm(x: str = "x") -> Column:
+    """log2 of the norm, also where the norm itself is no double."""
+    most = F.aggregate(x, F.lit(0.0), lambda a, c: F.greatest(a, F.abs(c)))
+    return F.log2(most) + F.log2(F.aggregate(x, F.lit(0.0), lambda a, c: a + (c / most) * (c / most))) / 2
+
+
+def copies(rows: DataFrame, d: int, scale: int) -> DataFrame:
+    """rows with v: the 16-bit copy of x, which is of a norm of at most 2^scale."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = _floats(b.column(1), d) / most
+            x = np.ldexp(_floats(b.column(1), d), -scale)
             v = np.hstack([x, np.sqrt(np.maximum(0, 1 - (x * x).sum(axis=1)))[:, None]]).astype(np.float16)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in v], pa.binary())], names=["node", "v"])
 
@@ -166,6 +176,7 @@ def descend(graph: DataFrame, nodes: DataFrame, k: int, salt: int) -> DataFrame:
     ahead = graph.withColumn("r", order("node", "fresh")).where(F.col("r") <= SAMPLE).select(F.col("node").alias("centre"), F.col("near").alias("member"), "fresh")
     behind = graph.withColumn("r", order("near", "fresh")).where(F.col("r") <= SAMPLE).select(F.col("near").alias("centre"), F.col("node").alias("member"), "fresh")
     met = ahead.unionByName(behind).groupBy("centre", "member").agg(F.max("fresh").alias("fresh"))
+    met = met.withColumn("any", F.max("fresh").over(Window.partitionBy("centre"))).where("any").drop("any")
     worst = graph.groupBy("node").agg(F.min("worst").alias("worst"))
     full = nodes.join(worst, "node", "left").select(F.col("node").alias("member"), "v", F.coalesce("worst", F.lit(-1e9).cast("float")).alias("worst"))
     rows = met.join(full, "member").select("centre", "member", "fresh", "worst", "v")
@@ -235,23 +246,53 @@ def walk(graph: DataFrame, nodes: DataFrame, starts: DataFrame, asked: DataFrame
     return state.select("query", "node")
 
 
+def bands(rows: DataFrame) -> tuple[float, dict[int, int]]:
+    """The largest log2 of a norm, and how many vectors each band holds (at most some thousand bands, as doubles go)."""
+    top = rows.agg(F.max("log_norm")).first()[0]
+    return top, {r["band"]: r["n"] for r in rows.groupBy(band_of(top).alias("band")).agg(F.count("*").alias("n")).collect()}
+
+
+def band_of(top: float) -> Column:
+    return F.floor((F.lit(top) - F.col("log_norm")) / BAND_BITS).cast("int")
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int = 20, beam: int = 100, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """Per query its k nearest among vectors, its own id left out: query_id, rank, vec_id, score."""
     spark = vectors.sparkSession
     ship(spark)
     rows, ask = usable(vectors, id_col, vec_col), usable(queries, id_col, vec_col)
-    d, most = rows.agg(F.max(F.size("x")), F.max(F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, c: a + c * c)))).first()
-    shape = "query_id long, rank int, vec_id long, score double"
+    d = rows.agg(F.max(F.size("x"))).first()[0]
     if d is None:
-        return spark.createDataFrame([], shape)
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rows, ask = rows.where(F.size("x") == d), ask.where(F.size("x") == d)
     # equal vectors: the k + 1 smallest ids stand for all of them (a query may be one)
     few = cut(rows.withColumn("r", F.row_number().over(Window.partitionBy("x").orderBy("id"))).where(F.col("r") <= k + 1))
-    heads = cut(few.where("r = 1").select(F.col("id").alias("node"), "x"))
-    members = few.join(heads, "x").select("node", F.col("id").alias("member"))
-    nodes, n = cut(copies(heads, d, most)), heads.count()
+    heads = cut(few.where("r = 1").select(F.col("id").alias("node"), "x", log_norm().alias("log_norm")))
+    members = few.join(heads.select("node", "x"), "x").select("node", F.col("id").alias("member"))
+    asked = cut(copies_of_queries(ask, d))
+    top, sizes = bands(heads)
+    found = None
+    for band, n in sorted(sizes.items()):
+        inside = heads.where(band_of(top) == band)
+        got = _searched(inside, n, ask, asked, d, ceil(top - band * BAND_BITS), k, beam)
+        found = got if found is None else found.unionByName(got)
+    # exact scores on the original vectors, one for each distinct vector
+    exact = F.aggregate(F.zip_with("x", "q", lambda a, b: a * b), F.lit(0.0), lambda a, c: a + c)
+    scored = found.join(heads, "node").join(ask.select(F.col("id").alias("query"), F.col("x").alias("q")), "query").select("query", "node", exact.alias("score"))
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "member")
+    return (
+        scored.join(members, "node").where("member <> query").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        .select(F.col("query").alias("query_id"), F.col("rank").cast("int").alias("rank"), F.col("member").alias("vec_id"), "score")
+    )
+
+
+def _searched(heads: DataFrame, n: int, ask: DataFrame, asked: DataFrame, d: int, scale: int, k: int, beam: int) -> DataFrame:
+    """query, node: the best that are found in one band (heads: node, x)."""
+    if n <= PIVOTS:
+        ids = [r["node"] for r in heads.select("node").collect()]
+        return asked.select("query", F.explode(F.array(*[F.lit(i) for i in ids])).alias("node"))
+    nodes = cut(copies(heads, d, scale))
     graph = neighbour_graph(nodes, n, d)
-    asked = cut(copies_of_queries(ask, d, most))
     pivots = nodes.orderBy(F.xxhash64("node")).limit(PIVOTS).collect()
     ids, table = np.array([p["node"] for p in pivots]), np.stack([np.frombuffer(p["v"], np.float16) for p in pivots]).astype(np.float32)
 
@@ -260,28 +301,20 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, beam: int = 100,
             q = halves(b.column(1))
             if not len(q):
                 continue
-            m = min(8, len(ids))
-            at = np.argsort(-(q @ table.T), axis=1, kind="stable")[:, :m]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), m)), pa.array(ids[at].ravel())], names=["query", "node"])
+            at = np.argsort(-(q @ table.T), axis=1, kind="stable")[:, :8]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), at.shape[1])), pa.array(ids[at].ravel())], names=["query", "node"])
 
     own = ask.join(heads, "x").select(F.col("id").alias("query"), "node")
     starts = asked.mapInArrow(enter, "query long, node long").unionByName(own).unionByName(own.join(graph, "node").select("query", F.col("near").alias("node")))
-    found = walk(graph, nodes, starts, asked, k, max(beam, 4 * k))
-    # exact scores on the original vectors, one for each distinct vector
-    exact = F.aggregate(F.zip_with("x", "q", lambda a, b: a * b), F.lit(0.0), lambda a, c: a + c)
-    scored = found.join(heads, "node").join(ask.select(F.col("id").alias("query"), F.col("x").alias("q")), "query").select("query", "node", exact.alias("score"))
-    order = Window.partitionBy("query").orderBy(F.desc("score"), "member")
-    return (
-        scored.join(members, "node").where("member <> query").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-        .select(F.col("query").alias("query_id"), F.col("rank").cast("int").alias("rank"), F.col("member").alias("vec_id"), "score")
-    )
+    return walk(graph, nodes, starts, asked, k, max(beam, 4 * k))
 
 
-def copies_of_queries(ask: DataFrame, d: int, most: float) -> DataFrame:
-    """query, q: a query has 0 where vectors have their further component."""
+def copies_of_queries(ask: DataFrame, d: int) -> DataFrame:
+    """query, q: a query is of norm 1 and has 0 where vectors have their further component."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = _floats(b.column(1), d)
+            x = x / np.abs(x).max(axis=1, initial=0)[:, None]
             x = x / np.linalg.norm(x, axis=1)[:, None]
             q = np.hstack([x, np.zeros((len(x), 1))]).astype(np.float16)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in q], pa.binary())], names=["query", "q"])
