@@ -10,10 +10,10 @@ components). A run longer than ``RUN`` goes on in blocks, one task for every pai
 3 differing bits at most one lies in one of two segments. ``near_duplicates``: documents whose sets of
 five-word shingles have a Jaccard similarity of 0.8 or more; exact. At that similarity fingerprints of shingles differ by
 up to 14 of 64 bits, which no few segments can hold, so first candidates come from the steadier
-fingerprint of distinct words (256 bits in 8 segments of 32), and each link is verified on the whole shingle sets.
-These links make most components at little cost but miss pairs (more than 15 differing bits, new words in a block, pairs
+fingerprint of distinct words (128 bits in 4 segments of 32), and each link is verified on the whole shingle sets.
+These links make most components at little cost but miss pairs (more than 7 differing bits, new words in a block, pairs
 off a run's forest). So every pair that may reach 0.8 and isn't in one component by then meets on its rarest shingles (``rare_pairs``,
-a prefix filter) and is verified too.
+a prefix filter) and is verified too. A shingle with more than ``HOT`` rows goes on in blocks as well.
 
 Words are runs of ``[^\\x20\\x09-\\x0D]`` after A-Z are lower-cased; hashes are XXH64, seed 42.
 
@@ -31,6 +31,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -213,25 +214,34 @@ def fingerprint_components(docs: DataFrame, size: int = 3, most: int = 3, id_col
 
 # -- near duplicates by shingle similarity
 
-WORDS = 4
+WORDS = 2
 #: Counters of the order of rarity, and the documents that are counted. Any common order is exact; a better one is faster.
-SLOTS, COUNTED = 1 << 21, 1 << 15
+SLOTS, COUNTED = 1 << 22, 1 << 17
 #: Pairs that a task holds before they go on.
 HELD = 1 << 18
+#: Rows of one shingle that a task holds; those of a more frequent one meet in blocks.
+HOT = 1 << 17
 
 
 def set_hash(shingles: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(shingles.tobytes(), SEED)
 
 
-def sketches(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
-    """node (the id), w0..w3: the 256 bits of the distinct words, check and same: fingerprint and hash of the set of shingles."""
+def sketches(docs: DataFrame, size: int, least: float, id_col: str, text_col: str, seen: Broadcast) -> DataFrame:
+    """A row for each document, from one pass over the texts: node (the id), w0, w1: the bits of its distinct words, check and same:
+    fingerprint and hash of its set of shingles, n: their number, prefix: the hashes of its rarest shingles in a common order.
+
+    Two sets with similarity t share one of the first n - ceil(t * n) + 1 of each in any common order. seen: as of ``rarity``.
+    """
     src = docs.select(F.col(id_col).cast("long").alias("node"), text_or_empty(text_col).alias("text")).where("node IS NOT NULL")
     seeds = np.array([xxhash.xxh64_intdigest(bytes([i]), SEED) | 1 for i in range(WORDS)], dtype=np.uint64)
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = seen.value
         for b in batches:
             cols: list[list[int]] = [[] for _ in range(WORDS + 2)]
+            sizes, prefixes = [], []
             for t in b.column(1).to_pylist():
                 w = words_of(t)
                 one = shingle_hashes(sorted(set(w)), 1) if len(w) > 1 else shingle_hashes(w, 1)
@@ -243,10 +253,15 @@ def sketches(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFram
                 shingles = np.unique(shingle_hashes(w, size))
                 cols[-2].append(majority(shingles))
                 cols[-1].append(set_hash(shingles))
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.array(c, dtype=np.uint64).view(np.int64)) for c in cols)], names=["node", *(f"w{i}" for i in range(WORDS)), "check", "same"])
+                sizes.append(len(shingles))
+                most = len(shingles) - int(_least_common(np.array(len(shingles)), least)) + 1 if len(shingles) else 0
+                # shingles are sorted, so a stable sort leaves equally rare ones in the order of their hashes
+                a, c = _slots(shingles)
+                prefixes.append(shingles[np.argsort(np.minimum(often[0][a], often[1][c]), kind="stable")[:most]].tobytes())
+            longs = [pa.array(np.array(c, dtype=np.uint64).view(np.int64)) for c in cols]
+            yield pa.RecordBatch.from_arrays([b.column(0), *longs, pa.array(sizes, pa.int32()), pa.array(prefixes, pa.binary())], names=["node", *(f"w{i}" for i in range(WORDS)), "check", "same", "n", "prefix"])
 
-    small_batches(docs.sparkSession)
-    return src.mapInArrow(run, "node long, " + ", ".join(f"w{i} long" for i in range(WORDS)) + ", check long, same long")
+    return src.mapInArrow(run, "node long, " + ", ".join(f"w{i} long" for i in range(WORDS)) + ", check long, same long, n int, prefix binary")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, size: int, least: float, id_col: str, text_col: str) -> DataFrame:
@@ -278,22 +293,29 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int, least: float, id_col:
     return pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(compare, "u long, v long")
 
 
-def rarity(src: DataFrame, n: int, size: int) -> np.ndarray:
-    """How often shingles of each slot occur in about COUNTED of the n rows of src (node, text)."""
+def _slots(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return shingles % np.uint64(SLOTS), (shingles >> np.uint64(32)) % np.uint64(SLOTS)
+
+
+def rarity(docs: DataFrame, size: int, text_col: str) -> Broadcast:
+    """How often (up to 255) shingles of each slot occur in about COUNTED documents; two rows of slots."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(SLOTS, dtype=np.uint16)
+        seen = np.zeros((2, SLOTS), dtype=np.uint8)
         for b in batches:
-            for t in b.column(1).to_pylist():
-                at = np.unique(np.unique(shingle_hashes(words_of(t), size)) % np.uint64(SLOTS))
-                seen[at] += seen[at] < 65535
+            for t in b.column(0).to_pylist():
+                for row, at in zip(seen, _slots(np.unique(shingle_hashes(words_of(t), size))), strict=True):
+                    at = np.unique(at)
+                    row[at] += row[at] < 255
         yield pa.RecordBatch.from_arrays([pa.array([seen.tobytes()], pa.binary())], names=["seen"])
 
-    some = src.where(F.pmod(F.xxhash64("node"), F.lit(max(1, n // COUNTED))) == 0).coalesce(6)
-    out = np.zeros(SLOTS, dtype=np.int32)
-    for r in some.mapInArrow(run, "seen binary").toLocalIterator():
-        out += np.frombuffer(r["seen"], dtype=np.uint16)
-    return np.minimum(out, 65535).astype(np.uint16)
+    small_batches(docs.sparkSession)
+    src = docs.select(text_or_empty(text_col).alias("text"))
+    some = src.where(F.pmod(F.xxhash64("text"), F.lit(max(1, src.count() // COUNTED))) == 0).coalesce(6)
+    out = np.zeros((2, SLOTS), dtype=np.uint16)
+    for r in some.mapInArrow(run, "seen binary").collect():  # six rows
+        out += np.frombuffer(r["seen"], dtype=np.uint8).reshape(2, SLOTS)
+    return docs.sparkSession.sparkContext.broadcast(np.minimum(out, 255).astype(np.uint8))
 
 
 def _least_common(n: np.ndarray, least: float) -> np.ndarray:
@@ -301,108 +323,162 @@ def _least_common(n: np.ndarray, least: float) -> np.ndarray:
     return np.ceil(n * least - 1e-9).astype(np.int64)
 
 
-def _across(node: np.ndarray, n: np.ndarray, at: np.ndarray, part: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of one key's rows (sorted by n) that lie in different components and may reach the similarity."""
+def _across(node: np.ndarray, n: np.ndarray, part: np.ndarray, least: float) -> Iterator[tuple[int, np.ndarray]]:
+    """Pairs (place, places) of one key's rows (sorted by n) that lie in different components and are near enough in size.
+
+    Rows of the largest component are never paired with one another.
+    """
     names, count = np.unique(part, return_counts=True)
     main = part == names[count.argmax()]
-    for i in np.nonzero(~main)[0].tolist():  # rows of the largest component are never paired with one another
+    for i in np.nonzero(~main)[0].tolist():
         lo, hi = np.searchsorted(n, n[i] * least - 1e-9), np.searchsorted(n, n[i] / least + 1e-9, side="right")
         j = np.arange(lo, hi)
-        j = j[(part[lo:hi] != part[i]) & (main[lo:hi] | (j > i))]
-        # the key is the pair's first common one: no more can be shared than what follows it in both
-        most = np.minimum(n[i] - at[i], n[j] - at[j])
-        j = j[most >= np.ceil((n[i] + n[j]) * (least / (1 + least)) - 1e-9)]
+        j = j[(part[lo:hi] != part[i]) & (main[lo:hi] | (j > i)) & (node[lo:hi] != node[i])]
         if len(j):
-            yield np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
+            yield i, j
+
+
+def _rows(node: np.ndarray, n: np.ndarray, found: Iterator[tuple[int, np.ndarray]]) -> Iterator[np.ndarray]:
+    """Rows u, v, larger size, smaller size of pairs."""
+    for i, j in found:
+        yield np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j]), np.maximum(n[i], n[j]), np.minimum(n[i], n[j])], axis=1)
 
 
-def rare_pairs(docs: DataFrame, n: int, gone: DataFrame, parts: DataFrame, size: int, least: float, id_col: str, text_col: str) -> DataFrame:
+def _counted(held: list[np.ndarray]) -> np.ndarray:
+    """Distinct rows with how often each occurs."""
+    if not held:
+        return np.empty((0, 5), dtype=np.int64)
+    rows, times = np.unique(np.concatenate(held), axis=0, return_counts=True)
+    return np.hstack([rows, times[:, None]])
+
+
+def _hot_pairs(over: DataFrame, least: float) -> DataFrame:
+    """u, v, large, small, times out of the rows (key, node, n, part) of frequent shingles.
+
+    All rows are dealt out to sides, and those outside the shingle's largest component to blocks besides; every block meets every
+    side in a group of its own, which holds at most some HOT rows.
+    """
+    parts = over.groupBy("key", "part").count()
+    names = parts.groupBy("key").agg(F.max_by("part", F.struct("count", "part")).alias("main"), F.sum("count").alias("rows"), F.max("count").alias("most"))
+    size = HOT // 4
+    shape = names.select("key", "main", F.ceil(F.col("rows") / size).cast("int").alias("sides"), F.greatest(F.lit(1), F.ceil((F.col("rows") - F.col("most")) / size)).cast("int").alias("blocks"))
+    rows = over.join(shape, "key").withColumns({"h": F.xxhash64("node", F.lit(SEED)), "other": F.col("part") != F.col("main")})
+    side, block = F.pmod("h", F.col("sides")).cast("int"), F.pmod(F.shiftright("h", 20), F.col("blocks")).cast("int")
+    every = rows.select("key", "node", "n", "part", "other", F.lit(False).alias("begins"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("a"), side.alias("b"))
+    begins = rows.where("other").select("key", "node", "n", "part", "other", F.lit(True).alias("begins"), block.alias("a"), F.explode(F.sequence(F.lit(0), F.col("sides") - 1)).alias("b"))
+
+    def meet(rows: pd.DataFrame) -> pd.DataFrame:
+        r = rows[~rows.begins].sort_values("n", kind="stable")
+        node, n, part, other = r.node.to_numpy(), r.n.to_numpy().astype(np.int64), r.part.to_numpy(), r.other.to_numpy()
+        held = []
+        for x in rows[rows.begins].itertuples():
+            lo, hi = np.searchsorted(n, x.n * least - 1e-9), np.searchsorted(n, x.n / least + 1e-9, side="right")
+            j = np.arange(lo, hi)
+            j = j[(part[lo:hi] != x.part) & (~other[lo:hi] | (node[lo:hi] > x.node))]  # two others meet twice, and count once
+            held.append(np.stack([np.minimum(x.node, node[j]), np.maximum(x.node, node[j]), np.maximum(x.n, n[j]), np.minimum(x.n, n[j])], axis=1))
+        return pd.DataFrame(_counted(held), columns=["u", "v", "large", "small", "times"])
+
+    return every.unionByName(begins).groupBy("key", "a", "b").applyInPandas(meet, "u long, v long, large long, small long, times long")
+
+
+def rare_pairs(found: DataFrame, gone: DataFrame, parts: DataFrame, least: float) -> DataFrame:
     """u, v: every pair of documents in different components that may have the similarity, and others.
 
-    Two sets with similarity t share one of the first n - ceil(t * n) + 1 of each in a common order. The order is by rarity, so shingles that
-    many documents hold hardly ever meet. gone (node, same): sets that another document stands for; parts: node, component.
+    They meet on their prefixes; as these hold the rarest shingles, those that many documents hold hardly ever meet. A pair must share
+    enough of them: what it shares beyond both prefixes is at most ceil(t * n) - 1 for the larger n, and t / (1 + t) of both sizes is needed.
+    found: rows of ``sketches``; gone (node, same): sets that another document stands for; parts: node, component.
     """
-    src = docs.select(F.col(id_col).cast("long").alias("node"), text_or_empty(text_col).alias("text")).where("node IS NOT NULL")
-    small_batches(docs.sparkSession)
-    seen = docs.sparkSession.sparkContext.broadcast(rarity(src, n, size))
-    shape = "key long, node long, same long, n int, at int"
+    docs = found.select("node", "same", "n", "prefix").join(checked_broadcast(gone, 1_000_000), ["node", "same"], "left_anti")
+    docs = docs.join(checked_broadcast(parts, 1_000_000), "node", "left").select("node", "n", F.coalesce("component", "node").alias("part"), "prefix")
 
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often = seen.value
+    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cols: list[list[np.ndarray]] = [[] for _ in range(5)]
-            for node, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                x = np.unique(shingle_hashes(words_of(t), size))
-                if not len(x):
-                    continue
-                m = len(x) - int(_least_common(np.array(len(x)), least)) + 1
-                # x is sorted, so a stable sort leaves equally rare ones in the order of their hashes
-                keys = x[np.argsort(often[x % np.uint64(SLOTS)], kind="stable")[:m]].view(np.int64)
-                same = np.array(set_hash(x), dtype=np.uint64).view(np.int64)
-                for c, v in zip(cols, (keys, np.full(m, node), np.full(m, same), np.full(m, len(x), dtype=np.int32), np.arange(m, dtype=np.int32)), strict=True):
-                    c.append(v)
-            if cols[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["key", "node", "same", "n", "at"])
-
-    rows = src.mapInArrow(first, shape).join(checked_broadcast(gone, 1_000_000), ["node", "same"], "left_anti")
-    rows = rows.join(checked_broadcast(parts, 1_000_000), "node", "left").select("key", "node", "n", "at", F.coalesce("component", "node").alias("part"))
+            raw = b.column(3).to_pylist()
+            size = np.array([len(x) // 8 for x in raw])
+            node, n, part = (np.repeat(b.column(i).to_numpy(zero_copy_only=False), size) for i in range(3))
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(raw), np.int64)), pa.array(node), pa.array(n), pa.array(part)], names=["key", "node", "n", "part"])
+
+    rows = docs.mapInArrow(rows_of, "key long, node long, n int, part long")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, many = [], 0
+        names = ["u", "v", "large", "small", "times"]
 
-        def out() -> pa.RecordBatch:
-            pairs = np.unique(np.concatenate([np.stack(p, axis=1) for p in held]), axis=0) if held else np.empty((0, 2), dtype=np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
+        def out(rows: np.ndarray) -> pa.RecordBatch:
+            """Pairs, or (times 0) a frequent shingle's rows: u is the node, v its component, large its size, small the key."""
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in rows.T], names=names)
 
         def runs() -> Iterator[list[np.ndarray]]:
-            """Whole runs of a key, many at a time; a long run's batches are put together once."""
+            """Whole runs of a key, many at a time; pieces of a run of over HOT rows come by themselves, marked by a fifth item."""
             wait: list[list[np.ndarray]] = []
+            many, hot = 0, None
             for b in batches:
                 if not b.num_rows:
                     continue
-                cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
+                cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+                if hot is not None:
+                    more = int(np.searchsorted(cols[0], hot, side="right"))
+                    if more:
+                        yield [*(c[:more] for c in cols), hot]
+                    cols = [c[more:] for c in cols]
+                    if not len(cols[0]):
+                        continue
+                    hot = None
                 wait.append(cols)
+                many += len(cols[0])
                 last = int(np.searchsorted(cols[0], cols[0][-1]))
-                if not last and (len(wait) == 1 or wait[-2][0][-1] == cols[0][0]):
-                    continue
-                whole = [np.concatenate(c) for c in zip(*wait, strict=True)]
-                last += len(whole[0]) - len(cols[0])
-                yield [c[:last] for c in whole]
-                wait = [[c[last:] for c in whole]]
+                if last or len(wait) > 1 and wait[-2][0][-1] != cols[0][0]:
+                    whole = [np.concatenate(c) for c in zip(*wait, strict=True)]
+                    last += len(whole[0]) - len(cols[0])
+                    yield [c[:last] for c in whole]
+                    wait, many = [[c[last:] for c in whole]], len(whole[0]) - last
+                if many > HOT:
+                    hot = wait[0][0][0]
+                    yield [*(np.concatenate(c) for c in zip(*wait, strict=True)), hot]
+                    wait, many = [], 0
             if wait:
                 yield [np.concatenate(c) for c in zip(*wait, strict=True)]
 
-        for key, node, n_, at, part in runs():
+        held, many = [], 0
+        for key, node, n, part, *hot in runs():
+            n = n.astype(np.int64)
+            if hot:
+                yield out(np.stack([node, part, n, key, np.zeros_like(n)], axis=1))
+                continue
             start = np.r_[0, np.nonzero(np.diff(key))[0] + 1]
             stop = np.r_[start[1:], len(key)]
             mixed = np.minimum.reduceat(part, start) != np.maximum.reduceat(part, start)
             for s, e in zip(start[mixed].tolist(), stop[mixed].tolist(), strict=True):
-                for u, v in _across(node[s:e], n_[s:e].astype(np.int64), at[s:e].astype(np.int64), part[s:e], least):
-                    ok = u != v
-                    held.append((u[ok], v[ok]))
-                    many += len(u)
+                for p in _rows(node[s:e], n[s:e], _across(node[s:e], n[s:e], part[s:e], least)):
+                    held.append(p)
+                    many += len(p)
                     if many > HELD:
-                        yield out()
+                        yield out(_counted(held))
                         held, many = [], 0
-        yield out()
+        yield out(_counted(held))
 
-    k = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(k, "key").sortWithinPartitions("key", "n").mapInArrow(meet, "u long, v long").distinct()
+    k = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = cut(rows.repartition(k, "key").sortWithinPartitions("key", "n").mapInArrow(meet, "u long, v long, large long, small long, times long"))
+    pairs, over = met.where("times > 0"), met.where("times = 0").select(F.col("small").alias("key"), F.col("u").alias("node"), F.col("large").cast("int").alias("n"), F.col("v").alias("part"))
+    pairs = pairs if over.isEmpty() else pairs.unionByName(_hot_pairs(over, least))
+    shared = pairs.groupBy("u", "v").agg(F.sum("times").alias("times"), F.max("large").alias("large"), F.min("small").alias("small"))
+    need = F.ceil((F.col("large") + F.col("small")) * (least / (1 + least)) - 1e-9) - F.ceil(F.col("large") * least - 1e-9) + 1
+    return shared.where(F.col("times") >= need).select("u", "v")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text", check_bits: int = 20) -> DataFrame:
     """node, component of the documents that have a near duplicate; component is the smallest id."""
-    found = cut(sketches(docs, size, id_col, text_col))
+    found = cut(sketches(docs, size, least, id_col, text_col, rarity(docs, size, text_col)))
     words = [f"w{i}" for i in range(WORDS)]
     # documents of one set are linked to the least of them, so a hot one is indexed once
     alike = [*words, "check", "same"]
-    heads = found.groupBy(*alike).agg(F.min("node").alias("node"))
-    copies = cut(found.withColumnRenamed("node", "v").join(heads.withColumnRenamed("node", "u"), alike).select("u", "v", "same").where("u <> v"))
+    known = found.drop("n", "prefix")
+    heads = known.groupBy(*alike).agg(F.min("node").alias("node"))
+    copies = cut(known.withColumnRenamed("node", "v").join(heads.withColumnRenamed("node", "u"), alike).select("u", "v", "same").where("u <> v"))
     near = equal_variant_links(variants(heads, words), check_bits, nearest=True)
     pairs = cut(near.unionByName(copies.select("u", "v")).distinct())
     links = cut(verified(pairs, docs, size, least, id_col, text_col))
     parts = components(links)
-    more = cut(rare_pairs(docs, found.count(), copies.select(F.col("v").alias("node"), "same").distinct(), parts, size, least, id_col, text_col))
+    more = cut(rare_pairs(found, copies.select(F.col("v").alias("node"), "same").distinct(), parts, least))
     if more.isEmpty():
         return parts
     return components(cut(parts.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(verified(more, docs, size, least, id_col, text_col))))
