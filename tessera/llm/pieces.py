@@ -4,22 +4,23 @@ Adjacent symbol pairs stand in an agenda ordered by the score of the piece they
 head is merged until no pair makes a piece. ``agenda`` is the heap for one sequence of any length;
 ``agendas`` runs the agendas of many short words side by side in numpy. A text is cut into words where the
 vocabulary proves that merges can't cross (no piece holds the two characters side by side), so a word is encoded once and
-kept (two generations of at most ``KEPT`` words).
+its ids are kept as bytes (two generations of at most ``KEPT`` words).
 
-Checks against the sentencepiece library: in every Arrow batch all words that were encoded in it are joined by line ends and
-encoded by the library in one call; with check="documents" the library also encodes each whole text. A difference is an
+Checks against the sentencepiece library, in every Arrow batch: with check="documents" (what the queries use) the library encodes
+each whole text; with check="words" only the words that were encoded in the batch, joined by line ends. A difference is an
 error. A model whose vocabulary doesn't keep line ends apart is always checked by documents. Decoding is the library's.
 
 Defined cases: a null or empty text gives the end id alone and decodes to an empty text; null ids and repeated
-rows pass through; an empty table gives an empty result; further columns are ignored unless asked for.
+rows pass through; an empty table gives an empty result; further columns are ignored unless asked for. A vocabulary may have up to
+2^21 symbols. Refused with an error: models of another type than BPE, with a normalisation table, with user-defined or unused pieces.
 """
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import heapq
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -32,35 +33,39 @@ from pyspark.sql import functions as F
 from tessera.llm.common import small_batches, text_or_empty
 
 SPACE = "▁"
-KEPT = 300_000
+KEPT = 200_000
 LONG = 48
-BITS = 15
+SYMBOL_BITS = 21
 GROUP = 16_384
-NONE = np.int32((1 << 31) - 1)
 PAD = -(1 << 21)
 
 
 class Words(dict):
-    """Ids of words. A word that isn't there gets an empty list, to be filled in place before the batch ends."""
+    """Ids of words, as bytes. A word that isn't there gets a bytearray, to be filled in place before the batch ends."""
 
     def __init__(self, old: dict):
         super().__init__()
         self.old, self.new = old, {}
 
-    def __missing__(self, word: str) -> list[int]:
+    def __missing__(self, word: str) -> bytes | bytearray:
         ids = self.old.get(word)
         if ids is None:
-            ids = self.new[word] = []
+            return self.new.setdefault(word, bytearray())
         self[word] = ids
         return ids
 
+    def settle(self) -> None:
+        """What is new is filled by now."""
+        self.update((w, bytes(ids)) for w, ids in self.new.items())
+        self.new = {}
+
 
 class PairTable:
-    """Pairs of symbols to rank << BITS | symbol made, by open addressing; looked up for whole arrays."""
+    """Pairs of symbols to rank << bits | symbol made, by open addressing; looked up for whole arrays."""
 
-    def __init__(self, keys: np.ndarray, made: np.ndarray):
-        self.bits = max(4, int(len(keys) * 4).bit_length())
-        self.keys, self.made = np.full(1 << self.bits, -1, dtype=np.int64), np.full(1 << self.bits, NONE, dtype=np.int32)
+    def __init__(self, keys: np.ndarray, made: np.ndarray, none: np.integer):
+        self.bits, self.none = max(4, int(len(keys) * 4).bit_length()), none
+        self.keys, self.made = np.full(1 << self.bits, -1, dtype=np.int64), np.full(1 << self.bits, none, dtype=none.dtype)
         for k, m, at in zip(keys.tolist(), made.tolist(), self.place(keys).tolist(), strict=True):
             while self.keys[at] >= 0:
                 at = (at + 1) & ((1 << self.bits) - 1)
@@ -71,11 +76,11 @@ class PairTable:
             return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def get(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        keys = (a.astype(np.int64) << 20) | b
-        keys[(a < 0) | (b < 0)] = 1 << 41  # symbols outside the vocabulary make no pair
+        keys = (a.astype(np.int64) << SYMBOL_BITS) | b
+        keys[(a < 0) | (b < 0)] = 1 << 2 * SYMBOL_BITS + 1  # symbols outside the vocabulary make no pair
         at = self.place(keys)
         found = self.keys[at]
-        out = np.where(found == keys, self.made[at], NONE).astype(np.int32)
+        out = np.where(found == keys, self.made[at], self.none)
         left = np.nonzero((found != keys) & (found >= 0))[0]
         while len(left):
             at[left] = (at[left] + 1) & ((1 << self.bits) - 1)
@@ -111,9 +116,11 @@ class PieceModel:
         rank = {s: r for r, s in enumerate(sorted({s for s, _ in normal.values()}, reverse=True))}
         pairs = {(self.sid[p[:k]], self.sid[p[k:]]): (rank[s], self.sid[p]) for p, (s, _) in normal.items() for k in range(1, len(p)) if p[:k] in self.sid and p[k:] in self.sid}
         self.pairs = pairs
-        if len(names) >= 1 << BITS or len(rank) >= 1 << BITS:
-            raise ValueError(f"at most {1 << BITS} symbols are supported")
-        self.table = PairTable(np.array([a << 20 | b for a, b in pairs], dtype=np.int64), np.array([r << BITS | s for r, s in pairs.values()], dtype=np.int64))
+        if len(names) >= 1 << SYMBOL_BITS:
+            raise ValueError(f"at most {1 << SYMBOL_BITS} symbols are supported")
+        self.bits = len(names).bit_length()  # of the symbol in a rank << bits | symbol
+        self.none = np.int32((1 << 31) - 1) if len(rank) << self.bits < (1 << 31) - 1 else np.int64((1 << 62) - 1)
+        self.table = PairTable(np.array([a << SYMBOL_BITS | b for a, b in pairs], dtype=np.int64), np.array([r << self.bits | s for r, s in pairs.values()], dtype=np.int64), self.none)
         # merges can't cross between characters that no piece holds side by side: words end before a space mark that follows
         # another character, around newlines, and where letters and other marks meet, as far as the vocabulary bears it out
         beside = {(a, b) for p in normal for a, b in zip(p, p[1:])}  # noqa: B905
@@ -130,8 +137,8 @@ class PieceModel:
             if len(name) == 1:
                 self.codes[ord(name)] = i
         self.number = [str(i) for i in range(len(proto.pieces))]
-        self.shared = np.array([*range(len(proto.pieces)), -1], dtype=object)
         self.kept = Words({})
+        self.end = np.int32(self.eos).tobytes()
         self.line, self.line_ids = line, self.agenda("\n") if line else ()
 
     def _bytes(self, char: str) -> tuple[int, ...]:
@@ -168,8 +175,8 @@ class PieceModel:
             propose(a, after[a])
         return self.ids(x for x in s if x is not None)
 
-    def agendas(self, words: list[str]) -> list:
-        """Many words of at most LONG characters: in each round every word merges the head of its agenda.
+    def agendas(self, words: list[str]) -> list[bytes]:
+        """Many words of at most LONG characters, their ids as bytes: in each round every word merges the head of its agenda.
 
         pair[i, j] is what symbol j makes with the one after it; symbols that were merged into the one before are PAD.
         """
@@ -180,7 +187,7 @@ class PieceModel:
         s = np.full((len(words), size + 2), PAD, dtype=np.int32)
         codes = np.frombuffer("".join(words).encode("utf-32-le"), dtype=np.uint32)
         s[:, :size][np.arange(size) < sizes[:, None]] = self.codes[codes]
-        pair = np.full((len(words), size + 1), NONE, dtype=np.int32)
+        pair = np.full((len(words), size + 1), self.none, dtype=self.none.dtype)
         real = s[:, 1:size] != PAD
         at = np.nonzero(real)
         pair[at] = self.table.get(s[at], s[at[0], at[1] + 1])
@@ -191,32 +198,26 @@ class PieceModel:
             rows = pair[live]
             head = rows.argmin(axis=1)  # the smallest rank; of equal ranks (which make one symbol) the first place
             best = rows[np.arange(len(live)), head]
-            open_ = best < NONE
+            open_ = best < self.none
             live, head, best = live[open_], head[open_], best[open_]
             nxt = after[live, head]
             far = after[live, nxt]
-            made = best & ((1 << BITS) - 1)
+            made = (best & ((1 << self.bits) - 1)).astype(np.int32)
             s[live, head], s[live, nxt] = made, PAD
             after[live, head], before[live, far] = far, head
-            pair[live, nxt] = NONE
+            pair[live, nxt] = self.none
             pair[live, head] = self.table.get(made, s[live, far])
             back = before[live, head]
             some = back >= 0
             pair[live[some], back[some]] = self.table.get(s[live[some], back[some]], made[some])
-        done = [None] * len(words)
-        self._finish(s, np.arange(len(words)), done)
-        return done
-
-    def _finish(self, s: np.ndarray, at: np.ndarray, done: list) -> None:
         real = s != PAD
         ends = np.cumsum(real.sum(axis=1)).tolist()
         flat = s[real]
         ids = np.where(flat >= 0, self.one[np.maximum(flat, 0)], -1)  # -1: the character takes several ids
         several = np.zeros(len(s), dtype=bool)
         several[np.nonzero(real)[0][ids < 0]] = True
-        ids, flat = self.shared[ids].tolist(), flat.tolist()  # one object for each id, however many words hold it
-        for i, b, e, more in zip(at.tolist(), [0, *ends], ends, several.tolist()):  # noqa: B905
-            done[i] = self.ids(flat[b:e]) if more else ids[b:e]
+        raw, flat = ids.astype(np.int32).tobytes(), flat.tolist()
+        return [np.array(self.ids(flat[b:e]), np.int32).tobytes() if more else raw[4 * b : 4 * e] for b, e, more in zip([0, *ends], ends, several.tolist())]  # noqa: B905
 
     def split(self, text: str) -> list[str]:
         if not text:
@@ -225,50 +226,44 @@ class PieceModel:
         text = SPACE + text if self.prefix else text
         return self.words.findall(text) if self.apart else [text]
 
-    def learn(self, new: dict[str, list[int]]) -> None:
-        """Fill the lists of new words."""
+    def learn(self, new: dict[str, bytearray]) -> None:
+        """Fill in the ids of new words."""
         short = sorted((w for w in new if len(w) <= LONG), key=len)
         for w in new:
             if len(w) > LONG:
-                new[w] += self.agenda(w)
+                new[w] += np.array(self.agenda(w), np.int32).tobytes()
         for i in range(0, len(short), GROUP):
             part = short[i : i + GROUP]
             for w, ids in zip(part, self.agendas(part), strict=True):
                 new[w] += ids
 
-    def agree(self, new: dict[str, list[int]]) -> None:
+    def agree(self, new: dict[str, bytearray]) -> None:
         """The library must encode the words alike; line ends keep them apart."""
         words = list(new)
-        parts = [words[i : i + 256] for i in range(0, len(words), 256)]
-        theirs = self.library.encode(["\n" + "\n".join(p).replace(SPACE, " ") for p in parts], num_threads=1)
-        first, mine = self.agenda(SPACE) if self.prefix else (), []
-        for p in parts:
-            mine.append([*first, *chain.from_iterable([*self.line_ids, *new[w]] for w in p)])
-        if mine != theirs:
-            bad = next((w for w, ids in new.items() if self.library.encode("\n" + w.replace(SPACE, " "))[-len(ids) :] != ids), "a word")
-            raise AssertionError(f"the library encodes {bad[:200]!r} otherwise")
-
-    def _checked(self, new: dict[str, list[int]], check: str) -> None:
-        self.learn(new)
-        if self.apart and self.line and check != "documents":  # whole documents hold the words too
-            self.agree(new)
-        self.kept.new = {}
-
-    def _kept(self) -> None:
+        line, first = np.array(self.line_ids, np.int32).tobytes(), np.array(self.agenda(SPACE) if self.prefix else (), np.int32).tobytes()
+        for i in range(0, len(words), 256):
+            part = words[i : i + 256]
+            theirs = array("i", self.library.encode("\n" + "\n".join(part).replace(SPACE, " "), num_threads=1)).tobytes()
+            if first + b"".join(line + new[w] for w in part) != theirs:
+                bad = next((w for w in part if array("i", self.library.encode("\n" + w.replace(SPACE, " "))).tobytes() != first + line + new[w]), "a word")
+                raise AssertionError(f"the library encodes {bad[:200]!r} otherwise")
+
+    def encode(self, texts: list[str], check: str = "words") -> list[bytes]:
+        """Per text its ids with the end id, as bytes of 32-bit numbers."""
+        rows = [list(map(self.kept.__getitem__, self.split(t))) for t in texts]
+        whole = check == "documents" or not (self.apart and self.line)
+        if self.kept.new:
+            self.learn(self.kept.new)
+            if not whole:  # whole documents hold the words too
+                self.agree(self.kept.new)
+            self.kept.settle()
+        out = [b"".join([*r, self.end]) for r in rows]
         if len(self.kept) > KEPT:
             self.kept.old = {}  # the generation before the last
             self.kept = Words(self.kept)
-
-    def encode(self, texts: list[str], check: str = "words") -> list[list[int]]:
-        """Per text its ids with the end id."""
-        rows = [list(map(self.kept.__getitem__, self.split(t))) for t in texts]
-        if self.kept.new:
-            self._checked(self.kept.new, check)
-        out = [[*chain.from_iterable(r), self.eos] for r in rows]
-        self._kept()
-        if check == "documents" or not (self.apart and self.line):
+        if whole:
             for t, ids, theirs in zip(texts, out, self.library.encode(texts, add_eos=True, num_threads=1), strict=True):
-                if ids != theirs:
+                if ids != array("i", theirs).tobytes():
                     raise AssertionError(f"the library encodes {t[:200]!r} otherwise")
         return out
 
@@ -297,20 +292,25 @@ def encode_documents(docs: DataFrame, model_path: str, columns: tuple[str, ...]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(data)
-        gc.disable()  # kept words are millions of small lists, none of them in a cycle
         for b in batches:
-            texts = b.column(len(keep)).to_pylist()
-            coded = model.encode(texts, check)
-            make = {
-                "n_tokens": lambda: list(map(len, coded)),  # noqa: B023
-                "ids": lambda: coded,  # noqa: B023
-                "ids_sha256": lambda: [_sha(" ".join(map(model.number.__getitem__, i))) for i in coded],  # noqa: B023
-            }
-            if {"decoded", "decoded_sha256"} & set(want):
-                back = [model.library.decode(i) for i in coded]
-                make |= {"decoded": lambda: back, "decoded_sha256": lambda: [_sha(t) for t in back]}  # noqa: B023
-            cols = [b.column(i) for i in range(len(keep))] + [pa.array(make[c](), COLUMNS[c]) for c in want]
-            yield pa.RecordBatch.from_arrays(cols, names=[*keep, *want])
+            coded = model.encode(b.column(len(keep)).to_pylist(), check)
+            sizes = [len(i) // 4 for i in coded]
+            made: dict[str, list] = {c: [] for c in want if c not in ("n_tokens", "ids")}
+            for raw in coded if made else ():
+                ids = array("i", raw).tolist()
+                if "ids_sha256" in made:
+                    made["ids_sha256"].append(_sha(" ".join(map(model.number.__getitem__, ids))))
+                if "decoded" in made or "decoded_sha256" in made:
+                    back = model.library.decode(ids)
+                    for c, v in (("decoded", back), ("decoded_sha256", _sha(back))):
+                        if c in made:
+                            made[c].append(v)
+            cols = {c: pa.array(v, COLUMNS[c]) for c, v in made.items()}
+            cols["n_tokens"] = pa.array(sizes, pa.int64())
+            if "ids" in want:
+                ends = np.r_[0, np.cumsum(sizes)].astype(np.int32)
+                cols["ids"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(coded), np.int32)))
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), *(cols[c] for c in want)], names=[*keep, *want])
 
     kinds = dict(src.dtypes)
     schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keep), *(f"{c} {TYPES[c]}" for c in want)])
