@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -63,6 +64,24 @@ def test_arc_parser_follows_lengths_and_refuses_other_headers(tmp_path):
         raise AssertionError
 
 
+def test_bad_arc_records_are_set_aside(spark, tmp_path):
+    """Types with blanks, a length that is no number, garbage, a record cut short: the others are converted."""
+    head = warc.arc_head(1, "a")
+    good = [warc.arc_record(1, f"http://x/{i}", warc.http_block(b"p%d" % i, i)) for i in range(4)]
+    good[1] = good[1].replace(b" text/html ", b" text/html; charset=utf-8 ", 1)
+    bad = [b"http://x/bad 0.0.0.0 20240101000000 text/html lots\nabc\n", b"\xff\xfe garbage\nmore garbage\n", b"http://x/cut 0.0.0.0 20240101000000 text/html 999999\nabc"]
+    p = tmp_path / "a.arc.gz"
+    p.write_bytes(b"".join(map(warc.member, [head, good[0], bad[0], good[1], bad[1], good[2], good[3], bad[2]])))
+    manifest = spark.createDataFrame([(f"file://{p}", 4)], "file string, records long")
+    out = warc.read_warc(warc.arc_to_warc(manifest, f"file://{tmp_path}/warc")).collect()
+    assert sorted((r.page_id, r.url, r.payload_bytes) for r in out) == [(i, f"http://x/{i}", 2) for i in range(4)]
+    faults = warc.arc_faults(manifest).collect()
+    assert [r.fault for r in faults] == ["no header line", "no header line", "a record is shorter than its declared length"]
+    two = warc.ARC_FIELDS[2].split(" ")
+    line = b"http://y 1.2.3.4 20240101000000 text/html; a=b c 200 - - 0 f.arc 12\n"
+    assert warc.arc_line(line, two)["Content-type"] == "text/html; a=b c" and warc.arc_line(line, two)["Archive-length"] == "12"
+
+
 # -- secrets
 
 
@@ -101,10 +120,21 @@ def test_only_unseen_pairs_are_scanned(spark):
     assert ledger.scan(more, rules=secrets.BASE).count() == 1
     new = (*secrets.BASE, secrets.Rule("word", 1, "pass"))
     assert {tuple(r.scanned) for r in ledger.scan(more, rules=new).collect()} == {("word@1",)}
-    assert {r.doc_id: len(r.spans) for r in ledger.findings(more, rules=new).collect()} == {1: 2, 2: 2, 3: 0, 4: 0}
+    assert {r.doc_id: len(r.spans) for r in ledger.findings(more).collect()} == {1: 2, 2: 2, 3: 0, 4: 0}
     assert secrets.scan_secrets(docs.where("false")).count() == 0
 
 
+def test_many_matches_and_long_texts_take_time_in_proportion(spark):
+    """200,000 matches in one text, and a text of 32 MB: every span has its place."""
+    many, long = 200_000, "x " * 16_000_000 + "token=abcdef"
+    docs = spark.createDataFrame([(1, "token=abcdef " * many), (2, long)], "doc_id long, text string")
+    began = time.time()
+    got = {r.doc_id: r for r in secrets.scan_secrets(docs).select("doc_id", F.size("spans").alias("n"), F.element_at("spans", -1).alias("last")).collect()}
+    assert got[1].n == many and (got[1].last.start, got[1].last.end) == (13 * (many - 1), 13 * many - 1)
+    assert got[2].n == 1 and got[2].last.start == 32_000_000
+    assert time.time() - began < 60
+
+
 # -- chat
 
 
@@ -130,8 +160,49 @@ def test_edits_regenerations_and_deltas(spark):
         (2, 0, "a", 0, "open", None, None), (2, 0, "a", 1, "edit", None, "x"),
     ]
     df = spark.createDataFrame(e, "conv_id long, turn long, tie string, seq int, event string, role string, text string").repartition(5)
-    got = [(r.conv_id, r.position, r.formatted) for r in chat.rendered_turns(df).orderBy("conv_id", "position").collect()]
-    assert got == [(1, 0, "[INST]hey[/INST]"), (1, 1, "<s>final</s>"), (2, 0, "[ROLE][/ROLE][MSG]x[/MSG]")]
+    got = [(r.conv_id, r.formatted) for r in chat.rendered_turns(df).orderBy("conv_id", "position").collect()]
+    assert got == [(1, "[INST]hey[/INST]"), (1, "<s>final</s>"), (2, "[ROLE][/ROLE][MSG]x[/MSG]")]
+    got = chat.read_back(df).orderBy("conv_id").collect()
+    assert [(r.conv_id, r.n_turns, r.loss_chars, r.formatted_chars) for r in got] == [(1, 2, 5, 28), (2, 1, 0, 25)]
+
+
+def test_pieces_of_any_size_are_read_back(spark):
+    turns = [("user", "a </s> b" * 3), ("assistant", "\\[INST]"), ("", "x[/MSG]"), ("[/ROLE]", ""), ("system", "é😀" * 20)]
+    whole = "".join(chat.render(r, t) for r, t in turns)
+    for n in (1, 2, 3, 7, 1000):
+        reader = chat.Reader()
+        assert [x for i in range(0, len(whole), n) for x in reader.feed(whole[i : i + n])] == turns
+        reader.close()
+    reader = chat.Reader()
+    list(reader.feed(whole + "[INST] open"))
+    try:
+        reader.close()
+    except ValueError:
+        return
+    raise AssertionError
+
+
+def test_logs_hold_drafts_edits_and_regenerations(spark):
+    rows = [(i, 0, "user", f"text {i} " * (i * 100)) for i in range(40)]
+    log = chat.to_events(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    assert {r.event for r in log.select("event").distinct().collect()} == {"open", "delta", "edit", "regenerate"}
+    got = {r.conv_id: r.turns_sha256 for r in chat.read_back(log).collect()}
+    assert got == {i: hashlib.sha256(f"user\n{t}\n".encode()).hexdigest() for i, _, _, t in rows}
+
+
+def test_a_long_text_takes_time_in_proportion(spark):
+    text = "".join(f"line {i} [INST] \\ é\n" for i in range(1_600_000))  # over 32 MB
+    df = spark.createDataFrame([(1, 0, "assistant", text)], "conv_id long, turn long, role string, text string")
+    began = time.time()
+    got = chat.read_back(chat.to_events(df)).first()
+    assert got.loss_chars == len(text) and got.loss_sha256 == hashlib.sha256(text.encode()).hexdigest()
+    assert time.time() - began < 60
+
+
+def test_hot_conversations_lie_in_many_tasks(spark):
+    df = spark.range(0, 4000).selectExpr("7L as conv_id", "id as turn", "if(id % 2 = 0, 'user', 'assistant') as role", "concat('t', id) as text")
+    rows = chat.rendered_turns(chat.to_events(df)).withColumn("task", F.spark_partition_id()).orderBy("position").collect()
+    assert [r.formatted for r in rows] == [chat.render(["user", "assistant"][i % 2], f"t{i}") for i in range(4000)] and len({r.task for r in rows}) > 1
 
 
 def test_nulls_ties_and_long_texts(spark):

@@ -180,10 +180,44 @@ def test_keep_first_keeps_whole_rows(spark):
     assert exact_dedup.keep_first(docs.where("false")).count() == 0
 
 
-def test_index_takes_batches(spark):
+def test_a_batch_opens_only_runs_whose_filter_hits_and_runs_are_compacted_by_tiers(spark):
     index = exact_dedup.DigestIndex(spark)
-    for part in ([(9, "a"), (4, "b")], [(2, "a"), (7, "c")]):
-        index.ingest(spark.createDataFrame(part, "doc_id long, text string"))
-    got = {r.digest.hex(): (r["first"].id, r.n) for r in index.compact().collect()}
     sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
-    assert got == {sha("a"): (2, 2), sha("b"): (4, 1), sha("c"): (7, 1)}
+    batch = lambda part: spark.createDataFrame(part, "doc_id long, text string")
+    out = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.decisions(batch([(9, "a"), (4, "b"), (5, "b")]), index=index).collect()}
+    assert out == {9: (9, 1, True), 4: (4, 2, True), 5: (4, 2, False)} and index.opened == []
+    first = index.levels[0][0]
+    out = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.decisions(batch([(2, "a"), (7, "c"), (8, "b")]), index=index).collect()}
+    assert out == {2: (2, 2, True), 7: (7, 1, True), 8: (4, 3, False)} and index.opened == [first]
+    second = index.levels[0][1]
+    exact_dedup.decisions(batch([(20, "new"), (21, "texts")]), index=index).collect()
+    assert index.opened == []  # neither run was read
+    exact_dedup.decisions(batch([(1, "c")]), index=index).collect()
+    assert index.opened == [second]
+    assert [len(level) for level in index.levels] == [0, 1]  # four runs have become one of the next level
+    got = {r.digest.hex(): (r["first"].id, r.n) for r in index.state().collect()}
+    assert got == {sha("a"): (2, 2), sha("b"): (4, 3), sha("c"): (1, 2), sha("new"): (20, 1), sha("texts"): (21, 1)}
+    assert exact_dedup.decisions(batch([]), index=index).count() == 0 and exact_dedup.DigestIndex(spark).state() is None
+
+
+
+@pytest.mark.parametrize("hot", [1 << 17, 16])
+def test_frequent_shingles_meet_in_blocks(spark, monkeypatch, hot):
+    """Without any component known, the prefix filter alone gives every near pair, also where a shingle's rows outgrow the bound."""
+    monkeypatch.setattr(simhash, "HOT", hot)
+    r = random.Random(6)
+    texts = []
+    for _ in range(2):
+        base = [f"w{r.randrange(10**6)}" for _ in range(120)]
+        for _ in range(60):
+            x = list(base)
+            for i in r.sample(range(120), r.randint(1, 4)):
+                x[i] = f"n{r.randrange(10**6)}"
+            texts.append(x)
+    texts += [["short", "text"], [], texts[0][:100], texts[0] + ["more"] * 9]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = simhash.cut(simhash.sketches(docs, 5, 0.8, "doc_id", "text", simhash.rarity(docs, 5, "text")))
+    none = spark.createDataFrame([], "node long, same long"), spark.createDataFrame([], "node long, component long")
+    pairs = {(x.u, x.v) for x in simhash.verified(simhash.rare_pairs(found, *none, 0.8), docs, 5, 0.8, "doc_id", "text").collect()}
+    sets = [frozenset(tuple(t[i : i + 5]) for i in range(max(1, len(t) - 4))) if t else frozenset() for t in texts]
+    assert pairs == {(a, b) for b in range(len(sets)) for a in range(b) if sets[a] and sets[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}

@@ -19,36 +19,59 @@ MODEL = public_tokenizers.path("piece_bpe_32k.model")
 # -- sharding
 
 
+def plain_lpt(sizes, shards):
+    """One group after the other: largest first, to the least-loaded shard, of equal loads the first."""
+    loads, out = [0] * shards, []
+    for size in sorted(sizes, reverse=True):
+        at = min(range(shards), key=lambda i: (loads[i], i))
+        loads[at] += size
+        out.append((size, at))
+    return out
+
+
+def places(schedule):
+    return {size: lambda r, s=segments: (lambda seg: seg[1][(r - seg[0]) % len(seg[1])])([x for x in s if x[0] <= r][-1]) for size, segments in schedule.items()}
+
+
 def test_schedule_is_lpt():
-    sizes = [("a", 7), ("b", 6), ("c", 5), ("d", 4), ("e", 3), ("f", 2)]
-    got = sharding.schedule(sizes, 3)
-    loads = Counter()
-    for n, s in sizes:
-        loads[got[n]] += s
-    assert got == {"a": 0, "b": 1, "c": 2, "d": 2, "e": 1, "f": 0} and sorted(loads.values()) == [9, 9, 9]
-
-
-@pytest.mark.parametrize("units", [1000, 2])
-def test_shards(spark, sf, monkeypatch, units):
-    """units 2: most groups go in packs."""
-    monkeypatch.setattr(sharding, "UNITS", units)
-    monkeypatch.setattr(sharding, "SLOT_ROWS", 7)
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    @settings(max_examples=300, deadline=None)
+    @given(st.lists(st.tuples(st.integers(1, 60), st.integers(1, 90)), max_size=12, unique_by=lambda t: t[0]), st.integers(1, 7))
+    def check(classes, shards):
+        got = places(sharding.schedule(classes, shards))
+        mine = [(size, got[size](r)) for size, n in sorted(classes, reverse=True) for r in range(n)]
+        assert mine == plain_lpt([size for size, n in classes for _ in range(n)], shards)
+
+    check()
+    assert plain_lpt([7, 6, 5, 4, 3, 2], 3) == [(7, 0), (6, 1), (5, 2), (4, 2), (3, 1), (2, 0)]
+
+
+def test_turns_of_very_many_groups():
+    loads = [10**12, 5, 0, 123_456]
+    segments = sharding.turns(loads, 8, 10**10)
+    assert sum(loads) == 10**12 + 5 + 123_456 + 8 * 10**10 and loads[0] == 10**12 and max(loads[1:]) - min(loads[1:]) <= 8 and len(segments) <= 4
+
+
+@pytest.mark.parametrize("rows", [4096, 7])
+def test_shards_are_those_of_plain_lpt(spark, sf, monkeypatch, rows):
+    """rows 7: groups of a size, and slots, lie in many buckets."""
+    monkeypatch.setattr(sharding, "SLOT_ROWS", rows)
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
-    docs = docs.unionByName(docs).unionByName(spark.createDataFrame([(1, None), (None, ""), (None, None)], docs.schema)).withColumn("unit", F.lit(1))
-    rows = docs.collect()
+    many = spark.range(0, 300).selectExpr("10000 + id as doc_id", "concat('t', 100 + id % 150) as text")
+    docs = docs.unionByName(docs).unionByName(many).unionByName(spark.createDataFrame([(1, None), (None, ""), (None, None), (5, "é" * 500_000)], docs.schema)).withColumn("bytes", F.lit(1))
+    given = docs.collect()
     got = sharding.shard_documents(docs, 5).collect()
-    assert sorted((str(r.doc_id), r.size, r.text_crc32) for r in got) == sorted((str(r.doc_id), len((r.text or "").encode()) + 8, zlib.crc32((r.text or "").encode())) for r in rows)
-    by, slots, loads = defaultdict(set), defaultdict(list), Counter()
+    assert sorted((str(r.doc_id), r.size, r.text_crc32) for r in got) == sorted((str(r.doc_id), len((r.text or "").encode()) + 8, zlib.crc32((r.text or "").encode())) for r in given)
+    by, slots, sizes = {}, defaultdict(list), Counter()
     for r in got:
-        by[bytes(r.digest)].add(r.shard)
+        assert by.setdefault(bytes(r.digest), r.shard) == r.shard
         slots[r.shard].append(r.slot)
-        loads[r.shard] += r.size
-    assert all(len(s) == 1 for s in by.values()) and all(sorted(s) == list(range(len(s))) for s in slots.values())
-    if units == 1000:
-        groups = Counter()
-        for r in got:
-            groups[bytes(r.digest)] += r.size
-        assert max(loads.values()) - min(loads.values()) <= max(groups.values())
+        sizes[bytes(r.digest)] += r.size
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    order = sorted(sizes, key=lambda d: (-sizes[d], d))
+    assert [(sizes[d], by[d]) for d in order] == plain_lpt(sizes.values(), 5)
     assert sharding.shard_documents(docs.where("false"), 5).count() == 0
 
 
@@ -87,10 +110,31 @@ def test_entropy_target_and_budget(spark):
     assert mixing.mix(docs.where("false")).count() == 0
 
 
+def test_every_reading_has_its_own_permutation_and_names_do_not_clash(spark):
+    docs = corpus(spark)
+    keys = defaultdict(dict)
+    for r in mixing.mix(docs.where("source = 'mid' OR source = 'big'"), max_repeats=2.0).collect():
+        keys[r.mix_epoch][r.doc_id] = r.mix_key
+    both = sorted(set(keys[0]) & set(keys[1]))
+    assert len(both) > 20 and sorted(both, key=keys[0].get) != sorted(both, key=keys[1].get)
+    odd = docs.withColumn("mix_key", F.lit("x")).withColumn("_mix_last", F.lit("y"))
+    out = mixing.mix(odd, max_repeats=2.0)
+    assert out.columns == [*odd.columns, "__mix_epoch", "__mix_key", "__mix_alpha", "__mix_weight"]
+    assert Counter(r.doc_id for r in out.collect()) == Counter(r.doc_id for r in mixing.mix(docs, max_repeats=2.0).collect())
+
+
+def test_null_ids_repeated_rows_and_long_texts_are_mixed(spark):
+    rows = [(None, "a b", "s"), (None, "a b", "s"), (1, None, "s"), (2, "c", "s"), (2, "c", "s"), (3, "w " * 2_000_000, "long")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = mixing.mix(docs, max_repeats=2.0)
+    n = Counter((r.doc_id, r.source) for r in out.select("doc_id", "source").collect())
+    assert set(n) == {(None, "s"), (1, "s"), (2, "s"), (3, "long")} and n[None, "s"] % 2 == 0 and n[3, "long"] == 1 and n[1, "s"] <= 2 * n[3, "long"] + 1
+
+
 def test_partial_reading_is_a_prefix_of_the_permutation(spark):
     """Blocks of a few rows give the same cut as one running sum."""
     docs = corpus(spark)
-    counted = docs.select("source", mixing.key_of("doc_id", 17).alias("key"), mixing.token_count().alias("tokens"))
+    counted = docs.select("source", mixing.key_of("doc_id", 17, F.lit(0)).alias("key"), mixing.token_count().alias("tokens"))
     shares = spark.createDataFrame([("big", 555), ("mid", 0), (None, 99), ("none", 0)], "source string, rest long")
     keys = defaultdict(list)
     for r in counted.collect():
@@ -115,6 +159,14 @@ def model():
         return pieces.PieceModel(f.read())
 
 
+def numbers(raw):
+    return np.frombuffer(raw, np.int32).tolist()
+
+
+def encoded(model, texts, check="words"):
+    return [numbers(raw) for raw in model.encode(texts, check)]
+
+
 def test_agendas_equal_the_library(model):
     from hypothesis import given, settings
     from hypothesis import strategies as st
@@ -125,20 +177,20 @@ def test_agendas_equal_the_library(model):
     @given(st.text(alphabet, max_size=120))
     def check(text):
         theirs = model.library.encode(text)
-        assert model.encode([text]) == model.encode([text], "documents") == [[*theirs, 2]]
+        assert encoded(model, [text]) == encoded(model, [text], "documents") == [[*theirs, 2]]
         whole = ("▁" + text.replace(" ", "▁")) if text else ""
         assert list(model.agenda(whole)) == theirs
 
     check()
     words = ["▁tionthe", "▁" * 30, "aaaaaaaaaaaa", "é", "▁the"]
-    assert list(map(tuple, model.agendas(words))) == [model.agenda(w) for w in words]
+    assert [tuple(numbers(raw)) for raw in model.agendas(words)] == [model.agenda(w) for w in words]
 
 
 def test_kept_words_may_run_out(model, monkeypatch):
     monkeypatch.setattr(pieces, "KEPT", 3)
     texts = [f"the quick{i} brown fox jumps{i % 3} over the lazy dog" for i in range(20)]
     for i in range(0, 20, 4):
-        assert model.encode(texts[i : i + 4], "documents") == [[*x, 2] for x in model.library.encode(texts[i : i + 4])]
+        assert encoded(model, texts[i : i + 4], "documents") == [[*x, 2] for x in model.library.encode(texts[i : i + 4])]
 
 
 def test_documents(spark, sf):
