@@ -192,3 +192,10 @@ def pending_reviews(files: DataFrame) -> DataFrame:
 def registry_text(entries: list[dict]) -> str:
     """SC34: a registry as text; positions are kept, so a round trip changes nothing."""
     return json.dumps({"projects": entries}, ensure_ascii=False, indent=1)
+
+
+def registry_rows(texts: DataFrame, col: str = "text") -> DataFrame:
+    """SC34: path, target, registered_at, last_sync, state and place of the entries of registries (JSON, which is YAML)."""
+    entry = "struct<path:string,target:string,registered_at:string,last_sync:string,state:string>"
+    each = texts.select(F.posexplode(F.from_json(col, f"struct<projects:array<{entry}>>")["projects"]).alias("place", "e")).select("place", "e.*")
+    return each.where("coalesce(path, '') <> '' AND coalesce(target, '') <> ''").withColumn("state", F.coalesce("state", F.lit("active")))

@@ -35,6 +35,12 @@ def month_to_date(events: DataFrame, now: str) -> DataFrame:
     return events.where(inside).agg(F.coalesce(F.sum("usd"), F.lit(0.0)).alias("usd"))
 
 
+def of_day(events: DataFrame, day: str) -> DataFrame:
+    """Usd of the one-day window that ends at the next midnight, both ends included as in A3."""
+    start = F.lit(day).cast("date").cast("timestamp_ntz")
+    return events.where(F.col("ts").between(start, start + F.expr("INTERVAL 1 DAY"))).agg(F.coalesce(F.bround(F.sum("usd"), 8), F.lit(0.0)).alias("usd"))
+
+
 def cap_status(month: DataFrame, cap: float | None) -> DataFrame:
     """month's usd against a cap (none: no limit)."""
     if not cap:

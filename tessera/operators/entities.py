@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions import text as X
 from tessera.operators import vocabulary as V
@@ -117,11 +118,16 @@ def legacy(rows: DataFrame, kind: str) -> DataFrame:
 
 
 def front_matter(entities: DataFrame) -> DataFrame:
-    """The row as JSON without empty fields, in the schema's order."""
+    """The row as JSON without empty fields: the common ones, relations, then the attributes beside them."""
     text = lambda c: F.nullif(c, F.lit(""))
     some = lambda c: F.when(F.size(c) > 0, F.col(c))
     cols = [text(c).alias(c) for c in ("slug", "title", "type", "status", "created", "updated", "observed_at", "t_invalid")]
     cols += [some(c).alias(c) for c in ("sources", "related", *V.RELATIONS)]
+    if "attrs" in entities.columns:
+        for f in entities.schema["attrs"].dataType.fields:
+            value = F.col(f"attrs.{f.name}")
+            kept = F.nullif(value, F.lit("")) if f.dataType.typeName() == "string" else F.when(F.size(value) > 0, value) if f.dataType.typeName() == "array" else value
+            cols.append(kept.alias(f.name))
     return entities.select("type", "slug", F.to_json(F.struct(*cols)).alias("meta"), "body")
 
 
@@ -129,3 +135,20 @@ def unique_slug(rows: DataFrame, order: str) -> DataFrame:
     """Of equal slugs the later get -2, -3 and so on."""
     n = F.row_number().over(Window.partitionBy("slug").orderBy(order))
     return rows.withColumn("slug", F.when(n == 1, F.col("slug")).otherwise(F.concat("slug", F.lit("-"), n)))
+
+
+def from_front_matter(pages: DataFrame) -> DataFrame:
+    """Pages (path, meta: front matter as JSON, body) to rows of ``vocabulary.ENTITY``, with the loader's rules (``construct``)."""
+    fields = [f for f in V.ENTITY.fields if f.name not in ("attrs", "body", "path")]
+    shape = T.StructType([*fields, *V.ATTRS.fields])
+    m = pages.select("path", "body", F.from_json("meta", shape).alias("m")).where("m IS NOT NULL")
+    none = F.array().cast("array<string>")
+    cols = [F.coalesce(f"m.{f.name}", none if f.dataType.typeName() == "array" else F.lit("")).alias(f.name) for f in fields]
+    attrs = F.struct(*[F.col(f"m.{f.name}").alias(f.name) for f in V.ATTRS.fields])
+    rows = construct(m.select(*cols, attrs.alias("attrs"), F.coalesce("body", F.lit("")).alias("body"), "path"))
+    return rows.select([f.name for f in V.ENTITY.fields])
+
+
+def insights(entities: DataFrame) -> DataFrame:
+    """Insights by created, then id."""
+    return scan(entities, "insight").orderBy("created", "slug")

@@ -27,6 +27,12 @@ def edges(entities: DataFrame, related: bool = True) -> DataFrame:
     )
 
 
+def resolved(e: DataFrame, entities: DataFrame) -> DataFrame:
+    """Edges with the page that each target means, the first loaded of its slug (TR9); edges to no page go."""
+    first = entities.groupBy("slug").agg(F.min_by(F.struct("type", "title"), "load_ord").alias("p"))
+    return e.join(first.withColumnRenamed("slug", "target"), "target").select(*e.columns, F.col("p.type").alias("type"), F.col("p.title").alias("title"))
+
+
 def typed_neighbors(e: DataFrame) -> DataFrame:
     """G1: per source and relation its distinct targets in order."""
     first = e.where("relation <> 'related'").groupBy("src_slug", "relation", "target").agg(F.min("pos").alias("pos"))

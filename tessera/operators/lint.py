@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
+from tessera.operators import graph as G
 from tessera.operators import vocabulary as V
 
 REQUIRED = ("type", "slug", "title", "status")
@@ -82,12 +83,31 @@ def index_stale(declared: DataFrame, pages: DataFrame) -> DataFrame:
     return declared.limit(1).join(pages.agg(F.count("*").cast("long").alias("found"))).where("total <> found").select(F.lit("index_stale").alias("code"), "total", "found")
 
 
-def all_rules(entities: DataFrame, e: DataFrame) -> DataFrame:
-    """Code, path, message of every rule over entities with paths."""
+def parse_faults(pages: DataFrame) -> DataFrame:
+    """L1: pages (path, meta) whose front matter is missing or no mapping."""
+    return pages.where(F.col("meta").isNull()).select(F.lit("frontmatter_parse").alias("code"), "path", F.lit("no front matter").alias("message"))
+
+
+def all_rules(entities: DataFrame, e: DataFrame, faults: DataFrame | None = None, declared: DataFrame | None = None) -> DataFrame:
+    """L1: code, path, message of every rule over entities with paths; faults: pages (path, meta) that can't be read; declared: total."""
     where = entities.select(F.col("slug").alias("src_slug"), "path")
     rel = relation_rules(e, entities).join(where, "src_slug").select("code", "path", F.concat_ws(" ", "relation", "target").alias("message"))
     loose = residual(entities).select(F.lit("legacy_related_residual").alias("code"), "path", F.lit("related only").alias("message"))
-    return page_rules(entities).unionByName(field_rules(entities)).unionByName(rel).unionByName(loose)
+    out = page_rules(entities).unionByName(field_rules(entities)).unionByName(rel).unionByName(loose)
+    files = entities.select("path")
+    if faults is not None:
+        out = parse_faults(faults).unionByName(out)
+        files = files.unionByName(faults.where("meta IS NULL").select("path"))
+    if declared is not None:
+        stale_ = index_stale(declared, files)
+        out = out.unionByName(stale_.select("code", F.lit("").alias("path"), F.concat(F.lit("total="), "total", F.lit(" found="), "found").alias("message")))
+    return out
+
+
+def full_lint(entities: DataFrame, faults: DataFrame | None = None, declared: DataFrame | None = None) -> DataFrame:
+    """Dead links go first (M4), then every rule. entities need load_ord and path."""
+    fixed = G.without_dead_links(entities, entities)
+    return all_rules(fixed, G.edges(fixed), faults, declared)
 
 
 # -- cleanup. files: path, folder, kind (inbox, project, resume, memory_inbox, report, card), age_days, size_bytes, pinned, cleanup
@@ -128,9 +148,16 @@ def empty_folders(folders: DataFrame, entries: DataFrame) -> DataFrame:
     return folders.where(~protected()).join(entries.select(F.col("parent").alias("path")).distinct(), "path", "left_anti")
 
 
-def scan_all(files: DataFrame) -> DataFrame:
-    """L14."""
-    return stale(files).unionByName(dormant(files))
+def scan_all(files: DataFrame, cards: DataFrame | None = None, folders: DataFrame | None = None, entries: DataFrame | None = None) -> DataFrame:
+    """Kind, path, age_days, size_bytes of all seven scans; cards (path, status, attrs, size_bytes, pinned, cleanup) and
+    folders with their entries are scanned where they are given."""
+    out = stale(files).unionByName(dormant(files))
+    age = F.lit(None).cast("long").alias("age_days")
+    if cards is not None:
+        out = out.unionByName(cards.where(empty_card() & ~skipped()).select(F.lit("empty_card").alias("kind"), "path", age, F.col("size_bytes").cast("long").alias("size_bytes")))
+    if folders is not None:
+        out = out.unionByName(empty_folders(folders, entries).select(F.lit("empty_folder").alias("kind"), "path", age, F.lit(0).cast("long").alias("size_bytes")))
+    return out
 
 
 def archive_path(day: str, root: str = "99_Archive") -> Column:
@@ -144,6 +171,11 @@ def cleanup_status(candidates: DataFrame, dry_run: bool = True) -> DataFrame:
     return candidates.withColumn("status", s)
 
 
+def manifest(results: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Results (path, status, target, size_bytes) by status: files, bytes, first_target."""
+    return results.groupBy(*by, "status").agg(F.count("*").alias("files"), F.sum("size_bytes").cast("long").alias("bytes"), F.min("target").alias("first_target"))
+
+
 def freshness(watermarks: DataFrame, now: str, days: int = 7) -> DataFrame:
     """Source, iso, stale."""
     at = F.try_to_timestamp(F.col("iso"))

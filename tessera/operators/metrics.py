@@ -107,3 +107,11 @@ def dominant_tag(records: DataFrame, by: str, share: float = 0.3) -> DataFrame:
     tags = records.select(by, "ord", F.posexplode("tags").alias("pos", "tag")).groupBy(by, "tag").agg(F.count("*").alias("seen"), F.min(F.struct("ord", "pos")).alias("first"))
     top = tags.groupBy(by).agg(F.max_by(F.struct("tag", "seen"), F.struct("seen", F.struct((-F.col("first.ord")).alias("o"), (-F.col("first.pos")).alias("p")))).alias("t"))
     return n.join(top, by).where(F.col("t.seen") / F.col("records") >= share).select(by, F.col("t.tag").alias("tag"), F.col("t.seen").alias("seen"))
+
+
+def backfill(batches: DataFrame) -> DataFrame:
+    """Batches (batch, docs, pages, errors) in order up to the first in which all documents fail, as one row of sums."""
+    last = batches.where((F.col("docs") > 0) & (F.col("errors") >= F.col("docs"))).agg(F.min("batch").alias("last"))
+    s = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c)
+    upto = batches.join(F.broadcast(last)).where("last IS NULL OR batch <= last")  # one row
+    return upto.agg(F.count("*").alias("batches"), s("docs"), s("pages"), s("errors"), F.coalesce(F.max(F.col("last").isNotNull()), F.lit(False)).alias("stopped"))

@@ -1,22 +1,22 @@
 """Related pages of a text (J2, J5, J11, FP18, G5-G6, S2-S3): seeds by name, then staged neighbours, then a cut.
 
-A page is emitted once for each query, at the first place at which the stages reach it. Places are explicit
-columns (stage, seed, step, position), so the result is the sequential one wherever stages are independent. The
-cap of stage (d) counts sources that no earlier place has emitted; earlier places are taken as those of the
-seeds and of stages (a) to (c) and (e) of any seed and (d) of the same seed, which differs from the sequential reading only
-where two seeds share more than the cap of sources.
+A page is emitted once for each query, at the first place at which the stages reach it. Only stage (d), whose cap counts pages that no earlier
+place has shown, needs the places in order. As at most ``most`` pages are shown, of each seed's and stage's list the first few pages
+are enough: windows with a limit leave so many before the shuffle, and one bounded group for each query is then gone through in order. All joins
+start from the seeds; no whole closure or list of a hub's inbound edges is formed.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
 from tessera.operators import graph as G
 from tessera.operators import vocabulary as V
 from tessera.operators.entities import is_current
-from tessera.session import checked_broadcast
+from tessera.session import checked_broadcast, ship
 
 MAX_PAGES = 12
 REVERSE_CAP = 5
@@ -34,23 +34,31 @@ def intents(text_col: str = "text"):
 GRAMS = (8, 4, 1)
 
 
+def _grams(text: str, n: int) -> Column:
+    """Distinct runs of n characters."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
+
+
 def name_seeds(queries: DataFrame, pages: DataFrame) -> DataFrame:
     """Query, slug, load_ord of pages whose title or slug occurs in the text, first page of each slug.
 
-    A containment join without a cross join: a name can only occur where its first characters do, so texts are cut into their
-    distinct runs of so many characters (8; 4 and 1 for shorter names) and meet names on equality. The whole name is then
-    verified with ``contains``. The names' side is broadcast if it is small enough, so that texts don't move.
+    A containment join without a cross join: a name can only occur where each of its runs of 8 characters does (4 or 1 for shorter names),
+    so a name stands under the one of its runs that fewest names have, and texts meet names on equality of runs. Rows of the join hold
+    ids and names only; the texts are joined back to the distinct pairs and the whole name is verified with ``contains``.
     """
     texts = queries.select("query", F.lower(F.coalesce("text", F.lit(""))).alias("low"))
     names = pages.select("slug", "load_ord", F.explode(F.array_distinct(F.array(F.lower("title"), F.lower("slug")))).alias("name")).where("name <> ''")
+    names = names.groupBy("name", "slug").agg(F.min("load_ord").alias("load_ord"))
     met, above = None, None
     for n in GRAMS:
-        some = names.where((F.length("name") >= n) & (F.length("name") < above if above else F.lit(True))).withColumn("gram", F.left("name", F.lit(n)))
+        some = names.where((F.length("name") >= n) & (F.length("name") < above if above else F.lit(True))).select("name").distinct()
         above = n
-        cuts = F.array_distinct(F.regexp_extract_all("low", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
-        rows = texts.select("query", "low", F.explode(cuts).alias("gram")).join(checked_broadcast(some), "gram").where(F.expr("contains(low, name)")).select("query", "slug", "load_ord")
+        each = some.select("name", F.explode(_grams("name", n)).alias("gram"))
+        rare = each.join(each.groupBy("gram").agg(F.count("*").alias("many")), "gram").groupBy("name").agg(F.min(F.struct("many", "gram")).alias("k")).select("name", F.col("k.gram").alias("gram"))
+        rows = texts.select("query", F.explode(_grams("low", n)).alias("gram")).join(checked_broadcast(rare), "gram").select("query", "name")
         met = rows if met is None else met.unionByName(rows)
-    return met.groupBy("query", "slug").agg(F.min("load_ord").alias("load_ord"))
+    found = met.distinct().join(texts, "query").where(F.expr("contains(low, name)")).select("query", "name")
+    return found.join(names, "name").groupBy("query", "slug").agg(F.min("load_ord").alias("load_ord"))
 
 
 def selected(queries: DataFrame, pages: DataFrame, most: int) -> DataFrame:
@@ -65,36 +73,56 @@ def related_pages(queries: DataFrame, entities: DataFrame, e: DataFrame, most: i
     pages = entities.where(~F.col("type").isin(*exclude)) if exclude else entities
     pages = pages if history else pages.where(is_current())
     pages = pages.select("type", "slug", "title", "load_ord")
-    there = pages.groupBy("slug").agg(F.min("load_ord").alias("ord"))
+    first = pages.groupBy("slug").agg(F.min("load_ord").alias("ord"))
     seeds = name_seeds(queries, pages).select("query", "slug", F.lit(0).alias("part"), F.col("load_ord").alias("key"))
     if "selected" in queries.columns:
         seeds = seeds.unionByName(selected(queries, pages, most).select("query", "slug", F.lit(1).alias("part"), F.lpad(F.col("rank").cast("string"), 9, "0").alias("key")))
         seeds = seeds.groupBy("query", "slug").agg(F.min(F.struct("part", "key")).alias("k")).select("query", "slug", "k.*")
-    order = Window.partitionBy("query").orderBy("part", "key")
     # seeds come before all neighbours, and no seed beyond the cut can be shown or bring anything that is
+    order = Window.partitionBy("query").orderBy("part", "key")
     seeds = seeds.withColumn("seed_ord", F.row_number().over(order)).where(F.col("seed_ord") <= most).select("query", "slug", "seed_ord")
-    live = e.join(there.select(F.col("slug").alias("target")), "target", "left_semi").join(there.select(F.col("slug").alias("src_slug")), "src_slug", "left_semi")
-    out_ = seeds.join(live.withColumnRenamed("src_slug", "slug"), "slug")
-    into = seeds.join(live.withColumnRenamed("target", "slug"), "slug")
-    place = lambda step, a, b, page: ["query", F.col(page).alias("page"), "seed_ord", F.lit(step).alias("step"), F.lpad(a.cast("string"), 12, "0").alias("a"), F.coalesce(b.cast("string"), F.lit("")).alias("b")]
-    pos = F.lpad(F.col("pos").cast("string"), 6, "0")
-    stages = out_.where("relation <> 'related'").select(*place(0, G.relation_order(), pos, "target"))
-    near = seeds.join(G.closure(live, V.TRANSITIVE).withColumnRenamed("src_slug", "slug"), "slug")
-    stages = stages.unionByName(near.select(*place(1, F.col("hops"), F.col("target"), "target")))
-    stages = stages.unionByName(into.where(F.col("relation").isin(*V.SYMMETRIC)).select(*place(2, F.lit(0), F.col("src_ord"), "src_slug")))
-    stages = stages.unionByName(out_.where("relation = 'related'").select(*place(4, F.lit(0), pos, "target")))
-    shown = seeds.select("query", F.col("slug").alias("page")).unionByName(stages.select("query", "page")).distinct()
+    seeds = seeds.join(first, "slug")
+    found = lambda df, col, ord_: df.join(first.select(F.col("slug").alias(col), F.col("ord").alias(ord_)), col)
+    pad = lambda c: F.lpad(c.cast("string"), 9, "0")
+    rel, pos = G.relation_order(), F.col("pos")
+    place = lambda step, key, page, relation=F.lit(""): ["query", "seed_ord", F.lit(step).alias("step"), relation.alias("relation"), key.alias("key"), F.col(page).alias("page")]
+    # of a slug in two types the first page is meant (TR9)
+    ahead = e.select("src_slug", "src_ord", "relation", "pos", "target")
+    own = found(ahead.join(seeds, (F.col("src_slug") == F.col("slug")) & (F.col("src_ord") == F.col("ord"))), "target", "target_ord")
+    typed = own.where("relation <> 'related'")
+    rows = seeds.select(*place(-1, F.lit(""), "slug")).unionByName(typed.select(*place(0, F.concat(pad(rel), pad(pos)), "target")))
+    one = typed.where(F.col("relation").isin(*V.TRANSITIVE)).select("query", "seed_ord", F.col("target").alias("mid"), F.col("target_ord").alias("mid_ord"), F.concat(pad(rel), pad(pos)).alias("way"))
+    two = found(ahead.where(F.col("relation").isin(*V.TRANSITIVE)).join(one, (F.col("src_slug") == F.col("mid")) & (F.col("src_ord") == F.col("mid_ord"))), "target", "target_ord")
+    rows = rows.unionByName(two.select(*place(1, F.concat("way", pad(rel), pad(pos)), "target")))
+    # any page may be a source, also a later one of its slug
+    back = e.select("src_slug", "src_ord", "relation", "target").join(seeds.withColumnRenamed("slug", "target"), "target")
+    back = back.join(pages.select(F.col("slug").alias("src_slug"), F.col("load_ord").alias("src_ord")), ["src_slug", "src_ord"], "left_semi")
+    rows = rows.unionByName(back.where(F.col("relation").isin(*V.SYMMETRIC)).select(*place(2, F.col("src_ord"), "src_slug")))
     asked = queries.select("query", F.explode(intents()).alias("relation"))
-    back = into.join(asked, ["query", "relation"]).withColumnRenamed("src_slug", "page").join(shown, ["query", "page"], "left_anti")
-    back = back.groupBy("query", "seed_ord", "relation", "page").agg(F.min("src_ord").alias("src_ord"))
-    few = Window.partitionBy("query", "seed_ord", "relation").orderBy("src_ord")
-    back = back.withColumn("n", F.row_number().over(few)).where(F.col("n") <= cap)
-    stages = stages.unionByName(back.select(*place(3, G.relation_order(), F.col("src_ord"), "page")))
-    every = seeds.select("query", F.col("slug").alias("page"), F.struct(F.lit(0).alias("late"), "seed_ord", F.lit(0).alias("step"), F.lit("").alias("a"), F.lit("").alias("b")).alias("place"))
-    every = every.unionByName(stages.select("query", "page", F.struct(F.lit(1).alias("late"), "seed_ord", "step", "a", "b").alias("place")))
-    first = every.groupBy("query", "page").agg(F.min("place").alias("place"))
-    rank = Window.partitionBy("query").orderBy("place", "page")
-    return first.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= most).select("query", "rank", F.col("page").alias("slug"))
+    rows = rows.unionByName(back.join(asked, ["query", "relation"]).select(*place(3, F.concat("src_ord", F.lit(" "), pad(rel)), "src_slug", F.col("relation"))))
+    rows = rows.unionByName(own.where("relation = 'related'").select(*place(4, pad(pos), "target")))
+    rows = rows.groupBy("query", "seed_ord", "step", "relation", "page").agg(F.min("key").alias("key"))
+    # of a list at most ``most`` pages have been shown before, and at most as many can be shown
+    few = Window.partitionBy("query", "seed_ord", "step", "relation").orderBy("key", "page")
+    rows = rows.withColumn("n", F.row_number().over(few)).where(F.col("n") <= 2 * most)
+    ship(queries.sparkSession)
+
+    def resolve(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.assign(late=group.step >= 0).sort_values(["late", "seed_ord", "step", "key", "page"], kind="stable")
+        shown: dict[str, int] = {}
+        took: dict[tuple, int] = {}
+        for r in group.itertuples():
+            if len(shown) == most:
+                break
+            if r.page in shown or r.step == 3 and took.get((r.seed_ord, r.relation), 0) == cap:
+                continue
+            shown[r.page] = len(shown) + 1
+            if r.step == 3:
+                took[r.seed_ord, r.relation] = took.get((r.seed_ord, r.relation), 0) + 1
+        return pd.DataFrame({"query": group["query"].iloc[0], "rank": list(shown.values()), "slug": list(shown)})
+
+    kind = dict(rows.dtypes)["query"]
+    return rows.select("query", "seed_ord", "step", "relation", "key", "page").groupBy("query").applyInPandas(resolve, f"query {kind}, rank int, slug string")
 
 
 def citations(answers: DataFrame) -> DataFrame:

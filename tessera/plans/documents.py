@@ -66,30 +66,13 @@ def normalize_text(spark, d):
     return table(spark, d, "documents").select("doc_id", X.normalize("text").alias("norm"))
 
 
-@query(f"""WITH w AS (SELECT doc_id, list_distinct(string_split({_NORM.format("text")}, ' ')) AS w FROM documents),
-b AS (SELECT list_distinct(string_split({_NORM.format("text")}, ' ')) AS w FROM benchmark WHERE item_id = (SELECT min(item_id) FROM benchmark))
-SELECT doc_id, len(w.w)::INT AS n, round(len(list_intersect(w.w, b.w)) / (len(w.w) + len(b.w) - len(list_intersect(w.w, b.w)))::DOUBLE, 9) AS score FROM w, b""")
-def token_jaccard(spark, d):
-    """Each document against the first benchmark passage."""
-    b = table(spark, d, "benchmark").orderBy("item_id").limit(1).select(X.tokens("text").alias("b"))
-    docs = table(spark, d, "documents").select("doc_id", X.tokens("text").alias("w"))
-    return docs.join(F.broadcast(b)).select("doc_id", F.size("w").alias("n"), F.round(X.jaccard(F.col("w"), F.col("b")), 9).alias("score"))
-
-
 def _slug_sql(c: str, outside: str) -> str:
     return f"coalesce(nullif(regexp_replace(regexp_replace(regexp_replace(lower(replace(trim({c}), ' ', '-')), '{outside}', '-', 'g'), '-+', '-', 'g'), '^-|-$', '', 'g'), ''), 'untitled')"
 
 
-@query(f"SELECT doc_id, {_slug_sql('left(text, 60)', '[^0-9a-z가-힣-]+')} AS page_slug, {_slug_sql('left(text, 60)', '[^a-zA-Z0-9가-힣_-]+')} AS card_slug, '2026-05-12-' || left({_slug_sql('left(text, 60)', '[^a-zA-Z0-9가-힣_-]+')}, 40) AS insight_id FROM documents")
+@query(f"SELECT doc_id, {_slug_sql('text', '[^0-9a-z가-힣-]+')} AS page_slug, {_slug_sql('text', '[^a-zA-Z0-9가-힣_-]+')} AS card_slug, '2026-05-12-' || left({_slug_sql('text', '[^a-zA-Z0-9가-힣_-]+')}, 40) AS insight_id FROM documents")
 def slugs(spark, d):
     """X4-X6."""
-    t = F.left("text", F.lit(60))
-    return table(spark, d, "documents").select("doc_id", X.slugify(t).alias("page_slug"), X.slugify_card(t).alias("card_slug"), X.insight_id(t, F.lit("2026-05-12").cast("date")).alias("insight_id"))
-
-
-@query(f"SELECT doc_id, {_slug_sql('text', '[^0-9a-z가-힣-]+')} AS page_slug, {_slug_sql('text', '[^a-zA-Z0-9가-힣_-]+')} AS card_slug, '2026-05-12-' || left({_slug_sql('text', '[^a-zA-Z0-9가-힣_-]+')}, 40) AS insight_id FROM documents")
-def slugs_whole(spark, d):
-    """X4-X6, of whole texts."""
     t = F.col("text")
     return table(spark, d, "documents").select("doc_id", X.slugify(t).alias("page_slug"), X.slugify_card(t).alias("card_slug"), X.insight_id(t, F.lit("2026-05-12").cast("date")).alias("insight_id"))
 
@@ -116,15 +99,9 @@ def redacted(spark, d):
     return table(spark, d, "documents").select("doc_id", X.redact("text").alias("redacted"))
 
 
-@query("""SELECT doc_id, left(sha256(text), 16) AS file_hash, 'pattern-' || left(sha1(lang || '|' || source), 12) AS pattern_id, regexp_replace(rtrim(left(regexp_replace(trim(regexp_replace(left(text, 120), '[\\\\/\\x00\\r\\n]', '-', 'g')), '^\\.+|\\.+$', '', 'g'), 80)), '\\.+$', '') AS name FROM documents""")
+@query("""SELECT doc_id, left(sha256(text), 16) AS file_hash, 'pattern-' || left(sha1(lang || '|' || source), 12) AS pattern_id, regexp_replace(rtrim(left(regexp_replace(trim(regexp_replace(text, '[\\\\/\\x00\\r\\n]', '-', 'g')), '^\\.+|\\.+$', '', 'g'), 80)), '\\.+$', '') AS name FROM documents""")
 def identifiers(spark, d):
     """X10-X11, X26, Z18."""
-    return table(spark, d, "documents").select("doc_id", X.file_hash("text").alias("file_hash"), X.pattern_id("lang", "source").alias("pattern_id"), X.safe_filename(F.left("text", F.lit(120))).alias("name"))
-
-
-@query("""SELECT doc_id, left(sha256(text), 16) AS file_hash, 'pattern-' || left(sha1(lang || '|' || source), 12) AS pattern_id, regexp_replace(rtrim(left(regexp_replace(trim(regexp_replace(text, '[\\\\/\\x00\\r\\n]', '-', 'g')), '^\\.+|\\.+$', '', 'g'), 80)), '\\.+$', '') AS name FROM documents""")
-def identifiers_whole(spark, d):
-    """X10-X11, X26, Z18, of whole texts."""
     return table(spark, d, "documents").select("doc_id", X.file_hash("text").alias("file_hash"), X.pattern_id("lang", "source").alias("pattern_id"), X.safe_filename(F.col("text")).alias("name"))
 
 
@@ -158,33 +135,6 @@ def sample_text(spark, d):
     return table(spark, d, "documents").select("doc_id", R.sample_text("text", 100, 0, 300).alias("sample"))
 
 
-_CLAIM = _NORM.format("left(text, 60)")
-_SETS = f"""c AS (SELECT doc_id, {_CLAIM} AS n, list_filter(list_distinct(string_split({_CLAIM}, ' ')), lambda x: x <> '') AS w FROM documents),
-k AS (SELECT {_CLAIM} AS n, list_filter(list_distinct(string_split({_CLAIM}, ' ')), lambda x: x <> '') AS w FROM documents WHERE doc_id % 3 = 0 AND lang = 'en' UNION SELECT {_CLAIM}, list_filter(list_distinct(string_split({_CLAIM}, ' ')), lambda x: x <> '') FROM benchmark),
-j AS (SELECT c.doc_id, max(CASE WHEN c.n = k.n THEN 1.0 ELSE len(list_intersect(c.w, k.w)) / (len(c.w) + len(k.w) - len(list_intersect(c.w, k.w)))::DOUBLE END) AS s
-      FROM c, k WHERE len(c.w) > 0 AND len(k.w) > 0 AND (c.n = k.n OR len(list_intersect(c.w, k.w)) / (len(c.w) + len(k.w) - len(list_intersect(c.w, k.w)))::DOUBLE >= 0.75) GROUP BY 1)"""
-
-
-def _claims(spark, d):
-    docs = table(spark, d, "documents").withColumn("statement", F.left("text", F.lit(60)))
-    known = docs.where("doc_id % 3 = 0 AND lang = 'en'").select("statement").unionByName(table(spark, d, "benchmark").select(F.left("text", F.lit(60)).alias("statement")))
-    return docs.select(F.col("doc_id"), "statement"), known
-
-
-@query(f"WITH {_SETS} SELECT c.doc_id, round(s, 9) AS best FROM c LEFT JOIN j USING (doc_id)")
-def jaccard_dedupe(spark, d):
-    """J7 (CQ08): known statements are those of a third of the English documents and of the benchmark."""
-    c, k = _claims(spark, d)
-    return S.best_scores(c, k).select("doc_id", F.round("best", 9).alias("best"))
-
-
-@query(f"WITH {_SETS}, f AS (SELECT n, min(doc_id) AS f FROM c GROUP BY n) SELECT c.doc_id, c.n <> '' AND j.s IS NULL AND c.doc_id = f.f AS kept FROM c LEFT JOIN j USING (doc_id) JOIN f ON c.n = f.n")
-def exact_dedupe(spark, d):
-    """D1."""
-    c, k = _claims(spark, d)
-    return S.dedupe(c, k, "doc_id").select("doc_id", "kept")
-
-
 _WHOLE = _NORM.format("text")
 _WHOLE_WORDS = f"list_filter(list_distinct(string_split({_WHOLE}, ' ')), lambda x: x <> '')"
 _WHOLE_SETS = f"""c AS (SELECT doc_id, {_WHOLE} AS n, {_WHOLE_WORDS} AS w FROM documents), k AS (SELECT DISTINCT {_WHOLE} AS n, {_WHOLE_WORDS} AS w FROM benchmark),
@@ -197,26 +147,27 @@ def _whole_claims(spark, d):
 
 
 @query(f"WITH {_WHOLE_SETS} SELECT c.doc_id, round(s, 9) AS best FROM c LEFT JOIN j USING (doc_id)")
-def jaccard_dedupe_whole(spark, d):
+def jaccard_dedupe(spark, d):
     """J7 (CQ08): whole documents against the whole benchmark."""
     c, k = _whole_claims(spark, d)
     return S.best_scores(c, k).select("doc_id", F.round("best", 9).alias("best"))
 
 
 @query(f"WITH {_WHOLE_SETS}, f AS (SELECT n, min(doc_id) AS f FROM c GROUP BY n) SELECT c.doc_id, c.n <> '' AND j.s IS NULL AND c.doc_id = f.f AS kept FROM c LEFT JOIN j USING (doc_id) JOIN f ON c.n = f.n")
-def exact_dedupe_whole(spark, d):
+def exact_dedupe(spark, d):
     """Whole documents against the whole benchmark."""
     c, k = _whole_claims(spark, d)
     return S.dedupe(c, k, "doc_id").select("doc_id", "kept")
 
 
 @query(f"""WITH w AS (SELECT doc_id, list_distinct(string_split({_WHOLE}, ' ')) AS w FROM documents), b AS (SELECT item_id, list_distinct(string_split({_WHOLE}, ' ')) AS w FROM benchmark)
-SELECT doc_id, item_id, len(w.w)::INT AS n, round(len(list_intersect(w.w, b.w)) / (len(w.w) + len(b.w) - len(list_intersect(w.w, b.w)))::DOUBLE, 9) AS score FROM w, b""")
-def token_jaccard_whole(spark, d):
-    """Each document against each benchmark passage."""
-    b = table(spark, d, "benchmark").select("item_id", X.tokens("text").alias("b"))
-    docs = table(spark, d, "documents").select("doc_id", X.tokens("text").alias("w"))
-    return docs.crossJoin(b).select("doc_id", "item_id", F.size("w").alias("n"), F.round(X.jaccard(F.col("w"), F.col("b")), 9).alias("score"))
+SELECT doc_id, item_id, len(w.w)::INT AS n, round(len(list_intersect(w.w, b.w)) / (len(w.w) + len(b.w) - len(list_intersect(w.w, b.w)))::DOUBLE, 9) AS score
+FROM w JOIN b ON item_id = doc_id % (SELECT count(*) FROM benchmark)""")
+def token_jaccard(spark, d):
+    """Each document against one benchmark passage, in turn."""
+    b = table(spark, d, "benchmark")
+    docs = table(spark, d, "documents").select("doc_id", X.tokens("text").alias("w"), (F.col("doc_id") % b.count()).alias("item_id"))
+    return docs.join(b.select("item_id", X.tokens("text").alias("b")), "item_id").select("doc_id", "item_id", F.size("w").alias("n"), F.round(X.jaccard(F.col("w"), F.col("b")), 9).alias("score"))
 
 
 @query("SELECT conv_id AS ref, turn AS line, role <> 'system' AS keep FROM conversations")

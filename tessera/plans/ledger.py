@@ -126,22 +126,6 @@ def enrich_latest(spark, d):
     return L.enrich(last.withColumn("trigger", F.col("event_type")), p).select("user_id", "event_type", "action")
 
 
-_CLAIM = "regexp_replace(lower(regexp_replace(regexp_replace(left(text, 60), '\\s+', ' ', 'g'), '^ | $', '', 'g')), '[ .。!?:,;・…]+$', '')"
-_WORDS = f"list_filter(list_distinct(string_split({_CLAIM}, ' ')), lambda x: x <> '')"
-
-
-@query(f"""WITH c AS (SELECT doc_id AS cand, {_CLAIM} AS n, {_WORDS} AS w FROM documents), l AS (SELECT DISTINCT ON (n) {_CLAIM} AS n, {_WORDS} AS w, item_id AS ord FROM benchmark ORDER BY n, ord),
-p AS (SELECT cand, l.n AS fingerprint, ord, CASE WHEN c.n = l.n THEN 2.0 ELSE len(list_intersect(c.w, l.w)) / (len(c.w) + len(l.w) - len(list_intersect(c.w, l.w)))::DOUBLE END AS s FROM c, l WHERE len(c.w) > 0 AND len(l.w) > 0),
-r AS (SELECT *, row_number() OVER (PARTITION BY cand ORDER BY s DESC, ord DESC) AS r FROM p WHERE s >= 0.75)
-SELECT cand, fingerprint, round(least(s, 1.0), 9) AS score FROM r WHERE r = 1""")
-def ledger_best_match(spark, d):
-    """J9."""
-    c = table(spark, d, "documents").select(F.col("doc_id").alias("cand"), F.lit("fact").alias("kind"), F.left("text", F.lit(60)).alias("statement"))
-    led = table(spark, d, "benchmark").groupBy(X.normalize(F.left("text", F.lit(60))).alias("fingerprint")).agg(F.min("item_id").alias("ord"))
-    led = led.select(F.lit("fact").alias("kind"), "fingerprint", F.array().cast("array<string>").alias("statements"), "ord")
-    return S.best_entries(c, led).select("cand", "fingerprint", F.round("score", 9).alias("score"))
-
-
 _WHOLE = "regexp_replace(lower(regexp_replace(regexp_replace(text, '\\s+', ' ', 'g'), '^ | $', '', 'g')), '[ .。!?:,;・…]+$', '')"
 _WHOLE_WORDS = f"list_filter(list_distinct(string_split({_WHOLE}, ' ')), lambda x: x <> '')"
 
@@ -150,8 +134,8 @@ _WHOLE_WORDS = f"list_filter(list_distinct(string_split({_WHOLE}, ' ')), lambda
 p AS (SELECT cand, l.n AS fingerprint, ord, CASE WHEN c.n = l.n THEN 2.0 ELSE len(list_intersect(c.w, l.w)) / (len(c.w) + len(l.w) - len(list_intersect(c.w, l.w)))::DOUBLE END AS s FROM c, l WHERE len(c.w) > 0 AND len(l.w) > 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY cand ORDER BY s DESC, ord DESC) AS r FROM p WHERE s >= 0.75)
 SELECT cand, fingerprint, round(least(s, 1.0), 9) AS score FROM r WHERE r = 1""")
-def ledger_best_match_whole(spark, d):
-    """J9, of whole texts."""
+def ledger_best_match(spark, d):
+    """J9."""
     c = table(spark, d, "documents").select(F.col("doc_id").alias("cand"), F.lit("fact").alias("kind"), F.col("text").alias("statement"))
     led = table(spark, d, "benchmark").groupBy(X.normalize("text").alias("fingerprint")).agg(F.min("item_id").alias("ord"))
     led = led.select(F.lit("fact").alias("kind"), "fingerprint", F.array().cast("array<string>").alias("statements"), "ord")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +31,17 @@ def ship(spark: SparkSession) -> None:
     spark.sparkContext.addPyFile(at)
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that ``spark.checkpoint.dir`` names; where none is set and the master is local, in one of our own."""
+    at = spark.conf.get("spark.checkpoint.dir", "") or ""
+    if not at:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        at = tempfile.mkdtemp(prefix="tessera-")
+        atexit.register(shutil.rmtree, at, ignore_errors=True)
+    return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def checked_broadcast(df: DataFrame, rows: int = 200_000) -> DataFrame:
     """df with a broadcast hint if it has at most so many rows, else df: the same join then shuffles."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

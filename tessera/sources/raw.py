@@ -86,6 +86,20 @@ def trusted_offset(content="content", offset="offset") -> Column:
     return F.when(ok, o).otherwise(F.lit(0)).cast("long")
 
 
+def new_tails(files: DataFrame, offsets: DataFrame) -> DataFrame:
+    """SC10, ST7: files (ref, mtime_us, content) and offsets (ref, offset; the last of each) to ref, mtime_us, from_, upto, tail.
+
+    What stands behind a trusted offset, up to the last whole line; files without a new line are left out. A file that has shrunk, or
+    whose offset isn't at a line's begin, is read anew.
+    """
+    last = offsets.groupBy("ref").agg(F.max("offset").alias("offset"))
+    rows = files.join(last, "ref", "left").withColumn("from_", trusted_offset())
+    # bytes behind the last newline: ISO-8859-1 has one character for each byte
+    rest = F.length(F.substring_index(F.decode("content", "ISO-8859-1"), "\n", -1))
+    rows = rows.withColumn("upto", (F.octet_length("content") - rest).cast("long")).where("upto > from_")
+    return rows.select("ref", "mtime_us", "from_", "upto", F.substring("content", F.col("from_").cast("int") + 1, (F.col("upto") - F.col("from_")).cast("int")).alias("tail"))
+
+
 def mirror_plan(files: DataFrame) -> DataFrame:
     """SC13: files (ref, size, complete: bytes up to the last newline, offset) to from_, upto, status."""
     o = F.coalesce("offset", F.lit(0))
@@ -184,6 +198,21 @@ def rehydrated(kept: DataFrame, dropped: DataFrame) -> DataFrame:
     return placed.select("ref", (F.col("at") + F.col("n")).alias("line"), "raw").unionByName(d.select("ref", F.col("line").cast("long").alias("line"), F.col("raw").cast("string").alias("raw")))
 
 
+def rehydrated_files(kept: DataFrame, dropped: DataFrame, headers: DataFrame, source: str) -> tuple[DataFrame, DataFrame]:
+    """The lines of files whose sidecar header (ref, source, header_ref) names this source and file, and each file's status."""
+    ok = (F.col("source") == source) & (F.col("header_ref") == F.col("ref"))
+    status = headers.select("ref", F.when(ok, F.lit("rehydrated")).otherwise(F.lit("header_mismatch")).alias("status"))
+    good = status.where("status = 'rehydrated'").select("ref")
+    return rehydrated(kept.join(good, "ref", "left_semi"), dropped.join(good, "ref", "left_semi")), status
+
+
+def compaction_targets(files: DataFrame, source: str) -> DataFrame:
+    """JSON-lines files (path) below the source's folder, but for histories and indexes."""
+    root = {"claude-code": "projects/", "codex": "sessions/"}[source]
+    name = F.element_at(F.split("path", "/"), -1)
+    return files.where(F.col("path").startswith(root) & F.col("path").endswith(".jsonl") & ~name.isin("history.jsonl", "session_index.jsonl"))
+
+
 def compaction_status(files: DataFrame) -> DataFrame:
     """Files (ref, mtime_us, size, offset, watermark_us, sidecar) to status: may a file be compacted?"""
     s = (

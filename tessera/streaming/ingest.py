@@ -1,7 +1,10 @@
-"""Incremental ingest as Structured Streaming (ST1-ST9). The checkpoint is the watermark; a query for each source is its lock."""
+"""Incremental ingest as Structured Streaming (ST1-ST9), and cycles over files that grow."""
 
 from __future__ import annotations
 
+import time
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,19 +38,58 @@ def settled_sessions(events: DataFrame, by: str = "user_id", idle: str = "30 min
     return rows.groupBy(by, F.session_window("ts", idle).alias("w")).agg(F.count("*").cast("long").alias("events")).select(by, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "events")
 
 
-def dead_letters(spark: SparkSession, stream: DataFrame, apply, table: str, checkpoint: str) -> None:
-    """ST3: ``apply`` (a function of a batch) runs on each batch; references of a batch that fails are kept with their error, and the stream goes on."""
+def advance(outcomes: DataFrame) -> DataFrame:
+    """ST2: source, iso: the latest time (text order) of documents that are done with: read, too large, or dead."""
+    return outcomes.where(F.col("outcome").isin("ok", "oversize", "dead")).groupBy("source").agg(F.max("iso").alias("iso"))
 
-    def one(batch: DataFrame, n: int) -> None:
-        batch = batch.persist()
-        try:
-            apply(batch)
-        except Exception as e:  # the batch's references are retried from the table
-            batch.select("ref").distinct().withColumns({"batch": F.lit(n), "error": F.lit(str(e)[:240])}).write.mode("append").parquet(table)
-        finally:
-            batch.unpersist()
 
-    stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+def run_cycle(files: DataFrame, offsets: DataFrame, failures: DataFrame, apply, since_us: int = -1, now_us: int | None = None, min_age_us: int = 0, limit: int = MAX_FILES, dead: int = 2) -> tuple[DataFrame, DataFrame, list[tuple[str, str]]]:
+    """ST1-ST3, ST7: one cycle over at most ``limit`` settled files with something new, each checkpointed by itself.
+
+    files: ref, mtime_us, size, content; offsets: ref, offset; failures: ref, n. ``apply`` gets (ref, a DataFrame of its tail) and may raise:
+    the file is tried again in the next cycle, and after ``dead`` failures it is passed over (a dead letter). Gives the new offsets and
+    failures, and (ref, outcome: ok, failed or dead) in order of time. A cycle has a handful of files, so they are gone through one by one.
+    """
+    spark = files.sparkSession
+    gone = failures.where(F.col("n") >= dead).select("ref")
+    todo = raw.new_tails(raw.pending(files, since_us, now_us, min_age_us).join(gone, "ref", "left_anti"), offsets)
+    batch = todo.orderBy("mtime_us", "ref").limit(limit).collect()
+    at = {r["ref"]: r["offset"] for r in offsets.groupBy("ref").agg(F.max("offset").alias("offset")).join(spark.createDataFrame([(r["ref"],) for r in batch], "ref string"), "ref").collect()} if batch else {}
+    bad = {r["ref"]: r["n"] for r in failures.collect()}
+    done = []
+    for r in batch:
+        try:
+            apply(r["ref"], spark.createDataFrame([(r["ref"], r["tail"])], "ref string, tail binary"))
+        except Exception:  # a bad document doesn't stop the cycle
+            bad[r["ref"]] = bad.get(r["ref"], 0) + 1
+            done.append((r["ref"], "dead" if bad[r["ref"]] >= dead else "failed"))
+            continue
+        at[r["ref"]] = r["upto"]
+        bad.pop(r["ref"], None)
+        done.append((r["ref"], "ok"))
+    ok = spark.createDataFrame([(ref, at[ref]) for ref, how in done if how == "ok"], "ref string, offset long")
+    # a file read anew after it shrank has a smaller offset than before, so its old ones go
+    kept = offsets.join(ok.select("ref"), "ref", "left_anti").select("ref", "offset")
+    return kept.unionByName(ok), spark.createDataFrame(list(bad.items()), "ref string, n long"), done
+
+
+@contextmanager
+def source_lock(spark: SparkSession, path: str, mode: str = "fail", wait_s: float = 0.2, most_s: float = 60.0):
+    """ST8: one writer for each source: a file that only one can create. mode: skip (gives False), fail (an error) or wait."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    end = time.monotonic() + most_s
+    while not (held := fs.createNewFile(at)):
+        if mode == "skip":
+            break
+        if mode == "fail" or time.monotonic() > end:
+            raise RuntimeError(f"another writer holds {path}")
+        time.sleep(wait_s)
+    try:
+        yield held
+    finally:
+        if held:
+            fs.delete(at, False)
 
 
 def run_stages(stages: list[tuple[str, tuple[str, ...], object]], only: tuple[str, ...] = (), skip: tuple[str, ...] = (), resume_from: str | None = None) -> list[tuple[str, str]]:
