@@ -246,6 +246,26 @@ def test_vectors_that_take_no_part_copies_and_norms(spark):
     assert [x.vec_id for x in ann.search(df.where("vec_id < 2"), df.where("vec_id = 0"), 5).collect()] == [1]
 
 
+def test_norms_far_apart_cost_no_recall(spark):
+    """One vector a million times longer than the rest, one at the edge of what doubles hold, some very short ones."""
+    r = np.random.default_rng(3)
+    x = r.normal(size=(1200, 16))
+    x[7] *= 1e6
+    x[1100:] *= 1e-9
+    huge = [1e200] + [0.0] * 15
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)] + [(5000, huge)], "vec_id long, embedding array<double>")
+    got = defaultdict(set)
+    for row in ann.search(df, df.where("vec_id % 20 = 0"), 20).collect():
+        got[row.query_id].add(row.vec_id)
+    ids, every = np.array([*range(1200), 5000]), np.vstack([x, huge])
+    hit = 0
+    for q in range(0, 1200, 20):
+        s = every @ every[q]
+        s[q] = -np.inf
+        hit += len(got[q] & set(ids[np.argsort(-s, kind="stable")[:20]].tolist()))
+    assert hit / (20 * 60) >= 0.95
+
+
 def test_walk_goes_on_until_no_near_node_is_open(spark):
     """A chain of nodes, each nearer to the query than the one before: 12 steps lead to the nearest."""
     n = 12
