@@ -216,7 +216,7 @@ def fingerprint_components(docs: DataFrame, size: int = 3, most: int = 3, id_col
 
 WORDS = 2
 #: Counters of the order of rarity, and the documents that are counted. Any common order is exact; a better one is faster.
-SLOTS, COUNTED = 1 << 22, 1 << 17
+SLOTS, COUNTED = 1 << 20, 1 << 15
 #: Pairs that a task holds before they go on.
 HELD = 1 << 18
 #: Rows of one shingle that a task holds; those of a more frequent one meet in blocks.
