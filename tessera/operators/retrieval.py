@@ -86,17 +86,21 @@ def related_pages(queries: DataFrame, entities: DataFrame, e: DataFrame, most: i
     pad = lambda c: F.lpad(c.cast("string"), 9, "0")
     rel, pos = G.relation_order(), F.col("pos")
     place = lambda step, key, page, relation=F.lit(""): ["query", "seed_ord", F.lit(step).alias("step"), relation.alias("relation"), key.alias("key"), F.col(page).alias("page")]
-    # of a slug in two types the first page is meant (TR9)
+    # of a slug in two types the first page is meant (TR9): edges of its other pages go
+    at = ["src_slug", "src_ord"]
+    every = entities.select(F.col("slug").alias("src_slug"), F.col("load_ord").alias("src_ord"))
+    others = every.join(first.select(F.col("slug").alias("src_slug"), F.col("ord").alias("src_ord")), at, "left_anti")
     ahead = e.select("src_slug", "src_ord", "relation", "pos", "target")
-    own = found(ahead.join(seeds, (F.col("src_slug") == F.col("slug")) & (F.col("src_ord") == F.col("ord"))), "target", "target_ord")
+    own = found(ahead.join(seeds, F.col("src_slug") == F.col("slug")).join(others, at, "left_anti"), "target", "target_ord")
     typed = own.where("relation <> 'related'")
     rows = seeds.select(*place(-1, F.lit(""), "slug")).unionByName(typed.select(*place(0, F.concat(pad(rel), pad(pos)), "target")))
-    one = typed.where(F.col("relation").isin(*V.TRANSITIVE)).select("query", "seed_ord", F.col("target").alias("mid"), F.col("target_ord").alias("mid_ord"), F.concat(pad(rel), pad(pos)).alias("way"))
-    two = found(ahead.where(F.col("relation").isin(*V.TRANSITIVE)).join(one, (F.col("src_slug") == F.col("mid")) & (F.col("src_ord") == F.col("mid_ord"))), "target", "target_ord")
+    one = typed.where(F.col("relation").isin(*V.TRANSITIVE)).select("query", "seed_ord", F.col("target").alias("mid"), F.concat(pad(rel), pad(pos)).alias("way"))
+    two = found(ahead.where(F.col("relation").isin(*V.TRANSITIVE)).join(one, F.col("src_slug") == F.col("mid")).join(others, at, "left_anti"), "target", "target_ord")
     rows = rows.unionByName(two.select(*place(1, F.concat("way", pad(rel), pad(pos)), "target")))
-    # any page may be a source, also a later one of its slug
+    # any page may be a source, also a later one of its slug, but none that is left out
+    out = every.join(pages.select(F.col("slug").alias("src_slug"), F.col("load_ord").alias("src_ord")), at, "left_anti")
     back = e.select("src_slug", "src_ord", "relation", "target").join(seeds.withColumnRenamed("slug", "target"), "target")
-    back = back.join(pages.select(F.col("slug").alias("src_slug"), F.col("load_ord").alias("src_ord")), ["src_slug", "src_ord"], "left_semi")
+    back = back.join(first.select(F.col("slug").alias("src_slug")), "src_slug", "left_semi").join(out, at, "left_anti")
     rows = rows.unionByName(back.where(F.col("relation").isin(*V.SYMMETRIC)).select(*place(2, F.col("src_ord"), "src_slug")))
     asked = queries.select("query", F.explode(intents()).alias("relation"))
     rows = rows.unionByName(back.join(asked, ["query", "relation"]).select(*place(3, F.concat("src_ord", F.lit(" "), pad(rel)), "src_slug", F.col("relation"))))

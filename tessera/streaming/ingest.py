@@ -92,6 +92,21 @@ def source_lock(spark: SparkSession, path: str, mode: str = "fail", wait_s: floa
             fs.delete(at, False)
 
 
+def dead_letters(spark: SparkSession, stream: DataFrame, apply, table: str, checkpoint: str) -> None:
+    """ST3: ``apply`` (a function of a batch) runs on each batch; references of a batch that fails are kept with their error, and the stream goes on."""
+
+    def one(batch: DataFrame, n: int) -> None:
+        batch = batch.persist()
+        try:
+            apply(batch)
+        except Exception as e:  # the batch's references are retried from the table
+            batch.select("ref").distinct().withColumns({"batch": F.lit(n), "error": F.lit(str(e)[:240])}).write.mode("append").parquet(table)
+        finally:
+            batch.unpersist()
+
+    stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
 def run_stages(stages: list[tuple[str, tuple[str, ...], object]], only: tuple[str, ...] = (), skip: tuple[str, ...] = (), resume_from: str | None = None) -> list[tuple[str, str]]:
     """ST9-ST10: (name, needs, action) in order; gives (name, ok, failed, skipped, resumed or blocked) for each.
 
