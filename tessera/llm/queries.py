@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import ann, chat, exact_dedup, mixing, pieces, quality, secrets, sharding, simhash, warc
+from tessera.llm import ann, chat, exact_dedup, mixing, pieces, quality, repeats, secrets, sharding, simhash, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -82,8 +82,13 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model, keep=("doc_id",)).select("doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op11_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of windows of 35 words that also start elsewhere are removed."""
+    return repeats.remove_repeats(_table(spark, sf_dir, "documents"), texts_out=False)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op2_exact_dedup, op3_warc, op4_secrets, op5_mixing, op6_sentencepiece, op7_chat, op8_ann, op9_sharding, op10_quality)}
+    return {f.__name__: f for f in (op1_simhash, op2_exact_dedup, op3_warc, op4_secrets, op5_mixing, op6_sentencepiece, op7_chat, op8_ann, op9_sharding, op10_quality, op11_repeats)}
 
 
 _SPACES = r"[\x20\x09-\x0D]+"
