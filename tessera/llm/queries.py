@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import ann, chat, exact_dedup, mixing, pieces, quality, repeats, secrets, sharding, simhash, warc
+from tessera.llm import ann, chat, exact_dedup, mixing, phrases, pieces, quality, repeats, secrets, sharding, simhash, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,8 +87,13 @@ def op11_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(_table(spark, sf_dir, "documents"), texts_out=False)
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's first 2000 phrases of 2 to 4 words."""
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op2_exact_dedup, op3_warc, op4_secrets, op5_mixing, op6_sentencepiece, op7_chat, op8_ann, op9_sharding, op10_quality, op11_repeats)}
+    return {f.__name__: f for f in (op1_simhash, op2_exact_dedup, op3_warc, op4_secrets, op5_mixing, op6_sentencepiece, op7_chat, op8_ann, op9_sharding, op10_quality, op11_repeats, op12_phrases)}
 
 
 _SPACES = r"[\x20\x09-\x0D]+"
@@ -174,5 +179,27 @@ SELECT conv_id, count(*) AS n_turns,
 FROM c GROUP BY conv_id"""
 
 
+def _op12() -> str:
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return rf"""
+WITH d AS (SELECT coalesce(lang, '{phrases.NO_LANG}') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{upper}', '{lower}'), '[.,;:!?
+-]')) AS piece FROM documents),
+p AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[ 	]+'), lambda x: x <> '') AS w FROM d),
+n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM p GROUP BY lang),
+g AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS a
+      FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM p, (SELECT unnest(range(1, {phrases.DEPTH + 1})) AS k)) GROUP BY ALL HAVING count(*) >= {phrases.LEAST}),
+c AS (SELECT *, string_split(phrase, ' ') AS w FROM g WHERE k > 1),
+s AS (SELECT c.lang, c.phrase, c.a, c.j, f.a AS l, r.a AS r, (2000000::HUGEINT * c.a) // (f.a::HUGEINT + r.a) AS score
+      FROM (SELECT *, unnest(range(1, k)) AS j FROM c) c
+      JOIN g f ON f.lang = c.lang AND f.phrase = array_to_string(c.w[1:c.j], ' ')
+      JOIN g r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[c.j + 1:], ' ')),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+h AS (SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, max(a) AS longer
+      FROM (SELECT lang, w, a, m, unnest(range(1, k - m + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS m FROM c WHERE k > 2)) GROUP BY ALL),
+q AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, b.a DESC, b.phrase) AS rank
+      FROM b LEFT JOIN h ON b.lang = h.lang AND b.phrase = h.phrase WHERE longer IS NULL OR 100::HUGEINT * longer < {phrases.INSIDE}::HUGEINT * b.a)
+SELECT q.lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM q JOIN n ON q.lang = n.lang WHERE rank <= {phrases.TOP}"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": _op2(), "op3_warc": _op3(), "op4_secrets": _op4(), "op5_mixing": _op5(), "op7_chat": _op7()}
+    return {"op2_exact_dedup": _op2(), "op3_warc": _op3(), "op4_secrets": _op4(), "op5_mixing": _op5(), "op7_chat": _op7(), "op12_phrases": _op12()}

@@ -77,8 +77,9 @@ def word_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nd
     first[1:] &= blank[:-1] | edge[1:-1]
     last[:-1] &= blank[1:] | edge[1:-1]
     s, e = np.flatnonzero(first), np.flatnonzero(last) + 1
-    if len(data) > 2 * BLOCK:  # one word that is longer than a block
-        return np.array([xxhash.xxh3_64_intdigest(data[a:b].tobytes()) for a, b in zip(s, e, strict=True)], _U), s
+    if len(data) > 2 * BLOCK and len(s) > 0:  # a word that is longer than a block, and few others
+        one = lambda w: xxhash.xxh3_64_intdigest(w.tobytes()) if len(w) > LONG else word_hashes(w, np.zeros(1, int))[0][0]
+        return np.array([one(data[a:b]) for a, b in zip(s, e, strict=True)], _U), s
     sums = np.zeros(len(data) + 1, _U)
     np.cumsum(_VALUES[data] * _power(_BASE, len(data)), out=sums[1:])
     h = mixed((sums[e] - sums[s]) * _power(pow(_BASE, -1, 1 << 64), len(data))[s])
