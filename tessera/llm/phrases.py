@@ -46,7 +46,7 @@ ENTRY_BITS, MOST_RANGE_BITS, MOST_BITS = 18, 24, 29
 #: Prefix ranges of full tries: one for each 2^RANGE_BYTES bytes of text.
 LEAST_RANGES, RANGE_BYTES = 64, 22
 #: Occurrences, or nodes, that a task holds before it gives its trie away.
-HELD, NODES = 4_000_000, 400_000
+HELD, NODES = 4_000_000, 80_000
 
 _U = np.uint64
 _BREAK = np.zeros(256, bool)
@@ -203,8 +203,8 @@ def shard_tries(texts: DataFrame, bitmap, bits: int, depth: int, ranges: int) ->
             made: dict[int, list] = {}
             for lang, n in roots.items():
                 made.setdefault(ranges, []).append(((lang.encode().hex().encode(),), n))
-            for (_, first), (path, n) in trie.items():
-                made.setdefault(first % ranges, []).append((path, n))
+            for path, first, n in trie.values():
+                made.setdefault(first % ranges, []).append((tuple(path.split(b"\t")), n))
             trie.clear()
             roots.clear()
             blocks = [(k, sorted(v)) for k, v in made.items()]
@@ -229,14 +229,13 @@ def shard_tries(texts: DataFrame, bitmap, bits: int, depth: int, ranges: int) ->
                         continue
                     key, where, count = np.unique(keys[at], return_index=True, return_counts=True)
                     for x, i, c in zip(key.tolist(), at[where].tolist(), count.tolist(), strict=True):
-                        id_ = (x, int(h[i]))
-                        if id_ in trie:
-                            trie[id_][1] += c
+                        if x in trie:
+                            trie[x][2] += c
                         else:
-                            trie[id_] = [(names[w.docs[i]].encode().hex().encode(), *w.phrase(i, n)), c]
-                if len(trie) >= NODES:
-                    yield serialised()
-        if roots:
+                            trie[x] = [b"\t".join((names[w.docs[i]].encode().hex().encode(), *w.phrase(i, n))), int(h[i]), c]
+                    if len(trie) >= NODES:
+                        yield serialised()
+        if trie or roots:
             yield serialised()
 
     return texts.mapInArrow(run, "range long, phrases binary, counts array<long>")
