@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import ann, chat, exact_dedup, mixing, phrases, pieces, quality, repeats, secrets, sharding, simhash, warc
+from tessera.llm import ann, chat, exact_dedup, mixing, phrases, pieces, quality, repeats, secrets, sharding, simhash, structure, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -92,8 +92,13 @@ def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(_table(spark, sf_dir, "documents"))
 
 
+def op13_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cheapest repair of each damaged conversation."""
+    return structure.repair_damaged(_table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op2_exact_dedup, op3_warc, op4_secrets, op5_mixing, op6_sentencepiece, op7_chat, op8_ann, op9_sharding, op10_quality, op11_repeats, op12_phrases)}
+    return {f.__name__: f for f in (op1_simhash, op2_exact_dedup, op3_warc, op4_secrets, op5_mixing, op6_sentencepiece, op7_chat, op8_ann, op9_sharding, op10_quality, op11_repeats, op12_phrases, op13_structure)}
 
 
 _SPACES = r"[\x20\x09-\x0D]+"
@@ -183,7 +188,8 @@ def _op12() -> str:
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     return rf"""
 WITH d AS (SELECT coalesce(lang, '{phrases.NO_LANG}') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{upper}', '{lower}'), '[.,;:!?
--]')) AS piece FROM documents),
+-
+]')) AS piece FROM documents),
 p AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[ 	]+'), lambda x: x <> '') AS w FROM d),
 n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM p GROUP BY lang),
 g AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS a
@@ -201,5 +207,44 @@ q AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, b.
 SELECT q.lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM q JOIN n ON q.lang = n.lang WHERE rank <= {phrases.TOP}"""
 
 
+def _op13() -> str:
+    lines = {0: "[]::VARCHAR[]", 1: "['user:']", 2: "['user:', 'assistant:']"}
+    inserted = lambda q, n: lines[n] if q != structure.USER else {0: lines[0], 1: "['assistant:']", 2: "['assistant:', 'user:']"}[n]
+    values = []
+    for (initial, gone), moves in structure.MOVES.items():
+        for q, t, cost, code in moves:
+            edits = structure.CODES[code]
+            role = f"'{structure.ROLE[t]}'" if edits[-1] == "R" else "''"
+            values.append(f"('{initial}', {str(gone).lower()}, {q}, {t}, {cost}, '{edits}', {inserted(q, len(edits) - 1)}, {role})")
+    ends = ", ".join(f"({q}, {structure.INSERT * n}, '{'I' * n}', {inserted(q, n)})" for q, n in structure.CLOSING.items())
+    return rf"""
+WITH RECURSIVE z AS (SELECT list(list_reduce(list_prepend(n::BIGINT, [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda c, x: xor(c >> 1, (c & 1) * 3988292384)) ORDER BY n) AS t FROM (SELECT unnest(range(256)) AS n)),
+k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+             xor(list_reduce(list_prepend(4294967295, list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda c: ascii(c)::BIGINT)),
+                             lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) % 20 AS kind FROM conversations, z),
+d AS (SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+      FROM (SELECT *, unnest(range(CASE kind WHEN 3 THEN 2 ELSE 1 END)) FROM k WHERE kind <> 0)),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS i, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare,
+             row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) > 1 AS again FROM d),
+f AS (SELECT *, CASE WHEN bare = '' THEN 'blank' WHEN again THEN 'duplicate' WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault, left(role, 1) AS c,
+             lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM o),
+n AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+             count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (before IS NOT NULL AND before || c NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS m FROM f GROUP BY conv_id),
+moves(c, gone, q, t, cost, edits, pre, named) AS (VALUES {', '.join(values)}),
+ends(q, cost, edits, post) AS (VALUES {ends}),
+dp AS (SELECT conv_id, 0::BIGINT AS i, 0 AS q, {{'cost': 0::BIGINT, 'audit': '', 'lines': []::VARCHAR[]}} AS b FROM n
+       UNION ALL
+       SELECT dp.conv_id, dp.i + 1, t, min({{'cost': b.cost + moves.cost + CASE WHEN fault = 'truncated' AND right(edits, 1) <> 'D' THEN {structure.CUT_OFF} ELSE 0 END, 'audit': b.audit || edits,
+              'lines': list_concat(b.lines, pre, CASE right(edits, 1) WHEN 'D' THEN [] WHEN 'K' THEN [role || ':' || text] ELSE [named || ':' || text] END)}})
+       FROM dp JOIN f ON f.conv_id IS NOT DISTINCT FROM dp.conv_id AND f.i = dp.i + 1
+       JOIN moves ON moves.q = dp.q AND moves.c = CASE WHEN f.c IN ('s', 'u', 'a') THEN f.c ELSE '' END AND moves.gone = (fault IN ('blank', 'duplicate'))
+       GROUP BY dp.conv_id, dp.i + 1, t),
+e AS (SELECT n.conv_id, min({{'cost': b.cost + ends.cost, 'audit': b.audit || edits, 'lines': list_concat(b.lines, post)}}) AS b
+      FROM n JOIN dp ON dp.conv_id IS NOT DISTINCT FROM n.conv_id AND dp.i = n.m JOIN ends ON ends.q = dp.q GROUP BY n.conv_id)
+SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       coalesce(b.cost, 0) AS cost, coalesce(b.audit, '') AS audit, sha256(coalesce(array_to_string(b.lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN e ON e.conv_id IS NOT DISTINCT FROM a.conv_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": _op2(), "op3_warc": _op3(), "op4_secrets": _op4(), "op5_mixing": _op5(), "op7_chat": _op7(), "op12_phrases": _op12()}
+    return {"op2_exact_dedup": _op2(), "op3_warc": _op3(), "op4_secrets": _op4(), "op5_mixing": _op5(), "op7_chat": _op7(), "op12_phrases": _op12(), "op13_structure": _op13()}
