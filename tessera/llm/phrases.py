@@ -5,11 +5,12 @@ blocks of a range are merged k ways. It goes by depth, as deeper nodes are worth
 
 1. Tries of depth two over hashes (``pairs``): merged counts, capped at the least count, leave a bitmap of the words and pairs that may be frequent.
    Hashes that meet add up, so it never misses one. It is bounded by ``MOST_BITS`` cells (64 MB).
-2. Tries of full depth over the words themselves (``shard_tries``), grown only along pairs of the bitmap. A merge of the sorted
-   blocks (``merged_tries``) gives exact counts; the walk down a merged trie gives each phrase the counts of its left parts.
+2. Tries of full depth (``shard_tries``), grown only along pairs of the bitmap, as sorted arrays of nodes with their links. A merge of the
+   sorted blocks (``merged_tries``) gives exact counts; walking up a merged trie gives each phrase the counts of its left parts.
 
-Suffix links (a phrase without its first words, again a node, mostly of another range) are equality joins and give the right parts; the same
-links carry each phrase's count to the phrases inside it. All counts are exact longs; products are decimals of 38 digits.
+Suffix links (a phrase without its first words, again a node, mostly of another range) are equality joins and give the right parts; parents and
+suffix links also carry a phrase's count to the phrases inside it. All counts are exact longs; products are decimals of 38 digits. Nodes are told
+apart by 64-bit hashes of language and words (two of 10^9 nodes clash with a chance of 3 %).
 
 Defined cases: a null text is empty, a null language ``und``; texts without words or languages without frequent phrases give no row; repeated rows count
 each; texts and words of any length are read in blocks; phrases don't reach over pieces or documents; ties as stated in ``collocations``; an
@@ -18,9 +19,7 @@ empty table gives an empty result; further columns are ignored.
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
-from itertools import groupby
 from math import ceil, log2
 from typing import NamedTuple
 
@@ -46,7 +45,7 @@ ENTRY_BITS, MOST_RANGE_BITS, MOST_BITS = 18, 24, 29
 #: Prefix ranges of full tries: one for each 2^RANGE_BYTES bytes of text.
 LEAST_RANGES, RANGE_BYTES = 64, 22
 #: Occurrences, or nodes, that a task holds before it gives its trie away.
-HELD, NODES = 4_000_000, 80_000
+HELD, NODES = 4_000_000, 600_000
 
 _U = np.uint64
 _BREAK = np.zeros(256, bool)
@@ -189,105 +188,160 @@ def frequent_cells(texts: DataFrame, range_bits: int, bits: int, least: int) ->
     return out.reshape(-1)
 
 
+#: A node of a trie: hashes of its path, of the path's begin, of its ends (without the first k words), of its first and last word; depth; count.
+NODE = np.dtype([("id", "u8"), ("parent", "u8"), ("ends", "u8", (DEPTH - 1,)), ("first", "u8"), ("word", "u8"), ("depth", "i8"), ("n", "i8")])
+ROOTS = -1
+
+
+def summed(parts: list[np.ndarray]) -> np.ndarray:
+    """Sorted runs of nodes merged by id, counts of equal nodes added up."""
+    nodes = np.concatenate(parts)
+    nodes = nodes[np.argsort(nodes["id"], kind="stable")]
+    at = np.flatnonzero(np.concatenate([[True], nodes["id"][1:] != nodes["id"][:-1]])) if len(nodes) else np.zeros(0, int)
+    out = nodes[at]
+    if len(out):
+        out["n"] = np.add.reduceat(nodes["n"], at)
+    return out
+
+
+def block_nodes(w: Words, word: np.ndarray, pair: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Nodes of a block for each depth, with a place of each; paths go on along frequent pairs."""
+    h, size, keys, grown = w.hashes, len(w.hashes), [w.hashes], word
+    for n in range(1, depth + 1):
+        if n > 1:
+            grown = pair[: size - 1] if n == 2 else grown[: size - n + 1] & pair[n - 2 : size - 1]
+            keys.append(mixed(keys[-1][: size - n + 1] * _DEEPER + h[n - 1 :]))
+        at = np.flatnonzero(grown)
+        at = at[at + n - 1 >= w.fresh]
+        if not len(at):
+            continue
+        ids, where, count = np.unique(keys[-1][at], return_index=True, return_counts=True)
+        i = at[where]
+        nodes = np.zeros(len(ids), NODE)
+        nodes["id"], nodes["first"], nodes["word"], nodes["depth"], nodes["n"] = ids, h[i], h[i + n - 1], n, count
+        if n > 1:
+            nodes["parent"] = keys[n - 2][i]
+        for k in range(1, n):
+            nodes["ends"][:, k - 1] = keys[n - k - 1][i + k]
+        yield nodes, i
+
+
 def shard_tries(texts: DataFrame, bitmap, bits: int, depth: int, ranges: int) -> DataFrame:
-    """range, phrases, counts: a task's trie below frequent pairs, its nodes sorted by language and words. Each phrase is (language in hex, word, ...), with separators that none holds; (language,) is a root, in a range of its own."""
+    """range, nodes, words: a task's trie below frequent pairs, serialised sorted by range and id. words: language (in hex) and word of the nodes of depth one.
+
+    Range ROOTS holds the languages and how many words they have.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells, trie, roots = bitmap.value, {}, {}
+        cells, held, texts_, roots, n = bitmap.value, [], {}, {}, 0
 
         def known(h: np.ndarray) -> np.ndarray:
             at = h >> _U(64 - bits)
             return (cells[at >> _U(3)] >> (_U(7) - (at & _U(7))).astype(np.uint8) & 1).astype(bool)
 
-        def serialised() -> pa.RecordBatch:
-            made: dict[int, list] = {}
-            for lang, n in roots.items():
-                made.setdefault(ranges, []).append(((lang.encode().hex().encode(),), n))
-            for path, first, n in trie.values():
-                made.setdefault(first % ranges, []).append((tuple(path.split(b"\t")), n))
-            trie.clear()
+        def serialised(nodes: np.ndarray) -> pa.RecordBatch:
+            which = (nodes["first"] % _U(ranges)).astype(np.int64)
+            order = np.argsort(which, kind="stable")
+            nodes, which = nodes[order], which[order]
+            at = np.flatnonzero(np.diff(which, prepend=-1))
+            parts = [nodes[a:b] for a, b in zip(at, np.append(at[1:], len(nodes)), strict=True)]
+            rows = [(int(which[a]), p.tobytes(), b"\n".join(texts_[x] for x in p["id"][p["depth"] == 1].tolist())) for a, p in zip(at, parts, strict=True)]
+            if roots:
+                rows.append((ROOTS, np.array(list(roots.values()), np.int64).tobytes(), b"\n".join(x.encode().hex().encode() for x in roots)))
+            texts_.clear()
             roots.clear()
-            blocks = [(k, sorted(v)) for k, v in made.items()]
-            cols = [pa.array([k for k, _ in blocks], pa.int64()), pa.array([b"\n".join(b"\t".join(p) for p, _ in v) for _, v in blocks], pa.binary()), pa.array([[n for _, n in v] for _, v in blocks], pa.list_(pa.int64()))]
-            return pa.RecordBatch.from_arrays(cols, names=["range", "phrases", "counts"])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["range", "nodes", "words"])
 
         for b in batches:
             for w, names in word_blocks(b.column(0), b.column(1), depth):
-                for d, n in zip(*np.unique(w.docs[w.fresh :], return_counts=True), strict=True):
-                    roots[names[d]] = roots.get(names[d], 0) + int(n)
-                h, size = w.hashes, len(w.hashes)
-                pair = np.zeros(size, bool)
+                for d, c in zip(*np.unique(w.docs[w.fresh :], return_counts=True), strict=True):
+                    roots[names[d]] = roots.get(names[d], 0) + int(c)
+                pair = np.zeros(len(w.hashes), bool)
                 pair[:-1] = w.linked[:-1] & known(pair_hashes(w))
-                grown, keys = known(h), h
-                for n in range(1, depth + 1):
-                    if n > 1:  # phrases of n words go on along frequent pairs
-                        grown = pair[: size - n + 1] if n == 2 else grown[: size - n + 1] & pair[n - 2 : size - 1]
-                        keys = mixed(keys[: size - n + 1] * _DEEPER + h[n - 1 :])
-                    at = np.flatnonzero(grown)
-                    at = at[at + n - 1 >= w.fresh]
-                    if not len(at):
-                        continue
-                    key, where, count = np.unique(keys[at], return_index=True, return_counts=True)
-                    for x, i, c in zip(key.tolist(), at[where].tolist(), count.tolist(), strict=True):
-                        if x in trie:
-                            trie[x][2] += c
-                        else:
-                            trie[x] = [b"\t".join((names[w.docs[i]].encode().hex().encode(), *w.phrase(i, n))), int(h[i]), c]
-                    if len(trie) >= NODES:
-                        yield serialised()
-        if trie or roots:
-            yield serialised()
-
-    return texts.mapInArrow(run, "range long, phrases binary, counts array<long>")
+                for nodes, i in block_nodes(w, known(w.hashes), pair, depth):
+                    held.append(nodes)
+                    n += len(nodes)
+                    if nodes["depth"][0] == 1:
+                        for x, k in zip(nodes["id"].tolist(), i.tolist(), strict=True):
+                            if x not in texts_:
+                                texts_[x] = names[w.docs[k]].encode().hex().encode() + b"\t" + w.phrase(k, 1)[0]
+                if n > NODES:
+                    held = [summed(held)]
+                    if (n := len(held[0])) > NODES // 2:
+                        yield serialised(held[0])
+                        held, n = [], 0
+        if n or roots:
+            yield serialised(summed(held or [np.zeros(0, NODE)]))
+
+    return texts.mapInArrow(run, "range long, nodes binary, words binary")
 
 
 def merged_tries(tries: DataFrame, least: int) -> DataFrame:
-    """lang, words, a, left: nodes that come least times (and roots), left[k-1] being the count of the first k words."""
-
-    def nodes(phrases: bytes, counts: list[int]) -> Iterator[tuple[tuple[bytes, ...], int]]:
-        return ((tuple(p.split(b"\t")), n) for p, n in zip(phrases.split(b"\n"), counts, strict=True))
-
-    def walked(blocks: list) -> Iterator[pa.RecordBatch]:
-        out, above = [], []
-        for path, same in groupby(heapq.merge(*(nodes(*b) for b in blocks)), key=lambda x: x[0]):
-            n = sum(c for _, c in same)
-            while above and path[: len(above[-1][0])] != above[-1][0]:
-                above.pop()
-            if n >= least or len(path) == 1:
-                out.append((bytes.fromhex(path[0].decode()).decode(), [x.decode() for x in path[1:]], n, [c for _, c in above]))
-                if len(path) > 1:
-                    above.append((path, n))
-            if len(out) == 4096:
-                yield rows(out)
-                out = []
-        if out:
-            yield rows(out)
-
-    def rows(out: list[tuple]) -> pa.RecordBatch:
-        kinds = (pa.string(), pa.list_(pa.string()), pa.int64(), pa.list_(pa.int64()))
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["lang", "words", "a", "left"])
+    """lang, text (of words and roots), id, parent, depth, a, left, ends, words: nodes that come least times, and roots (depth 0).
+
+    left[k-1] is the count of the first k words, found by walking up the trie; ends[k-1] is the node without the first k words; words are hashes.
+    """
+    kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * 3)
+    names = ["lang", "text", "id", "parent", "depth", "a", "left", "ends", "words"]
+
+    def ragged(columns: np.ndarray, n: np.ndarray) -> pa.Array:
+        """The first n of each row."""
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(columns[np.arange(columns.shape[1]) < n[:, None]].view(np.int64), pa.int64()))
+
+    def walked(nodes: np.ndarray, blocks: list[tuple[np.ndarray, list[bytes]]]) -> Iterator[pa.RecordBatch]:
+        nodes = nodes[nodes["n"] >= least]
+        if not len(nodes):
+            return
+        depth = nodes["depth"]
+        counts, words = np.zeros((len(nodes), DEPTH), np.int64), np.zeros((len(nodes), DEPTH), np.uint64)
+        at = np.arange(len(nodes))
+        for up in range(DEPTH):  # own word and count last, then the parents'
+            live = depth > up
+            counts[live, depth[live] - 1 - up] = nodes["n"][at[live]]
+            words[live, depth[live] - 1 - up] = nodes["word"][at[live]]
+            more = depth > up + 1
+            at[more] = np.searchsorted(nodes["id"], nodes["parent"][at[more]])
+        text: list = [None] * len(nodes)
+        lang: list = [None] * len(nodes)
+        for ids, said in blocks:
+            where = np.minimum(np.searchsorted(nodes["id"], ids), len(nodes) - 1)
+            for k in np.flatnonzero((nodes["id"][where] == ids) & (depth[where] == 1)).tolist():
+                if text[where[k]] is None:
+                    a, b = said[k].split(b"\t")
+                    lang[where[k]], text[where[k]] = bytes.fromhex(a.decode()).decode(), b.decode()
+        cols = [pa.array(lang, pa.string()), pa.array(text, pa.string()), *(pa.array(nodes[c].view(np.int64) if nodes[c].dtype != np.int64 else nodes[c], pa.int64()) for c in ("id", "parent", "depth", "n"))]
+        yield pa.RecordBatch.from_arrays([*cols, ragged(counts, depth - 1), ragged(np.ascontiguousarray(nodes["ends"]), depth - 1), ragged(words, depth)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, blocks = None, []
+        now, parts, blocks, roots = None, [], [], {}
         for b in batches:
-            for which, phrases, counts in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                if which != now and blocks:
-                    yield from walked(blocks)
-                    blocks = []
+            for which, nodes, words in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
+                if which == ROOTS:
+                    for x, n in zip(words.split(b"\n"), np.frombuffer(nodes.as_buffer(), np.int64).tolist(), strict=True):
+                        roots[x] = roots.get(x, 0) + n
+                    continue
+                if which != now and parts:
+                    yield from walked(summed(parts), blocks)
+                    parts, blocks = [], []
                 now = which
-                blocks.append((phrases, counts))
-                if len(blocks) == 64:  # partial merge: few blocks are open at a time
-                    merged = [(p, sum(c for _, c in same)) for p, same in groupby(heapq.merge(*(nodes(*x) for x in blocks)), key=lambda x: x[0])]
-                    blocks = [(b"\n".join(b"\t".join(p) for p, _ in merged), [n for _, n in merged])]
-        if blocks:
-            yield from walked(blocks)
+                parts.append(np.frombuffer(nodes.as_buffer(), NODE))
+                blocks.append((parts[-1]["id"][parts[-1]["depth"] == 1], words.split(b"\n")))
+                if len(parts) > 64:
+                    parts = [summed(parts)]
+        if parts:
+            yield from walked(summed(parts), blocks)
+        if roots:
+            none: list = [None] * len(roots)
+            cols = [[bytes.fromhex(x.decode()).decode() for x in roots], none, none, none, [0] * len(roots), list(roots.values()), none, none, none]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
 
     tasks = int(tries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return tries.repartition(tasks, "range").sortWithinPartitions("range").mapInArrow(run, "lang string, words array<string>, a long, left array<long>")
+    schema = "lang string, text string, id long, parent long, depth long, a long, left array<long>, ends array<long>, words array<long>"
+    return tries.repartition(tasks, "range").sortWithinPartitions("range").mapInArrow(run, schema)
 
 
 def collocations(docs: DataFrame, least: int = LEAST, depth: int = DEPTH, top: int = TOP, inside: int = INSIDE, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """lang, rank, phrase, a, l, r, n, score: each language's first ``top`` phrases of 2 to ``depth`` words by score, count, phrase.
+    """lang, rank, phrase, a, l, r, n, score: each language's first ``top`` phrases of 2 to ``depth`` words (DEPTH at most) by score, count, phrase.
 
     The score of a cut into two parts is floor(2000000 a / (l + r)); the lowest counts, of equal ones the first.
     Phrases are dropped if a longer frequent one that holds them has at least ``inside`` hundredths of their count.
@@ -300,20 +354,22 @@ def collocations(docs: DataFrame, least: int = LEAST, depth: int = DEPTH, top: i
     range_bits = min(MOST_RANGE_BITS, max(2, ceil(log2(entries)) - ENTRY_BITS))
     bits = min(MOST_BITS, max(range_bits + 10, ceil(log2(entries))))
     bitmap = spark.sparkContext.broadcast(frequent_cells(texts, range_bits, bits, min(least, 255)))
-    trie = cut(merged_tries(shard_tries(texts, bitmap, bits, depth, max(LEAST_RANGES, size >> RANGE_BYTES)), least))
-    roots = trie.where("size(words) = 0").select("lang", F.col("a").alias("n"))
-    nodes = trie.where("size(words) > 0")
-    phrases = nodes.where("size(words) > 1").select("lang", "words", F.array_join("words", " ").alias("phrase"), "a", "left")
-    # suffix links: the phrase without its first k words
-    links = phrases.select("lang", "phrase", "a", F.posexplode("left").alias("i", "l"), "words").selectExpr("lang", "phrase", "a", "i + 1 as k", "l", "array_join(slice(words, i + 2, size(words)), ' ') as suffix")
-    ends = nodes.select("lang", F.array_join("words", " ").alias("suffix"), F.col("a").alias("r"))
+    trie = cut(merged_tries(shard_tries(texts, bitmap, bits, min(depth, DEPTH), max(LEAST_RANGES, size >> RANGE_BYTES)), least))
+    roots = trie.where("depth = 0").groupBy("lang").agg(F.sum("a").alias("n"))
+    phrases = trie.where("depth > 1")
     whole = "decimal(28,0)"
-    scored = links.join(ends, ["lang", "suffix"]).withColumn("score", F.expr(f"(cast(a as {whole}) * 2000000) div (cast(l as {whole}) + cast(r as {whole}))"))
-    best = scored.groupBy("lang", "phrase", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("m"))
-    # phrases within phrases
-    parts = phrases.where("size(words) > 2").selectExpr("lang", "a as longer", "explode(flatten(transform(sequence(2, size(words) - 1), k -> transform(sequence(1, size(words) - k + 1), i -> array_join(slice(words, i, k), ' '))))) as phrase")
-    held = parts.groupBy("lang", "phrase").agg(F.max("longer").alias("longer"))
-    kept = best.join(held, ["lang", "phrase"], "left").where(f"longer is null or cast(longer as {whole}) * 100 < cast(a as {whole}) * {int(inside)}")
+    # suffix links: the node without the first k words
+    links = phrases.select("id", "a", F.posexplode(F.arrays_zip("left", "ends")).alias("i", "x")).selectExpr("id", "a", "i + 1 AS k", "x.left AS l", "x.ends AS end")
+    scored = links.join(trie.where("depth > 0").select(F.col("id").alias("end"), F.col("a").alias("r")), "end")
+    scored = scored.withColumn("score", F.expr(f"(cast(a as {whole}) * 2000000) div (cast(l as {whole}) + cast(r as {whole}))"))
+    best = scored.groupBy("id", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("m"))
+    # of all phrases that hold a phrase, those with one word more have the highest counts: they are its children, and nodes whose first link it is
+    longer = trie.where("depth > 2").select(F.explode(F.array("parent", F.col("ends")[0])).alias("id"), F.col("a").alias("longer"))
+    held = longer.groupBy("id").agg(F.max("longer").alias("longer"))
+    kept = best.join(held, "id", "left").where(f"longer is null or cast(longer as {whole}) * 100 < cast(a as {whole}) * {int(inside)}").drop("longer")
+    # words of what is kept
+    said = phrases.select("id", F.posexplode("words").alias("i", "word")).join(kept.select("id"), "id", "left_semi").join(trie.where("depth = 1").select(F.col("id").alias("word"), "lang", "text"), "word")
+    named = said.groupBy("id").agg(F.min("lang").alias("lang"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "text"))), lambda x: x["text"]), " ").alias("phrase"))
     order = Window.partitionBy("lang").orderBy(F.desc("m.score"), F.desc("a"), "phrase")
-    ranked = kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    ranked = kept.join(named, "id").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
     return ranked.join(roots, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "m.l", "m.r", "n", F.col("m.score").cast("long").alias("score"))
