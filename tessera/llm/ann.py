@@ -7,8 +7,8 @@ lie in bands, each of a factor of 2^BAND_BITS of norms: a band has its own scale
 what bands give is put together by exact scores. A band of at most ``PIVOTS`` vectors has no graph; each query looks at all of them.
 Graph and search work on 16-bit copies; the result is scored again on the original vectors in double precision.
 
-Equal vectors are one node of the graph (the smallest id, and the ids of as many copies as a result can hold), so a
-vector that fills a third of the table costs no more than another.
+Equal vectors are one node of the graph (with the smallest ids of as many copies as a result can hold), so a
+vector that fills a third of the table costs no more than another. Nodes and queries have keys of their own, as an id may come with several vectors.
 
 First neighbours come from leaves of random projections (signs of log2(n / LEAF) of them; larger leaves are
 split by a hash). A round joins, at every node, a sample of its new and old neighbours and of those that have it as one;
@@ -19,12 +19,14 @@ A search keeps the best ``beam`` nodes of each query, begins at the query's own
 ``PIVOTS`` fixed nodes, and expands the best unexpanded ones, all queries at a time, until none is left in its first 3 k.
 
 Defined cases: null vectors, those with a null or non-finite component, of norm zero, or of another length than the longest
-take no part, nor do null ids; a norm may be as large as doubles go; equal rows count once; ties go to the smaller id; with fewer candidates than k
+take no part, nor do null ids; a norm may be as large as doubles go; equal rows count once; an id with several vectors counts with the
+best score of them, on either side; ties go to the smaller id; with fewer candidates than k
 all that are found are returned; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from math import ceil, log2
 
@@ -213,6 +215,8 @@ def neighbour_graph(nodes: DataFrame, n: int, d: int, k: int = DEGREE, rounds: i
         graph = cut(merged(graph.select("node", "near", "sim", F.lit(1).alias("old")).unionByName(more), k))
         if graph.where("fresh").count() <= SETTLED * k * n:
             break
+    else:
+        warnings.warn(f"the neighbour graph of {n} vectors hadn't settled after {rounds} rounds", stacklevel=2)
     return graph.select("node", "near", "sim")
 
 
@@ -264,10 +268,11 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, beam: int = 100,
     d = rows.agg(F.max(F.size("x"))).first()[0]
     if d is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    rows, ask = rows.where(F.size("x") == d), ask.where(F.size("x") == d)
+    rows = rows.where(F.size("x") == d)
+    ask = cut(ask.where(F.size("x") == d).select("id", "x", F.monotonically_increasing_id().alias("query")))
     # equal vectors: the k + 1 smallest ids stand for all of them (a query may be one)
     few = cut(rows.withColumn("r", F.row_number().over(Window.partitionBy("x").orderBy("id"))).where(F.col("r") <= k + 1))
-    heads = cut(few.where("r = 1").select(F.col("id").alias("node"), "x", log_norm().alias("log_norm")))
+    heads = cut(few.where("r = 1").select(F.monotonically_increasing_id().alias("node"), "x", log_norm().alias("log_norm")))
     members = few.join(heads.select("node", "x"), "x").select("node", F.col("id").alias("member"))
     asked = cut(copies_of_queries(ask, d))
     top, sizes = bands(heads)
@@ -278,11 +283,12 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, beam: int = 100,
         found = got if found is None else found.unionByName(got)
     # exact scores on the original vectors, one for each distinct vector
     exact = F.aggregate(F.zip_with("x", "q", lambda a, b: a * b), F.lit(0.0), lambda a, c: a + c)
-    scored = found.join(heads, "node").join(ask.select(F.col("id").alias("query"), F.col("x").alias("q")), "query").select("query", "node", exact.alias("score"))
-    order = Window.partitionBy("query").orderBy(F.desc("score"), "member")
+    scored = found.join(heads, "node").join(ask.select("query", F.col("id").alias("query_id"), F.col("x").alias("q")), "query").select("query_id", "node", exact.alias("score"))
+    best = scored.join(members, "node").where("member <> query_id").groupBy("query_id", "member").agg(F.max("score").alias("score"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "member")
     return (
-        scored.join(members, "node").where("member <> query").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-        .select(F.col("query").alias("query_id"), F.col("rank").cast("int").alias("rank"), F.col("member").alias("vec_id"), "score")
+        best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        .select("query_id", F.col("rank").cast("int").alias("rank"), F.col("member").alias("vec_id"), "score")
     )
 
 
@@ -304,7 +310,7 @@ def _searched(heads: DataFrame, n: int, ask: DataFrame, asked: DataFrame, d: int
             at = np.argsort(-(q @ table.T), axis=1, kind="stable")[:, :8]
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), at.shape[1])), pa.array(ids[at].ravel())], names=["query", "node"])
 
-    own = ask.join(heads, "x").select(F.col("id").alias("query"), "node")
+    own = ask.join(heads, "x").select("query", "node")
     starts = asked.mapInArrow(enter, "query long, node long").unionByName(own).unionByName(own.join(graph, "node").select("query", F.col("near").alias("node")))
     return walk(graph, nodes, starts, asked, k, max(beam, 4 * k))
 
@@ -319,4 +325,4 @@ def copies_of_queries(ask: DataFrame, d: int) -> DataFrame:
             q = np.hstack([x, np.zeros((len(x), 1))]).astype(np.float16)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in q], pa.binary())], names=["query", "q"])
 
-    return ask.select("id", "x").mapInArrow(run, "query long, q binary")
+    return ask.select("query", "x").mapInArrow(run, "query long, q binary")

@@ -41,11 +41,17 @@ def key_of(id_col: str, seed: int, epoch: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, KEY_BITS // 4), 16, 10).cast("long")
 
 
+def _let(value: Column, then) -> Column:
+    """``then`` of a value that is worked out once, also within lambdas."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def _weights(tokens: Column, alpha: Column) -> Column:
     """Normalised weights of an array of token counts."""
-    total = F.aggregate(tokens, F.lit(0.0), lambda a, x: a + x)
-    raw = F.transform(tokens, lambda t: F.when(t > 0, F.pow(t / total, alpha)).otherwise(F.lit(0.0)))
-    return F.transform(raw, lambda w: F.try_divide(w, F.aggregate(raw, F.lit(0.0), lambda a, x: a + x)))
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+    share = lambda n: F.transform(tokens, lambda t: F.when(t > 0, F.pow(t / n, alpha)).otherwise(F.lit(0.0)))
+    normal = lambda raw: _let(total(raw), lambda n: F.transform(raw, lambda w: F.try_divide(w, n)))
+    return _let(total(tokens), lambda n: _let(share(n), normal))
 
 
 def temperature(sources: DataFrame, max_repeats: float | None = None, entropy: float | None = None) -> DataFrame:
@@ -57,19 +63,20 @@ def temperature(sources: DataFrame, max_repeats: float | None = None, entropy: f
     """
     row = sources.agg(F.array_sort(F.collect_list(F.struct("source", F.col("tokens").cast("double").alias("tokens")))).alias("s"))
     row = row.withColumn("t", F.transform("s", lambda x: x["tokens"]))
+    some = F.filter("t", lambda x: x > 0)
+    row = cut(row.withColumn("spread", F.log(F.try_divide(F.array_max(some), F.array_min(some)))))
 
     def too_flat(alpha: Column) -> Column:
         """Whether the exponent has to grow."""
         if max_repeats is not None:
-            some = F.filter("t", lambda x: x > 0)
-            return (1 - alpha) * F.log(F.try_divide(F.array_max(some), F.array_min(some))) > log(max_repeats)
-        h = F.aggregate(_weights(F.col("t"), alpha), F.lit(0.0), lambda a, w: a - F.when(w > 0, w * F.log(w)).otherwise(F.lit(0.0)))
-        return h > entropy
+            return (1 - alpha) * F.col("spread") > log(max_repeats)
+        h = lambda ws: F.aggregate(ws, F.lit(0.0), lambda a, w: a - F.when(w > 0, w * F.log(w)).otherwise(F.lit(0.0)))
+        return _let(_weights(F.col("t"), alpha), h) > entropy
 
     if max_repeats is None and entropy is None:
         raise ValueError("max_repeats or entropy must be given")
-    between = lambda a: (a["lo"] + a["hi"]) / 2
-    step = lambda a, _: F.when(too_flat(between(a)), F.struct(between(a).alias("lo"), a["hi"].alias("hi"))).otherwise(F.struct(a["lo"].alias("lo"), between(a).alias("hi")))
+    half = lambda a: lambda m: F.when(too_flat(m), F.struct(m.alias("lo"), a["hi"].alias("hi"))).otherwise(F.struct(a["lo"].alias("lo"), m.alias("hi")))
+    step = lambda a, _: _let((a["lo"] + a["hi"]) / 2, half(a))
     alpha = F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), F.struct(F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi")), step, lambda a: F.round(a["hi"], DIGITS))
     row = cut(row.select("s", "t", F.coalesce(alpha, F.lit(1.0)).alias("alpha")))
     row = row.withColumn("w", _weights(F.col("t"), F.col("alpha")))

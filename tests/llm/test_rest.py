@@ -110,6 +110,21 @@ def test_entropy_target_and_budget(spark):
     assert mixing.mix(docs.where("false")).count() == 0
 
 
+def test_many_sources(spark):
+    """Work in proportion to the sources: twenty thousand of them."""
+    n = 20_000
+    sources = spark.range(n).select(F.concat(F.lit("s"), "id").alias("source"), (F.col("id") % 997 + 1).alias("tokens"))
+    t = np.array([i % 997 + 1 for i in range(n)], dtype=float)
+    for kw in ({"entropy": 9.8}, {"max_repeats": 3.0}):
+        rows = mixing.temperature(sources, **kw).collect()
+        w = (t / t.sum()) ** rows[0].alpha
+        assert len(rows) == n and np.allclose(sorted(r.weight for r in rows), np.sort(w / w.sum()))
+        if "entropy" in kw:
+            assert abs(-sum(r.weight * math.log(r.weight) for r in rows) - 9.8) < 1e-4
+        else:
+            assert abs((1 - rows[0].alpha) * math.log(997) - math.log(3)) < 1e-4
+
+
 def test_every_reading_has_its_own_permutation_and_names_do_not_clash(spark):
     docs = corpus(spark)
     keys = defaultdict(dict)
@@ -246,6 +261,15 @@ def test_vectors_that_take_no_part_copies_and_norms(spark):
     assert [x.vec_id for x in ann.search(df.where("vec_id < 2"), df.where("vec_id = 0"), 5).collect()] == [1]
 
 
+def test_an_id_with_several_vectors_counts_with_its_best(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.1]), (3, [0.1, 1.0]), (2, [1.0, 0.1])], "vec_id long, embedding array<double>")
+    got = [tuple(x) for x in ann.search(df, df.where("vec_id = 2"), 5).collect()]
+    assert got == [(2, 1, 1, 1.0), (2, 2, 3, 0.2)]
+    # a query with two vectors
+    got = [tuple(x) for x in ann.search(df, df.where("vec_id = 1"), 5).collect()]
+    assert got == [(1, 1, 2, 1.0), (1, 2, 3, 1.0)]
+
+
 def test_norms_far_apart_cost_no_recall(spark):
     """One vector a million times longer than the rest, one at the edge of what doubles hold, some very short ones."""
     r = np.random.default_rng(3)
