@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import cut, small_batches, text_or_empty
-from tessera.llm.repeats import BLOCK, mixed, word_hashes
+from tessera.llm.repeats import mixed, word_hashes
 
 LEAST = 30
 DEPTH = 4
@@ -44,8 +44,9 @@ BREAKS = b".,;:!?\n\x0b\x0c\r"
 ENTRY_BITS, MOST_RANGE_BITS, MOST_BITS = 18, 24, 29
 #: Prefix ranges of full tries: one for each 2^RANGE_BYTES bytes of text.
 LEAST_RANGES, RANGE_BYTES = 64, 22
-#: Occurrences, or nodes, that a task holds before it gives its trie away.
-HELD, NODES = 4_000_000, 600_000
+#: Occurrences, or nodes, that a task holds before it gives its trie away; bytes hashed at a time.
+HELD, NODES = 1_000_000, 250_000
+BLOCK = 1 << 20
 
 _U = np.uint64
 _BREAK = np.zeros(256, bool)
