@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as X
 from tessera.operators import similarity as S
+from tessera.operators.absorb import absorb
 
 # Bounds of an entry, promotion rules, days that a dismissal holds by its reason (blank and "other": the default).
 STATEMENTS, CONFIDENCES = 5, 30
@@ -162,14 +163,47 @@ def suffix() -> Column:
     return F.format_string("%d days, seen %d, peak %.2f, mean %.2f", F.coalesce(F.datediff(day("last_seen"), day("first_seen")), F.lit(0)), "seen_count", peak(), mean())
 
 
+def daily(batch: DataFrame, ledger: DataFrame, today: str) -> DataFrame:
+    """ST6, A11, M6: the ledger with the day's batch (kind, statement, confidence, category, ord) absorbed in order, and ``decision``: promote, await or done.
+
+    An entry is marked as promoted by ``mark_promoted``, once its row has gone out.
+    """
+    entries = absorb(ledger, batch, today)
+    now = ((F.col("seen_count") >= LEAST_SEEN) & within("last_seen", today)) | (F.coalesce("today_confidence", F.lit(0.0)) >= FAST)
+    return entries.withColumn("decision", F.when(F.coalesce("promoted", F.lit(False)), F.lit("done")).when(now, F.lit("promote")).otherwise(F.lit("await"))).drop("today_confidence")
+
+
+def stated(entries: DataFrame) -> DataFrame:
+    """Entries with statement (the latest, else the fingerprint), category (the latest, else ``preference``) and confidence (the peak), as candidates."""
+    return entries.withColumns({
+        "statement": F.coalesce(F.try_element_at("statements", F.lit(-1)), "fingerprint"),
+        "category": F.when(F.col("kind") == "fact", F.coalesce(F.try_element_at("categories", F.lit(-1)), F.lit("preference"))), "confidence": peak(),
+    })
+
+
+def fresh(entries: DataFrame, known: DataFrame) -> DataFrame:
+    """D1 over entries in the ledger's order (stored ones by fingerprint, then new ones as they were opened): those whose statement isn't known, and the first of equal statements."""
+    rows = stated(entries if "opened" in entries.columns else entries.withColumn("opened", F.lit(None).cast("long")))
+    w = Window.partitionBy("kind", X.normalize("statement")).orderBy(F.asc_nulls_first("opened"), "fingerprint")
+    rows = rows.withColumn("ord", F.row_number().over(w))
+    first = rows.where("ord = 1").drop("ord", "opened")
+    best = S.best_scores(first, known)
+    return best.where("best IS NULL AND __some").select(first.columns)
+
+
 def gate(candidates: DataFrame, ledger: DataFrame, known: DataFrame, today: str) -> DataFrame:
-    """Sightings recorded, promoted, checked against what is known: ledger rows with status promote that are new.
+    """The day's candidates recorded one after the other, promoted, checked against what is known: new ledger rows with status promote.
 
-    candidates: cand, kind, statement, confidence, category, ord.
+    candidates: kind, statement, confidence, category, ord (further columns are ignored).
     """
-    match = S.best_entries(candidates, ledger.withColumn("ord", F.xxhash64("fingerprint")))
-    seen = candidates.join(match.select("cand", "fingerprint"), "cand", "left").withColumn("fingerprint", F.coalesce("fingerprint", X.normalize("statement"))).where("fingerprint <> ''").withColumn("day", F.lit(today))
-    merged = merge(ledger.drop("promoted", "promoted_at"), accumulate(seen)).join(ledger.select("kind", "fingerprint", "promoted", "promoted_at"), ["kind", "fingerprint"], "left")
-    decided = promote(merged, seen.select("kind", "fingerprint", "confidence"), today).where("decision = 'promote'")
-    rows = decided.withColumns({"statement": F.coalesce(F.try_element_at("statements", F.lit(-1)), "fingerprint"), "ord": F.xxhash64("kind", "fingerprint")})
-    return S.dedupe(rows, known).where("kept").drop("kept", "ord")
+    return fresh(daily(candidates, ledger, today).where("decision = 'promote'"), known)
+
+
+def review_marked(ledger: DataFrame, known: DataFrame, today: str, least: float) -> tuple[DataFrame, DataFrame]:
+    """A12, then D1, then M6: the rows to review, and the ledger in which their entries are promoted."""
+    rows = fresh(review(ledger, today, least), known)
+    hit = rows.select("kind", "fingerprint", F.lit(True).alias("__hit"))
+    out = ledger.join(hit, ["kind", "fingerprint"], "left")
+    new = F.coalesce("__hit", F.lit(False))
+    marked = out.withColumns({"promoted_at": F.when(new, F.lit(today)).otherwise(F.col("promoted_at")), "promoted": new | F.coalesce("promoted", F.lit(False))})
+    return rows, marked.select(ledger.columns)

@@ -8,6 +8,7 @@ from tessera.functions import text as X
 from tessera.operators import ledger as L
 from tessera.operators import merge as M
 from tessera.operators import similarity as S
+from tessera.operators.absorb import ENTRY, absorb
 from tessera.plans.registry import query
 from tessera.sources.star import table
 
@@ -142,6 +143,44 @@ def ledger_best_match(spark, d):
     return S.best_entries(c, led).select("cand", "fingerprint", F.round("score", 9).alias("score"))
 
 
+# A batch of statements with ten words or so, of which neighbours differ in one: entries are leaders, and order decides.
+_SAID = "'A customer of segment ' || c_mktsegment || ' in N' || c_nationkey || ' with balance B' || floor(c_acctbal / 2000)::INT"
+_DAYS = ("2024-01-01", "2024-01-02")
+
+
+def _absorbing() -> str:
+    """Row after row: the ledger is a list that each step turns into the next; a day begins with it in order, as it is stored."""
+    jac = "len(list_intersect(v, r.w)) / (len(v) + len(r.w) - len(list_intersect(v, r.w)))::DOUBLE"
+    tail = lambda x, n: f"({x})[greatest(len({x}) - {n} + 1, 1):]"
+    new = "struct_pack(fp := r.fp, seen := 1, last := r.day, st := [r.s], wst := [r.w], wfp := r.w, conf := [r.c])"
+    upd = f"""struct_pack(fp := e.fp, seen := e.seen + 1, last := r.day, st := CASE WHEN list_contains(e.st, r.s) THEN e.st ELSE {tail("list_append(e.st, r.s)", 5)} END,
+      wst := CASE WHEN list_contains(e.st, r.s) THEN e.wst ELSE {tail("list_append(e.wst, r.w)", 5)} END, wfp := e.wfp, conf := {tail("list_append(e.conf, r.c)", 30)})"""
+    return f"""
+WITH RECURSIVE b AS (SELECT CASE WHEN c_custkey % 3 = 0 THEN 'pattern' ELSE 'fact' END AS kind, {_SAID} AS s, c_custkey AS k, CASE WHEN c_custkey % 2 = 0 THEN '{_DAYS[0]}' ELSE '{_DAYS[1]}' END AS day, (c_custkey % 100) / 100.0 AS c FROM customer),
+n AS (SELECT *, lower(s) AS fp, list_distinct(string_split(lower(s), ' ')) AS w, row_number() OVER (PARTITION BY kind ORDER BY day, k) AS i, row_number() OVER (PARTITION BY kind, day ORDER BY k) = 1 AS begins FROM b),
+f AS (SELECT kind, 0::BIGINT AS i, []::STRUCT(fp VARCHAR, seen INT, last VARCHAR, st VARCHAR[], wst VARCHAR[][], wfp VARCHAR[], conf DOUBLE[])[] AS es FROM (SELECT DISTINCT kind FROM n)
+      UNION ALL
+      SELECT kind, i, CASE WHEN hit = 0 THEN list_append(es, {new}) ELSE list_transform(es, lambda e, j: CASE WHEN j = hit THEN {upd} ELSE e END) END
+      FROM (SELECT r.kind, r.i, r, f.es, CASE WHEN list_position(list_transform(f.es, lambda e: e.fp), r.fp) > 0 THEN list_position(list_transform(f.es, lambda e: e.fp), r.fp)
+              ELSE list_reduce(list_prepend(struct_pack(j := 0::BIGINT, best := 0.75::DOUBLE, sc := []::DOUBLE[]), list_transform(f.es, lambda e, j: struct_pack(j := j::BIGINT, best := 0::DOUBLE, sc := list_transform(list_prepend(e.wfp, e.wst), lambda v: {jac})))),
+                   lambda a, x: CASE WHEN len(list_filter(x.sc, lambda y: y >= a.best)) > 0 THEN struct_pack(j := x.j, best := list_filter(x.sc, lambda y: y >= a.best)[1], sc := x.sc) ELSE a END).j END AS hit
+            FROM (SELECT f.kind, f.i, CASE WHEN begins THEN list_sort(es) ELSE es END AS es FROM f JOIN n ON n.kind = f.kind AND n.i = f.i + 1) f JOIN n r ON r.kind = f.kind AND r.i = f.i + 1)),
+e AS (SELECT kind, unnest(es) AS e FROM f QUALIFY row_number() OVER (PARTITION BY kind ORDER BY i DESC) = 1)
+SELECT kind, e.fp AS fingerprint, e.seen::BIGINT AS seen_count, e.last AS last_seen, array_to_string(e.st, '|') AS statements, len(e.conf) AS kept, round(list_sum(e.conf), 6) AS confidence FROM e"""
+
+
+@query(_absorbing())
+def ledger_absorb(spark, d):
+    """ST6, J9, D2: two days' statements absorbed in order; each may match an entry that one before it opened."""
+    c = table(spark, d, "customer")
+    said = F.concat(F.lit("A customer of segment "), "c_mktsegment", F.lit(" in N"), "c_nationkey", F.lit(" with balance B"), F.floor(F.col("c_acctbal") / 2000).cast("int"))
+    rows = c.select(F.when(F.col("c_custkey") % 3 == 0, "pattern").otherwise("fact").alias("kind"), said.alias("statement"), ((F.col("c_custkey") % 100) / 100.0).alias("confidence"), F.lit(None).cast("string").alias("category"), F.col("c_custkey").alias("ord"))
+    ledger = spark.createDataFrame([], ENTRY)
+    for i, day in enumerate(_DAYS):
+        ledger = absorb(ledger, rows.where(F.col("ord") % 2 == i), day).drop("today_confidence", "opened")
+    return ledger.select("kind", "fingerprint", "seen_count", "last_seen", F.array_join("statements", "|").alias("statements"), F.size("confidence_history").cast("long").alias("kept"), F.round(F.aggregate("confidence_history", F.lit(0.0), lambda x, y: x + y), 6).alias("confidence"))
+
+
 @query("""WITH f AS (SELECT 'user ' || user_id AS ref, count(*) FILTER (event_type = 'click') AS n, bool_or(event_type = 'purchase') AS ok FROM events GROUP BY 1)
 SELECT ref, n, n >= 2 AS dead FROM f WHERE n > 0""")
 def failure_counts(spark, d):
