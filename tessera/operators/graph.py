@@ -1,4 +1,4 @@
-"""Graph operators over the edge table.
+"""Graph operators over the edge table (G1-G3, G5-G8, J1, J3-J4, J12, W6, S2, M3; ``history`` has G4).
 
 edges: src_type, src_slug, src_ord, relation, pos, target. All orders are explicit columns.
 """
@@ -78,24 +78,6 @@ def closure(e: DataFrame, relations=V.TRANSITIVE, depth: int = 2) -> DataFrame:
     return reached.groupBy("src_slug", "target").agg(F.min("hops").alias("hops"))
 
 
-def chains(e: DataFrame, starts: DataFrame, most: int = 10_000) -> DataFrame:
-    """Start, hop, slug along ``supersedes`` from newest to oldest, in depth-first order, cycle-safe.
-
-    starts: slug. A recursive plan; a path is as long as a chain, not as the table.
-    """
-    spark = e.sparkSession
-    e.where("relation = 'supersedes'").select("src_slug", "pos", "target").distinct().createOrReplaceTempView("__supersedes")
-    starts.select("slug").distinct().createOrReplaceTempView("__starts")
-    found = spark.sql(f"""
-        WITH RECURSIVE walk(start, slug, hop, path, place) MAX RECURSION LEVEL {most} AS (
-          SELECT slug, slug, 0, array(slug), array(0) FROM __starts
-          UNION ALL
-          SELECT w.start, s.target, w.hop + 1, concat(w.path, array(s.target)), concat(w.place, array(s.pos))
-          FROM walk w JOIN __supersedes s ON w.slug = s.src_slug WHERE NOT array_contains(w.path, s.target))
-        SELECT start, slug, hop, place FROM walk""")
-    return found.groupBy("start", "slug").agg(F.min_by("hop", "place").alias("hop"), F.min("place").alias("place"))
-
-
 def ancestors_by_version(versions: DataFrame) -> DataFrame:
     """G4 where every page supersedes at most one other and is superseded by at most one: a chain is a window.
 

@@ -8,7 +8,11 @@ start from the seeds; no whole closure or list of a hub's inbound edges is forme
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +20,7 @@ from tessera.functions import text as X
 from tessera.operators import graph as G
 from tessera.operators import vocabulary as V
 from tessera.operators.entities import is_current
+from tessera.operators.history import histories
 from tessera.session import checked_broadcast, ship
 
 MAX_PAGES = 12
@@ -39,26 +44,75 @@ def _grams(text: str, n: int) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
 
 
-def name_seeds(queries: DataFrame, pages: DataFrame) -> DataFrame:
-    """Query, slug, load_ord of pages whose title or slug occurs in the text, first page of each slug.
+#: Characters of all names together up to which they are sent to the tasks as one automaton.
+NAMES_CHARS = 4_000_000
+#: The last automaton of a worker process.
+_automata: dict = {}
+
+
+def _by_automaton(texts: DataFrame, names: DataFrame) -> DataFrame:
+    """query, name: every name in every text, found in one pass over the texts, which aren't shuffled. names: few enough (checked)."""
+    spark = texts.sparkSession
+    ship(spark)
+    sent = spark.sparkContext.broadcast([r["name"] for r in names.collect()])
+    kind, key = texts.schema["query"].dataType.simpleString(), uuid.uuid4().hex
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        from tessera.operators.retrieval import _automata  # the worker's own, not a copy
 
-    A containment join without a cross join: a name can only occur where each of its runs of 8 characters does (4 or 1 for shorter names),
-    so a name stands under the one of its runs that fewest names have, and texts meet names on equality of runs. Rows of the join hold
-    ids and names only; the texts are joined back to the distinct pairs and the whole name is verified with ``contains``.
+        if key not in _automata:
+            _automata.clear()
+            made = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+            for i, name in enumerate(sent.value):
+                made.add_word(name, i)
+            made.make_automaton()
+            _automata[key] = made
+        found, own = _automata[key], sent.value
+        for b in batches:
+            at, which = [], []
+            for i, text in enumerate(b.column(1).to_pylist()):
+                hits = {k for _, k in found.iter(text)}
+                at += [i] * len(hits)
+                which += [own[k] for k in hits]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(which, pa.string())], names=["query", "name"])
+
+    return texts.select("query", "low").mapInArrow(find, f"query {kind}, name string")
+
+
+def _by_grams(texts: DataFrame, names: DataFrame) -> DataFrame:
+    """The same by equality of runs of characters, for any number of names.
+
+    A name can only occur where each of its runs of 8 characters does (4 or 1 for shorter names), so it stands under the one of its runs that
+    fewest names have. Rows of the join hold ids and names only; the texts are joined back to the distinct pairs and the whole name is verified.
     """
-    texts = queries.select("query", F.lower(F.coalesce("text", F.lit(""))).alias("low"))
-    names = pages.select("slug", "load_ord", F.explode(F.array_distinct(F.array(F.lower("title"), F.lower("slug")))).alias("name")).where("name <> ''")
-    names = names.groupBy("name", "slug").agg(F.min("load_ord").alias("load_ord"))
     met, above = None, None
     for n in GRAMS:
-        some = names.where((F.length("name") >= n) & (F.length("name") < above if above else F.lit(True))).select("name").distinct()
+        some = names.where((F.length("name") >= n) & (F.length("name") < above if above else F.lit(True)))
         above = n
         each = some.select("name", F.explode(_grams("name", n)).alias("gram"))
         rare = each.join(each.groupBy("gram").agg(F.count("*").alias("many")), "gram").groupBy("name").agg(F.min(F.struct("many", "gram")).alias("k")).select("name", F.col("k.gram").alias("gram"))
         rows = texts.select("query", F.explode(_grams("low", n)).alias("gram")).join(checked_broadcast(rare), "gram").select("query", "name")
         met = rows if met is None else met.unionByName(rows)
-    found = met.distinct().join(texts, "query").where(F.expr("contains(low, name)")).select("query", "name")
-    return found.join(names, "name").groupBy("query", "slug").agg(F.min("load_ord").alias("load_ord"))
+    return met.distinct().join(texts, "query").where(F.expr("contains(low, name)")).select("query", "name")
+
+
+def name_seeds(queries: DataFrame, pages: DataFrame, most: int = NAMES_CHARS) -> DataFrame:
+    """Query, slug, load_ord of pages whose title or slug occurs in the text, first page of each slug.
+
+    A containment join without a cross join: names of up to ``most`` characters in all go to the tasks as an Aho-Corasick automaton; more of them meet
+    the texts on runs of characters.
+    """
+    texts = queries.select("query", F.lower(F.coalesce("text", F.lit(""))).alias("low"))
+    names = pages.select("slug", "load_ord", F.explode(F.array_distinct(F.array(F.lower("title"), F.lower("slug")))).alias("name")).where("name <> ''")
+    names = names.groupBy("name", "slug").agg(F.min("load_ord").alias("load_ord"))
+    some = names.select("name").distinct()
+    size = some.agg(F.sum(F.length("name") + 1)).first()[0] or 0
+    if not size:
+        return queries.select("query").limit(0).crossJoin(names.select("slug", "load_ord").limit(0))
+    found = _by_automaton(texts, some) if size <= most else _by_grams(texts, some)
+    return found.join(checked_broadcast(names), "name").groupBy("query", "slug").agg(F.min("load_ord").alias("load_ord"))
 
 
 def selected(queries: DataFrame, pages: DataFrame, most: int) -> DataFrame:
@@ -140,10 +194,10 @@ def citations(answers: DataFrame) -> DataFrame:
     return answers.select("query", F.when(F.size(found) > 0, found).otherwise(F.col("provided")).alias("sources"))
 
 
-def with_history(chosen: DataFrame, e: DataFrame, most: int = MAX_PAGES) -> DataFrame:
-    """Each chosen page followed by what it supersedes, first per page, cut. chosen: query, rank, slug."""
-    walk = G.chains(e, chosen.select("slug").distinct())
-    rows = chosen.join(walk.withColumnRenamed("slug", "page"), chosen["slug"] == walk["start"]).select("query", "page", F.struct("rank", "hop", "place").alias("place"))
-    first = rows.groupBy("query", "page").agg(F.min("place").alias("place"))
-    w = Window.partitionBy("query").orderBy("place", "page")
+def with_history(chosen: DataFrame, e: DataFrame, pages: DataFrame, most: int = MAX_PAGES) -> DataFrame:
+    """Each chosen page followed by what it supersedes, first per page, cut. chosen: query, rank, slug (or ``type:slug``)."""
+    walk = histories(e, pages, chosen.select(F.col("slug").alias("ref")))
+    rows = chosen.join(walk.select("start", "place", "type", F.col("slug").alias("page")), chosen["slug"] == walk["start"]).select("query", "type", "page", F.struct("rank", "place").alias("place"))
+    first = rows.groupBy("query", "type", "page").agg(F.min("place").alias("place"))
+    w = Window.partitionBy("query").orderBy("place", "type", "page")
     return first.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select("query", "rank", F.col("page").alias("slug"))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.operators import entities as E
 from tessera.operators import graph as G
+from tessera.operators import history
 from tessera.operators import lint as L
 from tessera.operators import merge as M
 from tessera.operators import metrics as R
@@ -118,14 +120,33 @@ def supersedes_history(spark, d):
 
 
 @query(f"""WITH RECURSIVE {edges_sql("supersedes")},
-w AS (SELECT src_slug AS start, src_slug AS slug, 0 AS hop FROM edges WHERE src_slug NOT IN (SELECT target FROM edges)
+w AS (SELECT src_slug AS start, src_slug AS slug, 0::BIGINT AS hop FROM edges WHERE src_slug NOT IN (SELECT target FROM edges)
       UNION ALL SELECT w.start, e.target, w.hop + 1 FROM w JOIN edges e ON w.slug = e.src_slug)
 SELECT start, slug, hop FROM w""")
 def supersedes_walk(spark, d):
-    """G4, as a recursive plan."""
+    """G4, as a walk."""
     e = star.edges(spark, d, "supersedes")
-    newest = e.select(F.col("src_slug").alias("slug")).join(e.select(F.col("target").alias("slug")), "slug", "left_anti")
-    return G.chains(e, newest).select("start", "slug", "hop")
+    newest = e.select(F.col("src_slug").alias("ref")).join(e.select(F.col("target").alias("ref")), "ref", "left_anti")
+    return history.histories(e, star.entities(spark, d, "orders"), newest).select("start", "slug", "hop")
+
+
+@query("""WITH RECURSIVE o AS (SELECT o_custkey AS c, 'order-' || o_orderkey AS slug, row_number() OVER w AS i, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)),
+e AS (SELECT a.slug AS src, b.slug AS target, CASE WHEN b.i = a.i - 1 THEN 2 WHEN b.i = a.i - 2 THEN 0 ELSE 1 END AS pos FROM o a JOIN o b ON a.c = b.c AND (b.i = a.i - 1 OR b.i = a.i - 2 OR (a.i % 3 = 1 AND b.i = a.n AND b.i > a.i + 1))),
+k AS (SELECT src, list(target ORDER BY pos) AS kids FROM e GROUP BY src),
+f AS (SELECT slug AS start, [slug] AS stack, []::VARCHAR[] AS seen FROM o WHERE i = n OR i = n // 2
+      UNION ALL SELECT start, CASE WHEN list_contains(seen, stack[1]) THEN stack[2:] ELSE list_concat(coalesce(kids, []), stack[2:]) END, CASE WHEN list_contains(seen, stack[1]) THEN seen ELSE list_append(seen, stack[1]) END
+      FROM f LEFT JOIN k ON k.src = stack[1] WHERE len(stack) > 0)
+SELECT start, unnest(range(len(seen))) AS place, unnest(seen) AS slug FROM f WHERE len(stack) = 0""")
+def supersedes_branching(spark, d):
+    """An order supersedes the two before it of its customer, every third the last one too: diamonds and cycles."""
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    own = table(spark, d, "orders").select("o_custkey", star.slug("order", "o_orderkey").alias("slug"), F.row_number().over(w).alias("i"), F.count("*").over(Window.partitionBy("o_custkey")).alias("n"))
+    a, b = own.alias("a"), own.alias("b")
+    near = (F.col("b.i") == F.col("a.i") - 1) | (F.col("b.i") == F.col("a.i") - 2) | ((F.col("a.i") % 3 == 1) & (F.col("b.i") == F.col("a.n")) & (F.col("b.i") > F.col("a.i") + 1))
+    pos = F.when(F.col("b.i") == F.col("a.i") - 1, 2).when(F.col("b.i") == F.col("a.i") - 2, 0).otherwise(1)
+    e = a.join(b, (F.col("a.o_custkey") == F.col("b.o_custkey")) & near).select(F.lit("log").alias("src_type"), F.col("a.slug").alias("src_slug"), F.lit("supersedes").alias("relation"), pos.alias("pos"), F.concat(F.lit("log:"), "b.slug").alias("target"))
+    starts = own.where((F.col("i") == F.col("n")) | (F.col("i") == F.floor(F.col("n") / 2))).select(F.col("slug").alias("ref"))
+    return history.histories(e, star.entities(spark, d, "orders"), starts).select("start", "place", "slug")
 
 
 @query(f"""WITH {edges_sql("part_of")}, r AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY src_ord) AS rank FROM edges WHERE src_slug NOT LIKE 'nation-%')

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from tessera.operators import entities as E
 from tessera.operators import graph as G
 from tessera.operators import ledger as L
-from tessera.operators import lint, merge, metrics, retrieval, similarity
+from tessera.operators import history, lint, merge, metrics, retrieval, similarity
 from tessera.operators import timeline as T
 from tessera.operators import vocabulary as V
 
@@ -54,8 +54,9 @@ def test_current_excluded_and_null_text(spark):
 
 def test_history_survives_cycles(spark):
     e = links(spark, ("v3", "supersedes", "v2"), ("v2", "supersedes", "v1"), ("v1", "supersedes", "v3"))
-    start = spark.createDataFrame([("v3",)], "slug string")
-    assert [r.slug for r in G.chains(e, start).orderBy("hop").collect()] == ["v3", "v2", "v1"]
+    p = pages(spark, *(page("log", f"v{i}") for i in (1, 2, 3)))
+    start = spark.createDataFrame([("v3",)], "ref string")
+    assert [r.slug for r in history.histories(e, p, start).orderBy("place").collect()] == ["v3", "v2", "v1"]
 
 
 def test_closure_depth_is_monotone(spark):
@@ -105,10 +106,11 @@ def test_similarity_join_is_complete(spark):
 
     rnd = random.Random(4)
     sets = [sorted({f"w{int(rnd.random() ** 2 * 25)}" for _ in range(rnd.randint(1, 9))}) for _ in range(120)]
-    df = spark.createDataFrame([(s,) for s in sets], "words array<string>")
-    got = {(tuple(r.lw), tuple(r.rw)) for r in similarity.similar_sets(df, df, 0.75).collect()}
+    df = spark.createDataFrame([(" ".join(s), s) for s in sets], "set_id string, words array<string>")
+    got = {(r.li, r.ri): r.score for r in similarity.similar_sets(df, df, 0.75).collect()}
     j = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b))
-    assert got == {(tuple(a), tuple(b)) for a, b in itertools.product(sets, sets) if j(a, b) >= 0.75}
+    assert got == {(" ".join(a), " ".join(b)): j(a, b) for a, b in itertools.product(sets, sets) if j(a, b) >= 0.75}
+    assert similarity.similar_sets(df, df.where("false"), 0.75).count() == 0
 
 
 def test_ledger_bounds_and_promotion(spark):
