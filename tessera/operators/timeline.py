@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
+from tessera.operators.ranking import ranked
 
 # Labels of lines.
 TODAY, CREATED, REVIEWED = "(오늘 {})", "(created)", "(last reviewed)"
@@ -37,6 +38,12 @@ def quarters(timed: DataFrame) -> DataFrame:
     return g.withColumn("label", F.concat("year", F.lit(" Q"), "quarter"))
 
 
+def quarter_places(timed: DataFrame) -> DataFrame:
+    """W2, S1 for quarters of any size: card_id, year, quarter, place (from 1, newest first); no quarter is gathered."""
+    rows = timed.where("sort_ts_source <> 'no_time_meta'").select("card_id", F.year("sort_ts").alias("year"), F.quarter("sort_ts").alias("quarter"), "sort_ts", "created_ts")
+    return ranked(rows, ["year", "quarter"], by_time()).select("card_id", "year", "quarter", "place")
+
+
 def limited(timed: DataFrame, limit: int) -> DataFrame:
     """Rank, card_id, header (a new quarter's), month_header (a new month's, in quarters of two cards and months or more).
 

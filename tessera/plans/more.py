@@ -15,6 +15,7 @@ from tessera.operators import lint
 from tessera.operators import merge as M
 from tessera.operators import metrics as R
 from tessera.operators import retrieval
+from tessera.operators.naming import free_names
 from tessera.plans import graph as PG
 from tessera.plans import ledger as PL
 from tessera.plans import times as PT
@@ -215,18 +216,28 @@ def legacy_cards(spark, d):
     return E.legacy(rows, "company").where(F.size("metrics") == 0).select("slug", "title", "type")
 
 
-@query("""SELECT 'order-' || o_orderkey AS slug, strftime(o_orderdate, '%Y-%m-%d') AS created FROM orders ORDER BY created, slug LIMIT 100""")
+@query("""SELECT 'order-' || o_orderkey AS slug, strftime(o_orderdate, '%Y-%m-%d') AS created FROM orders""")
 def insight_list(spark, d):
-    """The first hundred of the list by created and id (the limit is the report's)."""
+    """The list by created and id."""
     rows = star.entities(spark, d, "orders").withColumn("type", F.lit("insight"))
-    return E.insights(rows).limit(100).select("slug", "created")
+    return E.insights(rows).select("slug", "created")
 
 
-@query("""WITH r AS (SELECT c_custkey, lower(c_mktsegment) AS s, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) AS n FROM customer) SELECT c_custkey, s || CASE WHEN n > 1 THEN '-' || n ELSE '' END AS slug FROM r""")
+_OWN = "lower(c_mktsegment) || CASE WHEN c_custkey % 4 = 0 THEN '-' || (c_custkey % 7 + 1) WHEN c_custkey % 19 = 0 THEN '-2-3' ELSE '' END"
+
+
+@query(f"""WITH RECURSIVE r AS (SELECT c_nationkey AS dir, {_OWN} AS s, c_custkey AS k, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS i FROM customer),
+t AS (SELECT c_nationkey AS dir, list(DISTINCT lower(c_mktsegment) || '-' || c_custkey % 9) AS taken FROM customer WHERE c_acctbal < 0 GROUP BY 1),
+f AS (SELECT dir, 0::BIGINT AS i, coalesce(taken, []) AS taken, NULL::BIGINT AS k, NULL::VARCHAR AS slug FROM (SELECT DISTINCT dir FROM r) LEFT JOIN t USING (dir)
+      UNION ALL SELECT dir, i, list_append(taken, slug), k, slug
+      FROM (SELECT f.dir, r.i, taken, r.k, CASE WHEN list_contains(taken, s) THEN s || '-' || list_filter(range(2, len(taken) + 3), lambda n: NOT list_contains(taken, s || '-' || n))[1] ELSE s END AS slug FROM f JOIN r ON r.dir = f.dir AND r.i = f.i + 1))
+SELECT k AS c_custkey, slug FROM f WHERE k IS NOT NULL""")
 def unique_slugs(spark, d):
-    """M16, Z7."""
-    rows = table(spark, d, "customer").select("c_custkey", F.lower("c_mktsegment").alias("slug"))
-    return E.unique_slug(rows, "c_custkey").select("c_custkey", "slug")
+    """Names of a folder (a nation) that clash with stored ones, with each other, and with numbers that others carry."""
+    c = table(spark, d, "customer").select(F.col("c_nationkey").alias("dir"), "c_custkey", "c_acctbal", F.lower("c_mktsegment").alias("own"))
+    end = F.when(F.col("c_custkey") % 4 == 0, F.concat(F.lit("-"), F.col("c_custkey") % 7 + 1)).when(F.col("c_custkey") % 19 == 0, F.lit("-2-3")).otherwise(F.lit(""))
+    stored = c.where("c_acctbal < 0").select("dir", F.concat("own", F.lit("-"), F.col("c_custkey") % 9).alias("slug"))
+    return free_names(c.select("dir", "c_custkey", F.concat("own", end).alias("slug")), stored, order="c_custkey", scope="dir").select("c_custkey", "slug")
 
 
 @query("""SELECT '2026-05-12-why-order-' || o_orderkey AS slug, 'Why order ' || o_orderkey AS title, '[[customer-' || o_custkey || ']]' AS related, 'because ' || o_orderpriority AS body FROM orders""")
@@ -253,7 +264,7 @@ def history_of_chosen(spark, d):
     """A customer's newest order and what it supersedes, cut at twelve."""
     newest = table(spark, d, "orders").groupBy("o_custkey").agg(F.max_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("k"))
     chosen = newest.select(F.col("o_custkey").alias("query"), F.lit(1).alias("rank"), slug("order", "k").alias("slug"))
-    return retrieval.with_history(chosen, star.edges(spark, d, "supersedes")).withColumn("rank", F.col("rank").cast("long"))
+    return retrieval.with_history(chosen, star.edges(spark, d, "supersedes"), star.entities(spark, d, "orders")).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query("""SELECT o_orderkey, CASE WHEN o_custkey = 1 THEN '[[customer-1|one]]' ELSE '[[customer-1|one]],[[customer-' || o_custkey || ']]' END AS related FROM orders""")
