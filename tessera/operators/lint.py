@@ -54,6 +54,43 @@ def field_rules(pages: DataFrame) -> DataFrame:
     return out
 
 
+def checks(value: Column, path: Column, spec: dict) -> Column:
+    """A value's violations as an array of (code, message), by the schema's tree: lists and objects of any depth, places as ``f[0].x``.
+
+    spec: type (enum with values, list with items, object with fields; others aren't checked); a field may be required.
+    """
+    none_ = F.array().cast("array<struct<code:string,message:string>>")
+    row = lambda code, text: F.array(F.struct(F.lit(code).alias("code"), text.alias("message")))
+    kind = spec.get("type")
+    if kind == "enum":
+        found = F.when(~value.isin(*spec.get("values", ())), row("invalid_enum", F.concat(path, F.lit("="), value.cast("string"))))
+    elif kind == "list" and isinstance(spec.get("items"), dict):
+        found = F.flatten(F.transform(value, lambda x, i: checks(x, F.concat(path, F.lit("["), i.cast("string"), F.lit("]")), spec["items"])))
+    elif kind == "object" and spec.get("fields"):
+        found = F.concat(*(field_checks(value[f], F.concat(path, F.lit(f".{f}")), s) for f, s in spec["fields"].items()))
+    else:
+        return none_
+    return F.coalesce(F.when(value.isNotNull(), found), none_)
+
+
+def field_checks(value: Column, path: Column, spec: dict) -> Column:
+    """``checks`` of a field, which may be missing: null, an empty text or an empty list."""
+    found = checks(value, path, spec)
+    if not spec.get("required"):
+        return found
+    empty = F.size(value) == 0 if spec.get("type") == "list" else F.lit(False) if spec.get("type") == "object" else value.cast("string") == ""
+    missing = F.array(F.struct(F.lit("missing_required").alias("code"), path.alias("message")))
+    return F.concat(F.when(value.isNull() | F.coalesce(empty, F.lit(False)), missing).otherwise(F.array().cast("array<struct<code:string,message:string>>")), found)
+
+
+def schema_rules(pages: DataFrame, schemas: dict[str, dict[str, dict]], attrs: str = "attrs") -> DataFrame:
+    """L4: code, path, message of all fields that break their type's schema. pages: path, type, attrs (a struct); schemas: type to field to spec."""
+    each = [F.when(F.col("type") == t, F.concat(*(field_checks(F.col(f"{attrs}.{f}"), F.lit(f), s) for f, s in fields.items()))) for t, fields in schemas.items() if fields]
+    if not each:
+        return pages.select(F.lit("").alias("code"), "path", F.lit("").alias("message")).where("false")
+    return pages.select("path", F.explode(F.coalesce(*each)).alias("v")).select("v.code", "path", "v.message")
+
+
 def relation_rules(e: DataFrame, pages: DataFrame) -> DataFrame:
     """src_slug, relation, target, code of edges that break a rule. Targets may name a type."""
     types = pages.groupBy("slug").agg(F.array_sort(F.collect_set("type")).alias("types"))  # at most one of each type

@@ -80,6 +80,34 @@ def snapshot_diff(now: DataFrame, before: DataFrame) -> DataFrame:
     return n.join(b, F.col("n.rel_path") == F.col("b.rel_path"), "left").select("n.rel_path", change.alias("change"))
 
 
+def mirror_next(now: DataFrame, before: DataFrame, since: float | None = None) -> DataFrame:
+    """SC18, Z30: the mirror's next state: rel_path, mtime, size, sha, status, one row for each file that is there now.
+
+    Tiers: a file older than ``since`` keeps its former state (nulls if it had none: not tracked); equal time and size are unchanged; equal content takes the
+    new time (touched); anything else is copied (new or changed). Files that are gone leave the state, but no copy of them is deleted.
+    """
+    n, b = now.alias("n"), before.alias("b")
+    had = F.col("b.rel_path").isNotNull()
+    same = (F.col("n.mtime") == F.col("b.mtime")) & (F.col("n.size") == F.col("b.size"))
+    old = F.lit(False) if since is None else F.col("n.mtime") < F.lit(since)
+    status = F.when(old, F.lit("skipped")).when(~had, F.lit("new")).when(same, F.lit("unchanged")).when(F.col("n.sha") == F.col("b.sha"), F.lit("touched")).otherwise(F.lit("changed"))
+    out = n.join(b, F.col("n.rel_path") == F.col("b.rel_path"), "left").withColumn("status", status)
+    kept = F.col("status").isin("skipped", "unchanged")
+    return out.select("n.rel_path", *(F.when(kept, F.col(f"b.{c}")).otherwise(F.col(f"n.{c}")).alias(c) for c in ("mtime", "size", "sha")), "status")
+
+
+def mirror_state(step: DataFrame) -> DataFrame:
+    """What ``mirror_next`` hands to the next run."""
+    return step.where("sha IS NOT NULL").select("rel_path", "mtime", "size", "sha")
+
+
+def mirror_counts(step: DataFrame) -> DataFrame:
+    """SC18: files scanned, copied, unchanged, skipped, and bytes copied."""
+    copied, same = F.col("status").isin("new", "changed"), F.col("status").isin("unchanged", "touched")
+    counts = {"scanned": F.lit(True), "mirrored": copied, "unchanged": same, "skipped": F.col("status") == "skipped"}
+    return step.agg(*(F.count_if(c).cast("long").alias(k) for k, c in counts.items()), F.coalesce(F.sum(F.when(copied, F.col("size"))), F.lit(0)).cast("long").alias("bytes"))
+
+
 def fold_about(entities: DataFrame) -> DataFrame:
     """``about`` folded into ``related``."""
     return entities.withColumn("related", F.array_distinct(F.concat(F.coalesce("related", F.array().cast("array<string>")), F.coalesce("about", F.array().cast("array<string>"))))).drop("about")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.plans import cards, documents, files, graph, ledger, more, times  # noqa: F401
+from tessera.plans import cards, documents, files, flows, graph, ledger, more, times  # noqa: F401
 from tessera.plans.registry import QUERIES, SQL
 
 
