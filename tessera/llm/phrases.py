@@ -45,7 +45,7 @@ ENTRY_BITS, MOST_RANGE_BITS, MOST_BITS = 18, 24, 29
 #: Prefix ranges of full tries: one for each 2^RANGE_BYTES bytes of text.
 LEAST_RANGES, RANGE_BYTES = 64, 22
 #: Occurrences, or nodes, that a task holds before it gives its trie away; bytes hashed at a time.
-HELD, NODES = 1_000_000, 250_000
+HELD, NODES = 2_000_000, 600_000
 BLOCK = 1 << 20
 
 _U = np.uint64
@@ -189,8 +189,8 @@ def frequent_cells(texts: DataFrame, range_bits: int, bits: int, least: int) ->
     return out.reshape(-1)
 
 
-#: A node of a trie: hashes of its path, of the path's begin, of its ends (without the first k words), of its first and last word; depth; count.
-NODE = np.dtype([("id", "u8"), ("parent", "u8"), ("ends", "u8", (DEPTH - 1,)), ("first", "u8"), ("word", "u8"), ("depth", "i8"), ("n", "i8")])
+#: A node of a trie: hashes of its path, of the path without its last and without its first word, of its last word; depth; count; prefix range.
+NODE = np.dtype([("id", "u8"), ("parent", "u8"), ("end", "u8"), ("word", "u8"), ("n", "u8"), ("range", "u4"), ("depth", "u1")])
 ROOTS = -1
 
 
@@ -201,11 +201,11 @@ def summed(parts: list[np.ndarray]) -> np.ndarray:
     at = np.flatnonzero(np.concatenate([[True], nodes["id"][1:] != nodes["id"][:-1]])) if len(nodes) else np.zeros(0, int)
     out = nodes[at]
     if len(out):
-        out["n"] = np.add.reduceat(nodes["n"], at)
+        out["n"] = np.add.reduceat(nodes["n"], at, dtype=np.uint64)
     return out
 
 
-def block_nodes(w: Words, word: np.ndarray, pair: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def block_nodes(w: Words, word: np.ndarray, pair: np.ndarray, depth: int, ranges: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Nodes of a block for each depth, with a place of each; paths go on along frequent pairs."""
     h, size, keys, grown = w.hashes, len(w.hashes), [w.hashes], word
     for n in range(1, depth + 1):
@@ -219,11 +219,9 @@ def block_nodes(w: Words, word: np.ndarray, pair: np.ndarray, depth: int) -> Ite
         ids, where, count = np.unique(keys[-1][at], return_index=True, return_counts=True)
         i = at[where]
         nodes = np.zeros(len(ids), NODE)
-        nodes["id"], nodes["first"], nodes["word"], nodes["depth"], nodes["n"] = ids, h[i], h[i + n - 1], n, count
+        nodes["id"], nodes["range"], nodes["word"], nodes["depth"], nodes["n"] = ids, h[i] % _U(ranges), h[i + n - 1], n, count
         if n > 1:
-            nodes["parent"] = keys[n - 2][i]
-        for k in range(1, n):
-            nodes["ends"][:, k - 1] = keys[n - k - 1][i + k]
+            nodes["parent"], nodes["end"] = keys[n - 2][i], keys[n - 2][i + 1]
         yield nodes, i
 
 
@@ -241,7 +239,7 @@ def shard_tries(texts: DataFrame, bitmap, bits: int, depth: int, ranges: int) ->
             return (cells[at >> _U(3)] >> (_U(7) - (at & _U(7))).astype(np.uint8) & 1).astype(bool)
 
         def serialised(nodes: np.ndarray) -> pa.RecordBatch:
-            which = (nodes["first"] % _U(ranges)).astype(np.int64)
+            which = nodes["range"].astype(np.int64)
             order = np.argsort(which, kind="stable")
             nodes, which = nodes[order], which[order]
             at = np.flatnonzero(np.diff(which, prepend=-1))
@@ -259,7 +257,7 @@ def shard_tries(texts: DataFrame, bitmap, bits: int, depth: int, ranges: int) ->
                     roots[names[d]] = roots.get(names[d], 0) + int(c)
                 pair = np.zeros(len(w.hashes), bool)
                 pair[:-1] = w.linked[:-1] & known(pair_hashes(w))
-                for nodes, i in block_nodes(w, known(w.hashes), pair, depth):
+                for nodes, i in block_nodes(w, known(w.hashes), pair, depth, ranges):
                     held.append(nodes)
                     n += len(nodes)
                     if nodes["depth"][0] == 1:
@@ -278,12 +276,12 @@ def shard_tries(texts: DataFrame, bitmap, bits: int, depth: int, ranges: int) ->
 
 
 def merged_tries(tries: DataFrame, least: int) -> DataFrame:
-    """lang, text (of words and roots), id, parent, depth, a, left, ends, words: nodes that come least times, and roots (depth 0).
+    """lang, text (of words and roots), id, parent, end, depth, a, left, words: nodes that come least times, and roots (depth 0).
 
-    left[k-1] is the count of the first k words, found by walking up the trie; ends[k-1] is the node without the first k words; words are hashes.
+    left[k-1] is the count of the first k words, found by walking up the trie; end is the node without the first word; words are hashes.
     """
-    kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * 3)
-    names = ["lang", "text", "id", "parent", "depth", "a", "left", "ends", "words"]
+    kinds = (pa.string(), pa.string(), *[pa.int64()] * 5, *[pa.list_(pa.int64())] * 2)
+    names = ["lang", "text", "id", "parent", "end", "depth", "a", "left", "words"]
 
     def ragged(columns: np.ndarray, n: np.ndarray) -> pa.Array:
         """The first n of each row."""
@@ -293,7 +291,7 @@ def merged_tries(tries: DataFrame, least: int) -> DataFrame:
         nodes = nodes[nodes["n"] >= least]
         if not len(nodes):
             return
-        depth = nodes["depth"]
+        depth = nodes["depth"].astype(np.int64)
         counts, words = np.zeros((len(nodes), DEPTH), np.int64), np.zeros((len(nodes), DEPTH), np.uint64)
         at = np.arange(len(nodes))
         for up in range(DEPTH):  # own word and count last, then the parents'
@@ -310,8 +308,8 @@ def merged_tries(tries: DataFrame, least: int) -> DataFrame:
                 if text[where[k]] is None:
                     a, b = said[k].split(b"\t")
                     lang[where[k]], text[where[k]] = bytes.fromhex(a.decode()).decode(), b.decode()
-        cols = [pa.array(lang, pa.string()), pa.array(text, pa.string()), *(pa.array(nodes[c].view(np.int64) if nodes[c].dtype != np.int64 else nodes[c], pa.int64()) for c in ("id", "parent", "depth", "n"))]
-        yield pa.RecordBatch.from_arrays([*cols, ragged(counts, depth - 1), ragged(np.ascontiguousarray(nodes["ends"]), depth - 1), ragged(words, depth)], names=names)
+        longs = [np.ascontiguousarray(nodes[c]).view(np.int64) for c in ("id", "parent", "end")] + [depth, nodes["n"].astype(np.int64)]
+        yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(text, pa.string()), *(pa.array(c) for c in longs), ragged(counts, depth - 1), ragged(words, depth)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, parts, blocks, roots = None, [], [], {}
@@ -333,11 +331,11 @@ def merged_tries(tries: DataFrame, least: int) -> DataFrame:
             yield from walked(summed(parts), blocks)
         if roots:
             none: list = [None] * len(roots)
-            cols = [[bytes.fromhex(x.decode()).decode() for x in roots], none, none, none, [0] * len(roots), list(roots.values()), none, none, none]
+            cols = [[bytes.fromhex(x.decode()).decode() for x in roots], none, none, none, none, [0] * len(roots), list(roots.values()), none, none]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
 
     tasks = int(tries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    schema = "lang string, text string, id long, parent long, depth long, a long, left array<long>, ends array<long>, words array<long>"
+    schema = "lang string, text string, id long, parent long, end long, depth long, a long, left array<long>, words array<long>"
     return tries.repartition(tasks, "range").sortWithinPartitions("range").mapInArrow(run, schema)
 
 
@@ -359,13 +357,18 @@ def collocations(docs: DataFrame, least: int = LEAST, depth: int = DEPTH, top: i
     roots = trie.where("depth = 0").groupBy("lang").agg(F.sum("a").alias("n"))
     phrases = trie.where("depth > 1")
     whole = "decimal(28,0)"
-    # suffix links: the node without the first k words
-    links = phrases.select("id", "a", F.posexplode(F.arrays_zip("left", "ends")).alias("i", "x")).selectExpr("id", "a", "i + 1 AS k", "x.left AS l", "x.ends AS end")
-    scored = links.join(trie.where("depth > 0").select(F.col("id").alias("end"), F.col("a").alias("r")), "end")
+    # suffix links, followed k times: the node without the first k words
+    node = trie.where("depth > 0").select(F.col("id").alias("end"), F.col("a").alias("r"), F.col("end").alias("next"))
+    at, scored = phrases.select("id", "a", "depth", "left", "end"), None
+    for k in range(1, DEPTH):
+        at = at.where(F.col("depth") > k).join(node, "end")
+        cuts = at.select("id", "a", F.lit(k).alias("k"), F.col("left")[k - 1].alias("l"), "r")
+        scored = cuts if scored is None else scored.unionByName(cuts)
+        at = at.select("id", "a", "depth", "left", F.col("next").alias("end"))
     scored = scored.withColumn("score", F.expr(f"(cast(a as {whole}) * 2000000) div (cast(l as {whole}) + cast(r as {whole}))"))
     best = scored.groupBy("id", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("m"))
     # of all phrases that hold a phrase, those with one word more have the highest counts: they are its children, and nodes whose first link it is
-    longer = trie.where("depth > 2").select(F.explode(F.array("parent", F.col("ends")[0])).alias("id"), F.col("a").alias("longer"))
+    longer = trie.where("depth > 2").select(F.explode(F.array("parent", "end")).alias("id"), F.col("a").alias("longer"))
     held = longer.groupBy("id").agg(F.max("longer").alias("longer"))
     kept = best.join(held, "id", "left").where(f"longer is null or cast(longer as {whole}) * 100 < cast(a as {whole}) * {int(inside)}").drop("longer")
     # words of what is kept
