@@ -43,10 +43,16 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 def release(spark: SparkSession) -> None:
     """Delete all that ``fresh_path`` has named in this application: for the end of a job, when no result is read any more."""
-    conf = spark._jsc.hadoopConfiguration()
     while _fresh:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_fresh.pop())
-        path.getFileSystem(conf).delete(path, True)
+        forget(spark, _fresh[-1])
+
+
+def forget(spark: SparkSession, at: str) -> None:
+    """Delete one of the paths that ``fresh_path`` has named, when nothing reads it any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    if at in _fresh:
+        _fresh.remove(at)
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -26,6 +26,7 @@ an id stay or go together; an empty table gives an empty result; further columns
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import ceil
 
 import numpy as np
 import pandas as pd
@@ -217,8 +218,11 @@ def fingerprint_components(docs: DataFrame, size: int = 3, most: int = 3, id_col
 WORDS = 2
 #: Counters of the order of rarity, and the documents that are counted. Any common order is exact; a better one is faster.
 SLOTS, COUNTED = 1 << 20, 1 << 15
+SLOT_BLOCK = 1 << 16
+#: Rows of shingles in one task of the meeting: a pair shares many, and is counted once for each task in which it meets.
+MEET_ROWS = 2_000_000
 #: Pairs that a task holds before they go on.
-HELD = 1 << 18
+HELD = 1 << 20
 #: Rows of one shingle that a task holds; those of a more frequent one meet in blocks.
 HOT = 1 << 17
 
@@ -298,24 +302,56 @@ def _slots(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def rarity(docs: DataFrame, size: int, text_col: str) -> Broadcast:
-    """How often (up to 255) shingles of each slot occur in about COUNTED documents; two rows of slots."""
+    """How often (up to 255) shingles of each slot occur in about COUNTED documents; two rows of slots.
+
+    The sample is read and counted where the texts are; its counts travel as blocks of those slots that occur, and are folded block by block.
+    """
+    names = ["block", "slots", "counts"]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def blocks() -> pa.RecordBatch:
+            # the second row of slots follows the first
+            slot, n = np.unique(np.concatenate(held), return_counts=True)
+            block = (slot // SLOT_BLOCK).astype(np.int64)
+            at = np.flatnonzero(np.diff(block, prepend=-1))
+            low, n = (slot % SLOT_BLOCK).astype(np.uint16), np.minimum(n, 255).astype(np.uint8)
+            spans = list(zip(at, np.append(at[1:], len(slot)), strict=True))
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(block[at], pa.int64()), *(pa.array([x[i:j].tobytes() for i, j in spans], pa.binary()) for x in (low, n))], names=names)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros((2, SLOTS), dtype=np.uint8)
         for b in batches:
             for t in b.column(0).to_pylist():
-                for row, at in zip(seen, _slots(np.unique(shingle_hashes(words_of(t), size))), strict=True):
-                    at = np.unique(at)
-                    row[at] += row[at] < 255
-        yield pa.RecordBatch.from_arrays([pa.array([seen.tobytes()], pa.binary())], names=["seen"])
+                for row, at in enumerate(_slots(np.unique(shingle_hashes(words_of(t), size)))):
+                    held.append(np.unique(at).astype(np.int64) + row * SLOTS)
+            if sum(map(len, held)) > 1 << 20:
+                yield blocks()
+        if sum(map(len, held)):
+            yield blocks()
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, seen = None, np.zeros(SLOT_BLOCK, np.int64)
+        row = lambda: pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([np.minimum(seen, 255).astype(np.uint8).tobytes()], pa.binary())], names=["block", "seen"])
+        for b in batches:
+            for block, slots, counts in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
+                if block != now:
+                    if now is not None:
+                        yield row()
+                    now, seen = block, np.zeros(SLOT_BLOCK, np.int64)
+                seen[np.frombuffer(slots.as_buffer(), np.uint16)] += np.frombuffer(counts.as_buffer(), np.uint8)
+        if now is not None:
+            yield row()
 
     small_batches(docs.sparkSession)
     src = docs.select(text_or_empty(text_col).alias("text"))
-    some = src.where(F.pmod(F.xxhash64("text"), F.lit(max(1, src.count() // COUNTED))) == 0).coalesce(6)
-    out = np.zeros((2, SLOTS), dtype=np.uint16)
-    for r in some.mapInArrow(run, "seen binary").collect():  # six rows
-        out += np.frombuffer(r["seen"], dtype=np.uint8).reshape(2, SLOTS)
-    return docs.sparkSession.sparkContext.broadcast(np.minimum(out, 255).astype(np.uint8))
+    some = src.where(F.pmod(F.xxhash64("text"), F.lit(max(1, src.count() // COUNTED))) == 0)
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sparse = some.mapInArrow(count, "block long, slots binary, counts binary").repartition(tasks, "block").sortWithinPartitions("block")
+    out = np.zeros((2 * SLOTS // SLOT_BLOCK, SLOT_BLOCK), dtype=np.uint8)
+    for r in sparse.mapInArrow(fold, "block long, seen binary").toLocalIterator():  # 2 MB in all
+        out[r["block"]] = np.frombuffer(r["seen"], np.uint8)
+    return docs.sparkSession.sparkContext.broadcast(out.reshape(2, SLOTS))
 
 
 def _least_common(n: np.ndarray, least: float) -> np.ndarray:
@@ -456,7 +492,7 @@ def rare_pairs(found: DataFrame, gone: DataFrame, parts: DataFrame, least: float
                         held, many = [], 0
         yield out(_counted(held))
 
-    k = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    k = max(4, ceil((docs.agg(F.sum(F.octet_length("prefix"))).first()[0] or 0) / 8 / MEET_ROWS))
     met = cut(rows.repartition(k, "key").sortWithinPartitions("key", "n").mapInArrow(meet, "u long, v long, large long, small long, times long"))
     pairs, over = met.where("times > 0"), met.where("times = 0").select(F.col("small").alias("key"), F.col("u").alias("node"), F.col("large").cast("int").alias("n"), F.col("v").alias("part"))
     pairs = pairs if over.isEmpty() else pairs.unionByName(_hot_pairs(over, least))
