@@ -63,12 +63,16 @@ def open_file(path: str, mode: str):
     return store.open_input_file(at)
 
 
+#: How a gzip member begins; bytes of a line after which it is given away in pieces.
+MEMBER, LINE = b"\x1f\x8b\x08", 1 << 20
+
+
 class Members:
-    """Reads a file of gzip members; ``read`` and ``readline`` go over their joined contents."""
+    """Reads a file of gzip members, passing over broken ones; ``read`` and ``readline`` go over their joined contents."""
 
     def __init__(self, raw, step: int = 1 << 18):
         self.raw, self.step, self.left, self.z = raw, step, b"", zlib.decompressobj(31)
-        self.buf, self.at, self.pos = b"", 0, 0
+        self.buf, self.at, self.pos, self.broken = b"", 0, 0, 0
 
     def _more(self) -> bool:
         while True:
@@ -76,7 +80,18 @@ class Members:
             if not data:
                 return False
             self.left = b""
-            out = self.z.decompress(data)
+            try:
+                out = self.z.decompress(data)
+            except zlib.error:  # a broken member: on to where the next begins
+                self.broken += 1
+                at = data.find(MEMBER, 1)
+                self.left, self.z = data[at:] if at > 0 else data[-len(MEMBER) + 1 :] + (self.raw.read(self.step) or b""), zlib.decompressobj(31)
+                if at <= 0 and len(self.left) < len(MEMBER):
+                    return False
+                if at <= 0:
+                    at = self.left.find(MEMBER)
+                    self.left = self.left[at:] if at >= 0 else self.left
+                continue
             if self.z.eof:
                 self.left, self.z = self.z.unused_data, zlib.decompressobj(31)
             if out:
@@ -101,6 +116,9 @@ class Members:
     def readline(self) -> bytes:
         """b'' at the end."""
         while (end := self.buf.find(b"\n", self.at)) < 0:
+            if len(self.buf) - self.at > LINE:  # no header line: given away in pieces
+                end = len(self.buf) - 1
+                break
             if not self._more():
                 end = len(self.buf) - 1
                 break
@@ -260,7 +278,7 @@ def arc_faults(manifest: DataFrame) -> DataFrame:
 
 
 def arc_index(manifest: DataFrame) -> DataFrame:
-    """file, place, page_id, payload_bytes, payload_digest of each ARC record."""
+    """file, place, page_id, payload_bytes, payload_digest of each ARC record, and the url, date and id of its WARC record."""
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -269,10 +287,11 @@ def arc_index(manifest: DataFrame) -> DataFrame:
                     rows = []
                     for r in parse_arc(Members(raw)):
                         head, payload = split_http(r["block"])
-                        rows.append((file, r["place"], id_of(head), len(payload), hashlib.sha256(payload).hexdigest()))
-                yield pd.DataFrame(rows, columns=["file", "place", "page_id", "payload_bytes", "payload_digest"]).astype({"page_id": "Int64"})
+                        digest, url, date = hashlib.sha256(payload).hexdigest(), r["URL"], warc_date(r["Archive-date"])
+                        rows.append((file, r["place"], id_of(head), len(payload), digest, url, date, record_id(digest, date, url, file.rpartition("/")[2], r["place"])))
+                yield pd.DataFrame(rows, columns=["file", "place", "page_id", "payload_bytes", "payload_digest", "url", "date", "id"]).astype({"page_id": "Int64"})
 
-    return _per_file(manifest.sparkSession, manifest).mapInPandas(scan, "file string, place long, page_id long, payload_bytes long, payload_digest string")
+    return _per_file(manifest.sparkSession, manifest).mapInPandas(scan, "file string, place long, page_id long, payload_bytes long, payload_digest string, url string, date string, id string")
 
 
 # -- WARC
@@ -315,7 +334,7 @@ def parse_warc(f: Members) -> Iterator[dict]:
 
 
 def converted(record: dict, file: str, first: dict | None) -> bytes:
-    """An ARC record as a WARC record; first: what a revisit refers to."""
+    """An ARC record as a WARC record; first: what a revisit refers to (page_id, url, date, id of the first record with that payload)."""
     head, payload = split_http(record["block"])
     digest = hashlib.sha256(payload).hexdigest()
     url, date = record["URL"], warc_date(record["Archive-date"])
@@ -333,7 +352,7 @@ def converted(record: dict, file: str, first: dict | None) -> bytes:
     if first:
         fields += [
             ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"),
-            ("WARC-Refers-To-Target-URI", first["url"]), ("WARC-Refers-To-Date", first["date"]),
+            ("WARC-Refers-To", first["id"]), ("WARC-Refers-To-Target-URI", first["url"]), ("WARC-Refers-To-Date", first["date"]),
             ("X-Refers-To-Page-Id", str(first["page_id"])), ("X-Payload-Length", str(len(payload))),
         ]
     return warc_record(fields, block)
@@ -345,11 +364,11 @@ def revisit_plan(index: DataFrame, min_bytes: int = MIN_REVISIT) -> DataFrame:
     Firsts are found with partial minima before the shuffle; a group of copies never meets in one task.
     """
     big = index.where(F.col("payload_bytes") >= min_bytes)
-    order = F.struct(F.col("page_id").isNull().alias("no_id"), "page_id", "file", "place")
+    order = F.struct(F.col("page_id").isNull().alias("no_id"), "page_id", "file", "place", "url", "date", "id")
     firsts = big.groupBy("payload_digest").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     firsts = checked_broadcast(cut(firsts))
     later = big.join(firsts, "payload_digest").where((F.col("first.file") != F.col("file")) | (F.col("first.place") != F.col("place")))
-    return later.groupBy("file").agg(F.collect_list(F.struct("place", F.col("first.page_id").alias("page_id"))).alias("revisits"))
+    return later.groupBy("file").agg(F.collect_list(F.struct("place", "first.page_id", "first.url", "first.date", "first.id")).alias("revisits"))
 
 
 def arc_to_warc(manifest: DataFrame, folder: str, index: DataFrame | None = None, min_bytes: int = MIN_REVISIT) -> DataFrame:
@@ -361,11 +380,10 @@ def arc_to_warc(manifest: DataFrame, folder: str, index: DataFrame | None = None
         for b in batches:
             out = Roller(folder, warc_info, "warc.gz", ROLL_BYTES, ROLL_RECORDS)
             for file, plan in zip(b.file, b.revisits, strict=True):
-                again = {r["place"]: r.get("page_id") for r in json.loads(plan or "[]")}
+                again = {r["place"]: {"page_id": None} | r for r in json.loads(plan or "[]")}
                 with open_file(file, "r") as raw:
                     for r in parse_arc(Members(raw)):
-                        first = {"page_id": again[r["place"]], "url": r["URL"], "date": warc_date(r["Archive-date"])} if r["place"] in again else None
-                        out.put(converted(r, file.rpartition("/")[2], first))
+                        out.put(converted(r, file.rpartition("/")[2], again.get(r["place"])))
             yield pd.DataFrame(out.close(), columns=["file", "records"])
 
     return cut(_per_file(manifest.sparkSession, cut(todo)).mapInPandas(convert, "file string, records long"))

@@ -85,6 +85,45 @@ def test_bad_arc_records_are_set_aside(spark, tmp_path):
 # -- secrets
 
 
+def test_revisits_refer_to_the_first_record(spark, tmp_path):
+    """Two addresses with one payload: the later record names the first's address, date and id."""
+    body = b"x" * 150
+    def arc(name, rows):
+        (tmp_path / name).write_bytes(warc.member(warc.arc_head(1, name)) + b"".join(warc.member(warc.arc_record(1, url, warc.http_block(body, i), date=date)) for i, url, date in rows))
+        return (f"file://{tmp_path}/{name}", len(rows))
+
+    files = [arc("a", [(5, "http://later/", "20010101000000"), (6, "http://last/", "20020101000000")]), arc("b", [(1, "http://first/", "19990203040506")])]
+    done = warc.arc_to_warc(spark.createDataFrame(files, "file string, records long"), f"file://{tmp_path}/warc")
+    found = {}
+    for r in done.collect():
+        with warc.open_file(r.file, "r") as raw:
+            found |= {x["warc-target-uri"]: x for x in warc.parse_warc(warc.Members(raw)) if x["warc-type"] != "warcinfo"}
+    first = found["http://first/"]
+    assert first["warc-type"] == "response"
+    for url, date in (("http://later/", "2001-01-01T00:00:00Z"), ("http://last/", "2002-01-01T00:00:00Z")):
+        x = found[url]
+        assert (x["warc-type"], x["warc-date"]) == ("revisit", date)
+        assert (x["warc-refers-to"], x["warc-refers-to-target-uri"], x["warc-refers-to-date"]) == (first["warc-record-id"], "http://first/", "1999-02-03T04:05:06Z")
+    assert {r.page_id: r.refers_to for r in warc.read_warc(done).collect()} == {1: None, 5: 1, 6: 1}
+
+
+def test_broken_members_and_lines_without_end(tmp_path):
+    head = warc.member(warc.arc_head(1, "a"))
+    good = [warc.member(warc.arc_record(1, f"http://x/{i}", warc.http_block(b"p%d" % i, i))) for i in range(4)]
+    broken = bytearray(good[1])
+    broken[len(broken) // 2] ^= 0xFF
+    broken[12] ^= 0xFF
+    p = tmp_path / "a"
+    for step in (7, 64, 1 << 18):
+        p.write_bytes(head + good[0] + bytes(broken) + good[2] + good[3])
+        with warc.open_file(str(p), "r") as raw:
+            got = [r["URL"] for r in warc.parse_arc(warc.Members(raw, step))]
+        assert got[0] == "http://x/0" and got[-1] == "http://x/3"
+    p.write_bytes(head + warc.member(b"z" * (40 << 20)) + warc.member(b"\n") + good[0])
+    with warc.open_file(str(p), "r") as raw:
+        assert [r["URL"] for r in warc.parse_arc(warc.Members(raw))] == ["http://x/0"]
+
+
 def brute(text):
     text = text or ""
     rules = [
