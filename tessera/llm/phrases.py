@@ -3,9 +3,9 @@
 Each task (shard) counts its words and phrases in tries of limited depth, serialises them sorted, a block for each prefix range, and the
 blocks of a range are merged k ways. It goes by depth, as deeper nodes are worth counting only below frequent ones:
 
-1. Tries of depth two over hashes (``pairs``): merged counts, capped at the least count, leave a bitmap of the words and pairs that may be frequent.
-   Hashes that meet add up, so it never misses one. It is bounded by ``MOST_BITS`` cells (64 MB).
-2. Tries of full depth (``shard_tries``), grown only along pairs of the bitmap, as sorted arrays of nodes with their links. A merge of the
+1. For each depth from two on counts over hashes (``hashed``), of phrases whose both ends may be frequent by the depth before: merged, capped at the least
+   count, they leave a bitmap of what may be frequent. Hashes that meet add up, so it never misses one. A bitmap is bounded by 2^MOST_BITS cells (64 MB).
+2. Tries of full depth (``shard_tries``) of what the bitmaps hold, as sorted arrays of nodes with their links. A merge of the
    sorted blocks (``merged_tries``) gives exact counts; walking up a merged trie gives each phrase the counts of its left parts.
 
 Suffix links (a phrase without its first words, again a node, mostly of another range) are equality joins and give the right parts; parents and
@@ -55,7 +55,7 @@ _PLAIN = np.arange(256, dtype=np.uint8)
 _PLAIN[ord("A") : ord("Z") + 1] += 32
 _PLAIN[_BREAK] = 0x20
 _PLAIN[0x09] = 0x20
-_PAIR, _DEEPER = _U(0xA0761D6478BD642F), _U(0xE7037ED1A0B428DB)
+_DEEPER = _U(0xE7037ED1A0B428DB)
 
 
 class Words(NamedTuple):
@@ -112,33 +112,53 @@ def word_blocks(texts: pa.Array, langs: pa.Array, depth: int) -> Iterator[tuple[
         at, early = end, early + int(s[-min(depth - 1, len(s))]) if len(s) and depth > 1 else end
 
 
-def pair_hashes(words: Words) -> np.ndarray:
-    h = words.hashes
-    return mixed(h[:-1] * _PAIR + h[1:])
+def paths(w: Words, bitmaps: list[np.ndarray], bits: int, depth: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each depth hashes of the phrases that begin at each word, and which of them count: those whose ends do, and that their bitmap holds.
+
+    The first bitmap is of words and pairs, each further one of phrases with a word more; deeper ones may be missing.
+    """
+
+    def known(cells: np.ndarray, h: np.ndarray) -> np.ndarray:
+        at = h >> _U(64 - bits)
+        return (cells[at >> _U(3)] >> (_U(7) - (at & _U(7))).astype(np.uint8) & 1).astype(bool)
+
+    keys, ok = w.hashes, known(bitmaps[0], w.hashes) if bitmaps else np.ones(len(w.hashes), bool)
+    yield 1, keys, ok
+    for n in range(2, depth + 1):
+        if (size := len(w.hashes) - n + 1) <= 0:
+            return
+        keys = mixed(keys[:size] * _DEEPER + w.hashes[n - 1 :])
+        ok = w.linked[:size] if n == 2 else ok[:size] & ok[1 : size + 1]
+        if n - 2 < len(bitmaps):
+            ok = ok & known(bitmaps[n - 2], keys)
+        yield n, keys, ok
 
 
-def pairs(texts: DataFrame, range_bits: int, least: int) -> DataFrame:
-    """range, keys, counts: sorted hashes of a task's words and pairs of words, with counts up to least."""
+def hashed(texts: DataFrame, n: int, sent: list, bits: int, range_bits: int, least: int) -> DataFrame:
+    """range, keys, counts: sorted hashes of a task's phrases of n words (for two, of words too), with counts up to least."""
 
     def serialised(held: list[np.ndarray]) -> pa.RecordBatch:
-        key, n = np.unique(np.concatenate(held) >> _U(32 - range_bits), return_counts=True)
+        key, times = np.unique(np.concatenate(held) >> _U(32 - range_bits), return_counts=True)
         which = (key >> _U(32)).astype(np.int64)
         at = np.flatnonzero(np.diff(which, prepend=-1))
-        low, n = key.astype(np.uint32), np.minimum(n, least).astype(np.uint8)
+        low, times = key.astype(np.uint32), np.minimum(times, least).astype(np.uint8)
         spans = list(zip(at, np.append(at[1:], len(key)), strict=True))
-        cols = [pa.array(which[at], pa.int64()), *(pa.array([x[a:b].tobytes() for a, b in spans], pa.binary()) for x in (low, n))]
+        cols = [pa.array(which[at], pa.int64()), *(pa.array([x[a:b].tobytes() for a, b in spans], pa.binary()) for x in (low, times))]
         return pa.RecordBatch.from_arrays(cols, names=["range", "keys", "counts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
+        held, many, bitmaps = [], 0, [b.value for b in sent]
         for b in batches:
-            for w, _ in word_blocks(b.column(0), b.column(1), 2):
-                held += [w.hashes[w.fresh :], pair_hashes(w)[max(0, w.fresh - 1) :][w.linked[max(0, w.fresh - 1) : -1]]]
-                n += len(held[-2]) + len(held[-1])
-                if n >= HELD:
+            for w, _ in word_blocks(b.column(0), b.column(1), n):
+                for m, keys, ok in paths(w, bitmaps, bits, n):
+                    if m == n or n == 2:
+                        at = np.flatnonzero(ok)
+                        held.append(keys[at[at + m - 1 >= w.fresh]])
+                        many += len(held[-1])
+                if many >= HELD:
                     yield serialised(held)
-                    held, n = [], 0
-        if n:
+                    held, many = [], 0
+        if many:
             yield serialised(held)
 
     return texts.mapInArrow(run, "range long, keys binary, counts binary")
@@ -153,8 +173,8 @@ def added(keys: list[np.ndarray], counts: list[np.ndarray], least: int) -> tuple
     return k[at], np.minimum(np.add.reduceat(n, at), least).astype(np.uint8)
 
 
-def frequent_cells(texts: DataFrame, range_bits: int, bits: int, least: int) -> np.ndarray:
-    """The bitmap of words and pairs that may come least times: a bit for each of 2^bits prefixes of hashes."""
+def frequent_cells(texts: DataFrame, n: int, sent: list, bits: int, range_bits: int, least: int) -> np.ndarray:
+    """The bitmap of phrases of n words (for two, of words too) that may come least times: a bit for each of 2^bits prefixes of hashes."""
     wide = bits - range_bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,7 +204,7 @@ def frequent_cells(texts: DataFrame, range_bits: int, bits: int, least: int) ->
 
     tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     out = np.zeros((1 << range_bits, max(1, (1 << wide) // 8)), np.uint8)
-    for r in pairs(texts, range_bits, least).repartition(tasks, "range").sortWithinPartitions("range").mapInArrow(run, "range long, cells binary").toLocalIterator():
+    for r in hashed(texts, n, sent, bits, range_bits, least).repartition(tasks, "range").sortWithinPartitions("range").mapInArrow(run, "range long, cells binary").toLocalIterator():
         out[r["range"]] = np.frombuffer(r["cells"], np.uint8)
     return out.reshape(-1)
 
@@ -205,38 +225,31 @@ def summed(parts: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def block_nodes(w: Words, word: np.ndarray, pair: np.ndarray, depth: int, ranges: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Nodes of a block for each depth, with a place of each; paths go on along frequent pairs."""
-    h, size, keys, grown = w.hashes, len(w.hashes), [w.hashes], word
-    for n in range(1, depth + 1):
-        if n > 1:
-            grown = pair[: size - 1] if n == 2 else grown[: size - n + 1] & pair[n - 2 : size - 1]
-            keys.append(mixed(keys[-1][: size - n + 1] * _DEEPER + h[n - 1 :]))
-        at = np.flatnonzero(grown)
+def block_nodes(w: Words, bitmaps: list[np.ndarray], bits: int, depth: int, ranges: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Nodes of a block for each depth, with a place of each."""
+    h, before = w.hashes, w.hashes
+    for n, keys, ok in paths(w, bitmaps, bits, depth):
+        at = np.flatnonzero(ok)
         at = at[at + n - 1 >= w.fresh]
-        if not len(at):
-            continue
-        ids, where, count = np.unique(keys[-1][at], return_index=True, return_counts=True)
-        i = at[where]
-        nodes = np.zeros(len(ids), NODE)
-        nodes["id"], nodes["range"], nodes["word"], nodes["depth"], nodes["n"] = ids, h[i] % _U(ranges), h[i + n - 1], n, count
-        if n > 1:
-            nodes["parent"], nodes["end"] = keys[n - 2][i], keys[n - 2][i + 1]
-        yield nodes, i
+        if len(at):
+            ids, where, count = np.unique(keys[at], return_index=True, return_counts=True)
+            i = at[where]
+            nodes = np.zeros(len(ids), NODE)
+            nodes["id"], nodes["range"], nodes["word"], nodes["depth"], nodes["n"] = ids, h[i] % _U(ranges), h[i + n - 1], n, count
+            if n > 1:
+                nodes["parent"], nodes["end"] = before[i], before[i + 1]
+            yield nodes, i
+        before = keys
 
 
-def shard_tries(texts: DataFrame, bitmap, bits: int, depth: int, ranges: int) -> DataFrame:
-    """range, nodes, words: a task's trie below frequent pairs, serialised sorted by range and id. words: language (in hex) and word of the nodes of depth one.
+def shard_tries(texts: DataFrame, sent: list, bits: int, depth: int, ranges: int) -> DataFrame:
+    """range, nodes, words: a task's trie of what may be frequent, serialised sorted by range and id. words: language (in hex) and word of the nodes of depth one.
 
     Range ROOTS holds the languages and how many words they have.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells, held, texts_, roots, n = bitmap.value, [], {}, {}, 0
-
-        def known(h: np.ndarray) -> np.ndarray:
-            at = h >> _U(64 - bits)
-            return (cells[at >> _U(3)] >> (_U(7) - (at & _U(7))).astype(np.uint8) & 1).astype(bool)
+        bitmaps, held, texts_, roots, n = [b.value for b in sent], [], {}, {}, 0
 
         def serialised(nodes: np.ndarray) -> pa.RecordBatch:
             which = nodes["range"].astype(np.int64)
@@ -255,9 +268,7 @@ def shard_tries(texts: DataFrame, bitmap, bits: int, depth: int, ranges: int) ->
             for w, names in word_blocks(b.column(0), b.column(1), depth):
                 for d, c in zip(*np.unique(w.docs[w.fresh :], return_counts=True), strict=True):
                     roots[names[d]] = roots.get(names[d], 0) + int(c)
-                pair = np.zeros(len(w.hashes), bool)
-                pair[:-1] = w.linked[:-1] & known(pair_hashes(w))
-                for nodes, i in block_nodes(w, known(w.hashes), pair, depth, ranges):
+                for nodes, i in block_nodes(w, bitmaps, bits, depth, ranges):
                     held.append(nodes)
                     n += len(nodes)
                     if nodes["depth"][0] == 1:
@@ -352,8 +363,10 @@ def collocations(docs: DataFrame, least: int = LEAST, depth: int = DEPTH, top: i
     entries = max(1, size // 4)
     range_bits = min(MOST_RANGE_BITS, max(2, ceil(log2(entries)) - ENTRY_BITS))
     bits = min(MOST_BITS, max(range_bits + 10, ceil(log2(entries))))
-    bitmap = spark.sparkContext.broadcast(frequent_cells(texts, range_bits, bits, min(least, 255)))
-    trie = cut(merged_tries(shard_tries(texts, bitmap, bits, min(depth, DEPTH), max(LEAST_RANGES, size >> RANGE_BYTES)), least))
+    depth, sent = min(depth, DEPTH), []
+    for n in range(2, depth + 1):
+        sent.append(spark.sparkContext.broadcast(frequent_cells(texts, n, sent, bits, range_bits, min(least, 255))))
+    trie = cut(merged_tries(shard_tries(texts, sent, bits, depth, max(LEAST_RANGES, size >> RANGE_BYTES)), least))
     roots = trie.where("depth = 0").groupBy("lang").agg(F.sum("a").alias("n"))
     phrases = trie.where("depth > 1")
     whole = "decimal(28,0)"
