@@ -8,7 +8,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.sources import raw
+from tessera.sources import logs, raw
 
 MAX_FILES = 10
 
@@ -73,6 +73,45 @@ def run_cycle(files: DataFrame, offsets: DataFrame, failures: DataFrame, apply,
     return kept.unionByName(ok), spark.createDataFrame(list(bad.items()), "ref string, n long"), done
 
 
+def run_tails(files: DataFrame, offsets: DataFrame, failures: DataFrame, apply, since_us: int = -1, now_us: int | None = None, min_age_us: int = 0, limit: int = MAX_FILES, dead: int = 2) -> tuple[DataFrame, DataFrame, list[tuple[str, str]]]:
+    """ST1-ST3, ST7: ``run_cycle`` without file contents on the driver: files are uri, ref, mtime_us, size, and ``apply`` gets (ref, a DataFrame of its new
+    lines as of ``logs.tails``), which tasks read in ranges. The driver sees the names, places and failures of the cycle's few files only."""
+    spark = files.sparkSession
+    gone = failures.where(F.col("n") >= dead).select("ref")
+    open_ = raw.pending(files.join(gone, "ref", "left_anti"), since_us, now_us, min_age_us)
+    new = logs.tails(open_, offsets)[1].join(open_, "ref").orderBy("mtime_us", "ref").limit(limit).select("uri", "ref", "size", "from_", "upto").collect()
+    if not new:
+        return offsets, failures, []
+    mine = spark.createDataFrame([(r["ref"],) for r in new], "ref string")
+    bad = {r["ref"]: r["n"] for r in failures.join(F.broadcast(mine), "ref", "left_semi").collect()}
+    done, at = [], {}
+    for r in new:
+        one = spark.createDataFrame([(r["uri"], r["ref"], r["upto"])], "uri string, ref string, size long")
+        try:
+            apply(r["ref"], logs.tails(one, spark.createDataFrame([(r["ref"], r["from_"])], "ref string, offset long"))[0])
+        except Exception:  # a bad document doesn't stop the cycle
+            bad[r["ref"]] = bad.get(r["ref"], 0) + 1
+            done.append((r["ref"], "dead" if bad[r["ref"]] >= dead else "failed"))
+            continue
+        at[r["ref"]] = r["upto"]
+        bad.pop(r["ref"], None)
+        done.append((r["ref"], "ok"))
+    read = spark.createDataFrame(list(at.items()), "ref string, offset long")
+    kept = offsets.join(read.select("ref"), "ref", "left_anti").select("ref", "offset").unionByName(read)
+    lost = failures.join(F.broadcast(mine), "ref", "left_anti").select("ref", "n").unionByName(spark.createDataFrame(list(bad.items()), "ref string, n long"))
+    return kept, lost, done
+
+
+def backfill(step, most: int = 1000) -> list[list[tuple[str, str]]]:
+    """ST5: cycles until nothing is left; stops when a cycle has only failures. step gives a cycle's (ref, outcome) list."""
+    out: list[list[tuple[str, str]]] = []
+    while len(out) < most and (now := step()):
+        out.append(now)
+        if all(how == "failed" for _, how in now):
+            break
+    return out
+
+
 @contextmanager
 def source_lock(spark: SparkSession, path: str, mode: str = "fail", wait_s: float = 0.2, most_s: float = 60.0):
     """ST8: one writer for each source: a file that only one can create. mode: skip (gives False), fail (an error) or wait."""

@@ -98,3 +98,32 @@ def test_stream_goes_on_where_it_stopped(spark, tmp_path):
     assert first == [("a.jsonl", b"half"), ("a.jsonl", b"one"), ("a.jsonl", b"two"), ("b.jsonl", b"late")]
     (src / "a.jsonl").write_bytes(b"new\n")  # shrunk: read anew
     assert go() == sorted([*first, ("a.jsonl", b"new")])
+
+
+def test_cycles_over_tails(spark, tmp_path):
+    """Limits, failures, dead letters and offsets from cycle to cycle; contents stay with the tasks."""
+    from tessera.streaming import ingest
+
+    for i, n in enumerate("abcd"):
+        (tmp_path / n).write_bytes(f"{n}1\n{n}2\n{n}".encode())
+        os.utime(tmp_path / n, ns=(10**18 + i * 10**9,) * 2)
+    state = {"offsets": spark.createDataFrame([("a", 3)], "ref string, offset long"), "failures": spark.createDataFrame([("z", 5)], "ref string, n long")}
+    got = []
+
+    def step():
+        files = spark.createDataFrame([(str(tmp_path / n), n, os.stat(tmp_path / n).st_mtime_ns // 1000, os.stat(tmp_path / n).st_size) for n in "abcd"], "uri string, ref string, mtime_us long, size long")
+
+        def apply(ref, lines):
+            if ref == "b":
+                raise ValueError
+            got.append((ref, sorted(r.raw for r in lines.collect())))
+
+        state["offsets"], state["failures"], done = ingest.run_tails(files, state["offsets"], state["failures"], apply, limit=2)
+        return done
+
+    assert ingest.backfill(step) == [[("a", "ok"), ("b", "failed")], [("b", "dead"), ("c", "ok")], [("d", "ok")]]
+    assert got == [("a", [b"a2"]), ("c", [b"c1", b"c2"]), ("d", [b"d1", b"d2"])]
+    assert {r.ref: r.offset for r in state["offsets"].collect()} == {"a": 6, "c": 6, "d": 6}
+    assert {r.ref: r.n for r in state["failures"].collect()} == {"b": 2, "z": 5}
+    turns = iter([[("x", "failed")], [("x", "dead")]])
+    assert ingest.backfill(lambda: next(turns)) == [[("x", "failed")]]

@@ -53,7 +53,7 @@ def test_current_excluded_and_null_text(spark):
 
 
 def test_history_survives_cycles(spark):
-    e = links(spark, ("v3", "supersedes", "v2"), ("v2", "supersedes", "v1"), ("v1", "supersedes", "v3"))
+    e = links(spark, ("v3", "supersedes", "v2"), ("v2", "supersedes", "v1"), ("v1", "supersedes", "v3")).withColumn("src_type", F.lit("log"))
     p = pages(spark, *(page("log", f"v{i}") for i in (1, 2, 3)))
     start = spark.createDataFrame([("v3",)], "ref string")
     assert [r.slug for r in history.histories(e, p, start).orderBy("place").collect()] == ["v3", "v2", "v1"]
