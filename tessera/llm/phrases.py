@@ -45,7 +45,7 @@ ENTRY_BITS, MOST_RANGE_BITS, MOST_BITS = 18, 24, 29
 #: Prefix ranges of full tries: one for each 2^RANGE_BYTES bytes of text.
 LEAST_RANGES, RANGE_BYTES = 64, 22
 #: Occurrences, or nodes, that a task holds before it gives its trie away; bytes hashed at a time.
-HELD, NODES = 2_000_000, 600_000
+HELD, NODES = 2_000_000, 1_000_000
 BLOCK = 1 << 20
 
 _U = np.uint64
@@ -112,14 +112,14 @@ def word_blocks(texts: pa.Array, langs: pa.Array, depth: int) -> Iterator[tuple[
         at, early = end, early + int(s[-min(depth - 1, len(s))]) if len(s) and depth > 1 else end
 
 
-def paths(w: Words, bitmaps: list[np.ndarray], bits: int, depth: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def paths(w: Words, bitmaps: list[np.ndarray], depth: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each depth hashes of the phrases that begin at each word, and which of them count: those whose ends do, and that their bitmap holds.
 
     The first bitmap is of words and pairs, each further one of phrases with a word more; deeper ones may be missing.
     """
 
     def known(cells: np.ndarray, h: np.ndarray) -> np.ndarray:
-        at = h >> _U(64 - bits)
+        at = h >> _U(65 - (8 * len(cells)).bit_length())
         return (cells[at >> _U(3)] >> (_U(7) - (at & _U(7))).astype(np.uint8) & 1).astype(bool)
 
     keys, ok = w.hashes, known(bitmaps[0], w.hashes) if bitmaps else np.ones(len(w.hashes), bool)
@@ -134,7 +134,7 @@ def paths(w: Words, bitmaps: list[np.ndarray], bits: int, depth: int) -> Iterato
         yield n, keys, ok
 
 
-def hashed(texts: DataFrame, n: int, sent: list, bits: int, range_bits: int, least: int) -> DataFrame:
+def hashed(texts: DataFrame, n: int, sent: list, range_bits: int, least: int) -> DataFrame:
     """range, keys, counts: sorted hashes of a task's phrases of n words (for two, of words too), with counts up to least."""
 
     def serialised(held: list[np.ndarray]) -> pa.RecordBatch:
@@ -150,7 +150,7 @@ def hashed(texts: DataFrame, n: int, sent: list, bits: int, range_bits: int, lea
         held, many, bitmaps = [], 0, [b.value for b in sent]
         for b in batches:
             for w, _ in word_blocks(b.column(0), b.column(1), n):
-                for m, keys, ok in paths(w, bitmaps, bits, n):
+                for m, keys, ok in paths(w, bitmaps, n):
                     if m == n or n == 2:
                         at = np.flatnonzero(ok)
                         held.append(keys[at[at + m - 1 >= w.fresh]])
@@ -204,7 +204,7 @@ def frequent_cells(texts: DataFrame, n: int, sent: list, bits: int, range_bits:
 
     tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     out = np.zeros((1 << range_bits, max(1, (1 << wide) // 8)), np.uint8)
-    for r in hashed(texts, n, sent, bits, range_bits, least).repartition(tasks, "range").sortWithinPartitions("range").mapInArrow(run, "range long, cells binary").toLocalIterator():
+    for r in hashed(texts, n, sent, range_bits, least).repartition(tasks, "range").sortWithinPartitions("range").mapInArrow(run, "range long, cells binary").toLocalIterator():
         out[r["range"]] = np.frombuffer(r["cells"], np.uint8)
     return out.reshape(-1)
 
@@ -225,10 +225,10 @@ def summed(parts: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def block_nodes(w: Words, bitmaps: list[np.ndarray], bits: int, depth: int, ranges: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def block_nodes(w: Words, bitmaps: list[np.ndarray], depth: int, ranges: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Nodes of a block for each depth, with a place of each."""
     h, before = w.hashes, w.hashes
-    for n, keys, ok in paths(w, bitmaps, bits, depth):
+    for n, keys, ok in paths(w, bitmaps, depth):
         at = np.flatnonzero(ok)
         at = at[at + n - 1 >= w.fresh]
         if len(at):
@@ -242,7 +242,7 @@ def block_nodes(w: Words, bitmaps: list[np.ndarray], bits: int, depth: int, rang
         before = keys
 
 
-def shard_tries(texts: DataFrame, sent: list, bits: int, depth: int, ranges: int) -> DataFrame:
+def shard_tries(texts: DataFrame, sent: list, depth: int, ranges: int) -> DataFrame:
     """range, nodes, words: a task's trie of what may be frequent, serialised sorted by range and id. words: language (in hex) and word of the nodes of depth one.
 
     Range ROOTS holds the languages and how many words they have.
@@ -268,7 +268,7 @@ def shard_tries(texts: DataFrame, sent: list, bits: int, depth: int, ranges: int
             for w, names in word_blocks(b.column(0), b.column(1), depth):
                 for d, c in zip(*np.unique(w.docs[w.fresh :], return_counts=True), strict=True):
                     roots[names[d]] = roots.get(names[d], 0) + int(c)
-                for nodes, i in block_nodes(w, bitmaps, bits, depth, ranges):
+                for nodes, i in block_nodes(w, bitmaps, depth, ranges):
                     held.append(nodes)
                     n += len(nodes)
                     if nodes["depth"][0] == 1:
@@ -277,7 +277,7 @@ def shard_tries(texts: DataFrame, sent: list, bits: int, depth: int, ranges: int
                                 texts_[x] = names[w.docs[k]].encode().hex().encode() + b"\t" + w.phrase(k, 1)[0]
                 if n > NODES:
                     held = [summed(held)]
-                    if (n := len(held[0])) > NODES // 2:
+                    if (n := len(held[0])) > NODES * 4 // 5:
                         yield serialised(held[0])
                         held, n = [], 0
         if n or roots:
@@ -365,8 +365,9 @@ def collocations(docs: DataFrame, least: int = LEAST, depth: int = DEPTH, top: i
     bits = min(MOST_BITS, max(range_bits + 10, ceil(log2(entries))))
     depth, sent = min(depth, DEPTH), []
     for n in range(2, depth + 1):
-        sent.append(spark.sparkContext.broadcast(frequent_cells(texts, n, sent, bits, range_bits, min(least, 255))))
-    trie = cut(merged_tries(shard_tries(texts, sent, bits, depth, max(LEAST_RANGES, size >> RANGE_BYTES)), least))
+        # far fewer phrases of three words and more are in question
+        sent.append(spark.sparkContext.broadcast(frequent_cells(texts, n, sent, bits if n == 2 else bits - 2, range_bits, min(least, 255))))
+    trie = cut(merged_tries(shard_tries(texts, sent, depth, max(LEAST_RANGES, size >> RANGE_BYTES)), least))
     roots = trie.where("depth = 0").groupBy("lang").agg(F.sum("a").alias("n"))
     phrases = trie.where("depth > 1")
     whole = "decimal(28,0)"
