@@ -205,3 +205,13 @@ def test_timeline_sources(spark):
 
 def test_vocabulary_covers_schema():
     assert {f.name for f in V.ENTITY} >= set(V.RELATIONS) and V.CONTINUANTS == ("project", "company", "concept", "profile")
+
+
+def test_sums_of_costs_carry_no_noise_of_their_order(spark):
+    from tessera.operators import cost
+
+    e = spark.range(1000).select(F.lit("2024-01-24").cast("timestamp_ntz").alias("ts"), F.lit("ask").alias("command"), F.lit(1).alias("input_tokens"), F.lit(1).alias("output_tokens"), (F.lit(1e7) + 0.1).alias("usd"), F.lit(0.1).alias("elapsed_s"))
+    lines = [r.line for r in cost.summarize(e, "2024-01-25 12:00:00").where("group = 'TOTAL'").select(cost.table_line().alias("line")).collect()]
+    assert [x.split()[-2:] for x in lines] == [["10000000100.00000000", "100.0000"]]
+    odd = e.limit(2).withColumn("usd", F.lit(float("inf")))
+    assert {r.usd for r in cost.summarize(odd, "2024-01-25 12:00:00").collect()} == {float("inf")}
