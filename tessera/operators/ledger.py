@@ -158,9 +158,14 @@ def ranked_facts(facts: DataFrame) -> DataFrame:
     return facts.withColumn("place", F.row_number().over(w))
 
 
+def _hundredths(c: Column, digits: int) -> Column:
+    """Two digits, halves up, of the figure at so many digits: a half that a sum of doubles has missed by its last bit is a half."""
+    return c.cast(f"decimal(18,{digits})").cast("decimal(9,2)").cast("string")
+
+
 def suffix() -> Column:
     """Days between first and last sighting, peak, mean."""
-    return F.format_string("%d days, seen %d, peak %.2f, mean %.2f", F.coalesce(F.datediff(day("last_seen"), day("first_seen")), F.lit(0)), "seen_count", peak(), mean())
+    return F.format_string("%d days, seen %d, peak %s, mean %s", F.coalesce(F.datediff(day("last_seen"), day("first_seen")), F.lit(0)), "seen_count", _hundredths(peak(), 6), _hundredths(mean(), 9))
 
 
 def daily(batch: DataFrame, ledger: DataFrame, today: str) -> DataFrame:

@@ -215,3 +215,11 @@ def test_sums_of_costs_carry_no_noise_of_their_order(spark):
     assert [x.split()[-2:] for x in lines] == [["10000000100.00000000", "100.0000"]]
     odd = e.limit(2).withColumn("usd", F.lit(float("inf")))
     assert {r.usd for r in cost.summarize(odd, "2024-01-25 12:00:00").collect()} == {float("inf")}
+
+
+def test_suffix_rounds_halves_up_that_a_sum_just_missed(spark):
+    rows = spark.createDataFrame([("2024-01-01", "2024-01-03", 3, [0.96, 0.57, 0.075])], "first_seen string, last_seen string, seen_count long, confidence_history array<double>")
+    assert 0.96 + 0.57 + 0.075 < 0.535 * 3
+    assert [r.s for r in rows.select(L.suffix().alias("s")).collect()] == ["2 days, seen 3, peak 0.96, mean 0.54"]
+    none = rows.withColumn("confidence_history", F.array().cast("array<double>"))
+    assert [r.s for r in none.select(L.suffix().alias("s")).collect()] == ["2 days, seen 3, peak 0.00, mean 0.00"]
