@@ -204,7 +204,8 @@ def labelled_texts(spark, d):
 def entities_from_pages(spark, d):
     """SC1, SC3, Z9-Z10: entities written as pages with all their attributes, and read again."""
     text = P.page_text(E.front_matter(_full_companies(spark, d)).select(F.col("slug").alias("path"), "meta", "body"))
-    back = E.from_front_matter(P.front_matter_json(P.split_front_matter(text.select("path", "text"))))
+    # companies are short rows, so a few splits hold them all: dealt out, their pages are read by all tasks
+    back = E.from_front_matter(P.front_matter_json(P.split_front_matter(text.select("path", "text").repartition("path"))))
     return back.select("slug", "title", "status", "attrs.size", F.array_join("attrs.domains", ",").alias("domains"), "attrs.notes", F.col("attrs.positions")[0]["title"].alias("position"), F.array_join("part_of", ",").alias("part_of"), F.array_join("related", ",").alias("related"), F.regexp_replace("body", r"\A\n+", "").alias("body"))
 
 

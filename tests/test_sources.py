@@ -99,3 +99,29 @@ def test_stage_runner():
     assert ingest.run_stages(stages) == [("a", "ok"), ("b", "failed"), ("c", "blocked"), ("d", "ok")]
     assert ingest.run_stages(stages, resume_from="d") == [("a", "resumed"), ("b", "resumed"), ("c", "resumed"), ("d", "ok")]
     assert dict(ingest.run_stages(stages, skip=("a",)))["d"] == "blocked"
+
+
+def test_json_front_matter_is_read_without_yaml_where_both_agree(spark, monkeypatch):
+    import json
+
+    import yaml
+
+    from tessera.sources import pages as P
+
+    texts = [
+        '{"slug":"a-1","n":12,"x":-1.50,"l":["p",null,true,{"k":""}],"q":"a: \\"b\\" # c\\n"}', '{"x":1e5}', '{"x":1.0E+5}', '{"x":NaN}', '{"a":1,"a":2}', '{"u":"\\u00e9 é"}',
+        '{"a":"\\/"}', '{"a":"x\u2028y"}', '{"a":"x\x85y"}', '{"%s":1}' % ("k" * 2000), '{"a" : "2024-01-01", "b": 0.1}', '{"a":1} # c', '[1]', '{}', '{"<<":{"b":1}}', '{a: 1}', '{\t"a":1}', '{"a":"\x7f"}', '{"a":"😀"}', '{"a": -0}', '{"a": 0012}', '{"a": "y", "b": "1_000"}',
+    ]
+
+    def slow(t):
+        try:
+            return yaml.safe_load(t)
+        except yaml.YAMLError:
+            return None
+
+    read = {t: P.as_json(t) for t in texts}
+    assert all(json.dumps(g, default=str) == json.dumps(slow(t), default=str) for t, g in read.items() if g is not None)
+    assert [t for t in texts[:1] + texts[4:5] + texts[10:11] if not read[t]] == []
+    rows = spark.createDataFrame([(str(i), t, "") for i, t in enumerate(texts)], "path string, yaml string, body string")
+    want = [json.dumps(g, ensure_ascii=False, default=str) if isinstance(g := slow(t), dict) else None for t in texts]
+    assert [x.meta for x in P.front_matter_json(rows).orderBy(F.col("path").cast("int")).collect()] == want
