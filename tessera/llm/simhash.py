@@ -216,8 +216,8 @@ def fingerprint_components(docs: DataFrame, size: int = 3, most: int = 3, id_col
 # -- near duplicates by shingle similarity
 
 WORDS = 2
-#: Counters of the order of rarity, and the documents that are counted. Any common order is exact; a better one is faster.
-SLOTS, COUNTED = 1 << 20, 1 << 15
+#: Counters of the order of rarity, and how far they count. Any common order is exact; a better one is faster.
+SLOTS, COUNTED = 1 << 20, (1 << 32) - 1
 SLOT_BLOCK = 1 << 16
 #: Rows of shingles in one task of the meeting: a pair shares many, and is counted once for each task in which it meets.
 MEET_ROWS = 2_000_000
@@ -302,55 +302,52 @@ def _slots(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def rarity(docs: DataFrame, size: int, text_col: str) -> Broadcast:
-    """How often (up to 255) shingles of each slot occur in about COUNTED documents; two rows of slots.
+    """How often (up to COUNTED) shingles of each slot occur in all documents, once each; two rows of slots.
 
-    The sample is read and counted where the texts are; its counts travel as blocks of those slots that occur, and are folded block by block.
+    They are counted where the texts are; a task's counts travel as blocks of slots and are folded block by block.
     """
-    names = ["block", "slots", "counts"]
+    names = ["block", "counts"]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(2 * SLOTS, np.int64)  # the second row of slots follows the first
         held: list[np.ndarray] = []
 
-        def blocks() -> pa.RecordBatch:
-            # the second row of slots follows the first
-            slot, n = np.unique(np.concatenate(held), return_counts=True)
-            block = (slot // SLOT_BLOCK).astype(np.int64)
-            at = np.flatnonzero(np.diff(block, prepend=-1))
-            low, n = (slot % SLOT_BLOCK).astype(np.uint16), np.minimum(n, 255).astype(np.uint8)
-            spans = list(zip(at, np.append(at[1:], len(slot)), strict=True))
+        def added() -> None:
+            at, n = np.unique(np.concatenate(held), return_counts=True)
+            seen[at] += n
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(block[at], pa.int64()), *(pa.array([x[i:j].tobytes() for i, j in spans], pa.binary()) for x in (low, n))], names=names)
 
         for b in batches:
             for t in b.column(0).to_pylist():
                 for row, at in enumerate(_slots(np.unique(shingle_hashes(words_of(t), size)))):
-                    held.append(np.unique(at).astype(np.int64) + row * SLOTS)
+                    held.append(at.astype(np.int64) + row * SLOTS)
             if sum(map(len, held)) > 1 << 20:
-                yield blocks()
-        if sum(map(len, held)):
-            yield blocks()
+                added()
+        if held:
+            added()
+        for k, block in enumerate(np.minimum(seen, COUNTED).astype(np.uint32).reshape(-1, SLOT_BLOCK)):
+            if block.any():
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([block.tobytes()], pa.binary())], names=names)
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, seen = None, np.zeros(SLOT_BLOCK, np.int64)
-        row = lambda: pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([np.minimum(seen, 255).astype(np.uint8).tobytes()], pa.binary())], names=["block", "seen"])
+        row = lambda: pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([np.minimum(seen, COUNTED).astype(np.uint32).tobytes()], pa.binary())], names=names)
         for b in batches:
-            for block, slots, counts in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
+            for block, counts in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 if block != now:
                     if now is not None:
                         yield row()
                     now, seen = block, np.zeros(SLOT_BLOCK, np.int64)
-                seen[np.frombuffer(slots.as_buffer(), np.uint16)] += np.frombuffer(counts.as_buffer(), np.uint8)
+                seen += np.frombuffer(counts.as_buffer(), np.uint32)
         if now is not None:
             yield row()
 
     small_batches(docs.sparkSession)
-    src = docs.select(text_or_empty(text_col).alias("text"))
-    some = src.where(F.pmod(F.xxhash64("text"), F.lit(max(1, src.count() // COUNTED))) == 0)
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sparse = some.mapInArrow(count, "block long, slots binary, counts binary").repartition(tasks, "block").sortWithinPartitions("block")
-    out = np.zeros((2 * SLOTS // SLOT_BLOCK, SLOT_BLOCK), dtype=np.uint8)
-    for r in sparse.mapInArrow(fold, "block long, seen binary").toLocalIterator():  # 2 MB in all
-        out[r["block"]] = np.frombuffer(r["seen"], np.uint8)
+    dealt = docs.select(text_or_empty(text_col).alias("text")).mapInArrow(count, "block long, counts binary").repartition(tasks, "block").sortWithinPartitions("block")
+    out = np.zeros((2 * SLOTS // SLOT_BLOCK, SLOT_BLOCK), dtype=np.uint32)
+    for r in dealt.mapInArrow(fold, "block long, counts binary").toLocalIterator():  # 8 MB in all
+        out[r["block"]] = np.frombuffer(r["counts"], np.uint32)
     return docs.sparkSession.sparkContext.broadcast(out.reshape(2, SLOTS))
 
 

@@ -220,3 +220,15 @@ def test_frequent_shingles_meet_in_blocks(spark, monkeypatch, hot):
     pairs = {(x.u, x.v) for x in simhash.verified(simhash.rare_pairs(found, *none, 0.8), docs, 5, 0.8, "doc_id", "text").collect()}
     sets = [frozenset(tuple(t[i : i + 5]) for i in range(max(1, len(t) - 4))) if t else frozenset() for t in texts]
     assert pairs == {(a, b) for b in range(len(sets)) for a in range(b) if sets[a] and sets[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+
+
+def test_rarity_counts_every_document(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "COUNTED", 300)
+    docs = spark.range(1200).select(F.concat(F.lit("one two three four five "), F.when(F.col("id") < 700, "").otherwise(F.col("id").cast("string"))).alias("text"))
+    a, c = simhash._slots(simhash.shingle_hashes(b"one two three four five".split(), 5))
+    seen = simhash.rarity(docs, 5, "text").value
+    assert min(seen[0][a[0]], seen[1][c[0]]) == 300
+    monkeypatch.undo()
+    seen = simhash.rarity(docs, 5, "text").value
+    assert min(seen[0][a[0]], seen[1][c[0]]) == 1200
+    assert seen[0].sum() == seen[1].sum() == 1200 + 500
