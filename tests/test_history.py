@@ -79,3 +79,23 @@ def test_many_chains(spark):
 
 def test_nothing(spark):
     assert got(spark, [], [], ["a"]) == [] == got(spark, [("log", "a", "0")], [], [])
+
+
+def test_components_shrink_their_links_from_round_to_round(spark, monkeypatch):
+    from tessera.operators import components as C
+
+    rows = []
+
+    def written(df, name, put=C.written):
+        out = put(df, name)
+        rows.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(C, "written", written)
+    chain = [(f"{i:04d}", f"{i + 1:04d}") for i in range(600)]
+    more = [("x", "x"), ("y", None), (None, "z"), ("b", "a"), ("a", "c"), ("c", "b"), ("c", "b")]
+    got = {r.node: r.component for r in C.components(spark.createDataFrame(chain + more, "u string, v string")).collect()}
+    assert got == {f"{i:04d}": "0000" for i in range(601)} | {"x": "x", "a": "a", "b": "a", "c": "a"}
+    # all that the rounds write is a few times the input
+    assert sum(n for _, n in rows) < 9 * len(chain)
+    assert C.components(spark.createDataFrame([], "u long, v long")).count() == 0
