@@ -21,7 +21,7 @@ from tessera.operators import graph as G
 from tessera.operators import vocabulary as V
 from tessera.operators.entities import is_current
 from tessera.operators.history import histories
-from tessera.session import checked_broadcast, ship
+from tessera.session import checked_broadcast, dealt, ship
 
 MAX_PAGES = 12
 REVERSE_CAP = 5
@@ -115,11 +115,28 @@ def name_seeds(queries: DataFrame, pages: DataFrame, most: int = NAMES_CHARS) ->
     return found.join(checked_broadcast(names), "name").groupBy("query", "slug").agg(F.min("load_ord").alias("load_ord"))
 
 
-def selected(queries: DataFrame, pages: DataFrame, most: int) -> DataFrame:
-    """Ids that a selector has returned (queries.selected, array), those there are, in its order, once each."""
-    ids = queries.select("query", F.posexplode("selected").alias("pos", "slug")).groupBy("query", "slug").agg(F.min("pos").alias("pos"))
+#: Rows of one id from which it is joined apart from the others.
+HOT_ID = 100_000
+
+
+def selected(queries: DataFrame, pages: DataFrame, most: int, hot: int = HOT_ID) -> DataFrame:
+    """Ids that a selector has returned (queries.selected, array), those there are, in its order, once each.
+
+    Ids that more than ``hot`` rows name are few, whatever the input: their pages are broadcast, so no task gets all rows of an id. Repeats go where
+    a query's rows are, in partitions of bounded size; before that nearly all keys differ, and a partial aggregation would only hold them.
+    """
+    ids = queries.select("query", F.posexplode("selected").alias("pos", "slug"))
+    pages = pages.select("slug")
+    each = ids.groupBy("slug").agg(F.count("*").alias("n"))
+    seen = each.agg(F.sum("n").alias("rows"), F.collect_list(F.when(F.col("n") > hot, F.col("slug"))).alias("often")).first()
+    often = seen["often"]
+    rows = ids.where(~F.col("slug").isin(often)).join(pages, "slug", "left_semi") if often else ids.join(pages, "slug", "left_semi")
+    if often:
+        some = F.col("slug").isin(often)
+        rows = rows.unionByName(ids.where(some).join(F.broadcast(pages.where(some).distinct()), "slug", "left_semi").select(rows.columns))
     w = Window.partitionBy("query").orderBy("pos")
-    return ids.join(pages.select("slug").distinct(), "slug", "left_semi").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select("query", "slug", "rank")
+    first = dealt(rows, "query", rows=seen["rows"] or 0).groupBy("query", "slug").agg(F.min("pos").alias("pos"))
+    return first.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select("query", "slug", "rank")
 
 
 def related_pages(queries: DataFrame, entities: DataFrame, e: DataFrame, most: int = MAX_PAGES, exclude: tuple[str, ...] = (), history: bool = False, cap: int = REVERSE_CAP) -> DataFrame:

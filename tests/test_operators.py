@@ -2,12 +2,14 @@
 
 from pyspark.sql import functions as F
 
+from tessera import session
 from tessera.operators import entities as E
 from tessera.operators import graph as G
 from tessera.operators import ledger as L
 from tessera.operators import history, lint, merge, metrics, retrieval, similarity
 from tessera.operators import timeline as T
 from tessera.operators import vocabulary as V
+from tessera.sources import star
 
 EDGE = "src_type string, src_slug string, src_ord string, relation string, pos int, target string"
 
@@ -223,3 +225,29 @@ def test_suffix_rounds_halves_up_that_a_sum_just_missed(spark):
     assert [r.s for r in rows.select(L.suffix().alias("s")).collect()] == ["2 days, seen 3, peak 0.96, mean 0.54"]
     none = rows.withColumn("confidence_history", F.array().cast("array<double>"))
     assert [r.s for r in none.select(L.suffix().alias("s")).collect()] == ["2 days, seen 3, peak 0.00, mean 0.00"]
+
+
+def test_ids_that_many_queries_name_are_no_tasks_burden(spark, monkeypatch):
+    monkeypatch.setattr(session, "TASK_ROWS", 25)
+    said = [(i % 40, ["gone", f"own-{i % 9}", f"own-{i % 9}", "hub", None, f"own-{i % 5}"]) for i in range(50)]
+    q = spark.createDataFrame(said, "query long, selected array<string>")
+    p = spark.createDataFrame([(s,) for s in ("hub", "hub", *(f"own-{i}" for i in range(8)))], "slug string")
+    want, there = {}, {"hub", *(f"own-{i}" for i in range(8))}
+    for k in range(40):
+        first = {}
+        for key, ids in said:
+            for pos, s in enumerate(ids):
+                if key == k and s in there:
+                    first[s] = min(pos, first.get(s, pos))
+        want |= {(k, s): n for n, (s, _) in enumerate(sorted(first.items(), key=lambda x: x[1])[:2], 1)} if len(set(first.values())) == len(first) else {}
+    got = retrieval.selected(q, p, 2, hot=20)
+    rows = {(r["query"], r["slug"]): r["rank"] for r in got.collect()}
+    assert want and want.items() <= rows.items() and set(rows.values()) == {1, 2} and {k for k, _ in rows} == set(range(40))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [query" in plan and "strategy=broadcast" in plan
+    assert got.rdd.getNumPartitions() == 12  # 300 ids named
+
+
+def test_lines_are_dealt_out_by_their_order(spark, sf, monkeypatch):
+    monkeypatch.setattr(session, "TASK_ROWS", 500)
+    assert star.edges(spark, sf, "uses").rdd.getNumPartitions() == -(-star.table(spark, sf, "lineitem").count() // 500)
