@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as X
 from tessera.operators import vocabulary as V
+from tessera.session import dealt
 
 
 def relation_order(col: str = "relation"):
@@ -33,16 +34,16 @@ def resolved(e: DataFrame, entities: DataFrame) -> DataFrame:
     return e.join(first.withColumnRenamed("slug", "target"), "target").select(*e.columns, F.col("p.type").alias("type"), F.col("p.title").alias("title"))
 
 
-def typed_neighbors(e: DataFrame) -> DataFrame:
-    """G1: per source and relation its distinct targets in order."""
-    first = e.where("relation <> 'related'").groupBy("src_slug", "relation", "target").agg(F.min("pos").alias("pos"))
+def typed_neighbors(e: DataFrame, rows: int | None = None) -> DataFrame:
+    """G1: per source and relation its distinct targets in order. rows: about how many edges there are, counted here if it isn't given."""
+    first = dealt(e.where("relation <> 'related'"), "src_slug", rows=rows).groupBy("src_slug", "relation", "target").agg(F.min("pos").alias("pos"))
     return first.groupBy("src_slug", "relation").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "target"))), lambda x: x["target"]).alias("targets"))
 
 
-def neighbor_links(e: DataFrame) -> DataFrame:
-    """One hop, typed relations first, first occurrence of each target: src_slug, ord, target."""
+def neighbor_links(e: DataFrame, rows: int | None = None) -> DataFrame:
+    """One hop, typed relations first, first occurrence of each target: src_slug, ord, target. rows: as in ``typed_neighbors``."""
     w = Window.partitionBy("src_slug").orderBy("k", "target")
-    return e.groupBy("src_slug", "target").agg(F.min(F.struct(relation_order().alias("r"), "pos")).alias("k")).select("src_slug", F.row_number().over(w).alias("ord"), "target")
+    return dealt(e, "src_slug", rows=rows).groupBy("src_slug", "target").agg(F.min(F.struct(relation_order().alias("r"), "pos")).alias("k")).select("src_slug", F.row_number().over(w).alias("ord"), "target")
 
 
 def reverse_relations(e: DataFrame) -> DataFrame:

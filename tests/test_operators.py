@@ -251,3 +251,13 @@ def test_ids_that_many_queries_name_are_no_tasks_burden(spark, monkeypatch):
 def test_lines_are_dealt_out_by_their_order(spark, sf, monkeypatch):
     monkeypatch.setattr(session, "TASK_ROWS", 500)
     assert star.edges(spark, sf, "uses").rdd.getNumPartitions() == -(-star.table(spark, sf, "lineitem").count() // 500)
+
+
+def test_neighbors_are_made_in_partitions_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(session, "TASK_ROWS", 10)
+    e = links(spark, *[(f"s{i % 17}", r, f"t{i % 7}") for i in range(40) for r in ("uses", "supersedes")])
+    typed, every = G.typed_neighbors(e), G.neighbor_links(e, rows=100)
+    assert typed.rdd.getNumPartitions() == 8 and every.rdd.getNumPartitions() == 10
+    want = {(f"s{s}", r): [f"t{t}" for t in dict.fromkeys(i % 7 for i in range(40) if i % 17 == s)] for s in range(17) for r in ("uses", "supersedes")}
+    assert {(r.src_slug, r.relation): r.targets for r in typed.collect()} == want
+    assert {(r.src_slug, r.ord): r.target for r in every.collect()} == {(s, n): t for (s, r), ts in want.items() if r == "uses" for n, t in enumerate(ts, 1)}
