@@ -54,26 +54,24 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)))
 
 
-def _slug(x, outside: str) -> Column:
-    s = F.lower(F.regexp_replace(F.regexp_replace(_c(x), f"^{BLANK}+|{BLANK}+$", ""), " ", "-"))
-    s = F.regexp_replace(F.regexp_replace(s, outside, "-"), "-+", "-")
-    s = F.regexp_replace(s, "^-|-$", "")
-    return F.when(s == "", F.lit("untitled")).otherwise(s)
+def _slug(x, kept: str) -> Column:
+    """One pass: what isn't kept becomes a hyphen, with the blanks and hyphens beside it; the ends have none."""
+    return F.coalesce(F.nullif(F.btrim(F.regexp_replace(F.lower(_c(x)), f"[^{kept}]+", "-"), F.lit("-")), F.lit("")), F.lit("untitled"))
 
 
 def slugify(x) -> Column:
     """Lower-case ASCII letters, digits, Hangul syllables and hyphens."""
-    return _slug(x, "[^0-9a-z가-힣-]+")
+    return _slug(x, "0-9a-z가-힣")
 
 
 def slugify_card(x) -> Column:
     """As X4, underscores stay."""
-    return _slug(x, "[^a-zA-Z0-9가-힣_-]+")
+    return _slug(x, "a-zA-Z0-9가-힣_")
 
 
-def insight_id(question, day) -> Column:
-    """X6."""
-    return F.concat(F.date_format(day, "yyyy-MM-dd"), F.lit("-"), F.left(slugify_card(question), F.lit(40)))
+def insight_id(question, day, card: str | None = None) -> Column:
+    """X6. card: a column that holds the question's ``slugify_card`` already."""
+    return F.concat(F.date_format(day, "yyyy-MM-dd"), F.lit("-"), F.left(F.col(card) if card else slugify_card(question), F.lit(40)))
 
 
 def estimate_tokens(x) -> Column:

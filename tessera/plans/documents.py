@@ -74,7 +74,8 @@ def _slug_sql(c: str, outside: str) -> str:
 def slugs(spark, d):
     """X4-X6."""
     t = F.col("text")
-    return table(spark, d, "documents").select("doc_id", X.slugify(t).alias("page_slug"), X.slugify_card(t).alias("card_slug"), X.insight_id(t, F.lit("2026-05-12").cast("date")).alias("insight_id"))
+    made = table(spark, d, "documents").select("doc_id", X.slugify(t).alias("page_slug"), X.slugify_card(t).alias("card_slug"))
+    return made.select("doc_id", "page_slug", "card_slug", X.insight_id(t, F.lit("2026-05-12").cast("date"), "card_slug").alias("insight_id"))
 
 
 @query("""WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) AS t, generate_subscripts(regexp_extract_all(html, 'href="([^"]+)"', 1), 1) AS i FROM pages),

@@ -50,3 +50,10 @@ def test_offsets_are_in_bytes_for_every_document(spark, tmp_path):
     d = tables(spark, tmp_path, [*enumerate(texts)], KNOWN)
     want = {i: t.encode().find(b"\n") + 1 if i % 2 == 0 else 0 for i, t in enumerate(texts)}
     assert run(spark, "trusted_offsets", d, "doc_id", "off") == want
+
+
+def test_a_text_is_gone_through_once_for_each_kind_of_slug(spark, tmp_path):
+    d = tables(spark, tmp_path, [(1, " -Ä_b \t c--한글 !"), (2, "!-")], KNOWN)
+    made = catalogue.queries()["slugs"](spark, d)
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") == 2
+    assert sorted(tuple(r) for r in made.collect()) == [(1, "b-c-한글", "_b-c-한글", "2026-05-12-_b-c-한글"), (2, "untitled", "untitled", "2026-05-12-untitled")]
