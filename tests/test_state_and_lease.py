@@ -201,3 +201,25 @@ def test_quarter_places_without_lists(spark):
     got = {(x.year, x.quarter, x.place): x.card_id for x in timeline.quarter_places(timed).collect()}
     want = {(q.year, q.quarter, i + 1): m for q in timeline.quarters(timed).collect() for i, m in enumerate(q.members)}
     assert got == want and len({k[:2] for k in want}) > 1 and itertools
+
+
+def test_sightings_are_folded_from_rows_with_one_reading_of_the_state():
+    from pyspark.sql import Row
+
+    class Kept:
+        value, asked = None, 0
+
+        def get(self):
+            self.asked += 1
+            return self.value
+
+        def update(self, value):
+            self.value = value
+
+    p = state.Sightings(2, 2)
+    p.state = Kept()
+    row = lambda day, n, said, c: Row(kind="fact", fingerprint="f", day=day, ord=n, statement=said, confidence=c)
+    (a,) = p.handleInputRows(("fact", "f"), iter([row("d2", 1, " b ", 2.0), row("d1", 2, None, None), row("d1", 1, "a", -1.0)]), None)
+    assert (a["first_seen"], a["last_seen"], a["seen_count"], a["confidence_history"], a["statements"]) == ("d1", "d2", 3, [0.0, 1.0], ["a", "b"])
+    (b,) = p.handleInputRows(("fact", "f"), iter([row("d3", 1, "c", float("nan"))]), None)
+    assert (b["first_seen"], b["seen_count"], b["confidence_history"], b["statements"]) == ("d1", 4, [1.0, 0.0], ["b", "c"]) and p.state.asked == 2
