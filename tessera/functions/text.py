@@ -36,12 +36,12 @@ def _c(x) -> Column:
 
 def collapse(x) -> Column:
     """Runs of white space to one blank, none at the ends."""
-    return F.regexp_replace(F.regexp_replace(_c(x), f"{BLANK}+", " "), "^ | $", "")
+    return F.btrim(F.regexp_replace(_c(x), f"{BLANK}+", " "), F.lit(" "))
 
 
 def normalize(x) -> Column:
     """Collapsed, lower case, trailing punctuation gone."""
-    return F.regexp_replace(F.lower(collapse(x)), f"[ {TRAILING}]+$", "")
+    return F.rtrim(F.lower(collapse(x)), F.lit(f" {TRAILING}"))
 
 
 def tokens(x) -> Column:

@@ -45,3 +45,9 @@ def test_counters_weights_sizes(spark):
     df = spark.createDataFrame([("a=1 b+=2 a=3", "reject", None), ("", "weight", 2.0), (None, "accept", None)], "t string, act string, w double")
     got = df.select(X.counters("t"), X.feedback_weight(F.col("act"), F.col("w"))).collect()
     assert [(r[0], r[1]) for r in got] == [({"b": 2, "a": 3}, -0.3), ({}, None), ({}, 0.2)]
+
+
+def test_a_text_is_normalised_by_one_regular_expression(spark):
+    df = spark.createDataFrame([(" \t A  b C . !\n",), (" .。 ",), ("\n",)], "t string").select(X.normalize("t"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") == 1
+    assert [r[0] for r in df.collect()] == ["a b c", "", ""]
