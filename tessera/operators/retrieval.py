@@ -11,14 +11,16 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
 from tessera.operators import graph as G
 from tessera.operators import vocabulary as V
+from tessera.operators.components import written
 from tessera.operators.entities import is_current
 from tessera.operators.history import histories
 from tessera.session import checked_broadcast, dealt, ship
@@ -35,13 +37,47 @@ def intents(text_col: str = "text"):
     return F.filter(F.array(*has), lambda x: x.isNotNull())
 
 
-#: Characters on which names and texts meet: names of at least so many characters, else the next.
-GRAMS = (8, 4, 1)
+#: Bytes on which names and texts meet: a shorter name is looked for whole, a longer one by a run of so many.
+RUN = 8
+#: Cells in which runs of names are counted, by hash; bits of the filter for each run, and at most (powers of two).
+CELLS, FILTER_BITS, MOST_BITS, BLOCK_BITS = 1 << 20, 16, 28, 16
+#: Bytes of texts that a task looks at in one go.
+PIECE = 1 << 20
+_MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
 
-def _grams(text: str, n: int) -> Column:
-    """Distinct runs of n characters."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
+def _hashed(runs: np.ndarray, n, which: int, bits: int) -> np.ndarray:
+    """So many bits of a hash of runs of n bytes."""
+    h = (runs + np.uint64(_MIX[2]) * np.asarray(n, np.uint64)) * np.uint64(_MIX[which])
+    return (((h ^ (h >> np.uint64(32))) * np.uint64(_MIX[which])) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A column of strings as all of its bytes, with RUN zeros after them, and where each row starts (and the last ends)."""
+    column = column.cast(pa.large_binary()).fill_null(b"")
+    ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]] if len(column) else np.zeros(0, np.uint8)
+    return np.concatenate([data, np.zeros(RUN, np.uint8)]), ends - ends[0]
+
+
+def _runs(data: np.ndarray) -> np.ndarray:
+    """The RUN bytes from each place on, as one number; the first n of them are its low bytes."""
+    return np.ndarray((len(data) - RUN,), "<u8", buffer=np.ascontiguousarray(data), strides=(1,)).astype(np.uint64)
+
+
+def _first(runs: np.ndarray, n) -> np.ndarray:
+    return runs & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(8) * (np.uint64(RUN) - np.asarray(n, np.uint64))))
+
+
+def _name_runs(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of names: where each name's runs start among all, the length of a name's runs, and the runs."""
+    data, ends = _bytes(column)
+    sizes = np.diff(ends)
+    many = np.maximum(sizes - RUN, 0) + 1
+    starts = np.cumsum(many) - many
+    at = np.repeat(ends[:-1] - starts, many) + np.arange(many.sum())
+    n = np.minimum(sizes, RUN)
+    return starts, n, _first(_runs(data)[at], np.repeat(n, many))
 
 
 #: Characters of all names together up to which they are sent to the tasks as one automaton.
@@ -81,38 +117,97 @@ def _by_automaton(texts: DataFrame, names: DataFrame) -> DataFrame:
     return texts.select("query", "low").mapInArrow(find, f"query {kind}, name string")
 
 
-def _by_grams(texts: DataFrame, names: DataFrame) -> DataFrame:
-    """The same by equality of runs of characters, for any number of names.
+def _by_runs(texts: DataFrame, names: DataFrame) -> DataFrame:
+    """The same for any number of names, by equality of runs of bytes. Texts are read in place, only ids and runs shuffle.
 
-    A name can only occur where each of its runs of 8 characters does (4 or 1 for shorter names), so it stands under the one of its runs that
-    fewest names have. Rows of the join hold ids and names only; the texts are joined back to the distinct pairs and the whole name is verified.
+    A name of 8 bytes or more can only occur where each of its runs of 8 does, so it stands under the one that fewest names have (counted in CELLS cells, a
+    matter of speed only). A filter of bounded size holds the runs under which names stand; a text's runs that pass it are joined to the names, and
+    the whole name is verified in the texts of the pairs that are left. names: not empty.
     """
-    met, above = None, None
-    for n in GRAMS:
-        some = names.where((F.length("name") >= n) & (F.length("name") < above if above else F.lit(True)))
-        above = n
-        each = some.select("name", F.explode(_grams("name", n)).alias("gram"))
-        rare = each.join(each.groupBy("gram").agg(F.count("*").alias("many")), "gram").groupBy("name").agg(F.min(F.struct("many", "gram")).alias("k")).select("name", F.col("k.gram").alias("gram"))
-        rows = texts.select("query", F.explode(_grams("low", n)).alias("gram")).join(checked_broadcast(rare), "gram").select("query", "name")
-        met = rows if met is None else met.unionByName(rows)
-    return met.distinct().join(texts, "query").where(F.expr("contains(low, name)")).select("query", "name")
+    spark = texts.sparkSession
+    ship(spark)
+    bits = CELLS.bit_length() - 1
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = np.zeros(CELLS, np.int64)
+        for b in batches:
+            starts, n, runs = _name_runs(b.column(0))
+            cells += np.bincount(_hashed(runs, np.repeat(n, np.diff([*starts, len(runs)])), 0, bits), minlength=CELLS)
+        some = np.nonzero(cells)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(cells[some])], names=["cell", "many"])
+
+    counted = names.select("name").mapInArrow(count, "cell long, many long").groupBy("cell").agg(F.sum("many").alias("many")).toArrow()
+    cells = np.zeros(CELLS, np.int64)
+    cells[counted["cell"].to_numpy()] = counted["many"].to_numpy()
+    seen = spark.sparkContext.broadcast(cells)
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not len(b):
+                continue
+            starts, n, runs = _name_runs(b.column(0))
+            own = np.repeat(np.arange(len(n)), np.diff([*starts, len(runs)]))
+            best = np.lexsort((seen.value[_hashed(runs, n[own], 0, bits)], own))[starts]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n.astype(np.int8)), pa.array(runs[best].view(np.int64))], names=["name", "n", "run"])
+
+    keys = written(names.select("name").mapInArrow(choose, "name string, n byte, run long"), "runs")
+    sizes = {r["n"]: r["many"] for r in keys.groupBy("n").agg(F.count("*").alias("many")).collect()}
+    wide = max(BLOCK_BITS, min(MOST_BITS, (FILTER_BITS * sum(sizes.values())).bit_length()))
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n, runs = b.column(0).to_numpy(), b.column(1).to_numpy().view(np.uint64)
+            both = np.concatenate([_hashed(runs, n, k, wide) for k in (0, 1)])
+            yield pa.RecordBatch.from_arrays([pa.array(both >> BLOCK_BITS), pa.array(both & ((1 << BLOCK_BITS) - 1))], names=["block", "bit"])
+
+    def block(rows: pd.DataFrame) -> pd.DataFrame:
+        own = np.zeros(1 << BLOCK_BITS, np.uint8)
+        own[rows["bit"].to_numpy()] = 1
+        return pd.DataFrame({"block": rows["block"].iloc[:1], "bits": [np.packbits(own, bitorder="little").tobytes()]})
+
+    blocks = keys.select("n", "run").distinct().mapInArrow(places, "block long, bit long").groupBy("block").applyInPandas(block, "block long, bits binary").toArrow()
+    held = np.zeros((1 << (wide - BLOCK_BITS), 1 << (BLOCK_BITS - 3)), np.uint8)
+    for i, own in zip(blocks["block"].to_pylist(), blocks["bits"].to_pylist(), strict=True):
+        held[i] = np.frombuffer(own, np.uint8)
+    sent, kind = spark.sparkContext.broadcast(held.ravel()), texts.schema["query"].dataType.simpleString()
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = sent.value
+        within = lambda runs, n, k: (held[(c := _hashed(runs, n, k, wide)) >> 3] >> (c & 7).astype(np.uint8)) & 1 == 1
+        for b in batches:
+            data, ends = _bytes(b.column(1))
+            for at in range(0, len(data) - RUN, PIECE):
+                every = _runs(data[at : at + PIECE + RUN])[:PIECE]
+                for n in sizes:
+                    runs = _first(every, n)
+                    hit = np.nonzero(within(runs, n, 0))[0]
+                    hit = hit[within(runs[hit], n, 1)]
+                    row = np.searchsorted(ends, hit + at, "right") - 1
+                    inside = hit + at + n <= ends[row + 1]  # not across two texts
+                    met = pd.DataFrame({"row": row[inside], "run": runs[hit[inside]].view(np.int64)}).drop_duplicates()
+                    if len(met):
+                        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(met["row"].to_numpy())), pa.array(np.full(len(met), n, np.int8)), pa.array(met["run"].to_numpy())], names=["query", "n", "run"])
+
+    rows = texts.select("query", "low").mapInArrow(find, f"query {kind}, n byte, run long")
+    pairs = written(rows.join(checked_broadcast(keys), ["n", "run"]).select(F.col("query").alias("of"), "name").distinct(), "pairs")
+    return texts.join(checked_broadcast(pairs), F.col("query").eqNullSafe(F.col("of"))).where(F.expr("contains(low, name)")).select("query", "name")
 
 
 def name_seeds(queries: DataFrame, pages: DataFrame, most: int = NAMES_CHARS) -> DataFrame:
     """Query, slug, load_ord of pages whose title or slug occurs in the text, first page of each slug.
 
     A containment join without a cross join: names of up to ``most`` characters in all go to the tasks as an Aho-Corasick automaton; more of them meet
-    the texts on runs of characters.
+    the texts on runs of bytes.
     """
     texts = queries.select("query", F.lower(F.coalesce("text", F.lit(""))).alias("low"))
     names = pages.select("slug", "load_ord", F.explode(F.array_distinct(F.array(F.lower("title"), F.lower("slug")))).alias("name")).where("name <> ''")
-    names = names.groupBy("name", "slug").agg(F.min("load_ord").alias("load_ord"))
-    some = names.select("name").distinct()
+    # names are nearly distinct, so they are dealt out before and not aggregated in whole splits
+    some = written(dealt(names.select("name"), "name", rows=2 * pages.count()).distinct(), "names")
     size = some.agg(F.sum(F.length("name") + 1)).first()[0] or 0
     if not size:
         return queries.select("query").limit(0).crossJoin(names.select("slug", "load_ord").limit(0))
-    found = _by_automaton(texts, some) if size <= most else _by_grams(texts, some)
-    return found.join(checked_broadcast(names), "name").groupBy("query", "slug").agg(F.min("load_ord").alias("load_ord"))
+    found = written(_by_automaton(texts, some) if size <= most else _by_runs(texts, some), "found")
+    return names.join(checked_broadcast(found), "name").groupBy("query", "slug").agg(F.min("load_ord").alias("load_ord"))
 
 
 #: Rows of one id from which it is joined apart from the others.
