@@ -239,7 +239,7 @@ def related_pages(queries: DataFrame, entities: DataFrame, e: DataFrame, most: i
     pages = entities.where(~F.col("type").isin(*exclude)) if exclude else entities
     pages = pages if history else pages.where(is_current())
     pages = pages.select("type", "slug", "title", "load_ord")
-    first = pages.groupBy("slug").agg(F.min("load_ord").alias("ord"))
+    first = written(dealt(pages.select("slug", "load_ord"), "slug").groupBy("slug").agg(F.min("load_ord").alias("ord")), "first")
     seeds = name_seeds(queries, pages).select("query", "slug", F.lit(0).alias("part"), F.col("load_ord").alias("key"))
     if "selected" in queries.columns:
         seeds = seeds.unionByName(selected(queries, pages, most).select("query", "slug", F.lit(1).alias("part"), F.lpad(F.col("rank").cast("string"), 9, "0").alias("key")))
@@ -247,29 +247,30 @@ def related_pages(queries: DataFrame, entities: DataFrame, e: DataFrame, most: i
     # seeds come before all neighbours, and no seed beyond the cut can be shown or bring anything that is
     order = Window.partitionBy("query").orderBy("part", "key")
     seeds = seeds.withColumn("seed_ord", F.row_number().over(order)).where(F.col("seed_ord") <= most).select("query", "slug", "seed_ord")
-    seeds = seeds.join(first, "slug")
-    found = lambda df, col, ord_: df.join(first.select(F.col("slug").alias(col), F.col("ord").alias(ord_)), col)
+    # cut and broadcast: few as they are, they would else be worked out, and a hub's edges gathered, once for each stage
+    seeds = checked_broadcast(written(checked_broadcast(written(seeds, "seeds")).join(first, "slug"), "seeds"))
+    found = lambda df, col, ord_: checked_broadcast(written(df, "ahead")).join(first.select(F.col("slug").alias(col), F.col("ord").alias(ord_)), col)
     pad = lambda c: F.lpad(c.cast("string"), 9, "0")
     rel, pos = G.relation_order(), F.col("pos")
     place = lambda step, key, page, relation=F.lit(""): ["query", "seed_ord", F.lit(step).alias("step"), relation.alias("relation"), key.alias("key"), F.col(page).alias("page")]
     # of a slug in two types the first page is meant (TR9): edges of its other pages go
     at = ["src_slug", "src_ord"]
     every = entities.select(F.col("slug").alias("src_slug"), F.col("load_ord").alias("src_ord"))
-    others = every.join(first.select(F.col("slug").alias("src_slug"), F.col("ord").alias("src_ord")), at, "left_anti")
+    others = checked_broadcast(written(every.join(first.select(F.col("slug").alias("src_slug"), F.col("ord").alias("src_ord")), at, "left_anti"), "others"))
     ahead = e.select("src_slug", "src_ord", "relation", "pos", "target")
-    own = found(ahead.join(seeds, F.col("src_slug") == F.col("slug")).join(others, at, "left_anti"), "target", "target_ord")
+    own = written(found(ahead.join(seeds, F.col("src_slug") == F.col("slug")).join(others, at, "left_anti"), "target", "target_ord"), "own")
     typed = own.where("relation <> 'related'")
     rows = seeds.select(*place(-1, F.lit(""), "slug")).unionByName(typed.select(*place(0, F.concat(pad(rel), pad(pos)), "target")))
     one = typed.where(F.col("relation").isin(*V.TRANSITIVE)).select("query", "seed_ord", F.col("target").alias("mid"), F.concat(pad(rel), pad(pos)).alias("way"))
-    two = found(ahead.where(F.col("relation").isin(*V.TRANSITIVE)).join(one, F.col("src_slug") == F.col("mid")).join(others, at, "left_anti"), "target", "target_ord")
+    two = found(ahead.where(F.col("relation").isin(*V.TRANSITIVE)).join(checked_broadcast(one), F.col("src_slug") == F.col("mid")).join(others, at, "left_anti"), "target", "target_ord")
     rows = rows.unionByName(two.select(*place(1, F.concat("way", pad(rel), pad(pos)), "target")))
     # any page may be a source, also a later one of its slug, but none that is left out
-    out = every.join(pages.select(F.col("slug").alias("src_slug"), F.col("load_ord").alias("src_ord")), at, "left_anti")
+    out = checked_broadcast(written(every.join(pages.select(F.col("slug").alias("src_slug"), F.col("load_ord").alias("src_ord")), at, "left_anti"), "out"))
     back = e.select("src_slug", "src_ord", "relation", "target").join(seeds.withColumnRenamed("slug", "target"), "target")
-    back = back.join(first.select(F.col("slug").alias("src_slug")), "src_slug", "left_semi").join(out, at, "left_anti")
+    back = written(back.join(first.select(F.col("slug").alias("src_slug")), "src_slug", "left_semi").join(out, at, "left_anti"), "back")
     rows = rows.unionByName(back.where(F.col("relation").isin(*V.SYMMETRIC)).select(*place(2, F.col("src_ord"), "src_slug")))
     asked = queries.select("query", F.explode(intents()).alias("relation"))
-    rows = rows.unionByName(back.join(asked, ["query", "relation"]).select(*place(3, F.concat("src_ord", F.lit(" "), pad(rel)), "src_slug", F.col("relation"))))
+    rows = rows.unionByName(back.join(checked_broadcast(asked), ["query", "relation"]).select(*place(3, F.concat("src_ord", F.lit(" "), pad(rel)), "src_slug", F.col("relation"))))
     rows = rows.unionByName(own.where("relation = 'related'").select(*place(4, pad(pos), "target")))
     rows = rows.groupBy("query", "seed_ord", "step", "relation", "page").agg(F.min("key").alias("key"))
     # of a list at most ``most`` pages have been shown before, and at most as many can be shown

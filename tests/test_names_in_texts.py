@@ -40,3 +40,13 @@ def test_texts_are_not_exploded(spark):
     texts = docs.select("query", F.lower("text").alias("low"))
     rows = retrieval._by_runs(texts, spark.createDataFrame([(n,) for n in names], "name string"))
     assert rows.count() == 0
+
+
+def test_seeds_are_worked_out_once(spark):
+    """related_pages' last plan reads seeds, own and inbound edges; it holds no copy of the seeds' window and no join that shuffles edges to a hub."""
+    pages = _pages(spark, ["hub", "other"]).withColumns({"type": F.lit("concept"), "status": F.lit("active"), "t_invalid": F.lit("")})
+    e = spark.range(300).select(F.lit("concept").alias("src_type"), F.concat(F.lit("id-"), F.col("id") % 2).alias("src_slug"), F.concat(F.lit("03/0000"), F.col("id") % 2).alias("src_ord"), F.lit("uses").alias("relation"), F.col("id").cast("int").alias("pos"), F.lit("id-0").alias("target"))
+    df = retrieval.related_pages(spark.createDataFrame([(1, "what uses the hub?")], "query long, text string"), pages, e)
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("Window [row_number") == 1 and "SortMergeJoin" not in plan
+    assert [(r["rank"], r["slug"]) for r in df.orderBy("rank").collect()] == [(1, "id-0"), (2, "id-1")]
