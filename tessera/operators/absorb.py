@@ -88,17 +88,18 @@ def absorb(ledger: DataFrame, batch: DataFrame, today: str, threshold: float = S
     spark = ledger.sparkSession
     ship(spark)
     none = F.array().cast("array<string>")
-    old = ledger.select(*(F.col(f.split()[0]) for f in ENTRY.split(", "))).withColumns({"statements": F.coalesce("statements", none), "categories": F.coalesce("categories", none), "confidence_history": F.coalesce("confidence_history", F.array().cast("array<double>"))})
+    old = ledger.select(*(F.col((n := f.split())[0]).cast(n[1]) for f in ENTRY.split(", "))).withColumns({"statements": F.coalesce("statements", none), "categories": F.coalesce("categories", none), "confidence_history": F.coalesce("confidence_history", F.array().cast("array<double>"))})
     new = written(S.with_words(batch.select("kind", F.coalesce("statement", F.lit("")).alias("statement"), "confidence", "category", "ord")).where("norm <> ''"), "batch")
-    variants = S.with_words(old.select("kind", "fingerprint", F.explode(F.concat(F.array("fingerprint"), "statements")).alias("__v")), "__v")
-    entry = S.with_words(old, "fingerprint").select(*old.columns, F.col("set_id").alias("own"))
+    # the ledger may be worked out from all sightings: it is read five times, so it is written first
+    entry = written(S.with_words(old, "fingerprint").select(*old.columns, F.col("set_id").alias("own")), "ledger")
+    variants = written(S.with_words(entry.select("kind", "fingerprint", F.explode(F.concat(F.array("fingerprint"), "statements")).alias("__v")), "__v").select("kind", "fingerprint", "set_id", "words"), "variants")
     # what may meet: similar sets, and an entry's variants
     sets = written(new.select("set_id", "words").unionByName(variants.select("set_id", "words")).dropDuplicates(["set_id"]), "words")
     near = S.similar_sets(sets, sets, threshold).where("li <= ri").select(F.col("li").alias("u"), F.col("ri").alias("v"))
     held = variants.join(entry.select("kind", "fingerprint", "own"), ["kind", "fingerprint"]).select(F.col("own").alias("u"), F.col("set_id").alias("v"))
     part = components(near.unionByName(held).unionByName(sets.select(F.col("set_id").alias("u"), F.col("set_id").alias("v")))).withColumnRenamed("node", "set_id")
     touched = written(new.join(part, "set_id"), "touched")
-    placed = entry.join(part.withColumnRenamed("set_id", "own"), "own")
+    placed = written(entry.join(part.withColumnRenamed("set_id", "own"), "own"), "placed")
     live = touched.select("component").distinct()
     reached = placed.join(live, "component", "left_semi")
     rest = placed.join(live, "component", "left_anti").select(old.columns)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as X
 from tessera.operators import similarity as S
 from tessera.operators.absorb import absorb
+from tessera.operators.components import written
 
 # Bounds of an entry, promotion rules, days that a dismissal holds by its reason (blank and "other": the default).
 STATEMENTS, CONFIDENCES = 5, 30
@@ -191,7 +192,7 @@ def fresh(entries: DataFrame, known: DataFrame) -> DataFrame:
     rows = stated(entries if "opened" in entries.columns else entries.withColumn("opened", F.lit(None).cast("long")))
     w = Window.partitionBy("kind", X.normalize("statement")).orderBy(F.asc_nulls_first("opened"), "fingerprint")
     rows = rows.withColumn("ord", F.row_number().over(w))
-    first = rows.where("ord = 1").drop("ord", "opened")
+    first = written(rows.where("ord = 1").drop("ord", "opened"), "first")
     best = S.best_scores(first, known)
     return best.where("best IS NULL AND __some").select(first.columns)
 

@@ -65,7 +65,7 @@ def with_words(rows: DataFrame, statement: str = "statement") -> DataFrame:
 
 def best_scores(candidates: DataFrame, known: DataFrame, threshold: float = THRESHOLD, statement: str = "statement") -> DataFrame:
     """Candidates with norm_id and best, the highest similarity to a known statement (null below the threshold; 1 if equal)."""
-    c, k = with_words(candidates, statement), with_words(known, statement)
+    c, k = with_words(candidates, statement), written(with_words(known, statement).select("norm", "norm_id", "set_id", "words"), "known")
     pairs = similar_sets(c, k, threshold).groupBy(F.col("li").alias("set_id")).agg(F.max("score").alias("__score"))
     equal = k.where("norm <> ''").select("norm_id").distinct().withColumn("__equal", F.lit(1.0))
     out = c.join(checked_broadcast(equal), "norm_id", "left").join(checked_broadcast(pairs), "set_id", "left")
