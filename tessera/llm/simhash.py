@@ -12,8 +12,10 @@ five-word shingles have a Jaccard similarity of 0.8 or more; exact. At that simi
 up to 14 of 64 bits, which no few segments can hold, so first candidates come from the steadier
 fingerprint of distinct words (128 bits in 4 segments of 32), and each link is verified on the whole shingle sets.
 These links make most components at little cost but miss pairs (more than 7 differing bits, new words in a block, pairs
-off a run's forest). So every pair that may reach 0.8 and isn't in one component by then meets on its rarest shingles (``rare_pairs``,
-a prefix filter) and is verified too. A shingle with more than ``HOT`` rows goes on in blocks as well.
+off a run's forest). So every pair that may reach 0.8 and isn't in one component by then meets on its rarest shingles (a prefix filter with
+places). Pairs aren't made there: rows that meet are linked to one of them, and the components of these links (``families``) hold all such pairs. Each
+family's whole sets then go to one task (in blocks beyond a bound), which tells its documents apart and gives no more links than documents (``family_links``).
+``rare_pairs`` lists the candidates as pairs for callers who want them all.
 
 Words are runs of ``[^\\x20\\x09-\\x0D]`` after A-Z are lower-cased; hashes are XXH64, seed 42.
 
@@ -225,6 +227,8 @@ MEET_ROWS = 2_000_000
 HELD = 1 << 20
 #: Rows of one shingle that a task holds; those of a more frequent one meet in blocks.
 HOT = 1 << 17
+#: Documents and shingles of a family that meet in one task at a time; a larger family goes on in blocks.
+FAMILY, FAMILY_SHINGLES = 2048, 500_000
 
 
 def set_hash(shingles: np.ndarray) -> int:
@@ -414,12 +418,42 @@ def _hot_pairs(over: DataFrame, least: float) -> DataFrame:
     return every.unionByName(begins).groupBy("key", "a", "b").applyInPandas(meet, "u long, v long, large long, small long, times long")
 
 
-def rare_pairs(found: DataFrame, gone: DataFrame, parts: DataFrame, least: float) -> DataFrame:
-    """u, v: every pair of documents in different components that may have the similarity, and others.
-
-    They meet on their prefixes; as these hold the rarest shingles, those that many documents hold hardly ever meet. A pair must share
-    enough of them: what it shares beyond both prefixes is at most ceil(t * n) - 1 for the larger n, and t / (1 + t) of both sizes is needed.
-    found: rows of ``sketches``; gone (node, same): sets that another document stands for; parts: node, component.
+def _runs(batches: Iterator[pa.RecordBatch], bound: int) -> Iterator[list[np.ndarray]]:
+    """Whole runs of a key (the first column, sorted), many at a time; pieces of a run of over bound rows come by themselves, marked by a further item."""
+    wait: list[list[np.ndarray]] = []
+    many, hot = 0, None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(b.num_columns)]
+        if hot is not None:
+            more = int(np.searchsorted(cols[0], hot, side="right"))
+            if more:
+                yield [*(c[:more] for c in cols), hot]
+            cols = [c[more:] for c in cols]
+            if not len(cols[0]):
+                continue
+            hot = None
+        wait.append(cols)
+        many += len(cols[0])
+        last = int(np.searchsorted(cols[0], cols[0][-1]))
+        if last or len(wait) > 1 and wait[-2][0][-1] != cols[0][0]:
+            whole = [np.concatenate(c) for c in zip(*wait, strict=True)]
+            last += len(whole[0]) - len(cols[0])
+            yield [c[:last] for c in whole]
+            wait, many = [[c[last:] for c in whole]], len(whole[0]) - last
+        if many > bound:
+            hot = wait[0][0][0]
+            yield [*(np.concatenate(c) for c in zip(*wait, strict=True)), hot]
+            wait, many = [], 0
+    if wait:
+        yield [np.concatenate(c) for c in zip(*wait, strict=True)]
+
+
+def _prefix_rows(found: DataFrame, gone: DataFrame, parts: DataFrame) -> tuple[DataFrame, int]:
+    """key, node, n, part and rest for each shingle of a prefix, and the number of tasks for them to meet in.
+
+    rest: how many shingles of the document aren't rarer than this one, so the most that it shares with another if none rarer is shared.
     """
     docs = found.select("node", "same", "n", "prefix").join(checked_broadcast(gone, 1_000_000), ["node", "same"], "left_anti")
     docs = docs.join(checked_broadcast(parts, 1_000_000), "node", "left").select("node", "n", F.coalesce("component", "node").alias("part"), "prefix")
@@ -427,11 +461,24 @@ def rare_pairs(found: DataFrame, gone: DataFrame, parts: DataFrame, least: float
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             raw = b.column(3).to_pylist()
-            size = np.array([len(x) // 8 for x in raw])
+            size = np.array([len(x) // 8 for x in raw], dtype=np.int64)
             node, n, part = (np.repeat(b.column(i).to_numpy(zero_copy_only=False), size) for i in range(3))
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(raw), np.int64)), pa.array(node), pa.array(n), pa.array(part)], names=["key", "node", "n", "part"])
+            rest = n - (np.arange(len(n)) - np.repeat(np.cumsum(size) - size, size))
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(raw), np.int64)), pa.array(node), pa.array(n), pa.array(part), pa.array(rest.astype(np.int32))], names=["key", "node", "n", "part", "rest"])
+
+    small_batches(found.sparkSession)
+    k = max(4, ceil((docs.agg(F.sum(F.octet_length("prefix"))).first()[0] or 0) / 8 / MEET_ROWS))
+    return docs.mapInArrow(rows_of, "key long, node long, n int, part long, rest int"), k
 
-    rows = docs.mapInArrow(rows_of, "key long, node long, n int, part long")
+
+def rare_pairs(found: DataFrame, gone: DataFrame, parts: DataFrame, least: float) -> DataFrame:
+    """u, v: every pair of documents in different components that may have the similarity, and others.
+
+    They meet on their prefixes; as these hold the rarest shingles, those that many documents hold hardly ever meet. A pair must share
+    enough of them: what it shares beyond both prefixes is at most ceil(t * n) - 1 for the larger n, and t / (1 + t) of both sizes is needed.
+    found: rows of ``sketches``; gone (node, same): sets that another document stands for; parts: node, component.
+    """
+    rows, k = _prefix_rows(found, gone, parts)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["u", "v", "large", "small", "times"]
@@ -440,39 +487,8 @@ def rare_pairs(found: DataFrame, gone: DataFrame, parts: DataFrame, least: float
             """Pairs, or (times 0) a frequent shingle's rows: u is the node, v its component, large its size, small the key."""
             return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in rows.T], names=names)
 
-        def runs() -> Iterator[list[np.ndarray]]:
-            """Whole runs of a key, many at a time; pieces of a run of over HOT rows come by themselves, marked by a fifth item."""
-            wait: list[list[np.ndarray]] = []
-            many, hot = 0, None
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
-                if hot is not None:
-                    more = int(np.searchsorted(cols[0], hot, side="right"))
-                    if more:
-                        yield [*(c[:more] for c in cols), hot]
-                    cols = [c[more:] for c in cols]
-                    if not len(cols[0]):
-                        continue
-                    hot = None
-                wait.append(cols)
-                many += len(cols[0])
-                last = int(np.searchsorted(cols[0], cols[0][-1]))
-                if last or len(wait) > 1 and wait[-2][0][-1] != cols[0][0]:
-                    whole = [np.concatenate(c) for c in zip(*wait, strict=True)]
-                    last += len(whole[0]) - len(cols[0])
-                    yield [c[:last] for c in whole]
-                    wait, many = [[c[last:] for c in whole]], len(whole[0]) - last
-                if many > HOT:
-                    hot = wait[0][0][0]
-                    yield [*(np.concatenate(c) for c in zip(*wait, strict=True)), hot]
-                    wait, many = [], 0
-            if wait:
-                yield [np.concatenate(c) for c in zip(*wait, strict=True)]
-
         held, many = [], 0
-        for key, node, n, part, *hot in runs():
+        for key, node, n, part, *hot in _runs(batches, HOT):
             n = n.astype(np.int64)
             if hot:
                 yield out(np.stack([node, part, n, key, np.zeros_like(n)], axis=1))
@@ -489,8 +505,7 @@ def rare_pairs(found: DataFrame, gone: DataFrame, parts: DataFrame, least: float
                         held, many = [], 0
         yield out(_counted(held))
 
-    k = max(4, ceil((docs.agg(F.sum(F.octet_length("prefix"))).first()[0] or 0) / 8 / MEET_ROWS))
-    met = cut(rows.repartition(k, "key").sortWithinPartitions("key", "n").mapInArrow(meet, "u long, v long, large long, small long, times long"))
+    met = cut(rows.drop("rest").repartition(k, "key").sortWithinPartitions("key", "n").mapInArrow(meet, "u long, v long, large long, small long, times long"))
     pairs, over = met.where("times > 0"), met.where("times = 0").select(F.col("small").alias("key"), F.col("u").alias("node"), F.col("large").cast("int").alias("n"), F.col("v").alias("part"))
     pairs = pairs if over.isEmpty() else pairs.unionByName(_hot_pairs(over, least))
     shared = pairs.groupBy("u", "v").agg(F.sum("times").alias("times"), F.max("large").alias("large"), F.min("small").alias("small"))
@@ -498,6 +513,149 @@ def rare_pairs(found: DataFrame, gone: DataFrame, parts: DataFrame, least: float
     return shared.where(F.col("times") >= need).select("u", "v")
 
 
+def _stars(key: np.ndarray, node: np.ndarray, n: np.ndarray, part: np.ndarray, rest: np.ndarray, least: float) -> np.ndarray:
+    """Links (least node, node) within runs of a key sorted by n, such that two rows of different components whose sizes and rests allow the
+    similarity are linked. A pair shares its rarest common shingle with rests of at least t / (1 + t) of both sizes, and one of these keys is that shingle.
+    """
+    edge = np.nonzero(np.diff(key))[0] + 1
+    start, stop = np.r_[0, edge], np.r_[edge, len(key)]
+    mixed = np.minimum.reduceat(part, start) != np.maximum.reduceat(part, start)
+    top = rest * ((1 + least) / least) - n + 1e-6  # the largest size of a partner
+    out = []
+    for s, e in zip(start[mixed].tolist(), stop[mixed].tolist(), strict=True):
+        sizes, tops = n[s:e], top[s:e]
+        lo, hi, i = np.searchsorted(sizes, sizes * least - 1e-6), np.searchsorted(sizes, tops, side="right"), np.arange(e - s)
+        at = np.nonzero(hi - lo > ((lo <= i) & (i < hi)))[0]
+        if len(at) < 2:
+            continue
+        # no row beyond a gap is within the reach of one before it
+        first = np.r_[0, np.nonzero(sizes[at[1:]] > np.maximum.accumulate(tops[at])[:-1])[0] + 1]
+        many = np.diff(np.r_[first, len(at)])
+        who, of = node[s:e][at], part[s:e][at]
+        head = np.repeat(np.minimum.reduceat(who, first), many)
+        own = np.repeat(np.minimum.reduceat(of, first) != np.maximum.reduceat(of, first), many) & (head != who)
+        out.append(np.stack([head[own], who[own]], axis=1))
+    return np.concatenate(out) if out else np.empty((0, 2), dtype=np.int64)
+
+
+def families(found: DataFrame, gone: DataFrame, parts: DataFrame, least: float) -> DataFrame:
+    """node, component of documents such that each pair in different parts that may have the similarity is in one component here.
+
+    No pair is made: of a shingle's rows each is linked to one other at most, so there are no more links than rows. Arguments as of ``rare_pairs``.
+    """
+    rows, k = _prefix_rows(found, gone, parts)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(links: list[np.ndarray]) -> pa.RecordBatch:
+            got = np.unique(np.concatenate(links), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in got.T], names=["u", "v"])
+
+        held, many, now, head = [], 0, None, 0
+        for key, node, n, part, rest, *hot in _runs(batches, HOT):
+            if hot:  # pieces of a very long run: all are linked
+                if hot[0] != now:
+                    now, head = hot[0], node[0]
+                held.append(np.stack([np.full(len(node), head), node], axis=1))
+            else:
+                held.append(_stars(key, node, n.astype(np.int64), part, rest.astype(np.int64), least))
+            many += len(held[-1])
+            if many > HELD:
+                yield out(held)
+                held, many = [], 0
+        if held:
+            yield out(held)
+
+    return components(cut(rows.repartition(k, "key").sortWithinPartitions("key", "n").mapInArrow(meet, "u long, v long")))
+
+
+def _across_parts(node: np.ndarray, part: np.ndarray, begins: np.ndarray, sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
+    """Links (u, v) of documents whose sets have the similarity, from each that begins to one of each other part that it reaches.
+
+    Parts that a link has joined are one from there on, so there are fewer links than documents. Every pair is told apart by its whole sets.
+    """
+    n = np.array([len(x) for x in sets], dtype=np.int64)
+    _, ids, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = often[ids] > 1  # what one document alone has is in no pair
+    start = np.r_[0, np.cumsum(np.add.reduceat(shared, np.r_[0, np.cumsum(n)[:-1]], dtype=np.int64))]
+    ids, size = ids[shared], np.diff(start)
+    part, mark, out = part.copy(), np.zeros(len(often), dtype=bool), []
+    for i in np.nonzero(begins)[0].tolist():
+        need = np.ceil((n + n[i]) * (least / (1 + least)) - 1e-6)
+        j = np.nonzero((part != part[i]) & (node != node[i]) & (np.minimum(size, size[i]) >= need))[0]
+        if not len(j):
+            continue
+        mark[mine := ids[start[i] : start[i + 1]]] = True
+        many = size[j]
+        at = np.arange(many.sum()) + np.repeat(start[j] - (np.cumsum(many) - many), many)
+        both = np.add.reduceat(mark[ids[at]], np.cumsum(many) - many, dtype=np.int64)
+        mark[mine] = False
+        j = j[both >= least * (n[j] + n[i] - both)]
+        if len(j):
+            names, first = np.unique(part[j], return_index=True)
+            out += [(int(node[i]), int(node[x])) for x in j[first].tolist()]
+            part[np.isin(part, names)] = part[i]
+    return out
+
+
+def family_links(of: DataFrame, found: DataFrame, parts: DataFrame, docs: DataFrame, size: int, least: float, id_col: str, text_col: str) -> DataFrame:
+    """u, v: links at the similarity that, with those within parts, make the components of all pairs of one family (of: node, component).
+
+    A document's whole set travels once, to the task of its family. Families of over FAMILY documents or FAMILY_SHINGLES shingles go on in groups of a
+    block and a side, as do frequent shingles in ``_hot_pairs``: documents outside the family's largest part, by blocks, meet all, by sides.
+    """
+    spark = docs.sparkSession
+    near = of.withColumnRenamed("component", "family").join(checked_broadcast(parts, 1_000_000), "node", "left").select("node", "family", F.coalesce("component", "node").alias("part"))
+    near = cut(near.join(found.groupBy("node").agg(F.sum("n").cast("long").alias("n")), "node"))
+    by_part = near.groupBy("family", "part").agg(F.count("*").alias("docs"), F.sum("n").alias("n"))
+    shape = by_part.groupBy("family").agg(
+        F.max_by("part", F.struct("docs", "part")).alias("main"), F.max(F.struct("docs", "part", "n")).alias("most"), F.sum("docs").alias("docs"), F.sum("n").alias("n")
+    )
+    groups = lambda docs, n: F.greatest(F.lit(1), F.ceil(docs / FAMILY), F.ceil(n / FAMILY_SHINGLES)).cast("int")
+    shape = shape.select("family", "main", groups(F.col("docs"), F.col("n")).alias("sides"), groups(F.col("docs") - F.col("most.docs"), F.col("n") - F.col("most.n")).alias("blocks"))
+    # a small family is one group, and none of its rows comes twice
+    shape = shape.withColumn("blocks", F.when(F.col("sides") > 1, F.col("blocks")).otherwise(1))
+    near = cut(near.join(shape, "family").select("node", "n", "family", "part", (F.col("part") != F.col("main")).alias("other"), "sides", "blocks"))
+    rows_in_all = near.agg(F.sum(F.col("n") * (F.col("blocks") + F.when(F.col("other") & (F.col("sides") > 1), F.col("sides")).otherwise(0)))).first()[0] or 0
+    src = docs.select(F.col(id_col).cast("long").alias("node"), text_or_empty(text_col).alias("text")).join(checked_broadcast(near.drop("n"), 1_000_000), "node")
+    kept = ["node", "family", "part", "other", "sides", "blocks"]
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [np.unique(shingle_hashes(words_of(x), size)).tobytes() for x in b.column(len(kept)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(kept))), pa.array(sets, pa.binary())], names=[*kept, "shingles"])
+
+    small_batches(spark)
+    sets = cut(src.select(*kept, "text").mapInArrow(hashed, "node long, family long, part long, other boolean, sides int, blocks int, shingles binary"))
+    h = F.xxhash64("node", F.lit(SEED))
+    side, block = F.pmod(h, F.col("sides")).cast("int"), F.pmod(F.shiftright(h, 20), F.col("blocks")).cast("int")
+    wide, cols = F.col("sides") > 1, ["node", "part", "shingles"]
+    every = sets.select("family", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("a"), side.alias("b"), (~wide & F.col("other")).alias("begins"), *cols)
+    begins = sets.where(wide & F.col("other")).select("family", block.alias("a"), F.explode(F.sequence(F.lit(0), F.col("sides") - 1)).alias("b"), F.lit(True).alias("begins"), *cols)
+
+    def told_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(rows: list[tuple]) -> pa.RecordBatch:
+            got = []
+            if len(rows) > 1:
+                starts, node, part, raw = zip(*rows, strict=True)
+                got = _across_parts(np.array(node), np.array(part), np.array(starts), [np.frombuffer(x, np.uint64) for x in raw], least)
+            return pa.RecordBatch.from_arrays([pa.array([u for u, _ in got], pa.int64()), pa.array([v for _, v in got], pa.int64())], names=["u", "v"])
+
+        now, rows = None, []
+        for b in batches:
+            for *group, starts, node, part, raw in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if not raw:
+                    continue
+                if group != now:
+                    yield out(rows)
+                    now, rows = group, []
+                rows.append((starts, node, part, raw))
+        yield out(rows)
+
+    keys = ("family", "a", "b")
+    k = max(int(spark.conf.get("spark.sql.shuffle.partitions")), ceil(int(rows_in_all) / FAMILY_SHINGLES))
+    return every.unionByName(begins).repartition(k, *keys).sortWithinPartitions(*keys).mapInArrow(told_apart, "u long, v long")
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text", check_bits: int = 20) -> DataFrame:
     """node, component of the documents that have a near duplicate; component is the smallest id."""
     found = cut(sketches(docs, size, least, id_col, text_col, rarity(docs, size, text_col)))
@@ -511,10 +669,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, least: float = 0.8, id_col:
     pairs = cut(near.unionByName(copies.select("u", "v")).distinct())
     links = cut(verified(pairs, docs, size, least, id_col, text_col))
     parts = components(links)
-    more = cut(rare_pairs(found, copies.select(F.col("v").alias("node"), "same").distinct(), parts, least))
+    of = families(found, copies.select(F.col("v").alias("node"), "same").distinct(), parts, least)
+    more = cut(family_links(of, found, parts, docs, size, least, id_col, text_col))
     if more.isEmpty():
         return parts
-    return components(cut(parts.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(verified(more, docs, size, least, id_col, text_col))))
+    return components(cut(parts.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more)))
 
 
 def drop_near_duplicates(docs: DataFrame, size: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -222,6 +222,48 @@ def test_frequent_shingles_meet_in_blocks(spark, monkeypatch, hot):
     assert pairs == {(a, b) for b in range(len(sets)) for a in range(b) if sets[a] and sets[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
 
 
+def near_misses(r, docs, words, edits):
+    """Copies of one text with so many words replaced."""
+    base = [f"w{r.randrange(10**6)}" for _ in range(words)]
+    out = []
+    for _ in range(docs):
+        x = list(base)
+        for i in r.sample(range(words), r.choice(edits)):
+            x[i] = f"n{r.randrange(10**6)}"
+        out.append(x)
+    return out
+
+
+@pytest.mark.parametrize(("family", "hot"), [(2048, 1 << 17), (16, 1 << 17), (16, 16)])
+def test_near_misses_make_no_pairs(spark, monkeypatch, family, hot):
+    """400 copies just below the similarity, of which some pairs reach it: no step may write rows by the square of their number.
+
+    Fingerprints give no links here, so every pair is left to the prefix filter.
+    """
+    monkeypatch.setattr(simhash, "equal_variant_links", lambda *_, **__: spark.createDataFrame([], "u long, v long"))
+    monkeypatch.setattr(simhash, "FAMILY", family)
+    monkeypatch.setattr(simhash, "HOT", hot)
+    made, cut = [], simhash.cut
+    monkeypatch.setattr(simhash, "cut", lambda df: made.append(cut(df)) or made[-1])
+    r = random.Random(8)
+    texts = [*near_misses(r, 400, 120, (2, 3)), *near_misses(r, 30, 60, (1, 2)), ["short", "text"], []]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    want = near_by_brute_force(texts)
+    assert 2 < len(want) < 400 and len(set(want.values())) > 2
+    assert {x.node: x.component for x in simhash.near_duplicates(docs).collect()} == want
+    assert max(df.count() for df in made) <= (12 if family > 16 else 2 * 400 // 16) * len(texts)
+
+
+def test_links_of_a_family_are_fewer_than_its_documents_and_join_all_pairs():
+    r = random.Random(9)
+    texts = [*near_misses(r, 150, 100, (1, 2)), *near_misses(r, 40, 100, (1, 2, 3))]
+    sets = [np.unique(simhash.shingle_hashes([w.encode() for w in t], 5)) for t in texts]
+    n, ids = len(sets), np.arange(len(sets))
+    pairs = [(a, b) for a in range(n) for b in range(a) if len(x := np.intersect1d(sets[a], sets[b])) >= 0.8 * (len(sets[a]) + len(sets[b]) - len(x))]
+    links = simhash._across_parts(ids, ids, np.ones(n, dtype=bool), sets, 0.8)
+    assert len(links) < n < len(pairs) and union(n, links) == union(n, pairs) and {(max(p), min(p)) for p in links} <= set(pairs)
+
+
 def test_rarity_counts_every_document(spark, monkeypatch):
     monkeypatch.setattr(simhash, "COUNTED", 300)
     docs = spark.range(1200).select(F.concat(F.lit("one two three four five "), F.when(F.col("id") < 700, "").otherwise(F.col("id").cast("string"))).alias("text"))
