@@ -13,8 +13,10 @@ up to 14 of 64 bits, which no few segments can hold, so first candidates come fr
 fingerprint of distinct words (128 bits in 4 segments of 32), and each link is verified on the whole shingle sets.
 These links make most components at little cost but miss pairs (more than 7 differing bits, new words in a block, pairs
 off a run's forest). So every pair that may reach 0.8 and isn't in one component by then meets on its rarest shingles (a prefix filter with
-places). Pairs aren't made there: rows that meet are linked to one of them, and the components of these links (``families``) hold all such pairs. Each
+places). Pairs aren't made there: rows that meet are linked to one of them, and the components of these links (``families``) hold all such pairs.
+Families chain, so their documents' bitmaps are held against one another first, which bounds the similarity from above (``closer_families``). Each
 family's whole sets then go to one task (in blocks beyond a bound), which tells its documents apart and gives no more links than documents (``family_links``).
+Only shingles that may occur in another document travel (``repeated``), and only documents that meet another in reach are indexed at all (``reaching``).
 ``rare_pairs`` lists the candidates as pairs for callers who want them all.
 
 Words are runs of ``[^\\x20\\x09-\\x0D]`` after A-Z are lower-cased; hashes are XXH64, seed 42.
@@ -27,6 +29,7 @@ an id stay or go together; an empty table gives an empty result; further columns
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from math import ceil
 
@@ -231,13 +234,43 @@ HOT = 1 << 17
 FAMILY, FAMILY_SHINGLES = 2048, 500_000
 
 
+#: Bitmaps of a family that meet in one task at a time, as a multiple of FAMILY and FAMILY_SHINGLES: they hold a sixteenth to a thirty-second of the sets' bytes.
+BITMAPS = 8
+#: Bits of a document's bitmap at least and at most, and of the bitmap of shingles that may occur twice.
+LEAST_BITS, MOST_BITS = 1 << 8, 1 << 16
+LEAST_FLAGS, MOST_FLAGS = 20, 28
+#: Buckets of 32 bits of a shingle's hash, by which it is told which occur twice.
+BUCKETS = 10
+
+
+def parity(shingles: np.ndarray) -> bytes:
+    """Bit i is 1 if an odd number of shingles falls on it; two to four bits for a shingle. Two sets' bitmaps differ in no more bits than the sets in shingles."""
+    if not len(shingles):
+        return b""
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (2 * len(shingles) - 1).bit_length()))
+    return np.packbits(np.bincount((shingles % np.uint64(bits)).astype(np.int64), minlength=bits) & 1, bitorder="little").tobytes()
+
+
+def _packed(a: np.ndarray) -> bytes:
+    """Whole numbers without a sign in as few bytes as the largest needs, the bytes of one place together, compressed."""
+    width = max(1, (int(a.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([width]) + zlib.compress(np.ascontiguousarray(a.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes(), 1)
+
+
+def _unpacked(b: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(memoryview(b)[1:]), np.uint8).reshape(b[0], -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, : b[0]] = planes.T
+    return out.view("<u8").ravel()
+
+
 def set_hash(shingles: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(shingles.tobytes(), SEED)
 
 
 def sketches(docs: DataFrame, size: int, least: float, id_col: str, text_col: str, seen: Broadcast) -> DataFrame:
     """A row for each document, from one pass over the texts: node (the id), w0, w1: the bits of its distinct words, check and same:
-    fingerprint and hash of its set of shingles, n: their number, prefix: the hashes of its rarest shingles in a common order.
+    fingerprint and hash of its set of shingles, n: their number, prefix: the hashes of its rarest shingles in a common order, bits: its bitmap as of ``parity``.
 
     Two sets with similarity t share one of the first n - ceil(t * n) + 1 of each in any common order. seen: as of ``rarity``.
     """
@@ -249,7 +282,7 @@ def sketches(docs: DataFrame, size: int, least: float, id_col: str, text_col: st
         often = seen.value
         for b in batches:
             cols: list[list[int]] = [[] for _ in range(WORDS + 2)]
-            sizes, prefixes = [], []
+            sizes, prefixes, bits = [], [], []
             for t in b.column(1).to_pylist():
                 w = words_of(t)
                 one = shingle_hashes(sorted(set(w)), 1) if len(w) > 1 else shingle_hashes(w, 1)
@@ -262,14 +295,15 @@ def sketches(docs: DataFrame, size: int, least: float, id_col: str, text_col: st
                 cols[-2].append(majority(shingles))
                 cols[-1].append(set_hash(shingles))
                 sizes.append(len(shingles))
+                bits.append(parity(shingles))
                 most = len(shingles) - int(_least_common(np.array(len(shingles)), least)) + 1 if len(shingles) else 0
                 # shingles are sorted, so a stable sort leaves equally rare ones in the order of their hashes
                 a, c = _slots(shingles)
                 prefixes.append(shingles[np.argsort(np.minimum(often[0][a], often[1][c]), kind="stable")[:most]].tobytes())
             longs = [pa.array(np.array(c, dtype=np.uint64).view(np.int64)) for c in cols]
-            yield pa.RecordBatch.from_arrays([b.column(0), *longs, pa.array(sizes, pa.int32()), pa.array(prefixes, pa.binary())], names=["node", *(f"w{i}" for i in range(WORDS)), "check", "same", "n", "prefix"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *longs, pa.array(sizes, pa.int32()), pa.array(prefixes, pa.binary()), pa.array(bits, pa.binary())], names=["node", *(f"w{i}" for i in range(WORDS)), "check", "same", "n", "prefix", "bits"])
 
-    return src.mapInArrow(run, "node long, " + ", ".join(f"w{i} long" for i in range(WORDS)) + ", check long, same long, n int, prefix binary")
+    return src.mapInArrow(run, "node long, " + ", ".join(f"w{i} long" for i in range(WORDS)) + ", check long, same long, n int, prefix binary, bits binary")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, size: int, least: float, id_col: str, text_col: str) -> DataFrame:
@@ -331,18 +365,18 @@ def rarity(docs: DataFrame, size: int, text_col: str) -> Broadcast:
             added()
         for k, block in enumerate(np.minimum(seen, COUNTED).astype(np.uint32).reshape(-1, SLOT_BLOCK)):
             if block.any():
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([block.tobytes()], pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([_packed(block)], pa.binary())], names=names)
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, seen = None, np.zeros(SLOT_BLOCK, np.int64)
         row = lambda: pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([np.minimum(seen, COUNTED).astype(np.uint32).tobytes()], pa.binary())], names=names)
         for b in batches:
-            for block, counts in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            for block, counts in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if block != now:
                     if now is not None:
                         yield row()
                     now, seen = block, np.zeros(SLOT_BLOCK, np.int64)
-                seen += np.frombuffer(counts.as_buffer(), np.uint32)
+                seen += _unpacked(counts).astype(np.int64)
         if now is not None:
             yield row()
 
@@ -450,25 +484,127 @@ def _runs(batches: Iterator[pa.RecordBatch], bound: int) -> Iterator[list[np.nda
         yield [np.concatenate(c) for c in zip(*wait, strict=True)]
 
 
-def _prefix_rows(found: DataFrame, gone: DataFrame, parts: DataFrame) -> tuple[DataFrame, int]:
-    """key, node, n, part and rest for each shingle of a prefix, and the number of tasks for them to meet in.
+def _prefixes(found: DataFrame, gone: DataFrame) -> tuple[DataFrame, int]:
+    """node, n, prefix of the documents that no other stands for, and the number of their prefixes' shingles."""
+    docs = found.select("node", "same", "n", "prefix").join(checked_broadcast(gone, 1_000_000), ["node", "same"], "left_anti").select("node", "n", "prefix")
+    return docs, (docs.agg(F.sum(F.octet_length("prefix"))).first()[0] or 0) // 8
+
+
+def _high(keys: np.ndarray) -> np.ndarray:
+    """32 bits of each shingle's hash, mixed, as prefixes hold those of some slots rather than others."""
+    return (keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
 
-    rest: how many shingles of the document aren't rarer than this one, so the most that it shares with another if none rarer is shared.
+
+def repeated(docs: DataFrame, many: int) -> Broadcast:
+    """A bitmap, by the first bits of ``_high``, with a 1 for each shingle that occurs in several prefixes, and for some that don't.
+
+    docs: as of ``_prefixes``. Of a task's shingles only sorted differences travel, some two bytes each; a bucket's are told apart on two bitmaps
+    of a fixed size, however many they are. The bitmap has at most 2^MOST_FLAGS bits: more shingles make it let more through, nothing is lost.
     """
-    docs = found.select("node", "same", "n", "prefix").join(checked_broadcast(gone, 1_000_000), ["node", "same"], "left_anti")
-    docs = docs.join(checked_broadcast(parts, 1_000_000), "node", "left").select("node", "n", F.coalesce("component", "node").alias("part"), "prefix")
+    bits = min(MOST_FLAGS, max(LEAST_FLAGS, (4 * many).bit_length()))
+    names, width = ["bucket", "hashes"], 32 - BUCKETS
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def out() -> pa.RecordBatch:
+            h = np.sort(np.concatenate(held)).astype(np.int64)
+            edge = np.searchsorted(h, np.arange(1, 1 << BUCKETS) << width)
+            rows = [(k, _packed(np.diff(x, prepend=k << width))) for k, x in enumerate(np.split(h, edge)) if len(x)]
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int64()), pa.array([x for _, x in rows], pa.binary())], names=names)
+
+        for b in batches:
+            held.append(_high(np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint64)))
+            if sum(map(len, held)) > 1 << 21:
+                yield out()
+        if held:
+            yield out()
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, once, twice = None, np.zeros(1 << width, bool), np.zeros(1 << width, bool)
+        row = lambda: pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([zlib.compress(np.packbits(twice.reshape(1 << (bits - BUCKETS), -1).any(axis=1), bitorder="little").tobytes(), 1)], pa.binary())], names=names)
+        for b in batches:
+            for bucket, hashes in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if bucket != now:
+                    if now is not None:
+                        yield row()
+                    now, once[:], twice[:] = bucket, False, False
+                h = np.cumsum(_unpacked(hashes).astype(np.int64))
+                twice[h[1:][np.diff(h) == 0]] = True
+                twice[h[once[h]]] = True
+                once[h] = True
+        if now is not None:
+            yield row()
+
+    spark = docs.sparkSession
+    small_batches(spark)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = docs.select("prefix").mapInArrow(gather, "bucket long, hashes binary").repartition(tasks, "bucket").sortWithinPartitions("bucket")
+    out = np.zeros((1 << BUCKETS, 1 << (bits - BUCKETS - 3)), dtype=np.uint8)
+    for r in dealt.mapInArrow(fold, "bucket long, hashes binary").collect():  # 32 MB at most in all
+        out[r["bucket"]] = np.frombuffer(zlib.decompress(r["hashes"]), np.uint8)
+    return spark.sparkContext.broadcast(out.ravel())
+
 
+def _prefix_rows(docs: DataFrame, many: int, flags: Broadcast) -> tuple[DataFrame, int]:
+    """key, node, n, part and rest for each shingle of a prefix that may be in another, and the number of tasks for them to meet in.
+
+    docs: node, n, part, prefix. rest: how many shingles of the document aren't rarer than this one, so the most that it shares with another if none rarer is shared.
+    """
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = flags.value
+        shift = np.uint64(32 - (len(often) * 8 - 1).bit_length())
         for b in batches:
             raw = b.column(3).to_pylist()
             size = np.array([len(x) // 8 for x in raw], dtype=np.int64)
-            node, n, part = (np.repeat(b.column(i).to_numpy(zero_copy_only=False), size) for i in range(3))
-            rest = n - (np.arange(len(n)) - np.repeat(np.cumsum(size) - size, size))
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(raw), np.int64)), pa.array(node), pa.array(n), pa.array(part), pa.array(rest.astype(np.int32))], names=["key", "node", "n", "part", "rest"])
+            keys = np.frombuffer(b"".join(raw), np.uint64)
+            at = (_high(keys) >> shift).astype(np.int64)
+            ok = (often[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+            of = np.repeat(np.arange(len(size)), size)[ok]
+            node, n, part = (b.column(i).to_numpy(zero_copy_only=False)[of] for i in range(3))
+            rest = n - (np.nonzero(ok)[0] - (np.cumsum(size) - size)[of])
+            yield pa.RecordBatch.from_arrays([pa.array(keys[ok].view(np.int64)), pa.array(node), pa.array(n), pa.array(part), pa.array(rest.astype(np.int32))], names=["key", "node", "n", "part", "rest"])
+
+    small_batches(docs.sparkSession)
+    return docs.select("node", "n", "part", "prefix").mapInArrow(rows_of, "key long, node long, n int, part long, rest int"), max(4, ceil(many / MEET_ROWS))
+
 
-    small_batches(found.sparkSession)
-    k = max(4, ceil((docs.agg(F.sum(F.octet_length("prefix"))).first()[0] or 0) / 8 / MEET_ROWS))
-    return docs.mapInArrow(rows_of, "key long, node long, n int, part long, rest int"), k
+def _with_parts(docs: DataFrame, parts: DataFrame) -> DataFrame:
+    return docs.join(checked_broadcast(parts, 1_000_000), "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
+
+
+def _in_reach(key: np.ndarray, n: np.ndarray, rest: np.ndarray, least: float) -> np.ndarray:
+    """Which rows of runs of a key, sorted by n, have another whose size the similarity allows. Whatever partner a row has, both stay."""
+    edge = np.nonzero(np.diff(key))[0] + 1
+    start = np.r_[0, edge]
+    of = np.repeat(np.arange(len(start)), np.diff(np.r_[start, len(key)]))
+    places = (of << 32) + n
+    top = np.maximum(np.floor(rest * ((1 + least) / least) - n + 1e-6), -1).astype(np.int64)
+    lo = np.searchsorted(places, (of << 32) + np.ceil(n * least - 1e-6).astype(np.int64))
+    hi, i = np.searchsorted(places, (of << 32) + top, side="right"), np.arange(len(key))
+    ok = hi - lo > ((lo <= i) & (i < hi))
+    return ok & (np.add.reduceat(ok, start, dtype=np.int64)[of] > 1)
+
+
+def reaching(docs: DataFrame, many: int, flags: Broadcast, least: float) -> DataFrame:
+    """node of the documents that share a shingle of their prefixes with another whose size and place allow the similarity; docs: node, n, prefix."""
+    rows, k = _prefix_rows(docs.withColumn("part", F.col("node")), many, flags)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        out = lambda: pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(held)))], names=["node"])
+        for key, n, rest, node, *hot in _runs(batches, HOT):
+            held.append(np.unique(node if hot else node[_in_reach(key, n.astype(np.int64), rest.astype(np.int64), least)]))
+            size += len(held[-1])
+            if size > HELD:
+                yield out()
+                held, size = [], 0
+        if held:
+            yield out()
+
+    met = rows.select("key", "n", "rest", "node").repartition(k, "key").sortWithinPartitions("key", "n").mapInArrow(meet, "node long")
+    return cut(met.distinct())
 
 
 def rare_pairs(found: DataFrame, gone: DataFrame, parts: DataFrame, least: float) -> DataFrame:
@@ -478,7 +614,8 @@ def rare_pairs(found: DataFrame, gone: DataFrame, parts: DataFrame, least: float
     enough of them: what it shares beyond both prefixes is at most ceil(t * n) - 1 for the larger n, and t / (1 + t) of both sizes is needed.
     found: rows of ``sketches``; gone (node, same): sets that another document stands for; parts: node, component.
     """
-    rows, k = _prefix_rows(found, gone, parts)
+    docs, many = _prefixes(found, gone)
+    rows, k = _prefix_rows(_with_parts(docs, parts), many, repeated(docs, many))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["u", "v", "large", "small", "times"]
@@ -538,12 +675,13 @@ def _stars(key: np.ndarray, node: np.ndarray, n: np.ndarray, part: np.ndarray, r
     return np.concatenate(out) if out else np.empty((0, 2), dtype=np.int64)
 
 
-def families(found: DataFrame, gone: DataFrame, parts: DataFrame, least: float) -> DataFrame:
+def families(docs: DataFrame, many: int, flags: Broadcast, parts: DataFrame, least: float) -> DataFrame:
     """node, component of documents such that each pair in different parts that may have the similarity is in one component here.
 
-    No pair is made: of a shingle's rows each is linked to one other at most, so there are no more links than rows. Arguments as of ``rare_pairs``.
+    No pair is made: of a shingle's rows each is linked to one other at most, so there are no more links than rows. docs, many and flags: as of
+    ``_prefixes`` and ``repeated``; parts: node, component.
     """
-    rows, k = _prefix_rows(found, gone, parts)
+    rows, k = _prefix_rows(_with_parts(docs, parts), many, flags)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(links: list[np.ndarray]) -> pa.RecordBatch:
@@ -597,63 +735,121 @@ def _across_parts(node: np.ndarray, part: np.ndarray, begins: np.ndarray, sets:
     return out
 
 
-def family_links(of: DataFrame, found: DataFrame, parts: DataFrame, docs: DataFrame, size: int, least: float, id_col: str, text_col: str) -> DataFrame:
-    """u, v: links at the similarity that, with those within parts, make the components of all pairs of one family (of: node, component).
+def _grouped(near: DataFrame, docs: int, n: int) -> DataFrame:
+    """near (node, n, family, part, and others) with other (not of the family's largest part) and in how many sides and blocks its family goes on.
 
-    A document's whole set travels once, to the task of its family. Families of over FAMILY documents or FAMILY_SHINGLES shingles go on in groups of a
-    block and a side, as do frequent shingles in ``_hot_pairs``: documents outside the family's largest part, by blocks, meet all, by sides.
+    A family of over docs documents or n shingles goes on in groups of a block and a side, as do frequent shingles in ``_hot_pairs``: documents
+    outside the family's largest part, by blocks, meet all, by sides.
     """
-    spark = docs.sparkSession
-    near = of.withColumnRenamed("component", "family").join(checked_broadcast(parts, 1_000_000), "node", "left").select("node", "family", F.coalesce("component", "node").alias("part"))
-    near = cut(near.join(found.groupBy("node").agg(F.sum("n").cast("long").alias("n")), "node"))
-    by_part = near.groupBy("family", "part").agg(F.count("*").alias("docs"), F.sum("n").alias("n"))
+    by_part = near.groupBy("family", "part").agg(F.count("*").alias("docs"), F.sum(F.col("n").cast("long")).alias("n"))
     shape = by_part.groupBy("family").agg(
         F.max_by("part", F.struct("docs", "part")).alias("main"), F.max(F.struct("docs", "part", "n")).alias("most"), F.sum("docs").alias("docs"), F.sum("n").alias("n")
     )
-    groups = lambda docs, n: F.greatest(F.lit(1), F.ceil(docs / FAMILY), F.ceil(n / FAMILY_SHINGLES)).cast("int")
+    groups = lambda a, b: F.greatest(F.lit(1), F.ceil(a / docs), F.ceil(b / n)).cast("int")
     shape = shape.select("family", "main", groups(F.col("docs"), F.col("n")).alias("sides"), groups(F.col("docs") - F.col("most.docs"), F.col("n") - F.col("most.n")).alias("blocks"))
     # a small family is one group, and none of its rows comes twice
     shape = shape.withColumn("blocks", F.when(F.col("sides") > 1, F.col("blocks")).otherwise(1))
-    near = cut(near.join(shape, "family").select("node", "n", "family", "part", (F.col("part") != F.col("main")).alias("other"), "sides", "blocks"))
-    rows_in_all = near.agg(F.sum(F.col("n") * (F.col("blocks") + F.when(F.col("other") & (F.col("sides") > 1), F.col("sides")).otherwise(0)))).first()[0] or 0
-    src = docs.select(F.col(id_col).cast("long").alias("node"), text_or_empty(text_col).alias("text")).join(checked_broadcast(near.drop("n"), 1_000_000), "node")
-    kept = ["node", "family", "part", "other", "sides", "blocks"]
+    return near.join(shape, "family").withColumn("other", F.col("part") != F.col("main")).drop("main")
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [np.unique(shingle_hashes(words_of(x), size)).tobytes() for x in b.column(len(kept)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(kept))), pa.array(sets, pa.binary())], names=[*kept, "shingles"])
 
-    small_batches(spark)
-    sets = cut(src.select(*kept, "text").mapInArrow(hashed, "node long, family long, part long, other boolean, sides int, blocks int, shingles binary"))
+def _told_apart(rows: DataFrame, all_rows: int, n: int, raw_col: str, tell) -> DataFrame:
+    """u, v: what tell (begins, node, part, n, raw values of a group) gives for each group of a family (rows as of ``_grouped``)."""
     h = F.xxhash64("node", F.lit(SEED))
     side, block = F.pmod(h, F.col("sides")).cast("int"), F.pmod(F.shiftright(h, 20), F.col("blocks")).cast("int")
-    wide, cols = F.col("sides") > 1, ["node", "part", "shingles"]
-    every = sets.select("family", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("a"), side.alias("b"), (~wide & F.col("other")).alias("begins"), *cols)
-    begins = sets.where(wide & F.col("other")).select("family", block.alias("a"), F.explode(F.sequence(F.lit(0), F.col("sides") - 1)).alias("b"), F.lit(True).alias("begins"), *cols)
+    wide = F.col("sides") > 1
+    group = lambda a, b, begins: F.struct(a.alias("a"), b.alias("b"), begins.alias("begins"))
+    every = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda a: group(a, side, ~wide & F.col("other")))
+    begins = F.when(wide & F.col("other"), F.transform(F.sequence(F.lit(0), F.col("sides") - 1), lambda b: group(block, b, F.lit(True)))).otherwise(F.array())
+    cols = ["node", "part", "n", raw_col]
+    dealt = rows.select("family", *cols, F.explode(F.concat(every, begins)).alias("g")).select("family", "g.a", "g.b", "g.begins", *cols)
 
-    def told_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(rows: list[tuple]) -> pa.RecordBatch:
             got = []
             if len(rows) > 1:
-                starts, node, part, raw = zip(*rows, strict=True)
-                got = _across_parts(np.array(node), np.array(part), np.array(starts), [np.frombuffer(x, np.uint64) for x in raw], least)
+                starts, node, part, n, raw = zip(*rows, strict=True)
+                got = tell(np.array(node), np.array(part), np.array(starts), np.array(n, dtype=np.int64), raw)
             return pa.RecordBatch.from_arrays([pa.array([u for u, _ in got], pa.int64()), pa.array([v for _, v in got], pa.int64())], names=["u", "v"])
 
-        now, rows = None, []
+        now, held = None, []
         for b in batches:
-            for *group, starts, node, part, raw in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for *group, starts, node, part, n, raw in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if not raw:
                     continue
                 if group != now:
-                    yield out(rows)
-                    now, rows = group, []
-                rows.append((starts, node, part, raw))
-        yield out(rows)
+                    yield out(held)
+                    now, held = group, []
+                held.append((starts, node, part, n, raw))
+        yield out(held)
 
+    small_batches(rows.sparkSession)
     keys = ("family", "a", "b")
-    k = max(int(spark.conf.get("spark.sql.shuffle.partitions")), ceil(int(rows_in_all) / FAMILY_SHINGLES))
-    return every.unionByName(begins).repartition(k, *keys).sortWithinPartitions(*keys).mapInArrow(told_apart, "u long, v long")
+    k = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), ceil(all_rows / n))
+    return dealt.repartition(k, *keys).sortWithinPartitions(*keys).mapInArrow(run, "u long, v long")
+
+
+def _travelling(near: DataFrame) -> int:
+    """How many shingles travel in all, with repeats."""
+    return int(near.agg(F.sum(F.col("n") * (F.col("blocks") + F.when(F.col("other") & (F.col("sides") > 1), F.col("sides")).otherwise(0)))).first()[0] or 0)
+
+
+def _near_bitmaps(node: np.ndarray, part: np.ndarray, begins: np.ndarray, n: np.ndarray, raw: tuple[bytes, ...], least: float) -> list[tuple[int, int]]:
+    """Links (u, v) such that two documents of different parts, one of which begins, are linked or reach one another if their bitmaps allow the similarity.
+
+    Two sets of n and m shingles at similarity t differ in at most (1 - t) / (1 + t) of n + m shingles, and their bitmaps in no more bits.
+    """
+    size = np.array([len(x) for x in raw])
+    tables = {s: (at := np.nonzero(size == s)[0], np.frombuffer(b"".join(raw[i] for i in at), np.uint64).reshape(len(at), -1)) for s in np.unique(size).tolist()}
+    halved = {s: t.reshape(len(at), 2, -1) for s, (at, t) in tables.items() if s > LEAST_BITS // 8}
+    halved = {s: t[:, 0] ^ t[:, 1] for s, t in halved.items()}
+    set_, out = np.arange(len(node)), []
+    for i in np.nonzero(begins)[0].tolist():
+        mine, s = np.frombuffer(raw[i], np.uint64), int(size[i])
+        for other in (s // 2, s, 2 * s):  # sizes of more than twice one another are out of reach
+            if other not in tables:
+                continue
+            at, table = tables[other]
+            own = mine if other >= s else mine.reshape(2, -1)[0] ^ mine.reshape(2, -1)[1]
+            table = halved[other] if other > s else table
+            ok = (n[at] >= n[i] * least - 1e-6) & (n[at] * least <= n[i] + 1e-6) & (part[at] != part[i]) & (set_[at] != set_[i]) & (node[at] != node[i])
+            at, table = at[ok], table[ok]
+            at = at[np.bitwise_count(table ^ own).sum(axis=1, dtype=np.int64) <= (n[at] + n[i]) * ((1 - least) / (1 + least)) + 1e-6]
+            if len(at):
+                names, first = np.unique(set_[at], return_index=True)
+                out += [(int(node[i]), int(node[x])) for x in at[first].tolist()]
+                set_[np.isin(set_, names)] = set_[i]
+    return out
+
+
+def closer_families(of: DataFrame, found: DataFrame, parts: DataFrame, least: float) -> DataFrame:
+    """of (node, component), of which only those pairs of different parts are held together whose bitmaps allow the similarity.
+
+    One shingle in common makes a family, and families chain; whole sets need travel only among documents that may be alike by all their shingles.
+    """
+    near = _with_parts(of.withColumnRenamed("component", "family"), parts).join(found.select("node", F.col("n").alias("n"), "bits"), "node")
+    near = cut(_grouped(near, BITMAPS * FAMILY, BITMAPS * FAMILY_SHINGLES))
+    return components(cut(_told_apart(near, _travelling(near), BITMAPS * FAMILY_SHINGLES, "bits", lambda *group: _near_bitmaps(*group, least))))
+
+
+def family_links(of: DataFrame, found: DataFrame, parts: DataFrame, docs: DataFrame, size: int, least: float, id_col: str, text_col: str) -> DataFrame:
+    """u, v: links at the similarity that, with those within parts, make the components of all pairs of one family (of: node, component).
+
+    A document's whole set travels once, to the task of its family, unless the family is larger than FAMILY documents or FAMILY_SHINGLES shingles.
+    """
+    near = _with_parts(of.withColumnRenamed("component", "family"), parts)
+    near = cut(_grouped(near.join(found.groupBy("node").agg(F.sum("n").cast("long").alias("n")), "node"), FAMILY, FAMILY_SHINGLES))
+    src = docs.select(F.col(id_col).cast("long").alias("node"), text_or_empty(text_col).alias("text")).join(checked_broadcast(near, 1_000_000), "node")
+    kept = ["node", "family", "part", "n", "other", "sides", "blocks"]
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [np.unique(shingle_hashes(words_of(x), size)).tobytes() for x in b.column(len(kept)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(kept))), pa.array(sets, pa.binary())], names=[*kept, "shingles"])
+
+    small_batches(docs.sparkSession)
+    sets = src.select(*kept, "text").mapInArrow(hashed, "node long, family long, part long, n long, other boolean, sides int, blocks int, shingles binary")
+    tell = lambda node, part, starts, _, raw: _across_parts(node, part, starts, [np.frombuffer(x, np.uint64) for x in raw], least)
+    return _told_apart(sets, _travelling(near), FAMILY_SHINGLES, "shingles", tell)
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text", check_bits: int = 20) -> DataFrame:
@@ -662,14 +858,20 @@ def near_duplicates(docs: DataFrame, size: int = 5, least: float = 0.8, id_col:
     words = [f"w{i}" for i in range(WORDS)]
     # documents of one set are linked to the least of them, so a hot one is indexed once
     alike = [*words, "check", "same"]
-    known = found.drop("n", "prefix")
+    known = found.drop("n", "prefix", "bits")
     heads = known.groupBy(*alike).agg(F.min("node").alias("node"))
     copies = cut(known.withColumnRenamed("node", "v").join(heads.withColumnRenamed("node", "u"), alike).select("u", "v", "same").where("u <> v"))
-    near = equal_variant_links(variants(heads, words), check_bits, nearest=True)
+    gone = copies.select(F.col("v").alias("node"), "same").distinct()
+    docs_left, many = _prefixes(found, gone)
+    flags = repeated(docs_left, many)
+    met = checked_broadcast(reaching(docs_left, many, flags, least), 1_000_000)
+    near = equal_variant_links(variants(heads.join(met, "node", "left_semi"), words), check_bits, nearest=True)
     pairs = cut(near.unionByName(copies.select("u", "v")).distinct())
     links = cut(verified(pairs, docs, size, least, id_col, text_col))
     parts = components(links)
-    of = families(found, copies.select(F.col("v").alias("node"), "same").distinct(), parts, least)
+    of = families(docs_left.join(met, "node", "left_semi"), many, flags, parts, least)
+    of = closer_families(of, found, parts, least)
+    flags.unpersist()
     more = cut(family_links(of, found, parts, docs, size, least, id_col, text_col))
     if more.isEmpty():
         return parts

@@ -274,3 +274,51 @@ def test_rarity_counts_every_document(spark, monkeypatch):
     seen = simhash.rarity(docs, 5, "text").value
     assert min(seen[0][a[0]], seen[1][c[0]]) == 1200
     assert seen[0].sum() == seen[1].sum() == 1200 + 500
+
+
+def test_only_shingles_that_may_be_shared_travel_and_lose_no_pair(spark):
+    """300 texts, some of which share a passage with the next, and near copies; bitmaps part what is held together in one family."""
+    r = random.Random(10)
+    texts = [[f"u{r.randrange(10**9)}" for _ in range(80)] for _ in range(300)]
+    for a, b in zip(range(0, 60), range(1, 61), strict=True):
+        texts[b][5 * (b % 3) : 5 * (b % 3) + 5] = texts[a][40 + 5 * (b % 3) : 45 + 5 * (b % 3)]
+    texts += near_misses(r, 20, 80, (1, 2))
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = simhash.cut(simhash.sketches(docs, 5, 0.8, "doc_id", "text", simhash.rarity(docs, 5, "text")))
+    none = spark.createDataFrame([], "node long, same long"), spark.createDataFrame([], "node long, component long")
+    left, many = simhash._prefixes(found, none[0])
+    flags = simhash.repeated(left, many)
+    rows, _ = simhash._prefix_rows(left.withColumn("part", F.col("node")), many, flags)
+    got = {(x.key, x.node): x.rest for x in rows.collect()}
+    every = [(x.node, x.n, np.frombuffer(x.prefix, np.int64).tolist()) for x in left.collect()]
+    often = {}
+    for node, _, keys in every:
+        for k in keys:
+            often.setdefault(k, []).append(node)
+    assert {(k, node) for k, nodes in often.items() if len(nodes) > 1 for node in nodes} <= set(got) and len(got) < many / 5
+    assert all(got.get((k, node), n - i) == n - i for node, n, keys in every for i, k in enumerate(keys))
+    met = simhash.reaching(left, many, flags, 0.8)
+    want = near_by_brute_force(texts)
+    assert len(want) > 2 and {x.node for x in met.collect()} >= set(want)
+    of = simhash.families(left.join(met, "node", "left_semi"), many, flags, none[1], 0.8)
+    assert {x.node for x in of.collect()} >= set(want)
+    one = found.select("node", F.lit(0).cast("long").alias("component"))
+    assert set(want) <= {x.node for x in simhash.closer_families(one, found, none[1], 0.8).collect()} <= set(range(300, 320))
+    assert {x.node: x.component for x in simhash.near_duplicates(docs).collect()} == want
+
+
+def test_bitmaps_bound_the_similarity_from_above():
+    r = np.random.default_rng(5)
+    sets = []
+    for n in (3, 100, 127, 128, 140, 250, 1000, 5000):
+        base = r.integers(0, 1 << 63, n, dtype=np.uint64)
+        for cut in (0, n // 10, n // 5):
+            sets.append(np.unique(np.concatenate([base[cut:], r.integers(0, 1 << 63, r.integers(0, n // 8 + 1), dtype=np.uint64)])))
+    raw, n, ids = [simhash.parity(x) for x in sets], np.array([len(x) for x in sets]), np.arange(len(sets))
+    links = simhash._near_bitmaps(ids, ids, np.ones(len(sets), dtype=bool), n, raw, 0.8)
+    pairs = [(a, b) for a in range(len(sets)) for b in range(a) if len(x := np.intersect1d(sets[a], sets[b])) >= 0.8 * (n[a] + n[b] - len(x))]
+    up = union(len(sets), links)
+    assert pairs and len(links) < len(sets) and all(up[a] == up[b] for a, b in pairs) and len(set(up)) >= 8
+    assert simhash.parity(np.empty(0, np.uint64)) == b""
+    for a in (np.array([0, 5, 1 << 30]), np.array([0]), np.arange(70_000)):
+        assert (simhash._unpacked(simhash._packed(a)) == a).all()
