@@ -46,7 +46,9 @@ def published_pages(spark, d):
     p = table(spark, d, "part").select(slug("part", "p_partkey").alias("slug"), F.col("p_name").alias("title"), F.concat_ws(" ", "p_brand", "p_type").alias("body"))
     text = P.page_text(p.select(F.concat("slug", F.lit(".md")).alias("path"), F.to_json(F.struct("slug", "title")).alias("meta"), "body"))
     at = scratch_path(spark, "vault")
-    page_sink.publish(spark, at, page_sink.stage(text, at)).count()
+    # a table may be one split, and a page takes far longer to write than a row to read
+    tasks = max(spark.sparkContext.defaultParallelism, -(-p.count() // P.TASK_PAGES))
+    page_sink.publish(spark, at, page_sink.stage(text.repartition(tasks, "path"), at)).count()
     read = P.front_matter_json(P.split_front_matter(P.read_pages(spark, at)))
     m = F.from_json("meta", "slug string, title string")
     return read.select(m.alias("m"), F.trim(F.regexp_replace("body", r"^\s+", "")).alias("body")).select("m.slug", "m.title", F.md5("body").alias("body"))

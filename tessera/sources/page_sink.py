@@ -111,6 +111,7 @@ def publish(spark: SparkSession, base: str, job: str, replace: bool = False) ->
 
     def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pafs.FileSystem.from_uri(base)
+        made: set[str] = set()
 
         def there(path: str) -> bool:
             return fs.get_file_info(f"{root}/{path}").type == pafs.FileType.File
@@ -123,7 +124,9 @@ def publish(spark: SparkSession, base: str, job: str, replace: bool = False) ->
             had = there(path)
             if had and not replace:
                 return "conflict"
-            fs.create_dir(f"{root}/{path}".rpartition("/")[0], recursive=True)
+            if (folder := f"{root}/{path}".rpartition("/")[0]) not in made:
+                fs.create_dir(folder, recursive=True)
+                made.add(folder)
             fs.move(f"{root}/{staged}", f"{root}/{path}")
             return "replaced" if had else "created"
 

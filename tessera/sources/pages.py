@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 import json
+import os
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
+from tessera.operators.components import written
 from tessera.operators.merge import fill_forward
 from tessera.session import ship
 
@@ -89,9 +94,78 @@ def front_matter_json(pages: DataFrame) -> DataFrame:
     return pages.select("path", "yaml", "body").mapInPandas(run, "path string, meta string, body string")
 
 
+#: Entries of a folder that are listed at a time, and pages that a task reads.
+LISTED, TASK_PAGES = 10_000, 20_000
+#: What Spark's readers escape in a file's path.
+ESCAPED = re.compile(r"[^A-Za-z0-9\-_.!~*'()/:@&=+$,;\x80-\U0010ffff]")
+#: Bytes of pages that a task holds before they go on (a longer page goes alone).
+HELD_BYTES = 4 << 20
+
+
+def _seen(name: str) -> bool:
+    """As Spark's readers: names that begin with a dot, or with an underscore and hold no equals sign, are passed over."""
+    return not (name.startswith(".") or name.startswith("_") and "=" not in name or name.endswith("._COPYING_"))
+
+
+def _entries(fs: pafs.FileSystem, folder: str) -> Iterator[tuple[str, str, bool]]:
+    """path, name, whether it is a folder; local folders are streamed, those of stores come as pyarrow lists them, whole."""
+    if isinstance(fs, pafs.LocalFileSystem):
+        with os.scandir(folder) as entries:
+            yield from ((x.path, x.name, x.is_dir()) for x in entries)
+    else:
+        yield from ((x.path, x.base_name, x.type == pafs.FileType.Directory) for x in fs.get_file_info(pafs.FileSelector(folder)))
+
+
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """SC4: all Markdown files below a folder: path, text. A page is a file, so files are read whole."""
-    return spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    """SC4: all Markdown files below a folder: path, text. A page is a file, so files are read whole.
+
+    Folders are listed in tasks, level by level, and pages are dealt out to tasks that open them, as Spark's reader keeps every file's status on the driver
+    and takes milliseconds for each. What pyarrow's file systems can't open is left to that reader. An empty
+    file is a page, which that reader passes over.
+    """
+    try:
+        fs, root = pafs.FileSystem.from_uri(path)
+        ours = fs.get_file_info(root).type == pafs.FileType.Directory
+    except (pa.ArrowException, OSError):
+        ours = False
+    if not ours:
+        return spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    ship(spark)
+    before = "file:" if isinstance(fs, pafs.LocalFileSystem) else path.partition("://")[0] + "://"
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, _ = pafs.FileSystem.from_uri(path)
+        for b in batches:
+            for folder in b.column(0).to_pylist():
+                found = ((at, sub) for at, name, sub in _entries(fs, folder) if _seen(name) and (sub or name.endswith(".md")))
+                while rows := list(islice(found, LISTED)):
+                    yield pa.RecordBatch.from_arrays([pa.array([at for at, _ in rows], pa.string()), pa.array([sub for _, sub in rows], pa.bool_())], names=["path", "folder"])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, _ = pafs.FileSystem.from_uri(path)
+        held, size = [], 0
+        out = lambda: pa.RecordBatch.from_arrays([pa.array([before + ESCAPED.sub(lambda c: f"%{ord(c[0]):02X}", at) for at, _ in held], pa.string()), pa.array([x for _, x in held], pa.binary())], names=["path", "text"])
+        for b in batches:
+            for at in b.column(0).to_pylist():
+                with fs.open_input_stream(at, compression=None) as f:
+                    held.append((at, f.read()))
+                size += len(held[-1][1])
+                if size > HELD_BYTES or len(held) == LISTED:
+                    yield out()
+                    held, size = [], 0
+        if held:
+            yield out()
+
+    level, files = spark.createDataFrame([(root,)], "path string"), None
+    while True:
+        found = written(level.mapInArrow(listed, "path string, folder boolean"), "listing")
+        here, level = found.where("NOT folder").select("path"), found.where("folder").select("path")
+        files = here if files is None else files.unionByName(here)
+        if not (folders := level.count()):
+            break
+        level = level.repartition(min(folders, 1000), "path")
+    tasks = max(spark.sparkContext.defaultParallelism, -(-files.count() // TASK_PAGES))
+    return files.repartition(tasks, "path").mapInArrow(read, "path string, text binary").select("path", F.col("text").cast("string").alias("text"))
 
 
 def page_text(rows: DataFrame) -> DataFrame:

@@ -3,9 +3,10 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.operators import retrieval
-from tessera.sources import page_sink
+from tessera.sources import page_sink, pages
 
 
 def files(base):
@@ -62,3 +63,24 @@ def test_names_by_automaton_and_by_runs(spark):
     for most in (10**6, 1):
         assert {tuple(r) for r in retrieval.name_seeds(texts, pages, most).select("query", "slug", "load_ord").collect()} == want
     assert retrieval.name_seeds(texts, pages.where("false")).count() == 0
+
+
+def test_pages_are_listed_and_read_in_tasks_as_by_sparks_reader(spark, tmp_path, monkeypatch):
+    """Nested, hidden, empty and odd files; few tasks for many pages, where the reader made one for every 32."""
+    monkeypatch.setattr(pages, "LISTED", 7)
+    base = tmp_path / "vault"
+    odd = {f"p{i}.md": f"text {i}".encode() for i in range(300)} | {
+        "a/b/c/deep.md": b"---\nx: 1\n---\n", "a/é ü%20#1?.md": "ä\r\nö".encode(), "a/empty.md": b"", "a/bad.md": b"\xff\xfe ok", "_h/x.md": b"no", ".h/x.md": b"no", "a/_x.md": b"no", "_k=1/x.md": b"yes", "a/x.txt": b"no", "a/x.MD": b"no", "a/x.md.gz": b"no"}
+    for name, data in odd.items():
+        (base / name).parent.mkdir(parents=True, exist_ok=True)
+        (base / name).write_bytes(data)
+    (base / "none").mkdir()
+    by_spark = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(str(base), wholetext=True).select("_metadata.file_path", F.col("value").cast("binary"))
+    want = {(p, bytes(x)) for p, x in by_spark.collect()} | {(f"file:{base}/a/empty.md", b"")}
+    for path in (str(base), f"file://{base}"):
+        got = pages.read_pages(spark, path)
+        rows = [(r.path, bytes(r.text)) for r in got.select("path", F.col("text").cast("binary").alias("text")).collect()]
+        assert set(rows) ^ want == set() and len(rows) == len(want) == 305
+    assert got.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+    assert pages.read_pages(spark, str(base / "none")).count() == 0
+    assert [r.text for r in pages.read_pages(spark, str(base / "p1.md")).collect()] == ["text 1"]
