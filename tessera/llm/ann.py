@@ -235,15 +235,20 @@ def walk(graph: DataFrame, nodes: DataFrame, starts: DataFrame, asked: DataFrame
         return found.join(nodes, "node").join(asked, "query").select("query", "node", "v", "q").mapInArrow(run, "query long, node long, sim float")
 
     best = Window.partitionBy("query").orderBy(F.desc("sim"), "node")
-    top = lambda df: df.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= beam)
+
+    def top(df: DataFrame) -> DataFrame:
+        """The best rows, and which of them are expanded now: one pass over one order, so a round is one plan with one cut for the driver to hold."""
+        kept = df.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= beam)
+        turn = F.sum((~F.col("done")).cast("int")).over(best.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        return kept.withColumn("now", ~F.col("done") & (turn <= width) & (F.col("rank") <= 3 * k)).select("query", "node", "sim", "done", "now")
+
     state = cut(top(near(starts.distinct()).withColumn("done", F.lit(False))))
     for _ in range(rounds):
-        open_ = state.where("NOT done").withColumn("turn", F.row_number().over(best)).where((F.col("turn") <= width) & (F.col("rank") <= 3 * k)).select("query", "node")
-        open_ = cut(open_)
+        open_ = state.where("now").select("query", "node")
         if open_.isEmpty():
             break
         more = open_.join(links, "node").select("query", F.col("near").alias("node")).distinct().join(state.select("query", "node"), ["query", "node"], "left_anti")
-        known = state.join(open_.withColumn("now", F.lit(True)), ["query", "node"], "left").select("query", "node", "sim", (F.col("done") | F.coalesce("now", F.lit(False))).alias("done"))
+        known = state.select("query", "node", "sim", (F.col("done") | F.col("now")).alias("done"))
         state = cut(top(known.unionByName(near(more).withColumn("done", F.lit(False)))))
     else:
         raise RuntimeError("the search didn't settle")

@@ -426,3 +426,19 @@ def test_every_operator_has_a_query():
     from tessera.llm import queries as q
 
     assert [n.split("_")[0] for n in q.queries()] == [f"op{i}" for i in range(1, 11)] and set(q.oracle_sql()) <= set(q.queries())
+
+
+def test_a_round_of_the_search_is_one_plan(spark, monkeypatch):
+    """The driver holds plans and jobs, not rows, so a round writes its state alone, with what is expanded next marked in it."""
+    made, cut = [], ann.cut
+    monkeypatch.setattr(ann, "cut", lambda df: made.append(cut(df)) or made[-1])
+    monkeypatch.setattr(ann, "PIVOTS", 32)
+    x = np.random.default_rng(4).normal(size=(300, 6))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.search(vectors, vectors.where("vec_id % 20 = 0"), k=5, beam=20).collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    want = {q: [j for j in np.argsort(-(x @ x[q]), kind="stable").tolist() if j != q][:5] for q in range(0, 300, 20)}
+    assert sum(len(set(got[q]) & set(want[q])) for q in want) >= 0.9 * 5 * len(want)
+    assert any("now" in df.columns for df in made) and ["query", "node"] not in [df.columns for df in made]
